@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, licenses, mixing, toxicity
+from . import fingerprint, language, licenses, mixing, sharding, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_ids(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_mixing, op4_toxicity, op6_language, op9_licenses)
+    found = (op1_fingerprints, op2_mixing, op4_toxicity, op5_sharding, op6_language, op9_licenses)
     return {f.__name__: f for f in found}
 
 
