@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, licenses, mixing, sharding, toxicity
+from . import decontaminate, fingerprint, language, licenses, mixing, sharding, toxicity
 from .common import table
 
 
@@ -34,8 +34,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_mixing, op4_toxicity, op5_sharding, op6_language, op9_licenses)
+    found = (op1_fingerprints, op2_mixing, op4_toxicity, op5_sharding, op6_language, op9_licenses, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
