@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, licenses, mixing, perplexity, sharding, toxicity
+from . import decontaminate, fingerprint, language, licenses, mixing, ngram_join, perplexity, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).drop("entity_size")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,9 +47,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_mixing, op4_toxicity, op5_sharding, op6_language, op8_perplexity, op9_licenses, op10_decontamination)
+    found = (op1_fingerprints, op2_mixing, op3_jaccard, op4_toxicity, op5_sharding, op6_language, op8_perplexity, op9_licenses, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op9_licenses": licenses.oracle()}
+    return {"op2_mixing": mixing.oracle(), "op3_jaccard": ngram_join.oracle(), "op9_licenses": licenses.oracle()}
