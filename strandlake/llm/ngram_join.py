@@ -27,6 +27,7 @@ stays null; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ from . import common
 N = 5
 #: Similarity in hundredths.
 LEAST = 75
-SMALL = 24
-SAMPLE = 8
+SMALL = 100
+SAMPLE = 2
 ORDER_BITS = 20
 #: Elements held before a task sends them.
 HELD = 2_000_000
@@ -81,7 +82,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         some = [k for k in range(64) if parts[k].any()]
         if some:
             none = pa.nulls(len(some), pa.int64())
-            packed = [np.concatenate([i, parts[k][i]]).astype("<i4").tobytes() for k in some for i in (np.flatnonzero(parts[k]),)]
+            packed = [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in some]
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(process, "doc_id long, n long, sig long, part int, counts binary")
@@ -94,8 +95,7 @@ def _order_table(signed: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                i, n = np.frombuffer(packed, dtype="<i4").reshape(2, -1)
-                sums.setdefault(part, np.zeros((1 << ORDER_BITS) // 64, dtype=np.int64))[i] += n
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(packed), dtype="<u4").astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["part", "sums"])
 
@@ -118,7 +118,10 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
-    """(kind, region, a, b, na, nb): kind 0 pairs of a member and the pivot; kind 1 members a of a region of 3 or more, pivot b."""
+    """(kind, region, a, b, n, rest): kind 0 pairs of a member and the pivot; kind 1 members a of a region of 3 or more, pivot b.
+
+    n: size of a's set; rest: shingles of a that don't stand before the region's shingle, at most.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,7 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
         yield from _pairs_and_members(sig, n, place, first, m)
 
     buckets = docs.select("text").mapInArrow(send, "bucket int, keys binary, sigs binary, ns binary, many binary")
-    return buckets.repartition(parts, "bucket").mapInArrow(meet, "kind int, region long, a long, b long, na long, nb long")
+    return buckets.repartition(parts, "bucket").mapInArrow(meet, "kind int, region long, a long, b long, n long, rest long")
 
 
 def feasible(na, nb, ra, rb):
@@ -206,19 +209,28 @@ def _pairs_and_members(sig, n, place, first, m) -> Iterator[pa.RecordBatch]:
     name = np.add.reduceat(common.splitmix(sig.view(np.uint64)), first).view(np.int64)
     other = np.arange(len(sig)) != pivot
     good = np.flatnonzero(other & feasible(n, n[pivot], rest, rest[pivot]))
-    pairs = np.unique(np.stack([sig[good], sig[pivot[good]], n[good], n[pivot[good]]], axis=1), axis=0)
-    large = np.flatnonzero(m >= 3)
-    _, one = np.unique(name[large], return_index=True)
-    chosen = np.zeros(len(first), dtype=bool)
-    chosen[large[one]] = True
-    members = np.flatnonzero(chosen[region_of] & other)
-    names = ["kind", "region", "a", "b", "na", "nb"]
+    pairs = np.unique(np.stack([sig[good], sig[pivot[good]]], axis=1), axis=0)
+    # regions of equal members are one; a member keeps the most that any of them has left
+    w = np.flatnonzero((m >= 3)[region_of] & other)
+    region = name[region_of[w]]
+    w = w[np.lexsort((-rest[w], sig[w], region))]
+    region = name[region_of[w]]
+    one = np.ones(len(w), dtype=bool)
+    one[1:] = (region[1:] != region[:-1]) | (sig[w][1:] != sig[w][:-1])
+    w, region = w[one], region[one]
+    names = ["kind", "region", "a", "b", "n", "rest"]
+
+    def batch(kind: int, *columns) -> pa.RecordBatch:
+        size = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *(pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns)], names=names)
+
     for i in range(0, len(pairs), 50_000):
         p = pairs[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.zeros(len(p), np.int64)), *(pa.array(p[:, j].copy()) for j in range(4))], names=names)
-    for i in range(0, len(members), 50_000):
-        w = members[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(w), np.int32)), pa.array(name[region_of[w]]), pa.array(sig[w]), pa.array(sig[pivot[w]]), pa.array(n[w]), pa.array(n[pivot[w]])], names=names)
+        none = np.zeros(len(p), np.int64)
+        yield batch(0, none, p[:, 0], p[:, 1], none, none)
+    for i in range(0, len(w), 50_000):
+        v = w[i : i + 50_000]
+        yield batch(1, region[i : i + 50_000], sig[v], sig[pivot[v]], n[v], rest[v])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -281,7 +293,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _apart(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of regions that hold more than one component, with it; (region, a, na, ...)."""
+    """Members of regions that hold more than one component, with it; (region, a, ...)."""
     marked = regions.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = marked.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min("a").alias("pivot"))
     return marked.join(mixed.filter("lo <> hi").select("region", "m", "pivot"), "region")
@@ -301,7 +313,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     found = common.cut_lineage(_regions(docs, levels, parts))
     pairs = found.filter("kind = 0").select("a", "b").distinct()
-    members = found.filter("kind = 1").select("region", "a", "b", "na").dropDuplicates(["region", "a"])
+    members = found.filter("kind = 1").groupBy("region", "a").agg(F.first("b").alias("b"), F.first("n").alias("n"), F.max("rest").alias("rest"))
     wanted = found.select("a").unionByName(found.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sig")
     sets = _sets(docs, entities.select("sig", "rep").join(wanted, "sig", "left_semi"))
 
@@ -313,27 +325,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         apart = _apart(regions, labels).drop("m", "pivot", "component")
         # cut by the triangle inequality around the last pivot; unmeasured members go to both sides
         known = measured.select("a", F.col("b").alias("pivot_was"), (1 - F.col("shared") / F.col("either")).alias("d"))
-        known = known.unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("pivot_was"), (1 - F.col("shared") / F.col("either")).alias("d"))).dropDuplicates(["a", "pivot_was"])
+        known = known.unionByName(known.select(F.col("pivot_was").alias("a"), F.col("a").alias("pivot_was"), "d")).dropDuplicates(["a", "pivot_was"])
         cut = apart.join(known, ["a", "pivot_was"], "left")
         bound = (100 - LEAST) / 100 + 1e-9
         sides = F.when(F.col("d") <= bound, F.array(F.lit(0))).when(F.col("d") > 2 * bound, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-        cut = cut.withColumn("side", F.explode(sides)).select(F.xxhash64("region", "side").alias("region"), "a", "na")
+        cut = cut.withColumn("side", F.explode(sides)).select(F.xxhash64("region", "side").alias("region"), "a", "n", "rest")
         apart = common.cut_lineage(_apart(cut, labels))
         if apart.isEmpty():
             break
         small = F.lit(True) if turn == ROUNDS - 1 else F.col("m") <= SMALL
-        left = apart.filter(small).select("region", "a", "na", "component")
-        right = left.select("region", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("component").alias("other"))
-        all_pairs = left.join(right, "region").filter("a > b AND component <> other")
+        columns = ("a", "n", "rest", "component")
+        left = apart.filter(small).select("region", *columns)
+        right = left.select("region", *(F.col(c).alias(f"{c}_") for c in columns))
+        all_pairs = left.join(right, "region").filter("a > a_")
         stars = apart.filter(~small).filter("a <> pivot")
-        mine = apart.filter(~small & (F.col("a") == F.col("pivot"))).select("region", F.col("na").alias("nb"), F.col("component").alias("other"))
-        stars = stars.join(mine, "region")
-        asked = all_pairs.select("a", "b", "na", "nb").unionByName(stars.filter("component <> other").select("a", F.col("pivot").alias("b"), "na", "nb"))
-        asked = asked.filter(100 * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        mine = apart.filter(~small & (F.col("a") == F.col("pivot"))).select("region", *(F.col(c).alias(f"{c}_") for c in columns))
+        need = F.floor((LEAST * (F.col("n") + F.col("n_")) + LEAST + 99) / F.lit(100 + LEAST))
+        may = (F.col("component") != F.col("component_")) & (100 * F.least("n", "n_") >= LEAST * F.greatest("n", "n_")) & (F.least("rest", "rest_") >= need)
+        asked = all_pairs.unionByName(stars.drop("m", "pivot").join(mine, "region")).filter(may)
+        asked = asked.select(F.greatest("a", "a_").alias("a"), F.least("a", "a_").alias("b")).distinct()
         done = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = _measure(asked.join(done, ["a", "b"], "left_anti"), sets)
         measured = measured.unionByName(more)
-        regions = stars.select("region", "a", F.col("pivot").alias("pivot_was"), "na")
+        regions = stars.select("region", "a", F.col("pivot").alias("pivot_was"), "n", "rest")
 
     named = entities.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     roots = named.groupBy("component").agg(F.min("rep").alias("component_id"))
