@@ -194,7 +194,7 @@ HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int
 
 
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    """Add what one index finds to the array column hits."""
+    """Add what one index finds to the array column _hits."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = docs.schema
 
@@ -215,28 +215,39 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            hits = [{(h["item_id"], h["start"], h["stop"], h["edits"]) for h in x or []} for x in batch.column("hits").to_pylist()]
+            hits = [{(h["item_id"], h["start"], h["stop"], h["edits"]) for h in x or []} for x in batch.column("_hits").to_pylist()]
             for group in pieces(batch.column("text").to_pylist()):
                 for d, k, a, z, e in index.search([p for _, _, p in group]):
                     row, low, _ = group[d]
                     hits[row].add((int(index.ids[k]), low + int(a), low + int(z), e))
             column = pa.array([[dict(zip(("item_id", "start", "stop", "edits"), x, strict=True)) for x in sorted(h)] for h in hits], pa.list_(HIT))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), column], names=["doc_id", "text", "hits"])
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([column if n == "_hits" else batch.column(n) for n in names], names=names)
 
     return docs.mapInArrow(process, schema)
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, item_ids (ascending), hits (places in normalised text)."""
+def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The documents with a column _hits: item_id, start and stop (in normalised text) and edits of what was found."""
     common.bounded_batches(docs.sparkSession)
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // INDEX_BYTES))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("CAST(array() AS array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>)").alias("hits"))
+    found = docs.withColumn("_hits", F.expr("CAST(array() AS array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>)"))
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())  # about INDEX_BYTES
         found = _pass(found, Index.build(rows, rate=rate))
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
-    columns = ["doc_id", (F.size("hits") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "hits"]
-    return found.select(*columns, *(["text"] if keep_text else []))
+    return found
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """One row per document: doc_id, contaminated, n_items, item_ids (ascending), hits."""
+    found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate)
+    ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"])))
+    return found.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("_hits").alias("hits"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The documents in which no passage was found."""
+    return search(docs, benchmark, rate).filter(F.size("_hits") == 0).drop("_hits")

@@ -145,6 +145,19 @@ def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(process, SCHEMA)
 
 
+def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float) -> DataFrame:
+    """The documents, all columns, that get a language with a score of at least `least`."""
+    common.bounded_batches(docs.sparkSession)
+
+    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = bundles(batch.column("text").to_pylist())
+            best = (unit(rows) @ prototypes.T).max(axis=1) if langs else np.zeros(len(rows))
+            yield batch.filter(pa.array(np.any(rows, axis=1) & (best >= least)))
+
+    return docs.mapInArrow(process, docs.schema)
+
+
 def held_out():
     """Whether a row is kept from learning, by its doc_id alone."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

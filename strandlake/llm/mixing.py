@@ -78,8 +78,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, text_hash."""
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
+    )
     # the narrow table is read several times; texts are read once
     sized = common.cut_lineage(sized)
     n = sized.count()
@@ -117,7 +119,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     misses = F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("aim")).alias("miss"), F.lit(k).alias("k")) for k in range(CANDIDATES)))
     chosen = tried.select("src", F.array_min(misses)["k"].alias("k"))
     taken = ranked.join(chosen, "src").withColumn("copies", copies(offset(F.col("k"))))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The documents of the mix, each as often as the mix takes it."""
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))}
+    wanted = mix(docs, weights, most).select(*(c.alias(k) for k, c in keys.items()), F.col("text_hash").alias("_text"), "copies")
+    wanted = wanted.groupBy("_id", "_source", "_text").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    keyed = docs.withColumns(keys).withColumn("_text", F.xxhash64("text"))
+    chosen = keyed.join(wanted, ["_id", "_source", "_text"]).dropDuplicates(["_id", "_source", "_text"])
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:

@@ -61,12 +61,12 @@ def signature(s: np.ndarray) -> int:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig, part, counts): a row per document; rows with counts hold a task's share of the order table."""
+    """(doc_id, text_hash, n, sig, part, counts): a row per document; rows with counts hold a task's share of the order table."""
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table, held = ["doc_id", "n", "sig", "part", "counts"], np.zeros(1 << ORDER_BITS, dtype=np.int64), []
+        names, table, held = ["doc_id", "text_hash", "n", "sig", "part", "counts"], np.zeros(1 << ORDER_BITS, dtype=np.int64), []
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             sigs = [signature(s) if len(s) else None for s in sets]
             for s, sig in zip(sets, sigs, strict=True):
                 if sig is not None and sig % SAMPLE == 0:
@@ -75,7 +75,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 table += np.bincount(np.concatenate(held), minlength=len(table))
                 held = []
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if held:
             table += np.bincount(np.concatenate(held), minlength=len(table))
         parts = table.reshape(64, -1)
@@ -83,9 +83,9 @@ def _signed(docs: DataFrame) -> DataFrame:
         if some:
             none = pa.nulls(len(some), pa.int64())
             packed = [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in some]
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(process, "doc_id long, n long, sig long, part int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(process, "doc_id long, text_hash long, n long, sig long, part int, counts binary")
 
 
 def _order_table(signed: DataFrame) -> np.ndarray:
@@ -300,7 +300,7 @@ def _apart(regions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, entity_size (documents with the same set)."""
+    """One row per document: doc_id, n_shingles, component_id, entity_size (documents with the same set), text_hash."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     parts = common.partitions(spark)
@@ -308,7 +308,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     signed = common.cut_lineage(_signed(docs))
     levels = _order_table(signed)
-    signed = signed.filter("part IS NULL").select("doc_id", "n", "sig")
+    signed = signed.filter("part IS NULL").select("doc_id", "text_hash", "n", "sig")
     entities = signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"))
 
     found = common.cut_lineage(_regions(docs, levels, parts))
@@ -353,11 +353,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(roots, "component").select("sig", "component_id", "entity_size")
     out = signed.join(named, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("entity_size", F.lit(1)).alias("entity_size")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("entity_size", F.lit(1)).alias("entity_size"), "text_hash"
     )
     return out.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", "component_id")})
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without all but one of each component: the one of the least doc_id (of repeated rows, one)."""
+    found = jaccard_components(docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_text", F.xxhash64("text"))
+    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+
+
 def oracle() -> str:
     """DuckDB SQL for doc_id, n_shingles, component_id."""
     return rf"""
