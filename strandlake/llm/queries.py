@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, licenses, mixing, ngram_join, perplexity, sharding, toxicity
+from . import decontaminate, fingerprint, language, licenses, mixing, ngram_join, perplexity, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_ids(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_mixing, op3_jaccard, op4_toxicity, op5_sharding, op6_language, op8_perplexity, op9_licenses, op10_decontamination)
+    found = (op1_fingerprints, op2_mixing, op3_jaccard, op4_toxicity, op5_sharding, op6_language, op7_suffixes, op8_perplexity, op9_licenses, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
