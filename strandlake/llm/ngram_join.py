@@ -40,7 +40,11 @@ from . import common
 N = 5
 #: Similarity in hundredths.
 LEAST = 75
-SMALL = 100
+SMALL = 1000
+#: Regions of up to so many members are measured pair by pair at once.
+TINY = 6
+#: Regions up to this size are searched for members that can't have a partner.
+PRUNED = 512
 SAMPLE = 2
 ORDER_BITS = 20
 #: Elements held before a task sends them.
@@ -118,7 +122,7 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
-    """(kind, region, a, b, n, rest): kind 0 pairs of a member and the pivot; kind 1 members a of a region of 3 or more, pivot b.
+    """(kind, region, a, b, n, rest): kind 0 pairs of a member and the pivot; kind 1 members a of a larger region, pivot b.
 
     n: size of a's set; rest: shingles of a that don't stand before the region's shingle, at most.
     """
@@ -200,18 +204,42 @@ def feasible(na, nb, ra, rb):
     return (100 * np.minimum(na, nb) >= LEAST * np.maximum(na, nb)) & (np.minimum(ra, rb) >= need)
 
 
+def _all_pairs(first, m, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within the groups of exactly `size` members."""
+    at = first[m == size]
+    i, j = np.triu_indices(size, 1)
+    return (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+
+
+def _with_partner(n, rest, first, m) -> np.ndarray:
+    """Whether a member of a region has another that it could be linked to, and that isn't the pivot."""
+    keep = np.ones(len(n), dtype=bool)
+    for lo, size in zip(first.tolist(), m.tolist(), strict=True):
+        if TINY < size <= PRUNED:
+            x, y = n[lo + 1 : lo + size], rest[lo + 1 : lo + size]
+            may = feasible(x[:, None], x, y[:, None], y)
+            np.fill_diagonal(may, False)
+            keep[lo + 1 : lo + size] = may.any(axis=1)
+    return keep
+
+
 def _pairs_and_members(sig, n, place, first, m) -> Iterator[pa.RecordBatch]:
+    if not len(sig):
+        return
     region_of = np.repeat(np.arange(len(first)), m)
     pivot = first[region_of]
     rest = n - place * n // 256
-    if not len(sig):
-        return
     name = np.add.reduceat(common.splitmix(sig.view(np.uint64)), first).view(np.int64)
     other = np.arange(len(sig)) != pivot
-    good = np.flatnonzero(other & feasible(n, n[pivot], rest, rest[pivot]))
-    pairs = np.unique(np.stack([sig[good], sig[pivot[good]]], axis=1), axis=0)
+    # of tiny regions all pairs, of larger ones each member and the pivot
+    tiny = [_all_pairs(first, m, k) for k in range(2, TINY + 1)]
+    star = np.flatnonzero(other & (m > TINY)[region_of])
+    i, j = np.concatenate([*(a for a, _ in tiny), star]), np.concatenate([*(b for _, b in tiny), pivot[star]])
+    good = feasible(n[i], n[j], rest[i], rest[j])
+    i, j = i[good], j[good]
+    pairs = np.unique(np.stack([np.maximum(sig[i], sig[j]), np.minimum(sig[i], sig[j])], axis=1), axis=0)
     # regions of equal members are one; a member keeps the most that any of them has left
-    w = np.flatnonzero((m >= 3)[region_of] & other)
+    w = np.flatnonzero((m > TINY)[region_of] & other & _with_partner(n, rest, first, m))
     region = name[region_of[w]]
     w = w[np.lexsort((-rest[w], sig[w], region))]
     region = name[region_of[w]]
@@ -224,13 +252,13 @@ def _pairs_and_members(sig, n, place, first, m) -> Iterator[pa.RecordBatch]:
         size = len(columns[0])
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *(pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns)], names=names)
 
-    for i in range(0, len(pairs), 50_000):
-        p = pairs[i : i + 50_000]
+    for k in range(0, len(pairs), 50_000):
+        p = pairs[k : k + 50_000]
         none = np.zeros(len(p), np.int64)
         yield batch(0, none, p[:, 0], p[:, 1], none, none)
-    for i in range(0, len(w), 50_000):
-        v = w[i : i + 50_000]
-        yield batch(1, region[i : i + 50_000], sig[v], sig[pivot[v]], n[v], rest[v])
+    for k in range(0, len(w), 50_000):
+        v = w[k : k + 50_000]
+        yield batch(1, region[k : k + 50_000], sig[v], sig[pivot[v]], n[v], rest[v])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -314,7 +342,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = common.cut_lineage(_regions(docs, levels, parts))
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     members = found.filter("kind = 1").groupBy("region", "a").agg(F.first("b").alias("b"), F.first("n").alias("n"), F.max("rest").alias("rest"))
-    wanted = found.select("a").unionByName(found.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sig")
+    wanted = found.select("a").unionByName(found.filter("kind = 0").select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sig")
     sets = _sets(docs, entities.select("sig", "rep").join(wanted, "sig", "left_semi"))
 
     measured = _measure(pairs, sets)
