@@ -15,6 +15,7 @@ PIECE = 1 << 20
 #: A single word beyond this many bytes gets a digest instead of a polynomial.
 LONG_WORD = 1 << 19
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -40,7 +41,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for it isn't read again
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -261,21 +261,56 @@ def _pairs_and_members(sig, n, place, first, m) -> Iterator[pa.RecordBatch]:
         yield batch(1, region[k : k + 50_000], sig[v], sig[pivot[v]], n[v], rest[v])
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the hashes of the ids."""
+
+    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            for part in np.unique(slots >> PART_BITS).tolist():
+                own = slots[slots >> PART_BITS == part] & ((1 << PART_BITS) - 1)
+                bits.setdefault(part, np.zeros(1 << PART_BITS, dtype=bool))[own] = True
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], names=["part", "bits"])
+
+    marks = np.zeros((1 << (MARK_BITS - PART_BITS), (1 << PART_BITS) // 8), dtype=np.uint8)
+    dealt = ids.select(slot(F.col("rep")).alias("slot")).repartition(64, F.shiftright("slot", PART_BITS))
+    for r in dealt.mapInArrow(process, "part long, bits binary").collect():  # the bitmap's fixed size
+        marks[r["part"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return marks.ravel()
+
+
+MARK_BITS, PART_BITS = 26, 20
+
+
+def slot(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << MARK_BITS))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, members): the sets of the wanted entities (sig, rep), six bytes a shingle."""
+    """(sig, members): the sets of the wanted entities (sig, rep), six bytes a shingle.
+
+    Texts aren't shuffled: a bitmap tells which may be wanted, and only their sets are sent on.
+    """
+    wanted = common.cut_lineage(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
         for batch in batches:
+            slots = batch.column(0).to_numpy()
+            hit = (marks[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
             sigs, packed = [], []
-            for sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(1).filter(pa.array(hit.astype(bool))).to_pylist():
                 s = shingle_set(text)
-                if len(s) and signature(s) == sig:  # doc_ids may be ambiguous
-                    sigs.append(sig)
+                if len(s):
+                    sigs.append(signature(s))
                     packed.append(np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(packed, pa.binary())], names=["sig", "members"])
 
-    found = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sig", "text")
-    return common.cut_lineage(found.mapInArrow(process, "sig long, members binary").dropDuplicates(["sig"]))
+    found = docs.select(slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(process, "sig long, members binary")
+    return common.cut_lineage(found.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]))
 
 
 def _unpack(packed: bytes) -> np.ndarray:
