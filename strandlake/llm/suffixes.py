@@ -267,7 +267,10 @@ def _surroundings(texts: list[np.ndarray], who, where, what, shard: int, parts:
 
 def _window_hash(body: np.ndarray, start: int, size: int) -> np.ndarray:
     up, _, byte = common._powers()
-    return common.splitmix((byte[body[:, start : start + size]] * up[:size]).sum(axis=1, dtype=np.uint64))
+    found = np.empty(len(body), dtype=np.uint64)
+    for low in range(0, len(body), 4096):  # eight bytes a byte: few rows at a time
+        found[low : low + 4096] = (byte[body[low : low + 4096, start : start + size]] * up[:size]).sum(axis=1, dtype=np.uint64)
+    return common.splitmix(found)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +315,7 @@ def _repeats(head: np.ndarray, body: np.ndarray, shard: np.ndarray) -> np.ndarra
     several[1:] = h[1:] == h[:-1]
     several[:-1] |= several[1:]
     own = own[several]
-    for some in _blocks(head["hash"][own], 200_000):
+    for some in _blocks(head["hash"][own], 50_000):
         i = own[some]
         for offset in range(REACH + 1):
             start = head["place"][i] - REACH + offset
