@@ -7,7 +7,8 @@ seeded by shared rare shingles: with the shingles of every set in one order, rar
 sets share one among their first n + 1 - ceil(0.75 n); all sets with a given such shingle form a
 region, and every linked pair is together in one.
 
-A region has a pivot (its least signature). All members are measured against it, exactly. Links found
+A region has a pivot (its least signature). All members are measured against it, exactly (what sketches of
+the sets rule out needs no measuring). Links found
 join components, and pairs within a component need no more looking at. What is left of a region is cut
 by the triangle inequality: a member within 1/4 of the pivot can't be linked to one beyond 1/2, so the
 members up to 1/2 and those beyond 1/4 make two regions (the boundary is in both), without the pivot.
@@ -47,6 +48,7 @@ TINY = 6
 PRUNED = 512
 SAMPLE = 2
 ORDER_BITS = 20
+SKETCH = 256
 #: Elements held before a task sends them.
 HELD = 2_000_000
 ROUNDS = 12
@@ -64,11 +66,16 @@ def signature(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Sizes of SKETCH parts of a set, by hash, up to 255. Two sets differ in at least as many shingles as their sketches differ."""
+    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, sig, part, counts): a row per document; rows with counts hold a task's share of the order table."""
+    """(doc_id, text_hash, n, sig, sketch, part, counts): a row per document; rows with counts hold a task's share of the order table."""
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table, held = ["doc_id", "text_hash", "n", "sig", "part", "counts"], np.zeros(1 << ORDER_BITS, dtype=np.int64), []
+        names, table, held = ["doc_id", "text_hash", "n", "sig", "sketch", "part", "counts"], np.zeros(1 << ORDER_BITS, dtype=np.int64), []
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             sigs = [signature(s) if len(s) else None for s in sets]
@@ -79,7 +86,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 table += np.bincount(np.concatenate(held), minlength=len(table))
                 held = []
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if held:
             table += np.bincount(np.concatenate(held), minlength=len(table))
         parts = table.reshape(64, -1)
@@ -87,9 +94,9 @@ def _signed(docs: DataFrame) -> DataFrame:
         if some:
             none = pa.nulls(len(some), pa.int64())
             packed = [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in some]
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(process, "doc_id long, text_hash long, n long, sig long, part int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(process, "doc_id long, text_hash long, n long, sig long, sketch binary, part int, counts binary")
 
 
 def _order_table(signed: DataFrame) -> np.ndarray:
@@ -319,6 +326,24 @@ def _unpack(packed: bytes) -> np.ndarray:
     return raw.view(np.uint64).ravel()
 
 
+def _maybe(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out."""
+
+    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("xa", "xb"))
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            need = -(-LEAST * (na + nb) // (100 + LEAST))
+            yield batch.filter(pa.array(apart <= na + nb - 2 * need)).select(["a", "b"])
+
+    left = pairs.select("a", "b").join(sketches.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
+    both = left.join(sketches.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
+    return common.cut_lineage(both.mapInArrow(process, "a long, b long"))
+
+
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, shared, either) for distinct pairs (a, b)."""
 
@@ -371,16 +396,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     signed = common.cut_lineage(_signed(docs))
     levels = _order_table(signed)
+    sketches = signed.filter("sig IS NOT NULL").select("sig", "n", "sketch")
     signed = signed.filter("part IS NULL").select("doc_id", "text_hash", "n", "sig")
     entities = signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"))
 
     found = common.cut_lineage(_regions(docs, levels, parts))
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     members = found.filter("kind = 1").groupBy("region", "a").agg(F.first("b").alias("b"), F.first("n").alias("n"), F.max("rest").alias("rest"))
-    wanted = found.select("a").unionByName(found.filter("kind = 0").select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sig")
-    sets = _sets(docs, entities.select("sig", "rep").join(wanted, "sig", "left_semi"))
+    involved = found.select("a").unionByName(found.filter("kind = 0").select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sig")
+    sketches = common.cut_lineage(sketches.join(involved, "sig", "left_semi").dropDuplicates(["sig"]))
+
+    def measure(asked: DataFrame) -> DataFrame:
+        near = _maybe(asked, sketches)
+        wanted = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "sig")
+        return _measure(near, _sets(docs, entities.select("sig", "rep").join(wanted, "sig", "left_semi")))
 
-    measured = _measure(pairs, sets)
+    measured = measure(pairs)
     regions = members.withColumnRenamed("b", "pivot_was")
     for turn in range(ROUNDS):
         links = measured.filter(100 * F.col("shared") >= LEAST * F.col("either")).select("a", "b")
@@ -408,8 +439,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         asked = all_pairs.unionByName(stars.drop("m", "pivot").join(mine, "region")).filter(may)
         asked = asked.select(F.greatest("a", "a_").alias("a"), F.least("a", "a_").alias("b")).distinct()
         done = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = _measure(asked.join(done, ["a", "b"], "left_anti"), sets)
-        measured = measured.unionByName(more)
+        measured = measured.unionByName(measure(asked.join(done, ["a", "b"], "left_anti")))
         regions = stars.select("region", "a", F.col("pivot").alias("pivot_was"), "n", "rest")
 
     named = entities.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
