@@ -1,15 +1,670 @@
-"""Queries of the genotype engine, by name."""
+"""Queries of the genotype engine over the star-schema tables, with the same in SQL for another engine.
+
+Names start with operator IDs of the inventory. Queries without SQL are kernels that draw random numbers
+or run models; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import genotypes as G
+from ..operators import chunking, concordance, gmap, imputation, ligate, panels, pileup, posterior, sites
+from . import adapters as A
+
+EDGES = [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
+SPARSE = 0.01
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+# sites -------------------------------------------------------------------------------------------------
+
+CLASSIFIED = f"""counted AS (
+  SELECT *, an - ac AS cref, ac AS calt, least(an - ac, ac)::DOUBLE / an AS maf, least(an - ac, ac) AS mac,
+         CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'SNP' WHEN length(ref) <> length(alt) THEN 'INDEL' ELSE 'OTHER' END AS vtype FROM sites),
+kept AS (SELECT * FROM counted WHERE mac > 0),
+classified AS (
+  SELECT site, pos, ref, alt, ac, an, cref, calt, maf, mac, maf >= {SPARSE}::DOUBLE AS is_common, (calt > cref)::INT AS major_allele, mac = 0 AS monomorphic, mac = 1 AS singleton, vtype,
+         pos || '_' || ref || '_' || alt AS key, vtype <> 'SNP' OR coalesce(lag(pos) OVER (ORDER BY pos, site) = pos, false) AS lq FROM kept)"""
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.classify(A.sites(spark, sf_dir), sites.SiteOptions(sparse_maf=SPARSE))
+
+
+@query(A.with_(A.PANEL, A.SITES, CLASSIFIED) + "SELECT * FROM classified")
+def fn_01_06_flt_02_06_classified_sites(spark, sf_dir):
+    return _classified(spark, sf_dir)
+
+
+BINS = "CASE " + " ".join(f"WHEN {{x}} > {a}::DOUBLE AND {{x}} <= {b}::DOUBLE THEN {i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))) + " ELSE -1 END"
+
+
+@query(A.with_(A.PANEL, A.SITES, CLASSIFIED) + f"""SELECT {BINS.format(x='maf')} AS af_bin, count(*) AS n_sites, sum(is_common::BIGINT)::BIGINT AS n_common, sum((NOT lq)::BIGINT)::BIGINT AS n_high_quality, sum(mac)::BIGINT AS minor_alleles
+FROM classified GROUP BY 1""")
+def agg_15_fn_20_spectrum(spark, sf_dir):
+    return sites.spectrum(_classified(spark, sf_dir), EDGES)
+
+
+@query(A.with_(A.PANEL, A.SITES, CLASSIFIED) + """SELECT site, pos, row_number() OVER (ORDER BY pos, site) - 1 AS site_idx,
+  coalesce(sum(is_common::BIGINT) OVER (ORDER BY pos, site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS all2common,
+  CASE WHEN is_common THEN coalesce(sum(is_common::BIGINT) OVER (ORDER BY pos, site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT END AS common_idx FROM classified""")
+def win_02_04_site_indexes(spark, sf_dir):
+    return sites.index_sites(_classified(spark, sf_dir)).select("site", "pos", "site_idx", "all2common", "common_idx")
+
+
+@query(A.with_(A.PANEL, A.SITES) + """, counted AS (SELECT site, sum(allele)::BIGINT AS counted_ac, count(*) AS counted_an FROM panel GROUP BY site)
+SELECT s.site, s.ac + (s.site % 13 = 0)::BIGINT AS ac, s.an, c.counted_ac, c.counted_an, s.site % 13 <> 0 AS agrees FROM sites s JOIN counted c USING (site)""")
+def agg_11_recount(spark, sf_dir):
+    stated = A.sites(spark, sf_dir).withColumn("ac", F.col("ac") + (F.col("site") % 13 == 0).cast("long"))
+    return sites.recount(A.panel(spark, sf_dir), stated)
+
+
+@query(A.with_(A.PANEL, A.SITES, CLASSIFIED) + "SELECT site, mac, row_number() OVER (ORDER BY mac, site) AS rare_rank FROM classified WHERE NOT is_common")
+def srt_04_rare_first(spark, sf_dir):
+    return sites.rare_first(_classified(spark, sf_dir)).select("site", "mac", "rare_rank")
+
+
+@query(A.with_(A.SITE_AF) + "SELECT site, pos, maf FROM site_af WHERE pos BETWEEN 100000 AND 500000 AND vtype IN ('SNP', 'INDEL')")
+def flt_03_04_region(spark, sf_dir):
+    return sites.in_region(A.site_af(spark, sf_dir), 100_000, 500_000).filter(F.col("vtype").isin("SNP", "INDEL")).select("site", "pos", "maf")
+
+
+# panel -------------------------------------------------------------------------------------------------
+
+
+@query(A.with_(A.PANEL) + """, n AS (SELECT site, sum(allele)::BIGINT AS ac, count(*) AS an FROM panel GROUP BY site)
+SELECT n.site, n.ac, n.an, n.ac * 2 > n.an AS negated, coalesce(string_agg(hap::VARCHAR, ',' ORDER BY hap) FILTER (WHERE (allele = 1) <> (n.ac * 2 > n.an)), '') AS carriers
+FROM n JOIN panel p USING (site) GROUP BY n.site, n.ac, n.an""")
+def bit_07_join_11_set_02_sparse_lines(spark, sf_dir):
+    return panels.sparse_lines(A.panel(spark, sf_dir)).withColumn("carriers", F.array_join(F.transform("carriers", lambda x: x.cast("string")), ","))
+
+
+@query(A.with_(A.PANEL) + """, n AS (SELECT site, sum(allele)::BIGINT AS ones, count(*) AS an FROM panel GROUP BY site)
+SELECT site, ones, CASE WHEN least(ones, an - ones) > 25 THEN 'dense' ELSE 'sparse' END AS encoding, least(ones, an - ones) AS entries FROM n""")
+def bit_06_08_encodings(spark, sf_dir):
+    return panels.encodings(A.panel(spark, sf_dir), 25)
+
+
+@query(A.with_(A.PANEL) + "SELECT hap, string_agg(site::VARCHAR, ',' ORDER BY site) AS sites FROM panel WHERE allele = 1 GROUP BY hap")
+def bit_03_join_11_transpose(spark, sf_dir):
+    return panels.transpose(A.panel(spark, sf_dir)).withColumn("sites", F.array_join(F.transform("sites", lambda x: x.cast("string")), ","))
+
+
+@query(A.with_(A.PANEL) + "SELECT site FROM panel WHERE hap % 50 = 0 GROUP BY site HAVING min(allele) <> max(allele)")
+def bit_02_join_12_flt_16_polymorphic_states(spark, sf_dir):
+    p = A.panel(spark, sf_dir)
+    return panels.polymorphic(panels.restrict(p, p.filter("hap % 50 = 0")))
+
+
+@query(A.with_(A.PANEL) + """, x AS (SELECT *, CASE WHEN allele IS DISTINCT FROM lag(allele) OVER (PARTITION BY site ORDER BY hap) THEN 1 ELSE 0 END AS new FROM panel),
+y AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY hap) AS run FROM x)
+SELECT site, run::BIGINT AS run, any_value(allele) AS allele, count(*) AS length FROM y GROUP BY site, run""")
+def bit_04_05_win_15_run_lengths(spark, sf_dir):
+    return panels.run_lengths(A.panel(spark, sf_dir))
+
+
+@query(A.with_(A.PANEL) + f"""SELECT site, hap, allele FROM panel WHERE site IN (SELECT site FROM panel GROUP BY site HAVING least(avg(allele), 1 - avg(allele)) >= {SPARSE}::DOUBLE)""")
+def xsi_05_common_matrix(spark, sf_dir):
+    return panels.common_matrix(A.panel(spark, sf_dir), SPARSE)
+
+
+@query(A.with_(A.PANEL) + """, other AS (SELECT site, hap, CASE WHEN hap % 9 = 0 THEN 1 - allele ELSE allele END AS allele FROM panel WHERE hap % 3 = 0),
+r AS (SELECT p.site, p.hap, coalesce(o.allele, p.allele) AS allele FROM panel p LEFT JOIN other o USING (site, hap))
+(SELECT * FROM r EXCEPT ALL SELECT * FROM panel) UNION ALL (SELECT * FROM panel EXCEPT ALL SELECT * FROM r)""")
+def xsi_03_06_replaced_and_different(spark, sf_dir):
+    p = A.panel(spark, sf_dir)
+    other = p.filter("hap % 3 = 0").withColumn("allele", F.when(F.col("hap") % 9 == 0, 1 - F.col("allele")).otherwise(F.col("allele")))
+    return panels.matrix_difference(panels.replace_samples(p, other).select("site", "hap", "allele"), p)
+
+
+@query(A.with_(A.PANEL) + """, x AS (SELECT p.hap AS sample, p.site, p.allele AS test, q.allele AS ref FROM panel p JOIN panel q ON p.site = q.site AND q.hap = p.hap + 1 WHERE p.hap % 2 = 0),
+y AS (SELECT *, xor(test, ref) AS off FROM x), z AS (SELECT sample, xor(off, lag(off) OVER (PARTITION BY sample ORDER BY site)) AS switch FROM y)
+SELECT sample, count(switch) AS n, coalesce(sum(switch), 0)::BIGINT AS switches, round(coalesce(sum(switch)::DOUBLE / nullif(count(switch), 0), 0), 6) AS rate FROM z GROUP BY sample""")
+def agg_17_xsi_07_switch_errors(spark, sf_dir):
+    p = A.panel(spark, sf_dir)
+    q = p.select("site", (F.col("hap") - 1).alias("hap"), F.col("allele").alias("ref"))
+    return panels.switch_errors(p.filter("hap % 2 = 0").join(q, ["site", "hap"]).select(F.col("hap").alias("sample"), "site", F.col("allele").alias("test"), "ref"))
+
+
+
+
+def _cells_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = A.panel(spark, sf_dir).groupBy("site", F.expr("hap div 2").alias("sample")).agg(F.transform(F.array_sort(F.collect_list(F.struct("hap", "allele"))), lambda s: s["allele"]).alias("gt"))
+    return x.withColumn("phased", F.col("sample") % 3 != 0)
+
+
+@query(A.with_(A.PANEL) + """, c AS (SELECT site, hap // 2 AS sample, list(allele ORDER BY hap) AS gt, any_value(hap // 2 % 3 <> 0) AS phased FROM panel GROUP BY 1, 2)
+SELECT count(DISTINCT sample) AS n_samples, count(*) AS n_entries, count(DISTINCT site) AS n_sites, max(len(gt))::INT AS max_ploidy, bool_and(phased) AS all_phased FROM c""")
+def xsi_01_08_agg_18_probes(spark, sf_dir):
+    return panels.probes(_cells_gt(spark, sf_dir))
+
+
+@query(A.with_(A.PANEL) + """, c AS (SELECT site, hap // 2 AS sample, list(allele ORDER BY hap) AS gt, any_value(hap // 2 % 3 <> 0) AS phased FROM panel GROUP BY 1, 2)
+SELECT site, sample, CASE WHEN phased AND site % 2 = 0 THEN gt[2] ELSE gt[1] END AS a0, CASE WHEN phased AND site % 2 = 0 THEN gt[1] ELSE gt[2] END AS a1, least(gt[1], gt[2]) AS u0, greatest(gt[1], gt[2]) AS u1 FROM c""")
+def fn_39_xsi_04_swapped_and_unphased(spark, sf_dir):
+    c = _cells_gt(spark, sf_dir)
+    un = panels.unphase(c).select("site", "sample", F.col("gt").alias("u"))
+    c = c.withColumn("gt", G.swap_phase(F.col("gt"), F.col("phased"), F.col("site") % 2 == 0)).join(un, ["site", "sample"])
+    return c.select("site", "sample", F.col("gt")[0].alias("a0"), F.col("gt")[1].alias("a1"), F.col("u")[0].alias("u0"), F.col("u")[1].alias("u1"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS ordinal, c_name AS sample, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS ploidy FROM customer)
+SELECT ordinal, sample, ploidy, coalesce(sum(ploidy) OVER w, 0)::BIGINT AS hap_offset, coalesce(sum(ploidy + 1) OVER w, 0)::BIGINT AS gl_offset FROM s WINDOW w AS (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def win_18_src_09_18_offsets(spark, sf_dir):
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("sample"), F.when(F.col("c_nationkey") % 2 == 0, 2).otherwise(1).alias("ploidy"))
+    return panels.offsets(c)
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def set_05_duplicates(spark, sf_dir):
+    return panels.duplicates(A.table(spark, sf_dir, "part"), "p_name")
+
+
+@query("""WITH n AS (SELECT l_orderkey % 50 AS target, l_partkey % 400 AS hap, l_linenumber AS rank, l_suppkey AS site FROM lineitem),
+b AS (SELECT target, hap, min(rank * 1000000 - site) AS b FROM n GROUP BY target, hap), r AS (SELECT target, hap, row_number() OVER (PARTITION BY target ORDER BY b, hap) AS place FROM b)
+SELECT target, hap, place FROM r WHERE place <= 20""")
+def top_01_states(spark, sf_dir):
+    n = A.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("target"), (F.col("l_partkey") % 400).alias("hap"), F.col("l_linenumber").alias("rank"), F.col("l_suppkey").alias("site"))
+    return panels.top_states(n, 20)
+
+
+@query("""WITH a AS (SELECT l_suppkey AS target, l_partkey % 100 AS hap FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS target, l_partkey % 100 AS hap FROM lineitem WHERE l_linenumber = 2)
+SELECT target, hap FROM a UNION SELECT target, hap FROM b""")
+def set_01_added_states(spark, sf_dir):
+    x = A.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("target"), (F.col("l_partkey") % 100).alias("hap"), "l_linenumber")
+    return panels.add_states(x.filter("l_linenumber = 1"), x.filter("l_linenumber = 2"))
+
+
+@query()
+def smp_01_03_sampled_haplotypes(spark, sf_dir):
+    return panels.sample(A.panel(spark, sf_dir).select("site", "hap"), "hap", 5, by=["site"]).select("site", "hap", "draw")
+
+
+@query("""WITH x AS (SELECT o_orderkey % 15 AS iteration, 100 + o_custkey % 900 AS n_states, 10 + o_orderkey % 50 AS n_polymorphic, 64 AS n_sites FROM orders)
+SELECT iteration, avg(n_states) AS mean_states, avg(100.0::DOUBLE * n_polymorphic / n_sites) AS polymorphic FROM x GROUP BY iteration""")
+def agg_16_iteration_means(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 15).alias("iteration"), (100 + F.col("o_custkey") % 900).alias("n_states"), (10 + F.col("o_orderkey") % 50).alias("n_polymorphic"), F.lit(64).alias("n_sites"))
+    return panels.iteration_means(o)
+
+
+# genetic map and windows ---------------------------------------------------------------------------------
+
+MAP_SQL = A.with_(A.SITE_AF, A.GMAP) + """, knots AS (SELECT pos, min(cm) AS cm FROM gmap GROUP BY pos),
+e AS (SELECT min(pos) AS p0, max(pos) AS p1, min(cm) AS c0, max(cm) AS c1 FROM knots),
+l AS (SELECT s.site, s.pos, k.pos AS lp, k.cm AS lc FROM site_af s ASOF LEFT JOIN knots k ON s.pos >= k.pos),
+r AS (SELECT s.site, k.pos AS rp, k.cm AS rc FROM site_af s ASOF LEFT JOIN knots k ON s.pos <= k.pos),
+placed AS (SELECT l.site, l.pos, CASE WHEN lp = l.pos THEN lc WHEN lp IS NULL THEN c0 - (p0 - l.pos) * ((c1 - c0) / (p1 - p0)) WHEN rp IS NULL THEN c1 + (l.pos - p1) * ((c1 - c0) / (p1 - p0))
+  ELSE lc + (l.pos - lp) * (rc - lc) / (rp - lp) END AS cm FROM l JOIN r USING (site), e)
+"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gmap.interpolate(A.site_af(spark, sf_dir), A.gmap(spark, sf_dir))
+
+
+@query(MAP_SQL + "SELECT site, pos, round(cm, 6) AS cm, round(cm - min(cm) OVER (), 6) AS rebased FROM placed")
+def join_03_04_fn_37_map_positions(spark, sf_dir):
+    x = _placed(spark, sf_dir).select("site", "pos", "cm")
+    return gmap.rebase(x.withColumn("at", F.col("cm"))).select("site", "pos", F.round("at", 6).alias("cm"), F.round("cm", 6).alias("rebased"))
+
+
+@query(A.with_(A.SITE_AF) + "SELECT site, round((pos - min(pos) OVER ()) / 1e6, 6) AS cm FROM site_af")
+def fn_37_constant_rate(spark, sf_dir):
+    return gmap.constant_rate(A.site_af(spark, sf_dir)).select("site", F.round("cm", 6).alias("cm"))
+
+
+@query(MAP_SQL + "SELECT max(pos) - min(pos) + 1 AS bp, round(max(cm) - min(cm), 6) AS cm, count(*) AS n FROM placed")
+def fn_42_span(spark, sf_dir):
+    return sites.span(_placed(spark, sf_dir)).withColumn("cm", F.round("cm", 6))
+
+
+OPTIONS = chunking.ChunkOptions(window_cm=1.0, window_mb=0.05, window_count=40, buffer_cm=0.2, buffer_mb=0.01, buffer_count=10)
+
+
+def _for_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).select(F.lit("chr1").alias("chrom"), "pos", "cm", (F.col("maf") >= 0.1).alias("is_common"))
+
+
+@query()
+def win_07_08_10_11_sequential_windows(spark, sf_dir):
+    return chunking.meet_halfway(chunking.chunk(_for_windows(spark, sf_dir), OPTIONS))
+
+
+@query()
+def win_09_recursive_windows(spark, sf_dir):
+    from dataclasses import replace
+
+    return chunking.chunk(_for_windows(spark, sf_dir), replace(OPTIONS, recursive=True))
+
+
+@query()
+def win_12_uniform_windows(spark, sf_dir):
+    from dataclasses import replace
+
+    return chunking.chunk(_for_windows(spark, sf_dir), replace(OPTIONS, uniform=True))
+
+
+CORES = """cores AS (SELECT 'chr' || n_regionkey AS chrom, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS chunk, n_nationkey * 1000 + 1 AS core_start, n_nationkey * 1000 + 400 + (n_nationkey * 37) % 300 AS core_stop FROM nation)"""
+
+
+def _cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = A.table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    return n.select(F.concat(F.lit("chr"), F.col("n_regionkey")).alias("chrom"), (F.row_number().over(w) - 1).alias("chunk"), (k * 1000 + 1).alias("core_start"), (k * 1000 + 400 + (k * 37) % 300).alias("core_stop"))
+
+
+@query(A.with_(CORES) + """, x AS (SELECT *, lead(core_start) OVER w AS a, lag(core_stop) OVER w AS b FROM cores WINDOW w AS (PARTITION BY chrom ORDER BY chunk))
+SELECT chrom, chunk, coalesce((b + core_start) // 2 + 1, core_start)::BIGINT AS core_start, coalesce((core_stop + a) // 2, core_stop)::BIGINT AS core_stop FROM x""")
+def win_05_snk_01_meet_halfway(spark, sf_dir):
+    return chunking.meet_halfway(_cores(spark, sf_dir))
+
+
+@query(A.with_(A.SITE_AF) + """, b AS (SELECT pos // 100000 AS block, count(*) AS n_variants, sum((maf >= 0.1::DOUBLE)::BIGINT)::BIGINT AS n_common, max(pos) - min(pos) + 1 AS bp FROM site_af GROUP BY 1) SELECT * FROM b""")
+def agg_15_window_totals(spark, sf_dir):
+    s = A.site_af(spark, sf_dir)
+    return s.groupBy(F.expr("pos div 100000").alias("block")).agg(F.count("*").alias("n_variants"), F.sum((F.col("maf") >= 0.1).cast("long")).alias("n_common"), (F.max("pos") - F.min("pos") + 1).alias("bp"))
+
+
+@query(MAP_SQL + """, g AS (SELECT p.site, p.pos, s.maf >= 0.1::DOUBLE AND s.vtype = 'SNP' AS good, CASE WHEN s.maf >= 0.1::DOUBLE AND s.vtype = 'SNP' THEN round(p.cm / 0.1::DOUBLE)::BIGINT END AS step FROM placed p JOIN site_af s USING (site)),
+h AS (SELECT *, last_value(step IGNORE NULLS) OVER (ORDER BY pos, site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
+i AS (SELECT *, sum((step IS NOT NULL AND step IS DISTINCT FROM before)::INT) OVER (ORDER BY pos, site) AS n FROM h)
+SELECT site, CASE WHEN good THEN n - 1 END::BIGINT AS grp FROM i""")
+def win_06_selection_groups(spark, sf_dir):
+    x = _placed(spark, sf_dir).withColumns({"is_common": F.col("maf") >= 0.1, "lq": F.col("vtype") != "SNP"})
+    return chunking.selection_groups(x.drop("grp"), 0.1).select("site", "grp")
+
+
+# reads ------------------------------------------------------------------------------------------------------
+
+READS = r"""usable AS (SELECT * FROM raw WHERE NOT (flags & 4 <> 0 OR flags & 256 <> 0 OR flags & 512 <> 0 OR flags & 1024 <> 0 OR mapq < 10)
+  AND NOT (flags & 1 <> 0 AND (flags & 8 <> 0 OR (flags & 16 <> 0 AND flags & 32 <> 0) OR (pos < mate_pos AND flags & 16 <> 0) OR (pos > mate_pos AND flags & 16 = 0))))"""
+RAW = """raw AS (SELECT event_id AS read_id, user_id % 10 AS sample, event_id * 20 + 1 AS pos, (50 + event_id % 100)::INT AS len, (event_id % 60)::INT AS mapq,
+  CASE WHEN event_id % 11 = 0 THEN 4 WHEN event_id % 13 = 0 THEN 256 WHEN event_id % 17 = 0 THEN 1024 WHEN event_id % 19 = 0 THEN 512 WHEN event_id % 5 = 0 THEN 17 WHEN event_id % 5 = 1 THEN 35 ELSE 0 END AS flags,
+  event_id * 20 + 1 + (event_id % 7 - 3) * 40 AS mate_pos, {base} AS base, least(greatest(floor(value), 4), 60)::INT AS qual FROM events)"""
+
+
+def _base_sql() -> str:
+    import zlib
+
+    kinds = ("click", "view", "purchase", "signup", "logout", "add_to_cart", "search", "login", "error", "share")
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{'ACGTN'[zlib.crc32(k.encode()) % 5]}'" for k in kinds) + " ELSE '?' END"
+
+
+READ_SQL = A.with_(RAW.format(base=_base_sql()), READS, A.VARIANT_SITES)
+PILE = """, pile AS (SELECT r.*, s.site, s.pos AS site_pos, s.ref, s.alt FROM usable r JOIN variant_sites s ON s.pos >= r.pos AND s.pos < r.pos + r.len)"""
+
+
+def _pile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.cover(pileup.usable_reads(A.reads(spark, sf_dir)), A.variant_sites(spark, sf_dir), 128)
+
+
+@query(READ_SQL + "SELECT read_id, sample, pos, len, mapq, flags, mate_pos, qual FROM usable")
+def flt_07_08_usable_reads(spark, sf_dir):
+    return pileup.usable_reads(A.reads(spark, sf_dir)).drop("base")
+
+
+@query(READ_SQL + PILE + "SELECT read_id, sample, site, site_pos AS pos FROM pile")
+def join_10_pileup(spark, sf_dir):
+    return _pile(spark, sf_dir).select("read_id", "sample", "site", "pos")
+
+
+@query(READ_SQL + PILE + """, b AS (SELECT *, pow(10.0, -greatest(qual, 4) / 10.0) AS e FROM pile WHERE base IN ('A', 'C', 'G', 'T') AND qual >= 10),
+l AS (SELECT sample, site, count(*) AS depth, sum(CASE WHEN base = ref THEN log10(1 - e) ELSE log10(e / 3) END) AS l0, sum(CASE WHEN base IN (ref, alt) THEN log10(0.5 - e / 3) ELSE log10(e / 3) END) AS l1,
+  sum(CASE WHEN base = alt THEN log10(1 - e) ELSE log10(e / 3) END) AS l2 FROM b GROUP BY sample, site),
+p AS (SELECT sample, site, depth, least(floor(round((greatest(l0, l1, l2) - l0) * 10.0, 6)), 255)::INT AS pl0, least(floor(round((greatest(l0, l1, l2) - l1) * 10.0, 6)), 255)::INT AS pl1, least(floor(round((greatest(l0, l1, l2) - l2) * 10.0, 6)), 255)::INT AS pl2 FROM l)
+SELECT *, pl0 = pl1 AND pl1 = pl2 AS flat FROM p""")
+def mdl_01_04_flt_09_fn_33_likelihoods(spark, sf_dir):
+    x = pileup.likelihoods(pileup.usable_bases(_pile(spark, sf_dir)))
+    return x.select("sample", "site", "depth", *(F.col("pl")[k].alias(f"pl{k}") for k in range(3)), "flat")
+
+
+@query(READ_SQL + PILE + """, per AS (SELECT sample, site, count(*) AS depth FROM pile GROUP BY ALL), n AS (SELECT count(*) AS n_sites FROM variant_sites),
+o AS (SELECT sample, sum(depth)::BIGINT AS reads, count(*) AS covered FROM per GROUP BY sample)
+SELECT s.sample, coalesce(reads, 0) AS reads, coalesce(covered, 0) AS covered, n_sites, round(coalesce(reads, 0) / n_sites::DOUBLE, 6) AS mean_depth, round(100.0 * (n_sites - coalesce(covered, 0)) / n_sites, 6) AS no_data,
+  round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE), 4) AS e0, round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE) * coalesce(reads, 0) / n_sites::DOUBLE, 4) AS e1
+FROM (SELECT range AS sample FROM range(0, 12)) s LEFT JOIN o USING (sample), n""")
+def agg_14_snk_05_fn_29_coverage(spark, sf_dir):
+    x = pileup.coverage(_pile(spark, sf_dir), A.variant_sites(spark, sf_dir), spark.range(12).withColumnRenamed("id", "sample"))
+    return x.select("sample", "reads", "covered", "n_sites", F.round("mean_depth", 6).alias("mean_depth"), F.round("no_data", 6).alias("no_data"), F.round("e0", 4).alias("e0"), F.round("e1", 4).alias("e1"))
+
+
+@query()
+def smp_02_limited_depth(spark, sf_dir):
+    return pileup.limit_depth(_pile(spark, sf_dir), pileup.ReadOptions(max_depth=10)).select("sample", "site", "read_id")
+
+
+# likelihoods and posteriors ---------------------------------------------------------------------------------------
+
+PL = "pls AS (SELECT l_partkey AS site, l_suppkey AS sample, min(l_quantity)::INT AS a, (max(l_quantity) % 7)::INT AS b, (sum(l_quantity)::BIGINT * 3 % 400)::INT AS c FROM lineitem GROUP BY ALL)"
+
+
+def _pls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample"))
+    x = g.agg(F.min("l_quantity").cast("int").alias("a"), (F.max("l_quantity") % 7).cast("int").alias("b"), (F.sum(F.col("l_quantity").cast("long")) * 3 % 400).cast("int").alias("c"))
+    return x.select("site", "sample", F.array("a", "b", "c").alias("raw"))
+
+
+@query(A.with_(PL) + """, p AS (SELECT site, sample, pow(10.0, -a / 10.0) AS x, pow(10.0, -b / 10.0) AS y, pow(10.0, -least(c, 255) / 10.0) AS z FROM pls),
+q AS (SELECT site, sample, x / (x + y + z) AS p0, y / (x + y + z) AS p1, z / (x + y + z) AS p2 FROM p)
+SELECT site, sample, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p0 + p1 / 2, 6) AS hl0, round(p1 / 2 + p2, 6) AS hl1, round(p1 / (p1 + p2), 6) AS c0, round(p2 / (p1 + p2), 6) AS c1 FROM q""")
+def src_14_fn_07_11_haplotype_likelihoods(spark, sf_dir):
+    x = _pls(spark, sf_dir).withColumn("gp", G.pl_to_gp(G.decode_pl(F.col("raw"))))
+    x = x.withColumn("hl", G.hap_likelihoods(F.col("gp"), 1e-10)).withColumn("c", G.conditional_likelihoods(F.col("gp"), F.lit(1), 1e-10))
+    return x.select("site", "sample", *(F.round(F.col("gp")[k], 6).alias(f"p{k}") for k in range(3)), *(F.round(F.col("hl")[k], 6).alias(f"hl{k}") for k in range(2)), *(F.round(F.col("c")[k], 6).alias(f"c{k}") for k in range(2)))
+
+
+HAPS = "haps AS (SELECT p_partkey AS site, (1 + p_size % 9) / 10.0::DOUBLE AS a1, (1 + p_partkey % 9) / 10.0::DOUBLE AS b1 FROM part)"
+
+
+@query(A.with_(HAPS) + """, x AS (SELECT site, (1 - a1) * (1 - b1) AS g0, (1 - a1) * b1 + a1 * (1 - b1) AS g1, a1 * b1 AS g2, a1 < b1 AS hds FROM haps),
+y AS (SELECT site, g0 / (g0 + g1 + g2) AS g0, g1 / (g0 + g1 + g2) AS g1, g2 / (g0 + g1 + g2) AS g2, hds FROM x)
+SELECT site, round(g0, 6) AS g0, round(g1, 6) AS g1, round(least(greatest(1 - g1 - g0, 0), 1), 6) AS g2, hds, CASE WHEN round(g0, 9) > round(g1, 9) AND round(g0, 9) > round(g2, 9) THEN 0 WHEN round(g1, 9) > round(g0, 9) AND round(g1, 9) > round(g2, 9) THEN 1 WHEN round(g2, 9) > round(g0, 9) AND round(g2, 9) > round(g1, 9) THEN 2 ELSE 0 END AS best, round(g1 + 2 * g2, 3) AS ds FROM y""")
+def fn_12_16_posteriors(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site"), ((1 + F.col("p_size") % 9) / F.lit(10.0)).alias("a1"), ((1 + F.col("p_partkey") % 9) / F.lit(10.0)).alias("b1"))
+    x = p.select("site", F.array(1 - F.col("a1"), "a1").alias("x"), F.array(1 - F.col("b1"), "b1").alias("y"))
+    x = x.withColumn("gp", G.gp_from_haps(F.col("x"), F.col("y"))).withColumn("hds", G.het_order(F.col("x"), F.col("y")))
+    g = [F.round(F.col("gp")[k], 9) for k in range(3)]
+    return x.select("site", F.round(F.col("gp")[0], 6).alias("g0"), F.round(F.col("gp")[1], 6).alias("g1"), F.round(G.third(F.col("gp")[0], F.col("gp")[1]), 6).alias("g2"), "hds", G.best_genotype(*g).alias("best"), G.dosage(F.col("gp")).alias("ds"))
+
+
+@query(A.with_(A.GENOTYPES) + """, n AS (SELECT site, sample, [round(gp0 * 1e9)::BIGINT, round(gp1 * 1e9)::BIGINT, round(gp2 * 1e9)::BIGINT] AS n FROM genotypes),
+m AS (SELECT site, sample, [x // 1000000 for x in n] AS m, [x % 1000000 for x in n] AS r FROM n),
+w AS (SELECT *, 1000 - list_sum(m) AS lack, [(r[2] > r[1])::INT + (r[3] > r[1])::INT, (r[1] >= r[2])::INT + (r[3] > r[2])::INT, (r[1] >= r[3])::INT + (r[2] >= r[3])::INT] AS above FROM m)
+SELECT site, sample, (m[1] + (above[1] < lack)::INT) / 1000.0::DOUBLE AS g0, (m[2] + (above[2] < lack)::INT) / 1000.0::DOUBLE AS g1, (m[3] + (above[3] < lack)::INT) / 1000.0::DOUBLE AS g2 FROM w""")
+def fn_17_rounded_probabilities(spark, sf_dir):
+    x = A.genotypes(spark, sf_dir).select("site", "sample", G.round_gp(F.array("gp0", "gp1", "gp2")).alias("g"))
+    return x.select("site", "sample", *(F.col("g")[k].alias(f"g{k}") for k in range(3)))
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF) + """, g AS (SELECT site, count(*) * 2 AS n, sum(round((gp1 + 2 * gp2) * 1e6)::BIGINT) / 1e6::DOUBLE AS s, sum(gp1 + 4 * gp2 - (gp1 + 2 * gp2) * (gp1 + 2 * gp2)) AS v FROM genotypes GROUP BY site)
+SELECT g.site, round((maf * 100)::INT / 100.0::DOUBLE, 6) AS raf, s / n AS af, CASE WHEN s / n > 0 AND s / n < 1 THEN round(greatest(1 - v / (n * (s / n) * (1 - s / n)), 0), 3) ELSE 1 END AS info FROM g JOIN site_af USING (site)""")
+def agg_12_fn_18_19_site_statistics(spark, sf_dir):
+    p = A.genotypes(spark, sf_dir).select("site", "sample", F.array("gp0", "gp1", "gp2").alias("gp"))
+    s = A.site_af(spark, sf_dir).select("site", F.round(F.col("maf") * 100).cast("long").alias("calt")).withColumn("cref", 100 - F.col("calt"))
+    return posterior.site_statistics(p, s)
+
+
+@query(A.with_(A.GENOTYPES) + "SELECT site, sample, gp0 FROM genotypes WHERE gp0 < 0.99999::DOUBLE")
+def flt_14_sparse_posteriors(spark, sf_dir):
+    return posterior.sparse(A.genotypes(spark, sf_dir).select("site", "sample", F.array("gp0", "gp1", "gp2").alias("gp"))).select("site", "sample", F.col("gp")[0].alias("gp0"))
+
+
+@query("""WITH d AS (SELECT l_partkey AS site, l_suppkey AS sample, (l_discount * 100)::INT / 20.0::DOUBLE AS p1 FROM lineitem), g AS (SELECT site, sample, count(*) AS n, sum(1 - p1) AS s0, sum(p1) AS s1 FROM d GROUP BY ALL)
+SELECT site, sample, round((s0 + (15 - n)) / 15, 6) AS g0, round(s1 / 15, 6) AS g1 FROM g""")
+def mdl_14_accumulated_posteriors(spark, sf_dir):
+    d = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample"), (F.round(F.col("l_discount") * 100).cast("int") / F.lit(20.0)).alias("p1"))
+    x = posterior.accumulate(d.select("site", "sample", F.array(1 - F.col("p1"), "p1", F.lit(0.0)).alias("gp")), 15)
+    return x.select("site", "sample", F.round(F.col("gp")[0], 6).alias("g0"), F.round(F.col("gp")[1], 6).alias("g1"))
+
+
+@query("""SELECT p_partkey AS site, round(least(greatest(1 - exp(-0.04::DOUBLE * 100000.0 / 4000 * (p_size / 500.0::DOUBLE)), 1e-7::DOUBLE), 1 - 1e-7::DOUBLE), 8) AS t, round(0.9 * 0.99 + 0.1 * 0.01, 8)::DOUBLE AS e0 FROM part""")
+def fn_30_31_transition_and_emission(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("site"), F.round(G.transition(F.col("p_size") / F.lit(500.0), 4000), 8).alias("t"), F.round(G.emission(F.lit(0.9), F.lit(0.1), 0.01)[0], 8).alias("e0"))
+
+
+# evaluation ----------------------------------------------------------------------------------------------------------
+
+EVAL = f"""called_cells AS (
+  SELECT g.site, g.sample, s.vtype, s.grp, s.maf, g.ds, greatest(g.gp0, g.gp1, g.gp2) AS top, floor(greatest(g.gp0, g.gp1, g.gp2) * 99)::INT AS cal_bin,
+         CASE WHEN g.dp < 8 THEN -2 ELSE g.truth END AS truth_code,
+         CASE WHEN greatest(g.gp0, g.gp1, g.gp2) < 0.55::DOUBLE THEN -4 WHEN gp0 > gp1 AND gp0 > gp2 THEN 0 WHEN gp1 > gp0 AND gp1 > gp2 THEN 1 WHEN gp2 > gp0 AND gp2 > gp1 THEN 2 ELSE 0 END AS estimate_code,
+         {BINS.format(x='least(s.maf, 1 - s.maf)')} AS af_bin
+  FROM genotypes g JOIN site_af s USING (site)),
+eval AS (SELECT *, truth_code >= 0 AS valid, truth_code >= 0 AND estimate_code >= 0 AS used FROM called_cells)"""
+
+REPORT = """SELECT {key}, {scope} AS vtype, sum(valid::BIGINT)::BIGINT AS n_valid, sum(used::BIGINT)::BIGINT AS n_used, sum((valid AND NOT used)::BIGINT)::BIGINT AS n_filtered,
+  count(*) FILTER (used AND truth_code = 0) AS n_rr, count(*) FILTER (used AND truth_code = 0 AND estimate_code <> 0) AS err_rr,
+  count(*) FILTER (used AND truth_code = 1) AS n_ra, count(*) FILTER (used AND truth_code = 1 AND estimate_code <> 1) AS err_ra,
+  count(*) FILTER (used AND truth_code = 2) AS n_aa, count(*) FILTER (used AND truth_code = 2 AND estimate_code <> 2) AS err_aa,
+  count(*) FILTER (used AND truth_code > 0 AND truth_code = estimate_code) AS right_nonref,
+  covar_samp(truth_code, estimate_code) FILTER (used) AS bc, var_samp(truth_code) FILTER (used) AS bx, var_samp(estimate_code) FILTER (used) AS by_, covar_samp(truth_code, ds) FILTER (used) AS dc, var_samp(ds) FILTER (used) AS dy{extra}
+FROM eval {where} GROUP BY {group}"""
+FINISH = """SELECT {key}, vtype, n_valid, n_used, n_filtered, n_rr, err_rr, n_ra, err_ra, n_aa, err_aa, right_nonref,
+  round(coalesce(100.0::DOUBLE * err_rr / nullif(n_rr, 0), 0), 6) AS rate_rr, round(coalesce(100.0::DOUBLE * err_ra / nullif(n_ra, 0), 0), 6) AS rate_ra, round(coalesce(100.0::DOUBLE * err_aa / nullif(n_aa, 0), 0), 6) AS rate_aa,
+  round(coalesce(100.0::DOUBLE * (err_rr + err_ra + err_aa) / nullif(err_rr + err_ra + err_aa + right_nonref, 0), 0), 6) AS nrd,
+  CASE WHEN n_used < 2 THEN NULL WHEN bx = 0 OR by_ = 0 THEN 0 ELSE round(bc * bc / (bx * by_), 6) END AS r2_best,
+  CASE WHEN n_used < 2 THEN NULL WHEN bx = 0 OR dy = 0 THEN 0 ELSE round(dc * dc / (bx * dy), 6) END AS r2_ds{extra} FROM r"""
+
+
+def _report_sql(key: str, where: str = "", extra: str = "", extra_out: str = "") -> str:
+    one = REPORT.format(key=key, scope="vtype", group=f"{key}, vtype", where=where, extra=extra)
+    all_ = REPORT.format(key=key, scope="'ALL'", group=key, where=where, extra=extra)
+    return A.with_(A.GENOTYPES, A.SITE_AF, EVAL, f"r AS ({one} UNION ALL {all_})") + FINISH.format(key=key, extra=extra_out)
+
+
+def _eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.genotypes(spark, sf_dir)
+    cells = g.select("site", "sample", "dp", "ds", "gp0", "gp1", "gp2", *(F.when(F.col("truth") == k, 1.0).otherwise(0.0).alias(f"tp{k}") for k in range(3)))
+    return concordance.evaluation(cells, A.site_af(spark, sf_dir), EDGES, min_dp=8, min_p=0.9999, min_gp=0.55)
+
+
+@query(_report_sql("sample"))
+def agg_03_07_concordance_by_sample(spark, sf_dir):
+    return concordance.report(_eval(spark, sf_dir), "sample")
+
+
+@query(_report_sql("af_bin", "WHERE af_bin >= 0", ", avg(maf) FILTER (used) AS m", ", round(m, 6) AS mean_maf"))
+def agg_04_06_concordance_by_af_bin(spark, sf_dir):
+    return concordance.by_bin(_eval(spark, sf_dir))
+
+
+@query(_report_sql("grp"))
+def join_07_agg_04_concordance_by_group(spark, sf_dir):
+    return concordance.report(_eval(spark, sf_dir), "grp")
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """, c AS (SELECT cal_bin, count(*) FILTER (truth_code = 0) AS n0, count(*) FILTER (truth_code = 1) AS n1, count(*) FILTER (truth_code = 2) AS n2,
+  count(*) FILTER (truth_code = 0 AND estimate_code <> 0) AS e0, count(*) FILTER (truth_code = 1 AND estimate_code <> 1) AS e1, count(*) FILTER (truth_code = 2 AND estimate_code <> 2) AS e2 FROM eval WHERE used GROUP BY cal_bin)
+SELECT b.i::INT AS cal_bin, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(e0, 0) AS e0, coalesce(e1, 0) AS e1, coalesce(e2, 0) AS e2, b.i / 100.0::DOUBLE AS low, (b.i + 1) / 100.0::DOUBLE AS high,
+  round(coalesce(100.0::DOUBLE * (e0 + e1 + e2) / nullif(n0 + n1 + n2, 0), 0), 6) AS error FROM (SELECT range AS i FROM range(100)) b LEFT JOIN c ON c.cal_bin = b.i""")
+def agg_05_fn_21_calibration(spark, sf_dir):
+    return concordance.calibration(_eval(spark, sf_dir))
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """SELECT site, sum(used::BIGINT)::BIGINT AS n_used, CASE WHEN sum(used::BIGINT) < 2 THEN NULL WHEN var_samp(truth_code) FILTER (used) = 0 OR var_samp(ds) FILTER (used) = 0 THEN 0
+  ELSE round(covar_samp(truth_code, ds) FILTER (used) ** 2 / (var_samp(truth_code) FILTER (used) * var_samp(ds) FILTER (used)), 6) END AS r2_ds FROM eval GROUP BY site""")
+def agg_08_snk_10_r2_by_site(spark, sf_dir):
+    return concordance.per_site(_eval(spark, sf_dir))
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """SELECT 'truth' AS source, truth_code AS code, count(*) AS n FROM eval WHERE truth_code < 0 GROUP BY 2
+UNION ALL SELECT 'estimate', estimate_code, count(*) FROM eval WHERE truth_code >= 0 AND estimate_code < 0 GROUP BY 2""")
+def agg_09_flt_10_11_rejects(spark, sf_dir):
+    return concordance.rejects(_eval(spark, sf_dir))
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """, g AS (SELECT site, sum(used::BIGINT)::BIGINT AS n_used, sum((used AND truth_code <> estimate_code)::BIGINT)::BIGINT AS n_wrong, count(*) AS n_cells FROM eval GROUP BY site)
+SELECT *, CASE WHEN n_used = 0 THEN 'rejected' WHEN n_wrong = 0 THEN 'concordant' ELSE 'discordant' END AS verdict FROM g""")
+def flt_12_snk_11_verdicts(spark, sf_dir):
+    return concordance.verdicts(_eval(spark, sf_dir))
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """, s AS (SELECT site, vtype, sum(used::BIGINT) AS u, count(*) AS n FROM eval GROUP BY ALL)
+SELECT coalesce(vtype, 'ALL') AS vtype, count(*) AS n_sites, sum((u > 0)::BIGINT)::BIGINT AS n_any, sum((u = n)::BIGINT)::BIGINT AS n_all FROM s GROUP BY GROUPING SETS ((vtype), ())""")
+def agg_10_totals(spark, sf_dir):
+    return concordance.totals(_eval(spark, sf_dir))
+
+
+@query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """SELECT t.min_gp, sum((top >= t.min_gp)::BIGINT)::BIGINT AS n_used, sum((top >= t.min_gp AND truth_code <> CASE WHEN g.gp0 > g.gp1 AND g.gp0 > g.gp2 THEN 0 WHEN g.gp1 > g.gp0 AND g.gp1 > g.gp2 THEN 1 WHEN g.gp2 > g.gp0 AND g.gp2 > g.gp1 THEN 2 ELSE 0 END)::BIGINT)::BIGINT AS n_wrong
+FROM eval JOIN genotypes g USING (site, sample), (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS min_gp) t WHERE valid GROUP BY 1""")
+def src_20_filter_list(spark, sf_dir):
+    return concordance.by_filter(_eval(spark, sf_dir), [0.5, 0.7, 0.9])
+
+
+@query("""WITH t AS (SELECT p_partkey AS pos FROM part WHERE p_partkey % 2 = 0), e AS (SELECT p_partkey AS pos FROM part WHERE p_partkey % 3 = 0), f AS (SELECT p_partkey AS pos FROM part WHERE p_partkey % 5 = 0)
+SELECT pos % 2 = 0 AS in_truth, pos % 3 = 0 AS in_estimate, pos % 5 = 0 AS in_frequency, count(*) AS n FROM (SELECT pos FROM t UNION SELECT pos FROM e UNION SELECT pos FROM f) GROUP BY 1, 2, 3""")
+def join_05_three_way(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
+    return concordance.leftovers(concordance.three_way(p.filter("pos % 2 = 0"), p.filter("pos % 3 = 0"), p.filter("pos % 5 = 0"), ["pos", "ref", "alt"]))
+
+
+@query("SELECT c_nationkey AS sample FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def join_06_set_03_flt_13_samples(spark, sf_dir):
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sample"))
+    return concordance.common_samples(c, A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("sample")))
+
+
+@query("""WITH g AS (SELECT l_partkey AS pos, l_returnflag AS grp, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem WHERE l_partkey % 3 = 0), f AS (SELECT pos, arg_min(grp, ordinal * 10 + ascii(grp) % 10) AS grp FROM g GROUP BY pos)
+SELECT p_partkey AS pos, f.grp FROM part JOIN f ON f.pos = p_partkey""")
+def join_07_src_21_groups(spark, sf_dir):
+    g = A.table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("grp"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10 + F.ascii("l_returnflag") % 10).alias("ordinal"))
+    return concordance.assign_groups(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos")), g)
+
+
+@query(A.with_(A.SITE_AF) + f"""SELECT site, maf, {BINS.format(x='maf')} AS af_bin FROM site_af""")
+def join_09_fn_20_bins(spark, sf_dir):
+    s = A.site_af(spark, sf_dir)
+    return s.select("site", "maf", G.frequency_bin(F.col("maf"), EDGES).alias("af_bin"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS site, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size / 50.0::DOUBLE END AS tag, p_size AS ac, 60 AS an FROM part), y AS (SELECT *, coalesce(tag, ac / an::DOUBLE) AS af FROM x)
+SELECT site, round(af, 6) AS af, af > 0.5 AS flip, round(CASE WHEN af > 0.5 THEN 2 - 0.3::DOUBLE ELSE 0.3::DOUBLE END, 6) AS ds FROM y""")
+def fn_22_23_frequency_and_flip(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    tag = F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") / F.lit(50.0))
+    x = p.select(F.col("p_partkey").alias("site"), G.allele_frequency(tag, F.col("p_size"), F.lit(60)).alias("af"))
+    return x.select("site", F.round("af", 6).alias("af"), G.flips(F.col("af")).alias("flip"), F.round(G.flip_count(F.lit(0.3), 2, G.flips(F.col("af"))), 6).alias("ds"))
+
+
+# joins with the panel -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT l_partkey AS pos, l_suppkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'G' END AS alt FROM lineitem WHERE l_linenumber <= 2), p AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'G' END AS alt, p_size AS ac FROM part)
+SELECT p.pos, p.alt, p.ac, count(t.sample) AS n FROM p LEFT JOIN t ON p.pos = t.pos AND p.alt = t.alt GROUP BY ALL""")
+def join_01_02_src_12_13_panel_match(spark, sf_dir):
+    from ..sources import readers
+
+    t = A.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("l_suppkey").alias("sample"))
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("p_partkey") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("p_size").alias("ac"))
+    return readers.match_panel(t, p, panel_only=True).groupBy("pos", "alt", "ac").agg(F.count("sample").alias("n"))
+
+
+# ligation -------------------------------------------------------------------------------------------------------------------
+
+CALLS = """cells AS (SELECT l_partkey AS site, l_suppkey AS sample, sum(l_quantity::BIGINT) AS q FROM lineitem WHERE l_suppkey <= 40 GROUP BY ALL),
+width AS (SELECT greatest(count(*) // 4, 1) AS w FROM part),
+calls AS (
+  SELECT k.range AS chunk, c.site, c.sample, CASE WHEN c.sample % 2 = 0 AND k.range % 2 = 1 THEN (q // 3) % 2 ELSE q % 2 END AS a0, CASE WHEN c.sample % 2 = 0 AND k.range % 2 = 1 THEN q % 2 ELSE (q // 3) % 2 END AS a1
+  FROM cells c, width, range(0, 4) k WHERE c.site >= k.range * w AND c.site < (k.range + 1) * w + w // 3)"""
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.table(spark, sf_dir, "lineitem").filter("l_suppkey <= 40").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    w = A.table(spark, sf_dir, "part").agg(F.expr("greatest(count(*) div 4, 1)").alias("w"))
+    x = c.crossJoin(F.broadcast(w)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("site >= chunk * w AND site < (chunk + 1) * w + w div 3")
+    flipped = (F.col("sample") % 2 == 0) & (F.col("chunk") % 2 == 1)
+    a, b = F.col("q") % 2, F.expr("(q div 3) % 2")
+    return x.select(F.col("chunk").cast("long").alias("chunk"), "site", "sample", F.when(flipped, b).otherwise(a).alias("a0"), F.when(flipped, a).otherwise(b).alias("a1"))
+
+
+VOTES = """votes AS (SELECT a.chunk, a.sample, count(*) FILTER (a.a0 <> a.a1 AND b.a0 <> b.a1 AND a.a0 = b.a0) AS n_match, count(*) FILTER (a.a0 <> a.a1 AND b.a0 <> b.a1 AND a.a0 <> b.a0) AS n_mismatch
+  FROM calls a JOIN calls b ON b.chunk = a.chunk + 1 AND a.site = b.site AND a.sample = b.sample GROUP BY ALL)"""
+
+
+@query(A.with_(CALLS, VOTES) + """, f AS (SELECT *, n_match::DOUBLE / nullif(n_match + n_mismatch, 0) AS f FROM votes)
+SELECT chunk, sample, n_match, n_mismatch, CASE WHEN n_match = 0 OR n_mismatch = 0 THEN 99 ELSE round(99 * (0.7 + f * ln(f) + (1 - f) * ln(1 - f)) / 0.7, 4) END::DOUBLE AS quality FROM f""")
+def join_08_agg_13_fn_32_votes(spark, sf_dir):
+    return ligate.votes(ligate.overlap(_calls(spark, sf_dir)))
+
+
+SWAPS = """every AS (SELECT DISTINCT sample FROM votes), v AS (SELECT k.range AS chunk, e.sample, coalesce(n_match, 0) AS n_match, coalesce(n_mismatch, 0) AS n_mismatch FROM every e CROSS JOIN range(0, 4) k LEFT JOIN votes o ON o.chunk + 1 = k.range AND o.sample = e.sample),
+s AS (SELECT *, sum((n_match = n_mismatch)::INT) OVER (PARTITION BY sample ORDER BY chunk) AS segment FROM v),
+swaps AS (SELECT chunk, sample, (sum((n_mismatch > n_match)::INT) OVER (PARTITION BY sample, segment ORDER BY chunk) % 2)::INT AS swap FROM s)"""
+
+
+@query(A.with_(CALLS, VOTES, SWAPS) + "SELECT chunk, sample, swap FROM swaps")
+def win_14_swaps(spark, sf_dir):
+    c = _calls(spark, sf_dir)
+    return ligate.swaps(ligate.votes(ligate.overlap(c)), c)
+
+
+OWNERS = """own AS (SELECT DISTINCT chunk, site FROM calls), both_ AS (SELECT a.chunk, a.site, row_number() OVER (PARTITION BY a.chunk ORDER BY a.site) AS k, count(*) OVER (PARTITION BY a.chunk) AS n FROM own a JOIN own b ON b.chunk = a.chunk + 1 AND a.site = b.site),
+lost AS (SELECT chunk, site FROM both_ WHERE k > n // 2 UNION ALL SELECT chunk + 1, site FROM both_ WHERE k <= n // 2),
+owners AS (SELECT o.chunk, o.site FROM own o LEFT JOIN lost l ON l.chunk = o.chunk AND l.site = o.site WHERE l.site IS NULL)"""
+
+
+@query(A.with_(CALLS, OWNERS) + "SELECT chunk, site FROM owners")
+def win_13_owners(spark, sf_dir):
+    return ligate.owners(_calls(spark, sf_dir))
+
+
+@query(A.with_(CALLS, VOTES, SWAPS, OWNERS) + """SELECT c.site, c.sample, c.chunk, CASE WHEN swap = 1 THEN a1 ELSE a0 END AS a0, CASE WHEN swap = 1 THEN a0 ELSE a1 END AS a1
+FROM calls c JOIN owners USING (chunk, site) LEFT JOIN swaps s ON s.chunk = c.chunk AND s.sample = c.sample""")
+def set_04_snk_12_ligated(spark, sf_dir):
+    return ligate.ligate(_calls(spark, sf_dir))
+
+
+# strings and options ----------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT p_partkey, split_part(p_name || '.vcf.gz', '/', -1) AS base, regexp_replace('data/' || p_name || '.bcf', '\.[^./]*$', '') AS stem, regexp_extract('x/' || p_name || '.bam', '\.([A-Za-z0-9]+)$', 1) AS ext FROM part""")
+def fn_34_43_strings(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    n = F.col("p_name")
+    return p.select("p_partkey", G.base_name(F.concat(n, F.lit(".vcf.gz"))).alias("base"), G.without_extension(F.concat(F.lit("data/"), n, F.lit(".bcf"))).alias("stem"), G.extension(F.concat(F.lit("x/"), n, F.lit(".bam"))).alias("ext"))
+
+
+@query("""WITH x AS (SELECT n_nationkey, 'chr' || (n_nationkey % 5) || CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN ':' || (n_nationkey * 10) || '-' ELSE ':' || (n_nationkey * 10) || '-' || (n_nationkey * 20) END AS r FROM nation)
+SELECT n_nationkey, 'chr' || (n_nationkey % 5) AS chrom, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_nationkey * 10 END::BIGINT AS start, CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey * 20 ELSE 2147483647 END::BIGINT AS stop, n_nationkey % 3 = 0 AS whole_chr FROM x""")
+def src_01_regions(spark, sf_dir):
+    from ..sources import readers
+
+    k = F.col("n_nationkey")
+    tail = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(":"), k * 10, F.lit("-"))).otherwise(F.concat(F.lit(":"), k * 10, F.lit("-"), k * 20))
+    x = A.table(spark, sf_dir, "nation").select(k, F.concat(F.lit("chr"), k % 5, tail).alias("r"))
+    return x.select("n_nationkey", *readers.region_columns(F.col("r")))
+
+
+@query("""SELECT l_suppkey AS sample, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(coalesce(var_samp(l_quantity), 0), 6) AS variance, round(coalesce(stddev_samp(l_quantity), 0), 6) AS sd,
+  CASE WHEN count(*) < 2 THEN NULL WHEN var_samp(l_quantity) = 0 OR var_samp(l_extendedprice) = 0 THEN 0 ELSE round(covar_samp(l_quantity, l_extendedprice) ** 2 / (var_samp(l_quantity) * var_samp(l_extendedprice)), 6) END AS r2 FROM lineitem GROUP BY 1""")
+def agg_01_02_fn_25_moments(spark, sf_dir):
+    x, y = F.col("l_quantity"), F.col("l_extendedprice")
+    g = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("c"))
+    r2 = G.squared_correlation(F.col("n"), F.col("c"), F.col("vx"), F.col("vy"))
+    return g.select("sample", "n", F.round("m", 6).alias("mean"), F.round(F.coalesce("vx", F.lit(0.0)), 6).alias("variance"), F.round(F.sqrt(F.coalesce("vx", F.lit(0.0))), 6).alias("sd"), F.round(r2, 6).alias("r2"))
+
+
+# models ------------------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def mdl_06_15_imputation(spark, sf_dir):
+    p = A.panel(spark, sf_dir).withColumn("chunk", F.lit(0))
+    x = imputation.pack(p.filter("hap % 5 <> 0")).withColumns({"cm": F.col("site") * F.lit(0.05), "lq": F.lit(False)})
+    t = p.filter("hap % 5 = 0").select("chunk", "site", F.expr("hap div 10").alias("sample"), "allele").groupBy("chunk", "site", "sample").agg(F.sum("allele").alias("g"))
+    seen = F.pmod(F.col("site") * 7 + F.col("sample"), F.lit(3)) == 0
+    gp = [F.when(~seen, 1 / 3).when(F.col("g") == k, 0.98).otherwise(0.01).alias(f"gp{k}") for k in range(3)]
+    targets = t.filter("sample < 10").select("chunk", F.col("sample").cast("string").alias("sample"), "site", *gp, (~seen).alias("flat"))
+    return imputation.run(x, targets, imputation.ModelOptions(burnin=1, main=3, ne=1000.0))
+
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg_15_fn_20_spectrum(spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

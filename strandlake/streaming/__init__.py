@@ -1,0 +1 @@
+"""The engine's inputs are bounded files; there is no streaming operator to provide."""
