@@ -27,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,7 +263,8 @@ def _surroundings(texts: list[np.ndarray], who, where, what, shard: int, parts:
     order = np.argsort(bucket, kind="stable")
     head, body, bucket = head[order], body[order], bucket[order]
     cut = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
-    return [(k, 1, shard, head[cut[k] : cut[k + 1]].tobytes() + body[cut[k] : cut[k + 1]].tobytes()) for k in range(parts) if cut[k + 1] > cut[k]]
+    some = [(k, slice(cut[k], cut[k + 1])) for k in range(parts) if cut[k + 1] > cut[k]]
+    return [(k, 1, shard, zlib.compress(head[s].tobytes() + body[s].tobytes(), 1)) for k, s in some]
 
 
 def _window_hash(body: np.ndarray, start: int, size: int) -> np.ndarray:
@@ -282,9 +284,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["kind"] == 0:
                 through.append((r["shard"], 0, r["shard"], r["payload"]))
             else:
-                n = len(r["payload"]) // (HEAD.itemsize + WIDE)
-                heads.append(np.frombuffer(r["payload"][: n * HEAD.itemsize], dtype=HEAD))
-                bodies.append(np.frombuffer(r["payload"][n * HEAD.itemsize :], dtype=np.uint8).reshape(n, WIDE))
+                raw = zlib.decompress(r["payload"])
+                n = len(raw) // (HEAD.itemsize + WIDE)
+                heads.append(np.frombuffer(raw, dtype=HEAD, count=n))
+                bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=n * HEAD.itemsize).reshape(n, WIDE))
                 shards.append(np.full(n, r["shard"], dtype=np.int64))
         yield from _moves(through).to_batches()
     if not heads:
