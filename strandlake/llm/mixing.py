@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 CANDIDATES = 16
 #: Rows of a source and size class are dealt to salts of about so many.
-SALT_ROWS = 20_000
+SALT_ROWS = 2_000
 SEED = "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
 
