@@ -17,7 +17,7 @@ def sparse(posteriors: DataFrame) -> DataFrame:
 
 def expand(sparse_: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFrame:
     """The opposite of sparse: cells that were left out are reference."""
-    every = sites.select("site").crossJoin(F.broadcast(samples.select("sample")))
+    every = sites.select("site").crossJoin(samples.select("sample"))
     none = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))
     return every.join(sparse_, ["site", "sample"], "left").withColumn("gp", F.coalesce("gp", none))
 
