@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    with tidy(spark):
+        return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs within are dropped when each is done; none of them is read again."""
     before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # what was shuffled for it isn't read again
+    spark.conf.set(CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 

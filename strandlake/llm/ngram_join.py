@@ -48,7 +48,8 @@ TINY = 6
 PRUNED = 512
 SAMPLE = 2
 ORDER_BITS = 20
-SKETCH = 256
+#: Parts of the sketches of sets up to LARGE shingles, and of larger ones.
+SKETCH, WIDE_SKETCH, LARGE = 256, 4096, 2000
 #: Elements held before a task sends them.
 HELD = 2_000_000
 ROUNDS = 12
@@ -67,8 +68,22 @@ def signature(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Sizes of SKETCH parts of a set, by hash, up to 255. Two sets differ in at least as many shingles as their sketches differ."""
-    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """Sizes of the parts of a set, by hash; more parts for large sets; nothing if one is above 255.
+
+    Two sets differ in at least as many shingles as their sketches differ.
+    """
+    parts = SKETCH if len(s) <= LARGE else WIDE_SKETCH
+    sizes = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+    return sizes.astype(np.uint8).tobytes() if sizes.max() <= 255 else b""
+
+
+def _apart_at_least(x: bytes, y: bytes) -> int:
+    """In how many shingles two sets differ at least, by their sketches (folded to the same parts)."""
+    if not x or not y:
+        return 0
+    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    parts = min(len(a), len(b))
+    return int(np.abs(a.reshape(-1, parts).sum(axis=0) - b.reshape(-1, parts).sum(axis=0)).sum())
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -333,9 +348,15 @@ def _maybe(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("xa", "xb"))
+            xs, ys = batch.column("xa").to_pylist(), batch.column("xb").to_pylist()
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            apart = np.zeros(len(xs), dtype=np.int64)
+            plain = np.array([len(x) == len(y) == SKETCH for x, y in zip(xs, ys, strict=True)])
+            if plain.any():
+                x, y = (np.frombuffer(b"".join(v for v, p in zip(z, plain, strict=True) if p), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for z in (xs, ys))
+                apart[plain] = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            for k in np.flatnonzero(~plain):
+                apart[k] = _apart_at_least(xs[k], ys[k])
             need = -(-LEAST * (na + nb) // (100 + LEAST))
             yield batch.filter(pa.array(apart <= na + nb - 2 * need)).select(["a", "b"])
 
@@ -363,26 +384,28 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(process, "a long, b long, shared long, either long"))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the centre of its edges (a, b) or has one edge, to a centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return ends.groupBy("node").agg(F.sum("x").alias("x"), F.max("y").alias("y")).filter("x > 1 OR (x = 1 AND y = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node that links (a, b) reach, for nodes with links. Stars are made larger until they stay."""
+    """(a, b): b is the least node that links reach from a, for nodes other than b. Stars are made larger until there are only stars."""
     edges = common.cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
-    while True:
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         wide = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = wide.groupBy("a").agg(F.min("b").alias("m"))
         down = wide.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = common.cut_lineage(down.unionByName(low.withColumnRenamed("m", "b")).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = state
+    return edges
 
 
 def _apart(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of regions that hold more than one component, with it; (region, a, ...)."""
-    marked = regions.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    """Members of regions that hold more than one component, with it; (region, a, ...). labels: (a, b), b the component."""
+    marked = regions.join(labels.select("a", F.col("b").alias("component")), "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = marked.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min("a").alias("pivot"))
     return marked.join(mixed.filter("lo <> hi").select("region", "m", "pivot"), "region")
 
@@ -391,7 +414,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, entity_size (documents with the same set), text_hash."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    parts = common.partitions(spark)
+    with common.tidy(spark):
+        return _components_of(docs, common.partitions(spark))
+
+
+def _components_of(docs: DataFrame, parts: int) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
     signed = common.cut_lineage(_signed(docs))
@@ -413,9 +440,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     measured = measure(pairs)
     regions = members.withColumnRenamed("b", "pivot_was")
+    linked = 100 * F.col("shared") >= LEAST * F.col("either")
+    labels = components(measured.filter(linked).select("a", "b"))
     for turn in range(ROUNDS):
-        links = measured.filter(100 * F.col("shared") >= LEAST * F.col("either")).select("a", "b")
-        labels = components(links)
         apart = _apart(regions, labels).drop("m", "pivot", "component")
         # cut by the triangle inequality around the last pivot; unmeasured members go to both sides
         known = measured.select("a", F.col("b").alias("pivot_was"), (1 - F.col("shared") / F.col("either")).alias("d"))
@@ -439,10 +466,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         asked = all_pairs.unionByName(stars.drop("m", "pivot").join(mine, "region")).filter(may)
         asked = asked.select(F.greatest("a", "a_").alias("a"), F.least("a", "a_").alias("b")).distinct()
         done = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        measured = measured.unionByName(measure(asked.join(done, ["a", "b"], "left_anti")))
+        more = measure(asked.join(done, ["a", "b"], "left_anti"))
+        measured = measured.unionByName(more)
+        labels = components(labels.unionByName(more.filter(linked).select("a", "b")))
         regions = stars.select("region", "a", F.col("pivot").alias("pivot_was"), "n", "rest")
 
-    named = entities.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = entities.join(labels.select(F.col("a").alias("sig"), F.col("b").alias("component")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     roots = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(roots, "component").select("sig", "component_id", "entity_size")
     out = signed.join(named, "sig", "left").select(
