@@ -7,8 +7,8 @@ cut into shards of near equal bytes (law `bytes`), so a shard covers few values
 readers can skip files by their ranges.
 
 Groups stay whole. Those above GROUP_SHARE of a shard are dealt first, the largest to the emptiest
-shard; the rest of the curve fills what is left. A group larger than what any shard has left can't stay
-whole with near equal bytes: its rows, in order of doc_id, are cut like single documents.
+shard; the rest of the curve fills what is left. A group above WHOLE_SHARE of a shard that no shard has
+room for can't stay whole with near equal bytes: its rows, in order of doc_id, are cut like single documents.
 
 Ranks and running sums over all rows are put together from ranges: rows are range partitioned once,
 sums per range go to the driver (one row a range), and windows stay within a range.
@@ -32,6 +32,8 @@ BITS = 5
 SHARDS = 16
 #: Groups above this share of a shard are dealt one by one; there are at most SHARDS / GROUP_SHARE.
 GROUP_SHARE = 0.005
+#: Groups up to this share of a shard stay whole even where that makes shards less equal.
+WHOLE_SHARE = 0.25
 GROUP = ["place", "text_hash", "size", "text_crc32"]
 
 
@@ -147,7 +149,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ())
     def shard_at(byte: Column) -> Column:
         return sum(((byte >= F.lit(float(e))).cast("int") for e in edges), F.lit(0))
 
-    whole = F.col("bytes") <= GROUP_SHARE * target
+    whole = F.col("bytes") <= WHOLE_SHARE * target
     aim = F.coalesce(F.col("dealt"), F.when(whole, shard_at(F.col("bytes_before") + F.col("bytes") / 2)))
     groups = groups.select("text_hash", "size", "text_crc32", F.col("place").alias("group_place"), "bytes_before", "rows_before", aim.alias("aim"))
 
