@@ -140,31 +140,29 @@ class Index:
             many = self.starts[at + 1] - self.starts[at]
             spots = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
             item, diagonal = self.items[spots], np.repeat(hit, many) - self.places[spots]
-            # a diagonal is in its band and in the one before; a band is twice as wide as its step
-            step = (diagonal + self.longest()) // self.band
-            width = int(len(joined) + 2 * self.longest()) // self.band + 3
+            # a diagonal is in its band and in the one before; a band is twice as wide as its step, the passage's own budget and 1
+            step = (diagonal + self.longest()) // (self.budgets[item] + 1)
+            width = int(len(joined) + 2 * self.longest()) + 3
             low = item * width + step
             keys, counts = np.unique(low, return_counts=True)
             after = np.searchsorted(keys, keys + 1)
             follows = (after < len(keys)) & (keys[np.minimum(after, len(keys) - 1)] == keys + 1)
             both = counts + np.where(follows, counts[np.minimum(after, len(keys) - 1)], 0)
             enough = both >= self.needed[keys // width]
-            last = (0, 0, -1)
+            ends: dict[tuple[int, int], int] = {}
             for key in keys[enough].tolist():
                 k, b = divmod(key, width)
-                first_diagonal = b * self.band - self.longest()
                 m, e = len(self.passages[k]), int(self.budgets[k])
-                lo, hi = max(0, first_diagonal - e), min(len(joined), first_diagonal + 2 * self.band + m + e)
-                doc = int(np.searchsorted(opens, max(lo, (lo + hi) // 2), side="right")) - 1
-                for d in {doc, int(np.searchsorted(opens, max(0, first_diagonal), side="right")) - 1, int(np.searchsorted(opens, min(hi, len(joined)) - 1, side="right")) - 1}:
-                    if d < 0 or d >= len(texts):
-                        continue
+                first_diagonal = b * (e + 1) - self.longest()
+                lo, hi = max(0, first_diagonal - e), min(len(joined), first_diagonal + 2 * (e + 1) + m + e)
+                # every text that the band touches
+                for d in range(int(np.searchsorted(opens, lo, side="right")) - 1, min(len(texts), int(np.searchsorted(opens, hi - 1, side="right")))):
                     a, z = max(lo, int(opens[d])), min(hi, int(opens[d + 1]) - 1)
-                    if z - a < m - e or (d, k) == last[:2] and a < last[2]:
+                    if z - a < m - e or a < ends.get((d, k), -1):
                         continue
                     if (got := self._verify(joined[a:z], k)) is not None:
                         out.append((d, k, a + got[1] - opens[d], a + got[2] - opens[d], got[0]))
-                        last = (d, k, a + got[2])
+                        ends[d, k] = a + got[2]
         for k, p in enumerate(self.passages):
             if len(p) < Q:
                 needle = np.concatenate([[0], p, [0]]).astype(np.uint16).tobytes()

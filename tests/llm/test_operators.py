@@ -319,6 +319,18 @@ def test_pieces_overlap(spark, monkeypatch):
     assert [x[1] for x in index.search([text])] == [0]
 
 
+def test_short_texts_beside_a_long_passage():
+    rng = np.random.default_rng(3)
+    short, long = words(rng, 17, 5000)[:81], words(rng, 250, 5000)[:1000]
+    index = decontaminate.Index.build([(1, short), (2, long)])
+    for _ in range(20):
+        texts = [short if rng.random() < 0.3 else words(rng, int(rng.integers(1, 20)), 5000) for _ in range(200)]
+        found = index.search([decontaminate.symbols(t) for t in texts])
+        assert {d for d, k, *_ in found if k == 0} == {d for d, t in enumerate(texts) if t == short}
+    texts = [long[:500], short, long, short]
+    assert {x[:2] for x in index.search([decontaminate.symbols(t) for t in texts])} == {(1, 0), (2, 1), (3, 0)}
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(200):
