@@ -429,6 +429,33 @@ def test_perplexity(spark, empty):
     assert perplexity.cross_entropy_difference(empty, labels).count() == 0
 
 
+def test_perplexity_of_a_large_vocabulary(spark, monkeypatch):
+    for name in ("GROUP", "BUCKET"):
+        monkeypatch.setattr(perplexity, name, 4000, raising=False)  # several of both
+    rng = np.random.default_rng(12)
+    rows = [(i, words(rng, int(rng.integers(40, 90)), 3000 if i % 3 else 40), "en", "a") for i in range(90)] + [(None, words(rng, 50, 3000), "en", "a"), (7, words(rng, 50, 3000), "en", "a")]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(80)] + [(None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    found = {(r["doc_id"], r["n_words"]): r for r in perplexity.cross_entropy_difference(make(spark, rows), labels).collect()}
+    texts = [(i, t.split()) for i, t, *_ in rows]
+    vocabulary = {w for _, t in texts for w in t}
+    assert len(vocabulary) > 2 * perplexity.VOCABULARY and len(found) == len({(i, len(t)) for i, t in texts})
+    pairs = [Counter(), Counter()]
+    for i, t in texts:
+        pairs[int(i is not None and i < 80 and i % 2 == 0)].update(zip(["<s>", *t], t, strict=False))
+    for side, column in ((1, "target_loss"), (0, "background_loss")):
+        before, after, kinds = Counter(), Counter(), Counter(a for a, _ in pairs[side])
+        for (a, b), n in pairs[side].items():
+            before[a] += n
+            after[b] += n
+        for i, t in texts:
+            loss = 0.0
+            for a, b in zip(["<s>", *t], t, strict=False):
+                uni = (after[b] + 1) / (sum(after.values()) + len(vocabulary) + perplexity.UNKNOWN + 1)
+                rest = perplexity.DISCOUNT * kinds[a] / before[a] if before[a] else 1.0
+                loss -= np.log(max(pairs[side][a, b] - perplexity.DISCOUNT, 0) / max(before[a], 1) + rest * uni)
+            assert found[i, len(t)][column] == pytest.approx(loss / len(t), rel=1e-9)
+
+
 def test_word_hashes_of_long_data(monkeypatch):
     rng = np.random.default_rng(0)
     text = b" ".join(bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 40, 200))
