@@ -654,8 +654,8 @@ def mdl_06_15_imputation(spark, sf_dir):
     t = p.filter("hap % 5 = 0").select("chunk", "site", F.expr("hap div 10").alias("sample"), "allele").groupBy("chunk", "site", "sample").agg(F.sum("allele").alias("g"))
     seen = F.pmod(F.col("site") * 7 + F.col("sample"), F.lit(3)) == 0
     gp = [F.when(~seen, 1 / 3).when(F.col("g") == k, 0.98).otherwise(0.01).alias(f"gp{k}") for k in range(3)]
-    targets = t.filter("sample < 10").select("chunk", F.col("sample").cast("string").alias("sample"), "site", *gp, (~seen).alias("flat"))
-    return imputation.run(x, targets, imputation.ModelOptions(burnin=1, main=3, ne=1000.0))
+    targets = t.select("chunk", F.col("sample").cast("string").alias("sample"), "site", *gp, (~seen).alias("flat"))
+    return imputation.run(x, targets, imputation.ModelOptions(ne=1000.0))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,16 @@ def test_windows_cover_and_meet_minima():
         assert t.core_start.iloc[0] == 1 and t.core_stop.iloc[-1] == 10**9
         if not extra:
             assert len(w) > 1 and all(s.enough(a, b, 0.3, 0.2e6, 100) for a, b in w)
+
+
+def test_imputation_query_is_whole(spark, sf_dir, monkeypatch):
+    """Every target sample, with the default iterations; only counted here, not run."""
+    from strandlake.plans import adapters, catalog
+
+    asked = {}
+    monkeypatch.setattr(imputation, "run", lambda packed, targets, options: asked.update(targets=targets, options=options))
+    catalog.mdl_06_15_imputation(spark, sf_dir)
+    samples = adapters.panel(spark, sf_dir).filter("hap % 5 = 0").selectExpr("hap div 10 AS sample").distinct().count()
+    assert asked["targets"].select("sample").distinct().count() == samples > 10
+    default = imputation.ModelOptions()
+    assert (asked["options"].burnin, asked["options"].main) == (default.burnin, default.main) == (5, 15)
