@@ -527,10 +527,19 @@ def join_06_set_03_flt_13_samples(spark, sf_dir):
 @query("""WITH g AS (SELECT l_partkey AS pos, l_returnflag AS grp, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem WHERE l_partkey % 3 = 0), f AS (SELECT pos, arg_min(grp, ordinal * 10 + ascii(grp) % 10) AS grp FROM g GROUP BY pos)
 SELECT p_partkey AS pos, f.grp FROM part JOIN f ON f.pos = p_partkey""")
 def join_07_src_21_groups(spark, sf_dir):
-    g = A.table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("grp"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10 + F.ascii("l_returnflag") % 10).alias("ordinal"))
+    return _groups(spark, sf_dir, A.table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0"))
+
+
+def _groups(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    g = lines.select(F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("grp"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10 + F.ascii("l_returnflag") % 10).alias("ordinal"))
     return concordance.assign_groups(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos")), g)
 
 
+@query(_sql["join_07_src_21_groups"].replace(" WHERE l_partkey % 3 = 0", ""))
+def join_07_src_21_groups_whole(spark, sf_dir):
+    return _groups(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
+
+
 @query(A.with_(A.SITE_AF) + f"""SELECT site, maf, {BINS.format(x='maf')} AS af_bin FROM site_af""")
 def join_09_fn_20_bins(spark, sf_dir):
     s = A.site_af(spark, sf_dir)
@@ -552,13 +561,22 @@ def fn_22_23_frequency_and_flip(spark, sf_dir):
 @query("""WITH t AS (SELECT l_partkey AS pos, l_suppkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'G' END AS alt FROM lineitem WHERE l_linenumber <= 2), p AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'G' END AS alt, p_size AS ac FROM part)
 SELECT p.pos, p.alt, p.ac, count(t.sample) AS n FROM p LEFT JOIN t ON p.pos = t.pos AND p.alt = t.alt GROUP BY ALL""")
 def join_01_02_src_12_13_panel_match(spark, sf_dir):
+    return _matched(spark, sf_dir, A.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2"))
+
+
+def _matched(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     from ..sources import readers
 
-    t = A.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("l_suppkey").alias("sample"))
+    t = lines.select(F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("l_suppkey").alias("sample"))
     p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("p_partkey") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("p_size").alias("ac"))
     return readers.match_panel(t, p, panel_only=True).groupBy("pos", "alt", "ac").agg(F.count("sample").alias("n"))
 
 
+@query(_sql["join_01_02_src_12_13_panel_match"].replace(" WHERE l_linenumber <= 2", ""))
+def join_01_02_src_12_13_panel_match_whole(spark, sf_dir):
+    return _matched(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
+
+
 # ligation -------------------------------------------------------------------------------------------------------------------
 
 CALLS = """cells AS (SELECT l_partkey AS site, l_suppkey AS sample, sum(l_quantity::BIGINT) AS q FROM lineitem WHERE l_suppkey <= 40 GROUP BY ALL),
@@ -568,8 +586,8 @@ calls AS (
   FROM cells c, width, range(0, 4) k WHERE c.site >= k.range * w AND c.site < (k.range + 1) * w + w // 3)"""
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.table(spark, sf_dir, "lineitem").filter("l_suppkey <= 40").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+def _calls(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    c = A.table(spark, sf_dir, "lineitem").filter("true" if whole else "l_suppkey <= 40").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
     w = A.table(spark, sf_dir, "part").agg(F.expr("greatest(count(*) div 4, 1)").alias("w"))
     x = c.crossJoin(F.broadcast(w)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("site >= chunk * w AND site < (chunk + 1) * w + w div 3")
     flipped = (F.col("sample") % 2 == 0) & (F.col("chunk") % 2 == 1)
@@ -614,6 +632,30 @@ def set_04_snk_12_ligated(spark, sf_dir):
     return ligate.ligate(_calls(spark, sf_dir))
 
 
+# The same over all samples: only the filter of the SQL above is left out.
+
+
+@query(_sql["join_08_agg_13_fn_32_votes"].replace(" WHERE l_suppkey <= 40", ""))
+def join_08_agg_13_fn_32_votes_whole(spark, sf_dir):
+    return ligate.votes(ligate.overlap(_calls(spark, sf_dir, whole=True)))
+
+
+@query(_sql["win_14_swaps"].replace(" WHERE l_suppkey <= 40", ""))
+def win_14_swaps_whole(spark, sf_dir):
+    c = _calls(spark, sf_dir, whole=True)
+    return ligate.swaps(ligate.votes(ligate.overlap(c)), c)
+
+
+@query(_sql["win_13_owners"].replace(" WHERE l_suppkey <= 40", ""))
+def win_13_owners_whole(spark, sf_dir):
+    return ligate.owners(_calls(spark, sf_dir, whole=True))
+
+
+@query(_sql["set_04_snk_12_ligated"].replace(" WHERE l_suppkey <= 40", ""))
+def set_04_snk_12_ligated_whole(spark, sf_dir):
+    return ligate.ligate(_calls(spark, sf_dir, whole=True))
+
+
 # strings and options ----------------------------------------------------------------------------------------------------------
 
 
