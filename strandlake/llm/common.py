@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import os
 import tempfile
@@ -17,7 +16,6 @@ PIECE = 1 << 20
 #: A single word beyond this many bytes gets a digest instead of a polynomial.
 LONG_WORD = 1 << 19
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -37,25 +35,25 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; a folder of our own only where it is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """checkpoint() into the folder that spark.checkpoint.dir names; a temporary one only in local mode, where it is unset."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    with tidy(spark):
-        return df.checkpoint(eager=True)
-
-
-@contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs within are dropped when each is done; none of them is read again."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
+    return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

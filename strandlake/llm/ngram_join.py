@@ -7,22 +7,28 @@ seeded by shared rare shingles: with the shingles of every set in one order, rar
 sets share one among their first n + 1 - ceil(0.75 n); all sets with a given such shingle form a
 region, and every linked pair is together in one.
 
-A region has a pivot (its least signature). All members are measured against it, exactly (what sketches of
-the sets rule out needs no measuring). Links found
-join components, and pairs within a component need no more looking at. What is left of a region is cut
-by the triangle inequality: a member within 1/4 of the pivot can't be linked to one beyond 1/2, so the
-members up to 1/2 and those beyond 1/4 make two regions (the boundary is in both), without the pivot.
-These are joined the same way, with pivots of their own, until regions hold one component; those of up
-to SMALL members compare all their pairs.
+Within a region the metric is the symmetric difference of sketches (sizes of the parts of a set, by hash;
+their L1 distance is a metric and never above the symmetric difference of the sets). Pivots cut a region
+into Voronoi cells. Linked sets differ in at most a third of either's size, so by the triangle inequality a
+member is needed in all cells whose pivot is no farther than the cell's radius and that third (the
+boundary is in several cells), and cells are joined recursively by pivots of their own until they are small.
+The pairs that remain are measured exactly, by their sets.
+
+Links join components, and pairs within a component need no measuring. So each member asks for its
+nearest candidates first (in a large region: for the nearest of its pivots), and a region that left some out
+comes again, with many times as many, for members outside its largest component only; it is done when none is left out.
+A region above LARGE members is dealt to tasks by blocks of members, whatever its size.
 
 Equal sets are one entity with its documents as members, so copies are never compared. The order of the
 shingles comes from a table of fixed size: counts by hash of the shingles of one document in SAMPLE.
-Any order is lossless; the table only moves frequent shingles back. Sets are of 64-bit hashes.
+Any order is lossless; the table only moves frequent shingles back. Shingles are 64-bit hashes, sets are
+named by 128-bit digests.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer than five words is one shingle. Defined
 results: null texts and texts without words have an empty set, link with nothing and are their own
 component; equal doc_ids share a component only by links; a null doc_id counts as the smallest and
-stays null; an empty table gives an empty result; other columns are ignored.
+stays null; ties don't matter, as components don't depend on order; a very long text is hashed in pieces and its
+set kept whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,18 +47,24 @@ from . import common
 N = 5
 #: Similarity in hundredths.
 LEAST = 75
-SMALL = 1000
-#: Regions of up to so many members are measured pair by pair at once.
+#: Regions of up to so many members are all pairs at once.
 TINY = 6
 #: Regions up to this size are searched for members that can't have a partner.
 PRUNED = 512
+#: Regions up to this size begin with all their members, larger ones with their pivots.
+SMALL = 512
+#: Members of a region in a task; a larger region is dealt by blocks of members.
+LARGE = 1024
+#: Pivots of a region or cell; pairs of members that are compared without further cells.
+PIVOTS, DIRECT = 8, 1 << 16
+#: Candidates that a member asks for at first; in each later turn MORE times as many.
+NEAREST, MORE = 8, 16
 SAMPLE = 2
 ORDER_BITS = 20
-#: Parts of the sketches of sets up to LARGE shingles, and of larger ones.
-SKETCH, WIDE_SKETCH, LARGE = 256, 4096, 2000
+#: Parts of the sketches of sets up to WIDE shingles, and of larger ones.
+SKETCH, WIDE_SKETCH, WIDE = 256, 4096, 2000
 #: Elements held before a task sends them.
 HELD = 2_000_000
-ROUNDS = 12
 NO_ID = -(1 << 63)
 
 
@@ -63,27 +75,34 @@ def shingle_set(text: str | None) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def signature(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Sizes of the parts of a set, by hash; more parts for large sets; nothing if one is above 255.
+    """Sizes of the parts of a set, by hash, up to 255; more parts for large sets.
 
     Two sets differ in at least as many shingles as their sketches differ.
     """
-    parts = SKETCH if len(s) <= LARGE else WIDE_SKETCH
+    parts = SKETCH if len(s) <= WIDE else WIDE_SKETCH
     sizes = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
-    return sizes.astype(np.uint8).tobytes() if sizes.max() <= 255 else b""
+    return np.minimum(sizes, 255).astype(np.uint8).tobytes()
 
 
-def _apart_at_least(x: bytes, y: bytes) -> int:
-    """In how many shingles two sets differ at least, by their sketches (folded to the same parts)."""
-    if not x or not y:
-        return 0
-    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
-    parts = min(len(a), len(b))
-    return int(np.abs(a.reshape(-1, parts).sum(axis=0) - b.reshape(-1, parts).sum(axis=0)).sum())
+def folded(x: bytes) -> np.ndarray:
+    """A sketch in SKETCH parts. Parts cut at 255 stay below what they stand for, in both sketches alike."""
+    v = np.frombuffer(x, dtype=np.uint8)
+    return v if len(v) == SKETCH else np.minimum(v.reshape(-1, SKETCH).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """L1 distances of all rows of x (m, parts) from all rows of y (k, parts), as (m, k)."""
+    found = np.empty((len(x), len(y)), dtype=np.int32)
+    step = max(1, (1 << 22) // max(1, x.size))
+    for k in range(0, len(y), step):
+        z = y[k : k + step]
+        found[:, k : k + step] = (np.maximum(x[:, None], z) - np.minimum(x[:, None], z)).sum(axis=2, dtype=np.int32)
+    return found
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -95,13 +114,13 @@ def _signed(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             sigs = [signature(s) if len(s) else None for s in sets]
             for s, sig in zip(sets, sigs, strict=True):
-                if sig is not None and sig % SAMPLE == 0:
+                if sig is not None and sig[0] % SAMPLE == 0:
                     held.append((s >> np.uint64(64 - ORDER_BITS)).astype(np.int64))
             if sum(map(len, held)) > HELD:
                 table += np.bincount(np.concatenate(held), minlength=len(table))
                 held = []
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if held:
             table += np.bincount(np.concatenate(held), minlength=len(table))
         parts = table.reshape(64, -1)
@@ -109,9 +128,9 @@ def _signed(docs: DataFrame) -> DataFrame:
         if some:
             none = pa.nulls(len(some), pa.int64())
             packed = [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in some]
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(process, "doc_id long, text_hash long, n long, sig long, sketch binary, part int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(process, "doc_id long, text_hash long, n long, sig binary, sketch binary, part int, counts binary")
 
 
 def _order_table(signed: DataFrame) -> np.ndarray:
@@ -143,10 +162,21 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return common.splitmix(keys[: n + 1 - -(-LEAST * n // 100)]) >> np.uint64(16)
 
 
+def _names(sigs: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of sigs (k, 2), equal for equal rows."""
+    order = np.lexsort((sigs[:, 1], sigs[:, 0]))
+    s = sigs[order]
+    new = np.zeros(len(s), dtype=np.int64)
+    new[1:] = (s[1:] != s[:-1]).any(axis=1)
+    found = np.empty(len(s), dtype=np.int64)
+    found[order] = np.cumsum(new)
+    return found
+
+
 def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
-    """(kind, region, a, b, n, rest): kind 0 pairs of a member and the pivot; kind 1 members a of a larger region, pivot b.
+    """(region, a, b, rest, m, pivot): without region, pairs a and b of a tiny region; else a member a of a region of m members.
 
-    n: size of a's set; rest: shingles of a that don't stand before the region's shingle, at most.
+    a, b: signatures; rest: shingles of a that don't stand before the region's shingle, at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -157,7 +187,7 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
             keys = np.concatenate([k for k, _, _ in held])
             own = np.repeat(np.arange(len(held)), [len(k) for k, _, _ in held])
             n = np.array([n for _, _, n in held], dtype=np.uint32)
-            sig = np.array([s for _, s, _ in held], dtype=np.int64)
+            sig = np.frombuffer(b"".join(s for _, s, _ in held), dtype=np.int64).reshape(-1, 2)
             place = np.concatenate([np.arange(len(k)) for k, _, _ in held])
             packed = (keys << np.uint64(16)) | (place * 256 // n[own]).astype(np.uint64)
             bucket = (keys % np.uint64(parts)).astype(np.int64)
@@ -188,16 +218,17 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sigs, ns = [], [], []
+        keys, sigs, ns, before = [], [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 many = np.frombuffer(row["many"], dtype=np.uint32)
                 keys.append(np.frombuffer(row["keys"], dtype=np.uint64))
-                sigs.append(np.repeat(np.frombuffer(row["sigs"], dtype=np.int64), many))
-                ns.append(np.repeat(np.frombuffer(row["ns"], dtype=np.uint32), many))
+                sigs.append(np.repeat(np.arange(before, before + len(many)), many))
+                before += len(many)
+                ns.append(np.rec.fromarrays([np.frombuffer(row["ns"], dtype=np.uint32), *np.frombuffer(row["sigs"], dtype=np.int64).reshape(-1, 2).T], names="n,x,y"))
         if not keys:
             return
-        packed, sig, n = np.concatenate(keys), np.concatenate(sigs), np.concatenate(ns).astype(np.int64)
+        packed, own, sets = np.concatenate(keys), np.concatenate(sigs), np.concatenate(ns)
         del keys, sigs, ns
         key, place = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.int64)
         # most keys stand alone: leave them out before sorting by signature
@@ -207,17 +238,24 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
         twin[1:] = k[1:] == k[:-1]
         twin[:-1] |= twin[1:]
         order = order[twin]
-        order = order[np.lexsort((sig[order], key[order]))]
-        key, sig, n, place = key[order], sig[order], n[order], place[order]
+        if not len(order):
+            return
+        names = np.stack([sets["x"], sets["y"]], axis=1)
+        sig, n = _names(names), sets["n"].astype(np.int64)
+        first_of = np.zeros(len(sig), dtype=np.int64)
+        first_of[sig] = np.arange(len(sig))
+        order = order[np.lexsort((sig[own[order]], key[order]))]
+        key, place, own = key[order], place[order], own[order]
+        sig, n = sig[own], n[own]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
         key, sig, n, place = key[new], sig[new], n[new], place[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         m = np.diff(np.append(first, len(key)))
-        yield from _pairs_and_members(sig, n, place, first, m)
+        yield from _pairs_and_members(sig, n, place, first, m, names[first_of])
 
     buckets = docs.select("text").mapInArrow(send, "bucket int, keys binary, sigs binary, ns binary, many binary")
-    return buckets.repartition(parts, "bucket").mapInArrow(meet, "kind int, region long, a long, b long, n long, rest long")
+    return buckets.repartition(parts, "bucket").mapInArrow(meet, "region long, a binary, b binary, rest long, m long, pivot boolean")
 
 
 def feasible(na, nb, ra, rb):
@@ -234,135 +272,229 @@ def _all_pairs(first, m, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_partner(n, rest, first, m) -> np.ndarray:
-    """Whether a member of a region has another that it could be linked to, and that isn't the pivot."""
+    """Whether a member of a region has another that it could be linked to."""
     keep = np.ones(len(n), dtype=bool)
     for lo, size in zip(first.tolist(), m.tolist(), strict=True):
         if TINY < size <= PRUNED:
-            x, y = n[lo + 1 : lo + size], rest[lo + 1 : lo + size]
+            x, y = n[lo : lo + size], rest[lo : lo + size]
             may = feasible(x[:, None], x, y[:, None], y)
             np.fill_diagonal(may, False)
-            keep[lo + 1 : lo + size] = may.any(axis=1)
+            keep[lo : lo + size] = may.any(axis=1)
     return keep
 
 
-def _pairs_and_members(sig, n, place, first, m) -> Iterator[pa.RecordBatch]:
-    if not len(sig):
-        return
+def _binary(names: np.ndarray) -> pa.Array:
+    """Rows of (k, 2) as 16 bytes each."""
+    at = np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(names).tobytes())])
+
+
+def _pairs_and_members(sig, n, place, first, m, names) -> Iterator[pa.RecordBatch]:
+    """sig: numbers of the members of all regions, in order of regions; names: their signatures, by number."""
     region_of = np.repeat(np.arange(len(first)), m)
-    pivot = first[region_of]
     rest = n - place * n // 256
-    name = np.add.reduceat(common.splitmix(sig.view(np.uint64)), first).view(np.int64)
-    other = np.arange(len(sig)) != pivot
-    # of tiny regions all pairs, of larger ones each member and the pivot
+    mixed = common.splitmix(names[sig, 0].view(np.uint64)) + common.splitmix(names[sig, 1].view(np.uint64) ^ np.uint64(1))
+    region_name = np.add.reduceat(common.splitmix(mixed), first).view(np.int64)
+    # of tiny regions all pairs, of larger ones the members
     tiny = [_all_pairs(first, m, k) for k in range(2, TINY + 1)]
-    star = np.flatnonzero(other & (m > TINY)[region_of])
-    i, j = np.concatenate([*(a for a, _ in tiny), star]), np.concatenate([*(b for _, b in tiny), pivot[star]])
+    i, j = np.concatenate([a for a, _ in tiny]), np.concatenate([b for _, b in tiny])
     good = feasible(n[i], n[j], rest[i], rest[j])
     i, j = i[good], j[good]
     pairs = np.unique(np.stack([np.maximum(sig[i], sig[j]), np.minimum(sig[i], sig[j])], axis=1), axis=0)
     # regions of equal members are one; a member keeps the most that any of them has left
-    w = np.flatnonzero((m > TINY)[region_of] & other & _with_partner(n, rest, first, m))
-    region = name[region_of[w]]
-    w = w[np.lexsort((-rest[w], sig[w], region))]
-    region = name[region_of[w]]
+    w = np.flatnonzero((m > TINY)[region_of] & _with_partner(n, rest, first, m))
+    region = region_name[region_of[w]]
+    order = np.lexsort((-rest[w], sig[w], region))
+    w, region = w[order], region[order]
     one = np.ones(len(w), dtype=bool)
     one[1:] = (region[1:] != region[:-1]) | (sig[w][1:] != sig[w][:-1])
     w, region = w[one], region[one]
-    names = ["kind", "region", "a", "b", "n", "rest"]
-
-    def batch(kind: int, *columns) -> pa.RecordBatch:
-        size = len(columns[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *(pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns)], names=names)
-
+    start = np.searchsorted(region, region) if len(region) else region
+    pivot = np.arange(len(w)) - start < PIVOTS
+    columns = ["region", "a", "b", "rest", "m", "pivot"]
     for k in range(0, len(pairs), 50_000):
         p = pairs[k : k + 50_000]
-        none = np.zeros(len(p), np.int64)
-        yield batch(0, none, p[:, 0], p[:, 1], none, none)
+        none = pa.nulls(len(p), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, _binary(names[p[:, 0]]), _binary(names[p[:, 1]]), none, none, pa.nulls(len(p), pa.bool_())], names=columns)
     for k in range(0, len(w), 50_000):
-        v = w[k : k + 50_000]
-        yield batch(1, region[k : k + 50_000], sig[v], sig[pivot[v]], n[v], rest[v])
+        v = slice(k, k + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(region[v]), _binary(names[sig[w[v]]]), pa.nulls(len(w[v]), pa.binary()), pa.array(rest[w[v]]), pa.array(m[region_of[w[v]]].astype(np.int64)), pa.array(pivot[v])], names=columns)
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the hashes of the ids."""
+def _cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of rows i of ix and j of iy that are within reach[j], by recursive Voronoi cells of x.
+
+    x, y: sketches; a row of y goes to every cell that the triangle inequality leaves open to it.
+    """
+    if len(ix) * len(iy) <= DIRECT:
+        d = apart(x[ix], y[iy])
+        i, j = np.nonzero(d <= reach[iy])
+        yield ix[i], iy[j], d[i, j]
+        return
+    pivots = [int(ix[0])]
+    d = apart(x[ix], x[pivots])
+    while len(pivots) < PIVOTS and (far := int(d.min(axis=1).argmax())) >= 0 and d[far].min() > 0:
+        pivots.append(int(ix[far]))
+        d = np.concatenate([d, apart(x[ix], x[pivots[-1:]])], axis=1)
+    cell, e = d.argmin(axis=1), apart(y[iy], x[pivots])
+    for p in range(len(pivots)):
+        own = np.flatnonzero(cell == p)
+        if not len(own):
+            continue
+        near, far = d[own, p].min(), d[own, p].max()
+        open_ = (e[:, p] <= far + reach[iy]) & (e[:, p] >= near - reach[iy])
+        inner, outer = ix[own], iy[open_]
+        if len(inner) == len(ix) or 2 * len(inner) * len(outer) > len(ix) * len(iy):  # cells that hardly shrink: blocks
+            step = max(1, DIRECT // max(1, len(inner)))
+            for k in range(0, len(outer), step):
+                d_ = apart(x[inner], y[outer[k : k + step]])
+                i, j = np.nonzero(d_ <= reach[outer[k : k + step]])
+                yield inner[i], outer[k : k + step][j], d_[i, j]
+        elif len(outer):
+            yield from _cells(x, y, reach, inner, outer)
+
+
+def _first_of_each(who: np.ndarray, d: np.ndarray, many: int) -> np.ndarray:
+    """Marks of the `many` nearest of each in who."""
+    order = np.lexsort((d, who))
+    w = who[order]
+    keep = np.zeros(len(w), dtype=bool)
+    keep[order] = np.arange(len(w)) - np.searchsorted(w, w) < many
+    return keep
+
+
+def _candidates(rows: list[dict], many: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, whether some were left out) of a block of a region: pairs of a target and a query of different components."""
+    a, n, rest, label = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("a", "n", "rest", "label"))
+    target, query, star = (np.array([r[k] for r in rows], dtype=bool) for k in ("target", "query", "star"))
+    order = np.lexsort((-rest, a))
+    first = np.ones(len(a), dtype=bool)
+    first[1:] = a[order][1:] != a[order][:-1]
+    at = order[first]  # regions of equal members that met in several tasks hold a member several times
+    target, query = (np.logical_or.reduceat(v[order], np.flatnonzero(first)) for v in (target, query))
+    a, n, rest, label = a[at], n[at], rest[at], label[at]
+    wide = [rows[k]["sketch"] for k in at]
+    s = np.stack([folded(v) for v in wide])
+    ix, iy = np.flatnonzero(target), np.flatnonzero(query)
+    if not len(ix) or not len(iy):
+        return a[:0], a[:0], False
+    reach = n * (100 - LEAST) // LEAST
+    found = list(_cells(s, s, reach, ix, iy))
+    i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
+    need = -(-LEAST * (n[i] + n[j]) // (100 + LEAST))
+    good = (a[i] != a[j]) & (label[i] != label[j]) & feasible(n[i], n[j], rest[i], rest[j]) & (d <= n[i] + n[j] - 2 * need)
+    i, j, d, need = i[good], j[good], d[good], need[good]
+    both = np.flatnonzero((n[i] > WIDE) & (n[j] > WIDE))
+    if len(both):
+        u, v = (np.frombuffer(b"".join(wide[k] for k in z[both]), dtype=np.uint8).reshape(-1, WIDE_SKETCH).astype(np.int16) for z in (i, j))
+        d = d.copy()
+        d[both] = np.abs(u - v).sum(axis=1, dtype=np.int64)
+        good = d <= n[i] + n[j] - 2 * need
+        i, j, d = i[good], j[good], d[good]
+    keep = _first_of_each(i, d, 2) if star.any() else _first_of_each(j, d, many)
+    return np.maximum(a[i], a[j])[keep], np.minimum(a[i], a[j])[keep], bool(star.any()) or not keep.all()
+
+
+def _asked(dealt: DataFrame, many: int) -> DataFrame:
+    """(region, a, b): pairs to be measured; regions that left some out, with nulls. dealt: blocks of regions."""
+    names = ["region", "i", "j", "a", "n", "rest", "label", "sketch", "target", "query", "star"]
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+        held, key = [], None
+
+        def done() -> pa.RecordBatch:
+            a, b, more = _candidates(held, many)
+            region = pa.array([None] * len(a) + [key[0]] * more, pa.int64())
+            return pa.RecordBatch.from_arrays([region, *(pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(int(more), pa.int64())]) for v in (a, b))], names=["region", "a", "b"])
+
         for batch in batches:
-            slots = batch.column(0).to_numpy()
-            for part in np.unique(slots >> PART_BITS).tolist():
-                own = slots[slots >> PART_BITS == part] & ((1 << PART_BITS) - 1)
-                bits.setdefault(part, np.zeros(1 << PART_BITS, dtype=bool))[own] = True
-        if bits:
-            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], names=["part", "bits"])
+            for r in batch.to_pylist():
+                if (r["region"], r["i"], r["j"]) != key:
+                    if held:
+                        yield done()
+                    held, key = [], (r["region"], r["i"], r["j"])
+                held.append(r)
+        if held:
+            yield done()
+
+    keys = ["region", "i", "j"]
+    return dealt.select(*names).repartition(common.partitions(dealt.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(process, "region long, a long, b long")
+
 
-    marks = np.zeros((1 << (MARK_BITS - PART_BITS), (1 << PART_BITS) // 8), dtype=np.uint8)
-    dealt = ids.select(slot(F.col("rep")).alias("slot")).repartition(64, F.shiftright("slot", PART_BITS))
-    for r in dealt.mapInArrow(process, "part long, bits binary").collect():  # the bitmap's fixed size
-        marks[r["part"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return marks.ravel()
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of regions dealt by blocks: columns i, j, target, query. members: with m, everyone (compared with all), o (how many of them)."""
+    chunks = F.ceil(F.col("m") / F.lit(LARGE)).cast("int")
+    others = F.greatest(F.ceil(F.col("o") / F.lit(LARGE)), F.lit(1)).cast("int")
+    x = members.withColumns({"ci": chunks, "cj": others})
+    x = x.withColumns({"own_i": F.pmod(F.xxhash64("a"), "ci").cast("int"), "own_j": F.pmod(F.xxhash64("a", F.lit(1)), "cj").cast("int")})
+    across = F.transform(F.sequence(F.lit(0), F.col("ci") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+    along = F.transform(F.sequence(F.lit(0), F.col("cj") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+    x = x.withColumn("to", F.explode(F.when(F.col("everyone"), F.array_union(across, along)).otherwise(along))).withColumns({"i": F.col("to.i"), "j": F.col("to.j")})
+    return x.withColumns({"target": F.col("i") == F.col("own_i"), "query": F.col("everyone") & (F.col("j") == F.col("own_j"))})
 
 
-MARK_BITS, PART_BITS = 26, 20
+def _marks(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits and a bitmap with the hashes of the wanted doc_ids: 32 slots an id, 2^28 at most (32 MB)."""
+    bits = min(28, max(20, (32 * wanted.count()).bit_length()))
+    slots = wanted.select(slot(F.col("rep"), bits).alias("slot"))
+    found = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    marks = np.zeros((2 + (1 << bits) // 32768, 4096), dtype=np.uint8)
+    for r in found.collect():  # the bitmap's size
+        marks[r["bucket"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits, marks
 
 
-def slot(doc_id):
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << MARK_BITS))
+def slot(doc_id, bits: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, members): the sets of the wanted entities (sig, rep), six bytes a shingle.
+    """(name, members): the sets of the wanted entities (name, sig, rep), eight bytes a shingle.
 
     Texts aren't shuffled: a bitmap tells which may be wanted, and only their sets are sent on.
     """
     wanted = common.cut_lineage(wanted)
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+    bits, marks = _marks(wanted)
+    # buckets count from 1, of 32768 positions each
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
-            slots = batch.column(0).to_numpy()
-            hit = (marks[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+            bucket, position = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            hit = (marks[bucket, position >> 3] >> (position & 7).astype(np.uint8)) & 1
             sigs, packed = [], []
-            for text in batch.column(1).filter(pa.array(hit.astype(bool))).to_pylist():
+            for text in batch.column(2).filter(pa.array(hit.astype(bool))).to_pylist():
                 s = shingle_set(text)
                 if len(s):
                     sigs.append(signature(s))
-                    packed.append(np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(packed, pa.binary())], names=["sig", "members"])
-
-    found = docs.select(slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(process, "sig long, members binary")
-    return common.cut_lineage(found.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]))
-
+                    packed.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(packed, pa.binary())], names=["sig", "members"])
 
-def _unpack(packed: bytes) -> np.ndarray:
-    raw = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
-    raw[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    return raw.view(np.uint64).ravel()
+    places = docs.withColumn("slot", slot(F.col("doc_id"), bits)).select(F.expr("bitmap_bucket_number(slot)").alias("bucket"), F.expr("bitmap_bit_position(slot)").alias("position"), "text")
+    found = places.mapInArrow(process, "sig binary, members binary")
+    return found.join(wanted.select("sig", "name").hint("merge"), "sig").dropDuplicates(["sig"]).select("name", "members")
 
 
-def _maybe(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule a link out."""
+def _maybe(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(a, b) by name: the pairs of signatures whose sketches don't rule a link out."""
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             xs, ys = batch.column("xa").to_pylist(), batch.column("xb").to_pylist()
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            apart = np.zeros(len(xs), dtype=np.int64)
-            plain = np.array([len(x) == len(y) == SKETCH for x, y in zip(xs, ys, strict=True)])
-            if plain.any():
-                x, y = (np.frombuffer(b"".join(v for v, p in zip(z, plain, strict=True) if p), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for z in (xs, ys))
-                apart[plain] = np.abs(x - y).sum(axis=1, dtype=np.int64)
-            for k in np.flatnonzero(~plain):
-                apart[k] = _apart_at_least(xs[k], ys[k])
-            need = -(-LEAST * (na + nb) // (100 + LEAST))
-            yield batch.filter(pa.array(apart <= na + nb - 2 * need)).select(["a", "b"])
-
-    left = pairs.select("a", "b").join(sketches.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
-    both = left.join(sketches.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
-    return common.cut_lineage(both.mapInArrow(process, "a long, b long"))
+            a, b, na, nb = (batch.column(k).to_numpy() for k in ("a", "b", "na", "nb"))
+            x, y = (np.stack([folded(v) for v in z]).astype(np.int16) for z in (xs, ys))
+            d = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            for k in np.flatnonzero((na > WIDE) & (nb > WIDE)):
+                d[k] = np.abs(np.frombuffer(xs[k], dtype=np.uint8).astype(np.int16) - np.frombuffer(ys[k], dtype=np.uint8)).sum(dtype=np.int64)
+            good = d <= na + nb - 2 * -(-LEAST * (na + nb) // (100 + LEAST))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[good]), pa.array(np.minimum(a, b)[good])], names=["a", "b"])
+
+    left = pairs.join(entities.select(F.col("sig").alias("a"), F.col("name").alias("ka"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
+    both = left.join(entities.select(F.col("sig").alias("b"), F.col("name").alias("kb"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
+    return both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb", "xa", "xb").mapInArrow(process, "a long, b long")
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,15 +504,15 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             shared, either = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate([_unpack(x), _unpack(y)])
-                both.sort()
+                both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
+                both.sort(kind="stable")
                 i = int((both[1:] == both[:-1]).sum())
                 shared.append(i)
                 either.append(len(both) - i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "shared", "either"])
 
-    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("sa")), "a")
-    both = left.join(sets.select(F.col("sig").alias("b"), F.col("members").alias("sb")), "b")
+    left = pairs.join(sets.select(F.col("name").alias("a"), F.col("members").alias("sa")), "a")
+    both = left.join(sets.select(F.col("name").alias("b"), F.col("members").alias("sb")), "b")
     return common.cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(process, "a long, b long, shared long, either long"))
 
 
@@ -390,102 +522,145 @@ def _is_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("x").alias("x"), F.max("y").alias("y")).filter("x > 1 OR (x = 1 AND y = 1)").isEmpty()
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as stars around the least nodes of what is joined in a task; then dealt by a, and again. What was joined stays joined."""
+
+    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while (up := parent.get(x, x)) != top:
+                parent[x], x = top, up
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+    local = edges.select("a", "b").mapInArrow(process, "a long, b long").filter("a <> b")
+    return common.cut_lineage(local.repartition(common.partitions(edges.sparkSession), "a").mapInArrow(process, "a long, b long").filter("a <> b"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(a, b): b is the least node that links reach from a, for nodes other than b. Stars are made larger until there are only stars."""
-    edges = common.cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    """(a, b): b is the least node that links reach from a, for nodes other than b.
+
+    Edges of a node meet and become stars; an edge to a node that has an edge of its own takes its end; until only
+    stars are left. A star's centre with many leaves is never gathered: edges are dealt by their leaves.
+    """
+    edges = forest(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while not _is_stars(edges):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        wide = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = wide.groupBy("a").agg(F.min("b").alias("m"))
-        down = wide.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = common.cut_lineage(down.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        up = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        edges = forest(edges.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b")))
     return edges
 
 
-def _apart(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of regions that hold more than one component, with it; (region, a, ...). labels: (a, b), b the component."""
-    marked = regions.join(labels.select("a", F.col("b").alias("component")), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = marked.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min("a").alias("pivot"))
-    return marked.join(mixed.filter("lo <> hi").select("region", "m", "pivot"), "region")
+LINKED = f"100 * shared >= {LEAST} * either"
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, entity_size (documents with the same set), text_hash."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    with common.tidy(spark):
-        return _components_of(docs, common.partitions(spark))
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of regions of more than one component, with label, everyone (not of the region's largest component), o (how many such)."""
+    x = members.join(labels.select("a", F.col("b").alias("label")), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    counts = x.groupBy("region", "label").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("o"))
+    return x.join(counts.filter("o > 0"), "region").withColumn("everyone", F.col("label") != F.col("main")).drop("main")
 
 
-def _components_of(docs: DataFrame, parts: int) -> DataFrame:
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-
+def _entities(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, text_hash, n, sig); sets; those that meet others, with names; the pairs and the members of regions that they make."""
+    parts = common.partitions(docs.sparkSession)
     signed = common.cut_lineage(_signed(docs))
-    levels = _order_table(signed)
-    sketches = signed.filter("sig IS NOT NULL").select("sig", "n", "sketch")
-    signed = signed.filter("part IS NULL").select("doc_id", "text_hash", "n", "sig")
-    entities = signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"))
+    found = common.cut_lineage(_regions(docs, _order_table(signed), parts))
+    signed = signed.filter("part IS NULL").drop("part", "counts")
+    sets = common.cut_lineage(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    involved = found.select(F.col("a").alias("sig")).unionByName(found.filter("region IS NULL").select(F.col("b").alias("sig"))).distinct()
+    entities = common.cut_lineage(sets.join(involved, "sig", "left_semi").withColumn("name", F.monotonically_increasing_id()))
+    pairs = _maybe(found.filter("region IS NULL").select("a", "b").distinct(), entities)
+    members = found.filter("region IS NOT NULL").select("region", F.col("a").alias("sig"), "rest", "m", "pivot").join(entities.select("sig", "n", "sketch", F.col("name").alias("a")), "sig").drop("sig")
+    return signed.drop("sketch"), sets.select("sig", "rep", "entity_size"), entities, pairs, members
+
 
-    found = common.cut_lineage(_regions(docs, levels, parts))
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
-    members = found.filter("kind = 1").groupBy("region", "a").agg(F.first("b").alias("b"), F.first("n").alias("n"), F.max("rest").alias("rest"))
-    involved = found.select("a").unionByName(found.filter("kind = 0").select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "sig")
-    sketches = common.cut_lineage(sketches.join(involved, "sig", "left_semi").dropDuplicates(["sig"]))
+def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, members: DataFrame, everything: bool) -> tuple[DataFrame, DataFrame]:
+    """Measured pairs by name (all that may be linked, if everything; else enough for the components), and components."""
 
     def measure(asked: DataFrame) -> DataFrame:
-        near = _maybe(asked, sketches)
-        wanted = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "sig")
-        return _measure(near, _sets(docs, entities.select("sig", "rep").join(wanted, "sig", "left_semi")))
-
-    measured = measure(pairs)
-    regions = members.withColumnRenamed("b", "pivot_was")
-    linked = 100 * F.col("shared") >= LEAST * F.col("either")
-    labels = components(measured.filter(linked).select("a", "b"))
-    for turn in range(ROUNDS):
-        apart = _apart(regions, labels).drop("m", "pivot", "component")
-        # cut by the triangle inequality around the last pivot; unmeasured members go to both sides
-        known = measured.select("a", F.col("b").alias("pivot_was"), (1 - F.col("shared") / F.col("either")).alias("d"))
-        known = known.unionByName(known.select(F.col("pivot_was").alias("a"), F.col("a").alias("pivot_was"), "d")).dropDuplicates(["a", "pivot_was"])
-        cut = apart.join(known, ["a", "pivot_was"], "left")
-        bound = (100 - LEAST) / 100 + 1e-9
-        sides = F.when(F.col("d") <= bound, F.array(F.lit(0))).when(F.col("d") > 2 * bound, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-        cut = cut.withColumn("side", F.explode(sides)).select(F.xxhash64("region", "side").alias("region"), "a", "n", "rest")
-        apart = common.cut_lineage(_apart(cut, labels))
-        if apart.isEmpty():
-            break
-        small = F.lit(True) if turn == ROUNDS - 1 else F.col("m") <= SMALL
-        columns = ("a", "n", "rest", "component")
-        left = apart.filter(small).select("region", *columns)
-        right = left.select("region", *(F.col(c).alias(f"{c}_") for c in columns))
-        all_pairs = left.join(right, "region").filter("a > a_")
-        stars = apart.filter(~small).filter("a <> pivot")
-        mine = apart.filter(~small & (F.col("a") == F.col("pivot"))).select("region", *(F.col(c).alias(f"{c}_") for c in columns))
-        need = F.floor((LEAST * (F.col("n") + F.col("n_")) + LEAST + 99) / F.lit(100 + LEAST))
-        may = (F.col("component") != F.col("component_")) & (100 * F.least("n", "n_") >= LEAST * F.greatest("n", "n_")) & (F.least("rest", "rest_") >= need)
-        asked = all_pairs.unionByName(stars.drop("m", "pivot").join(mine, "region")).filter(may)
-        asked = asked.select(F.greatest("a", "a_").alias("a"), F.least("a", "a_").alias("b")).distinct()
-        done = measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = measure(asked.join(done, ["a", "b"], "left_anti"))
-        measured = measured.unionByName(more)
-        labels = components(labels.unionByName(more.filter(linked).select("a", "b")))
-        regions = stars.select("region", "a", F.col("pivot").alias("pivot_was"), "n", "rest")
-
-    named = entities.join(labels.select(F.col("a").alias("sig"), F.col("b").alias("component")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    roots = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(roots, "component").select("sig", "component_id", "entity_size")
-    out = signed.join(named, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("entity_size", F.lit(1)).alias("entity_size"), "text_hash"
-    )
+        wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        return _measure(asked, _sets(docs, entities.select("name", "sig", "rep").join(wanted, "name", "left_semi")))
+
+    members = common.cut_lineage(members)
+    all_ = F.lit(True) if everything else (F.col("m") <= SMALL) | F.col("pivot")
+    many = 1 << 40 if everything else NEAREST
+    dealt = members.withColumns({"label": F.col("a"), "everyone": all_, "o": F.when(F.lit(everything) | (F.col("m") <= SMALL), F.col("m")).otherwise(PIVOTS), "star": ~F.lit(everything) & (F.col("m") > SMALL)})
+    found = common.cut_lineage(_asked(_blocks(dealt), many))
+    measured = measure(common.cut_lineage(found.filter("region IS NULL").select("a", "b").unionByName(pairs).distinct()))
+    labels = components(measured.filter(LINKED))
+    left = found.filter("region IS NOT NULL").select("region").distinct()
+    while not left.isEmpty():
+        members = common.cut_lineage(members.join(left, "region", "left_semi"))
+        many *= MORE
+        found = common.cut_lineage(_asked(_blocks(_open(members, labels).withColumn("star", F.lit(False))), many))
+        asked = common.cut_lineage(found.filter("region IS NULL").select("a", "b").distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti"))
+        if not asked.isEmpty():
+            more = measure(asked)
+            measured = measured.unionByName(more)
+            labels = components(labels.unionByName(more.filter(LINKED).select("a", "b")))
+        left = found.filter("region IS NOT NULL").select("region").distinct()
+    return measured, labels
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, component_id, entity_size, class), doc_id NO_ID for null; class: a signature of the component, null for empty sets."""
+    signed, sets, entities, pairs, members = _entities(docs)
+    _, labels = _links(docs, entities, pairs, members, False)
+    linked = entities.join(labels.select(F.col("a").alias("name"), F.col("b").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    roots = linked.groupBy("component").agg(F.min("rep").alias("root"), F.min("sig").alias("class"))
+    named = sets.join(linked.join(roots, "component").select("sig", "root", "class"), "sig", "left")
+    named = common.cut_lineage(named.select("sig", F.coalesce("root", "rep").alias("component_id"), "entity_size", F.coalesce("class", "sig").alias("class")))
+    return signed.join(named, "sig", "left").select("doc_id", "text_hash", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("entity_size", F.lit(1)).alias("entity_size"), "class")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, entity_size (documents with the same set)."""
+    common.bounded_batches(docs.sparkSession)
+    out = _components_of(_plain(docs)).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "entity_size")
     return out.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", "component_id")})
 
 
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, as (a, b, shared, either) with a > b, and membership as (doc_id, class); a, b and class are names.
+
+    Without the short cut by components: every candidate pair of a region is measured. Empty sets have no class.
+    """
+    common.bounded_batches(docs.sparkSession)
+    docs = _plain(docs)
+    signed, sets, entities, pairs, members = _entities(docs)
+    measured, _ = _links(docs, entities, pairs, members, True)
+    alone = sets.select("sig").join(entities.select("sig"), "sig", "left_anti").select("sig", (-1 - F.monotonically_increasing_id()).alias("name"))
+    named = common.cut_lineage(entities.select("sig", "name").unionByName(alone))
+    return measured.filter(LINKED), signed.join(named, "sig", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("name").alias("class"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each component: the one of the least doc_id (of repeated rows, one)."""
-    found = jaccard_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_text", F.xxhash64("text"))
-    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    """The documents without all but one of each component: the one of the least doc_id (of several such rows, one).
+
+    Columns of docs stay as they are, whatever their names; documents without words stay.
+    """
+    common.bounded_batches(docs.sparkSession)
+    key, text = common.fresh(docs, "key", "text_hash")
+    found = _components_of(_plain(docs)).filter("doc_id = component_id")
+    one = found.filter("class IS NOT NULL").groupBy("class", "doc_id").agg(F.min("text_hash").alias("text_hash")).drop("class")
+    kept = one.unionByName(found.filter("class IS NULL").select("doc_id", "text_hash")).distinct().toDF(key, text)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(text, F.xxhash64("text"))
+    return keyed.join(kept, [key, text], "left_semi").dropDuplicates([key, text]).select(*docs.columns)
 
 
 def oracle() -> str:

@@ -161,28 +161,97 @@ def test_join(docs, corpus, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
-def test_join_of_large_regions(spark, monkeypatch):
-    """Chains and crowds around shared passages; small limits, so that regions are cut and joined again."""
-    monkeypatch.setattr(ngram_join, "SMALL", 5)
-    monkeypatch.setattr(ngram_join, "TINY", 2)
-    rng = np.random.default_rng(11)
+def crowds(rng):
+    """A chain of edits (neighbours are linked, ends aren't), documents around a passage, near copies and pairs just above and below the limit."""
     base = words(rng, 60, 10_000).split()
     rows = []
-    for i in range(40):  # a chain of edits: neighbours are linked, ends aren't
+    for i in range(40):
         rows.append((i, " ".join(base), "en", "a"))
         base[int(rng.integers(0, 60))] = f"n{i}"
     passage = words(rng, 20, 10_000)
     rows += [(100 + i, passage + " " + words(rng, int(rng.integers(3, 30)), 10_000), "en", "b") for i in range(40)]
+    copied = words(rng, 80, 10_000).split()
+    for i in range(40):
+        edited = list(copied)
+        for k in rng.integers(0, 80, int(rng.integers(0, 6))):
+            edited[k] = f"e{i}"
+        rows.append((200 + i, " ".join(edited), "en", "c"))
+    return rows
+
+
+@pytest.mark.parametrize(("small", "large", "nearest"), [(8, 6, 1), (8, 1000, 2), (1000, 1000, 1)])
+def test_join_of_large_regions(spark, monkeypatch, small, large, nearest):
+    """Small limits, so that regions begin with pivots, are dealt by blocks and come again."""
+    for name, value in (("SMALL", small), ("LARGE", large), ("NEAREST", nearest), ("MORE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = crowds(np.random.default_rng(11))
     assert joined(make(spark, rows)) == components_by_hand(in_order(rows))
 
 
+def test_all_links(spark):
+    rows = crowds(np.random.default_rng(12))
+    rows += [(300, rows[0][1], "en", "a"), (301, None, "en", "a")]
+    links, members = ngram_join.jaccard_links(make(spark, rows))
+    of = {r["doc_id"]: r["class"] for r in members.collect()}
+    sets = {i: set(ngram_join.shingle_set(t).tolist()) for i, t, *_ in rows}
+    expected = {tuple(sorted((of[i], of[j]))) for i in sets for j in sets if i < j and sets[i] and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert of[301] is None and of[300] == of[0] and len(of) == len(rows) and expected
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == expected
+
+
+def test_cells(monkeypatch):
+    monkeypatch.setattr(ngram_join, "DIRECT", 40)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 40, (12, 256))
+    s = np.clip(centres[rng.integers(0, 12, 300)] + rng.integers(-1, 2, (300, 256)), 0, 255).astype(np.uint8)
+    reach = rng.integers(100, 300, 300)
+    ix, iy = np.arange(0, 300), np.arange(0, 300, 2)
+    found = [(i, j, d) for a, b, c in ngram_join._cells(s, s, reach, ix, iy) for i, j, d in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)]
+    d = np.abs(s.astype(int)[:, None] - s).sum(axis=2)
+    expected = {(i, j, d[i, j]) for i in ix.tolist() for j in iy.tolist() if d[i, j] <= reach[j]}
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (10, 500, 5000):
+        x, y = (np.unique(rng.integers(0, 1 << 62, n, dtype=np.int64)).astype(np.uint64) for _ in range(2))
+        y = np.union1d(x[: len(x) // 2], y)
+        a, b = (ngram_join.folded(ngram_join.sketch(v)).astype(int) for v in (x, y))
+        assert np.abs(a - b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_components_by_links(spark):
+    rng = np.random.default_rng(6)
+    edges = [(i + 1, i) for i in range(40)] + [(1000 + i, 500) for i in range(50)] + [tuple(int(x) for x in rng.integers(2000, 2100, 2)) for _ in range(60)] + [(3000, 3000 - i) for i in range(1, 30)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    found = ngram_join.components(spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long").repartition(5))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(x, root(x)) for x in parent if root(x) != x}
+
+
 def test_one_of_each(docs, corpus):
+    docs = docs.withColumns({c: F.lit(1) for c in ("key", "sig", "text_hash", "_id", "_copies")})
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     roots = {(d, c) for d, _, c in components_by_hand(in_order(corpus)) if d == c}
     assert {r["doc_id"] if r["doc_id"] is not None else -(1 << 63) for r in kept.collect()} == {d for d, _ in roots}
 
 
+def test_near_duplicates_again_and_again(spark, docs):
+    for _ in range(10):
+        kept = ngram_join.one_of_each(docs).count()
+    assert kept and not spark.sparkContext.statusTracker().getActiveStageIds()
+
+
 # sharding ----------------------------------------------------------------------------------------------------
 
 
