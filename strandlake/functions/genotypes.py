@@ -226,8 +226,11 @@ def error_rate(errors: Column, total: Column) -> Column:
 
 
 def poisson(n: Column, mean: Column) -> Column:
-    """FN-29: probability of n events, n within 0 and 20."""
-    return F.pow(mean, n) * F.exp(-mean) / F.factorial(n).cast("double")
+    """FN-29: probability of n events; by logarithms where n! isn't a long (n above 20)."""
+    n = n.cast("int")
+    logs = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), d(0.0), lambda s, k: s + F.ln(k.cast("double")))
+    far = F.when(mean > 0, F.exp(n * F.ln(mean) - mean - logs)).otherwise(0.0)
+    return F.when(n <= 20, F.pow(mean, n) * F.exp(-mean) / F.factorial(F.least(n, F.lit(20))).cast("double")).otherwise(far)
 
 
 def transition(cm: Column, n_ref: int, ne: float = 100_000.0, with_states: bool = False) -> Column:

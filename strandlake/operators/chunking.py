@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import RANGE, ranged, with_totals_before, within
+from .ranges import keys as range_keys
+
 #: Fixed value: end of a chromosome whose length isn't known.
 NO_LENGTH = 1_248_956_422
 
@@ -59,13 +62,18 @@ class Sites:
             gap = np.abs(self.cm[j] - self.cm[i])
             return gap if o.exact_buffer else np.floor(gap)
 
-        def nearest(i: int, side: np.ndarray) -> int:
-            if not len(side):
-                return i
-            met = (cm_from(i, side) >= o.buffer_cm) & (np.abs(self.pos[side] - self.pos[i]) >= o.buffer_mb * 1e6) & (np.abs(side - i) >= o.buffer_count)
-            return int(side[np.argmax(met)]) if met.any() else int(side[-1])
+        def nearest(i: int, step: int) -> int:
+            """Search outwards in blocks of growing size."""
+            end, at, block = (len(self) if step > 0 else -1), i + step, 1024
+            while at != end:
+                side = np.arange(at, at + step * min(block, abs(end - at)), step)
+                met = (cm_from(i, side) >= o.buffer_cm) & (np.abs(self.pos[side] - self.pos[i]) >= o.buffer_mb * 1e6) & (np.abs(side - i) >= o.buffer_count)
+                if met.any():
+                    return int(side[np.argmax(met)])
+                at, block = int(side[-1]) + step, 2 * block
+            return (len(self) - 1 if step > 0 else 0) if len(self) else i
 
-        return nearest(a, np.arange(a - 1, -1, -1)), nearest(b, np.arange(b + 1, len(self)))
+        return nearest(a, -1), nearest(b, 1)
 
 
 def sequential(s: Sites, o: ChunkOptions, count: int) -> list[tuple[int, int]]:
@@ -173,11 +181,16 @@ def islands(values: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def selection_groups(sites: DataFrame, modulo_cm: float) -> DataFrame:
-    """WIN-06: groups of consecutive common, good sites by rounded genetic position; sites before the first such have none."""
-    w = (Window.partitionBy("chrom") if "chrom" in sites.columns else Window.partitionBy(F.lit(0))).orderBy("pos", "site")
+    """WIN-06: groups of consecutive common, good sites by rounded genetic position; sites before the first such have none. Ranges in parallel."""
     good = F.col("is_common") & ~F.col("lq")
-    step = F.when(good, F.round(F.col("cm") / F.lit(float(modulo_cm))).cast("long"))
-    kept = sites.withColumn("step", step)
-    last = F.last("step", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    kept = ranged(sites).withColumn("step", F.when(good, F.round(F.col("cm") / F.lit(float(modulo_cm))).cast("long")))
+    key = [*range_keys(sites), RANGE]
+    over = (Window.partitionBy(*key[:-1]) if key[:-1] else Window.partitionBy(F.lit(0))).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    ends = kept.groupBy(*key).agg(F.max_by("step", F.when(F.col("step").isNotNull(), F.struct("pos", "site"))).alias("end"))  # a row a range
+    carried = ends.select(*key, F.last("end", True).over(over).alias("carried"))
+    kept = kept.join(carried, key, "left")
+    w = within(kept).orderBy("pos", "site")
+    last = F.coalesce(F.last("step", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
     kept = kept.withColumn("change", (F.col("step").isNotNull() & (last.isNull() | (last != F.col("step")))).cast("int"))
-    return kept.withColumn("grp", F.when(good, F.sum("change").over(w) - 1)).drop("step", "change")
+    kept = with_totals_before(kept, changes=F.col("change"))
+    return kept.withColumn("grp", F.when(good, F.col("changes") + F.sum("change").over(w) - 1)).drop("step", "change", "changes", "carried", RANGE)

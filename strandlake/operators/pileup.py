@@ -67,12 +67,48 @@ def cover(reads: DataFrame, sites: DataFrame, width: int = 256) -> DataFrame:
     return r.join(s, keys).filter((F.col("pos") >= F.col("read_pos")) & (F.col("pos") < F.col("read_pos") + F.col("len"))).drop("block")
 
 
+# Stretches of a CIGAR: what follows counts bases of the reference (MDN=X) and of the read (MIS=X) before each.
+STRETCHES = r"""transform(if(size(parsed) > 0, sequence(1, size(parsed)), array()), i -> named_struct(
+  'op', parsed[i - 1].op, 'n', parsed[i - 1].n,
+  'ref_at', aggregate(slice(parsed, 1, i - 1), 0L, (s, x) -> s + if(x.op IN ('M', 'D', 'N', '=', 'X'), x.n, 0)),
+  'at', aggregate(slice(parsed, 1, i - 1), 0L, (s, x) -> s + if(x.op IN ('M', 'I', 'S', '=', 'X'), x.n, 0)),
+  'indel', CASE WHEN parsed[i - 1].op NOT IN ('M', '=', 'X') THEN 0 WHEN get(parsed, i).op = 'I' THEN get(parsed, i).n WHEN get(parsed, i).op = 'D' THEN -get(parsed, i).n ELSE 0 END))"""
+
+
+def segments(reads: DataFrame) -> DataFrame:
+    """SRC-16: a row per stretch of a read's alignment (cigar) that covers reference positions: pos, len, op, at (0-based place in the read), indel.
+
+    indel: bases inserted (positive) or deleted (negative) right behind the stretch, which belong to its last base. Other
+    columns stay; a read without an alignment has no row.
+    """
+    parts = F.regexp_extract_all("cigar", F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
+    parsed = F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("n")))
+    x = reads.withColumn("parsed", parsed).withColumn("stretch", F.explode(F.expr(STRETCHES))).filter(F.col("stretch.op").isin(*"MDN=X"))
+    columns = {"pos": F.col("pos") + F.col("stretch.ref_at"), "len": F.col("stretch.n"), "op": F.col("stretch.op"), "at": F.col("stretch.at"), "indel": F.col("stretch.indel")}
+    return x.withColumns(columns).drop("parsed", "stretch")
+
+
+def bases_at(pile: DataFrame) -> DataFrame:
+    """JOIN-10, FLT-09: base, qual and read_indel of segments (cover) at sites; null bases for deleted and skipped positions."""
+    aligned = F.col("op").isin("M", "=", "X")
+    offset = F.when(aligned, F.col("at") + F.col("pos") - F.col("read_pos")).cast("int")
+    x = pile.withColumn("offset", offset)
+    qual = F.when(F.col("quals") == "*", 255).otherwise(F.ascii(F.substr("quals", F.col("offset") + 1, F.lit(1))) - 33)
+    last = F.col("pos") == F.col("read_pos") + F.col("len") - 1
+    return x.withColumns({"base": F.upper(F.substr("bases", F.col("offset") + 1, F.lit(1))), "qual": F.when(aligned, qual), "read_indel": F.when(aligned, F.when(last, F.col("indel")).otherwise(0))})
+
+
+def pile_up(reads: DataFrame, sites: DataFrame, width: int = 256) -> DataFrame:
+    """SRC-16, JOIN-10: reads (with cigar, bases, quals) at sites, by base."""
+    return bases_at(cover(segments(reads), sites, width))
+
+
 def usable_bases(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
-    """FLT-09: A, C, G or T of sufficient quality."""
+    """FLT-09: A, C, G or T of sufficient quality; deleted and skipped positions have none."""
     return pile.filter(F.col("base").isin("A", "C", "G", "T") & (F.col("qual") >= o.baseq))
 
 
-def limit_depth(pile: DataFrame, o: ReadOptions = ReadOptions(), seed: int = 15052011) -> DataFrame:
+def limit_depth(pile: DataFrame, o: ReadOptions = ReadOptions(), seed: int = 20011) -> DataFrame:
     """SMP-02: at most max_depth reads a sample and site, drawn by a hash of the read."""
     draw = F.crc32(F.concat_ws("|", F.lit(seed), "sample", "site", "read_id").cast("binary"))
     w = Window.partitionBy("sample", "site").orderBy(draw, "read_id")
@@ -98,10 +134,39 @@ def likelihoods(pile: DataFrame, ploidy: int = 2) -> DataFrame:
     return summed.withColumn("pl", pl).withColumn("flat", F.array_min("pl") == F.array_max("pl"))
 
 
-def indel_evidence(pile: DataFrame) -> DataFrame:
-    """MDL-03: reads that show an insertion or deletion (columns read_indel, ref, alt): 1 for the alternative, 0 for the reference, null else."""
-    size = F.length("alt") - F.length("ref")
-    return pile.withColumn("supports", F.when(F.col("read_indel") == size, 1).when(F.col("read_indel") == 0, 0))
+def _mean_quality(n) -> Column:
+    """Mean of n qualities from the site's base on, rounded down."""
+    places = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.ascii(F.substr("quals", F.col("offset") + k, F.lit(1))) - 33)
+    return F.when(F.col("quals") == "*", 255).otherwise(F.floor(F.aggregate(places, F.lit(0), lambda s, q: s + q) / F.greatest(n, F.lit(1)))).cast("int")
+
+
+def indel_bases(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
+    """MDL-03: at insertions and deletions (one allele of one base), base becomes the allele that a read shows and qual a mean quality; other reads go.
+
+    A read must have the anchor base. Insertion: without an indel it shows the reference; with one of the size of the
+    alternative (less, where the read ends) and the same bases but the last, the alternative. Deletion: with one of its
+    size, the alternative; without an indel and with the reference's bases as far as the read goes, the reference.
+    """
+    left = F.length("bases") - F.col("offset")
+    inserts, deletes = (F.length("ref") == 1) & (F.length("alt") > 1), (F.length("ref") > 1) & (F.length("alt") == 1)
+    size = F.least(F.length("alt"), left) - 1
+    same = F.substr("bases", F.col("offset") + 2, size - 1) == F.substr("alt", F.lit(2), size - 1)
+    shown = F.least(F.length("ref"), left)
+    plain = F.substr("bases", F.col("offset") + 1, shown) == F.substr("ref", F.lit(1), shown)
+    indel = F.col("read_indel")
+    supports = (
+        F.when(inserts & (indel == 0), F.col("ref")).when(inserts & (indel > 0) & (indel == size) & same, F.col("alt"))
+        .when(deletes & (indel == 0) & plain, F.col("ref")).when(deletes & (indel == 1 - F.length("ref")), F.col("alt"))
+    )
+    qual = F.when(inserts & (indel > 0), _mean_quality(indel)).when(deletes & (indel == 0), _mean_quality(shown)).otherwise(F.col("qual"))
+    x = pile.filter(F.col("base") == F.substr("ref", F.lit(1), F.lit(1))).withColumns({"shows": supports, "mean_qual": qual})
+    return x.filter(F.col("shows").isNotNull() & (F.col("mean_qual") >= o.baseq)).withColumns({"base": F.col("shows"), "qual": F.col("mean_qual")}).drop("shows", "mean_qual")
+
+
+def usable_evidence(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
+    """FLT-09, MDL-03: usable bases at SNPs, indel evidence at insertions and deletions; likelihoods() takes both."""
+    snp = (F.length("ref") == 1) & (F.length("alt") == 1)
+    return usable_bases(pile.filter(snp), o).unionByName(indel_bases(pile.filter(~snp), o))
 
 
 def snp_only(likelihoods: DataFrame, use_indels: bool = False) -> DataFrame:
@@ -113,7 +178,7 @@ def snp_only(likelihoods: DataFrame, use_indels: bool = False) -> DataFrame:
 
 
 def coverage(pile: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFrame:
-    """AGG-14, SNK-05, FN-29: depth classes per sample over all sites, with those a Poisson law gives."""
+    """AGG-14, SNK-05, FN-29: depth classes (0 to 4, 5 to 10, 11 to 30, more) per sample over all sites, with those a Poisson law gives."""
     per = pile.groupBy("sample", "site").agg(F.count("*").alias("depth"))
     classes = [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 10), (11, 30), (31, 1 << 30)]
     counts = [F.sum(F.col("depth").between(a, b).cast("long")).alias(f"c{i}") for i, (a, b) in enumerate(classes)]
@@ -123,5 +188,7 @@ def coverage(pile: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFrame
     mean = F.col("reads") / F.col("n_sites")
     out = out.withColumn("mean_depth", mean).withColumn("no_data", 100.0 * (F.col("n_sites") - F.col("covered")) / F.col("n_sites"))
     out = out.withColumn("c0", F.col("n_sites") - F.col("covered"))
-    expected = {f"e{i}": F.col("n_sites") * G.poisson(F.lit(i), F.col("mean_depth")) for i in range(5)}
-    return out.withColumns(expected)
+    each = [G.poisson(F.lit(i), F.col("mean_depth")) for i in range(31)]
+    share = [*each[:5], sum(each[6:11], each[5]), sum(each[12:31], each[11])]
+    share.append(F.greatest(F.lit(1.0) - sum(each[1:], each[0]), F.lit(0.0)))
+    return out.withColumns({f"e{i}": F.col("n_sites") * p for i, p in enumerate(share)})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import genotypes as G
+from .ranges import RANGE, ranged, with_totals_before, within
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,8 @@ def biallelic(sites: DataFrame) -> DataFrame:
 
 def classify(sites: DataFrame, options: SiteOptions = SiteOptions()) -> DataFrame:
     """FN-01 to FN-06, FLT-02, FLT-06, WIN-01: counts, frequencies, types and flags of (site, pos, ref, alt, ac, an)."""
-    before = Window.orderBy("pos", "site") if "chrom" not in sites.columns else Window.partitionBy("chrom").orderBy("pos", "site")
     out = (
-        sites.withColumn("cref", G.cref(F.col("ac"), F.col("an")))
+        ranged(sites).withColumn("cref", G.cref(F.col("ac"), F.col("an")))
         .withColumn("calt", F.col("ac"))
         .withColumn("maf", G.maf(F.col("cref"), F.col("calt")))
         .withColumn("mac", G.minor_count(F.col("cref"), F.col("calt")))
@@ -50,8 +50,8 @@ def classify(sites: DataFrame, options: SiteOptions = SiteOptions()) -> DataFram
     )
     if not options.keep_monomorphic:
         out = out.filter(~F.col("monomorphic"))
-    previous = F.lag("pos").over(before)
-    return out.withColumn("lq", (F.col("vtype") != "SNP") | F.coalesce(previous == F.col("pos"), F.lit(False)))
+    previous = F.lag("pos").over(within(out).orderBy("pos", "site"))  # equal positions are in one range
+    return out.withColumn("lq", (F.col("vtype") != "SNP") | F.coalesce(previous == F.col("pos"), F.lit(False))).drop(RANGE)
 
 
 def _by_chromosome(df: DataFrame):
@@ -59,14 +59,16 @@ def _by_chromosome(df: DataFrame):
 
 
 def index_sites(sites: DataFrame) -> DataFrame:
-    """WIN-02, WIN-03, WIN-04: place of each site, common sites before it, and its place among common ones."""
-    w = _by_chromosome(sites).orderBy("pos", "site")
+    """WIN-02, WIN-03, WIN-04: place of each site, common sites before it, and its place among common ones; ranges of positions in parallel."""
+    common = F.col("is_common").cast("long")
+    x = with_totals_before(ranged(sites), n_before=F.lit(1), common_before=common)
+    w = within(x).orderBy("pos", "site")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    common = F.col("is_common").cast("int")
     return (
-        sites.withColumn("site_idx", F.row_number().over(w) - 1)
-        .withColumn("all2common", F.coalesce(F.sum(common).over(before), F.lit(0)))
+        x.withColumn("site_idx", F.col("n_before") + F.row_number().over(w) - 1)
+        .withColumn("all2common", F.col("common_before") + F.coalesce(F.sum(common).over(before), F.lit(0)))
         .withColumn("common_idx", F.when(F.col("is_common"), F.col("all2common")))
+        .drop(RANGE, "n_before", "common_before")
     )
 
 

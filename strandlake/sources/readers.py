@@ -61,6 +61,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=False).withColumn("ordinal", F.monotonically_increasing_id())
 
 
+def item(column: Column | str, i: int) -> Column:
+    """Field i, null on short lines: a filter on the number of fields may run after it."""
+    return F.get(column, F.lit(i))
+
+
 def fields(spark: SparkSession, path: str) -> DataFrame:
     """FN-34: fields of white-space separated lines; empty lines are left out."""
     return _lines(spark, path).select("ordinal", G.tokens(F.col("value")).alias("f")).filter(F.size("f") > 0)
@@ -72,12 +77,12 @@ def genetic_map(spark: SparkSession, path: str) -> DataFrame:
     first = x.agg(F.min("ordinal").alias("o"))
     x = x.join(F.broadcast(first), F.col("ordinal") > F.col("o"))
     bad = F.raise_error(F.lit("a genetic map has three columns"))
-    return x.select("ordinal", F.when(F.size("f") == 3, F.col("f")[0].cast("long")).otherwise(bad.cast("long")).alias("pos"), F.col("f")[2].cast("double").alias("cm"))
+    return x.select("ordinal", F.when(F.size("f") == 3, item("f", 0).try_cast("long")).otherwise(bad.cast("long")).alias("pos"), item("f", 2).try_cast("double").alias("cm"))
 
 
 def ploidy_file(spark: SparkSession, path: str) -> DataFrame:
     """SRC-18: sample and ploidy (1 or 2); the first line of a name counts."""
-    x = fields(spark, path).select("ordinal", F.col("f")[0].alias("sample"), F.col("f")[1].cast("int").alias("ploidy"))
+    x = fields(spark, path).select("ordinal", item("f", 0).alias("sample"), item("f", 1).try_cast("int").alias("ploidy"))
     bad = ~F.col("ploidy").isin(1, 2) | F.col("ploidy").isNull()
     x = x.withColumn("ploidy", F.when(bad, F.raise_error(F.lit("ploidy must be 1 or 2")).cast("int")).otherwise(F.col("ploidy")))
     return x.groupBy("sample").agg(F.min_by("ploidy", "ordinal").alias("ploidy"))
@@ -90,7 +95,7 @@ def with_ploidy(samples: DataFrame, ploidies: DataFrame) -> DataFrame:
 
 def alignment_list(spark: SparkSession, path: str) -> DataFrame:
     """SRC-17, FN-43, SET-05: path and name; the name is the file's stem by default; an error for repeated ones."""
-    x = fields(spark, path).select(F.col("f")[0].alias("path"), F.coalesce(F.get("f", F.lit(1)), G.file_stem(F.col("f")[0])).alias("sample"), "ordinal")
+    x = fields(spark, path).select(item("f", 0).alias("path"), F.coalesce(item("f", 1), G.file_stem(item("f", 0))).alias("sample"), "ordinal")
     twice = x.groupBy("path").count().filter("count > 1").select("path").unionAll(x.groupBy("sample").count().filter("count > 1").select("sample"))
     if not twice.isEmpty():
         raise ValueError(f"listed twice: {twice.first()[0]}")
@@ -102,12 +107,12 @@ def state_list(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     x = fields(spark, path).withColumn("target", F.row_number().over(Window.orderBy("ordinal")) - 1)
-    return x.select("target", F.explode("f").alias("h")).select("target", F.col("h").cast("long").alias("hap"))
+    return x.select("target", F.explode("f").alias("h")).select("target", F.col("h").try_cast("long").alias("hap")).filter("hap IS NOT NULL")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """SRC-20: region, frequency, truth and estimate of evaluations; lines of other widths are left out."""
-    return fields(spark, path).filter(F.size("f") == 4).select("ordinal", *(F.col("f")[i].alias(n) for i, n in enumerate(("region", "frequency", "truth", "estimate"))))
+    return fields(spark, path).filter(F.size("f") == 4).select("ordinal", *(item("f", i).alias(n) for i, n in enumerate(("region", "frequency", "truth", "estimate"))))
 
 
 def groups_file(spark: SparkSession, path: str) -> DataFrame:
@@ -117,33 +122,33 @@ def groups_file(spark: SparkSession, path: str) -> DataFrame:
     if widths not in ([3], [5]):
         raise ValueError("a groups file has three or five columns throughout")
     names = ("chrom", "pos", "grp") if widths == [3] else ("chrom", "pos", "ref", "alt", "grp")
-    x = x.select("ordinal", *(F.col("f")[i].alias(n) for i, n in enumerate(names))).withColumn("pos", F.col("pos").cast("long"))
+    x = x.select("ordinal", *(item("f", i).alias(n) for i, n in enumerate(names))).withColumn("pos", F.col("pos").try_cast("long"))
     return x.groupBy(*names[:-1]).agg(F.min_by("grp", "ordinal").alias("grp"), F.min("ordinal").alias("ordinal"))
 
 
 def sample_list(spark: SparkSession, path: str) -> DataFrame:
     """SRC-22: distinct names in the order of their first lines."""
-    return fields(spark, path).groupBy(F.col("f")[0].alias("sample")).agg(F.min("ordinal").alias("ordinal"))
+    return fields(spark, path).groupBy(item("f", 0).alias("sample")).agg(F.min("ordinal").alias("ordinal"))
 
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
     """SRC-23."""
-    return fields(spark, path).select("ordinal", F.col("f")[0].alias("path"))
+    return fields(spark, path).select("ordinal", item("f", 0).alias("path"))
 
 
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     """SRC-24: contigs and lengths."""
-    return fields(spark, path).select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("length"))
+    return fields(spark, path).select(item("f", 0).alias("chrom"), item("f", 1).try_cast("long").alias("length"))
 
 
 def window_table(spark: SparkSession, path: str) -> DataFrame:
     """The eight columns that chunking.as_lines writes."""
-    f = F.col("f")
     x = fields(spark, path).filter(F.size("f") == 8)
+    f = [item("f", i) for i in range(8)]
     buf, core = region_columns(f[2]), region_columns(f[3])
     return x.select(
-        f[1].alias("chrom"), f[0].cast("int").alias("chunk"), buf[1].alias("buf_start"), buf[2].alias("buf_stop"), core[1].alias("core_start"), core[2].alias("core_stop"),
-        f[4].cast("double").alias("cm"), f[5].cast("long").alias("bp"), f[6].cast("long").alias("n_variants"), f[7].cast("long").alias("n_common"),
+        f[1].alias("chrom"), f[0].try_cast("int").alias("chunk"), buf[1].alias("buf_start"), buf[2].alias("buf_stop"), core[1].alias("core_start"), core[2].alias("core_stop"),
+        f[4].try_cast("double").alias("cm"), f[5].try_cast("long").alias("bp"), f[6].try_cast("long").alias("n_variants"), f[7].try_cast("long").alias("n_common"),
     )
 
 
@@ -162,12 +167,18 @@ def sample_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def variants(spark: SparkSession, path: str, region: Region | None = None) -> DataFrame:
-    """SRC-03, SRC-04, FLT-01, FLT-03: sites of a call file: chrom, pos, id, ref, alts, info (map), format, cells."""
+    """SRC-03, SRC-04, FLT-01, FLT-03: sites of a call file: chrom, pos, id, ref, alts, info (map), format, cells.
+
+    Lines of fewer than eight fields, or without a number as position, are left out.
+    """
     x = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
-    f = F.col("f")
-    pairs = F.filter(F.split(f[7], ";"), lambda p: (p != "") & (p != "."))
-    info = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split(p, "=", 2)[0], F.get(F.split(p, "=", 2), F.lit(1)))))
-    x = x.select(f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), info.alias("info"), F.get(f, F.lit(8)).alias("format"), F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("cells"))
+    f = [item("f", i) for i in range(9)]
+    pairs = F.transform(F.filter(F.split(f[7], ";"), lambda p: (p != "") & (p != ".")), lambda p: F.split(p, "=", 2))
+    names = F.array_distinct(F.transform(pairs, lambda p: F.get(p, F.lit(0))))  # the first of a repeated name counts
+    info = F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.element_at(F.filter(pairs, lambda p: F.get(p, F.lit(0)) == n), 1), F.lit(1))))
+    cells_ = F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0)))
+    x = x.select(F.size("f").alias("width"), f[0].alias("chrom"), f[1].try_cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), info.alias("info"), f[8].alias("format"), cells_.alias("cells"))
+    x = x.filter("width >= 8 AND pos IS NOT NULL").drop("width")
     if region is not None:
         x = x.filter((F.col("chrom") == region.chrom) & F.col("pos").between(region.start, region.stop))
     return x
@@ -175,7 +186,7 @@ def variants(spark: SparkSession, path: str, region: Region | None = None) -> Da
 
 def site_counts(calls: DataFrame) -> DataFrame:
     """SRC-04: sites with AC and AN; others can't be used and are left out."""
-    x = calls.filter(F.size("alts") == 1).withColumn("alt", F.col("alts")[0])
+    x = calls.filter(F.size("alts") == 1).withColumn("alt", item("alts", 0))
     return x.withColumns({"ac": F.col("info")["AC"].try_cast("long"), "an": F.col("info")["AN"].try_cast("long")}).filter("ac IS NOT NULL AND an IS NOT NULL").drop("alts")
 
 
@@ -205,10 +216,19 @@ def match_panel(target: DataFrame, panel: DataFrame, panel_only: bool = False) -
     return target.join(panel.dropDuplicates(keys), keys, "right" if panel_only else "inner")
 
 
-def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-16: alignment text: read_id, flags, chrom, pos, mapq, mate_chrom, mate_pos, len (of the reference), bases and quals."""
-    f = F.col("f")
+def alignments(spark: SparkSession, path: str, region: Region | None = None) -> DataFrame:
+    """SRC-16: alignment text: read_id, flags, chrom, pos, mapq, mate_chrom, mate_pos, len (of the reference), bases, quals and cigar.
+
+    Lines of fewer than eleven fields are left out. pileup.segments walks the alignment.
+    """
     x = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
-    span = F.aggregate(F.expr(r"regexp_extract_all(f[5], '(\\d+)[MDN=X]', 1)"), F.lit(0), lambda a, b: a + b.cast("int"))
-    mate = F.when(f[6] == "=", f[2]).otherwise(f[6])
-    return x.select(f[0].alias("read_id"), f[1].cast("int").alias("flags"), f[2].alias("chrom"), f[3].cast("long").alias("pos"), f[4].cast("int").alias("mapq"), mate.alias("mate_chrom"), f[7].cast("long").alias("mate_pos"), span.alias("len"), f[9].alias("bases"), f[10].alias("quals"), f[5].alias("cigar"))
+    f = [item("f", i) for i in range(11)]
+    span = F.aggregate(F.regexp_extract_all(f[5], F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
+    mate = F.when(f[6] == "=", f[2]).when(f[6] != "*", f[6])
+    x = x.select(
+        F.size("f").alias("width"), f[0].alias("read_id"), f[1].try_cast("int").alias("flags"), f[2].alias("chrom"), f[3].try_cast("long").alias("pos"), f[4].try_cast("int").alias("mapq"), mate.alias("mate_chrom"),
+        f[7].try_cast("long").alias("mate_pos"), span.alias("len"), f[9].alias("bases"), f[10].alias("quals"), f[5].alias("cigar"),
+    ).filter("width >= 11").drop("width")
+    if region is not None:
+        x = x.filter((F.col("chrom") == region.chrom) & (F.col("pos") <= region.stop) & (F.col("pos") + F.col("len") > region.start))
+    return x

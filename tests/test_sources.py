@@ -52,6 +52,40 @@ def test_calls(spark, tmp_path):
     assert {r["sample"]: (r["gt"], r["phased"], r["pl"]) for r in c.collect()} == {"a": ([0, 1], True, [10, 0, 20]), "b": ([0, 0], False, [0, 5, 255])}
 
 
+def test_calls_with_odd_lines(spark, tmp_path):
+    """Headers, short lines, repeated and valueless fields, missing likelihoods, compression; with and without a region."""
+    import gzip
+
+    body = ["##fileformat=VCFv4.2", "##contig=<ID=1>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta", "x", "", "1\t5", "1\tfive\t.\tA\tC\t.\t.\tAC=1;AN=2", "1\t10\t.\tA\tC\t.\t.\tAC=1;AC=7;AN=2;DB\tGT:PL\t0/1", "1\t11\t.\tA\tG\t.\t.\t.", "2\t10\t.\tA\tC\t.\t.\tAC=3;AN=4\tGT:PL\t0/1:1,x,3"]
+    path = tmp_path / "odd.vcf.gz"
+    path.write_bytes(gzip.compress("\n".join(body).encode()))
+    v = readers.variants(spark, str(path))
+    assert sorted((r["chrom"], r["pos"], r["info"].get("AC")) for r in v.collect()) == [("1", 10, "1"), ("1", 11, None), ("2", 10, "3")]
+    assert readers.variants(spark, str(path), readers.parse_region("1:10-10")).count() == 1
+    assert sorted((r["chrom"], r["ac"]) for r in readers.site_counts(v).collect()) == [("1", 1), ("2", 3)]
+    c = readers.cells(v.withColumn("alt", F.get("alts", F.lit(0))), ["a"]).withColumn("pl", readers.pl_field(F.col("fields")))
+    assert sorted((r["chrom"], r["gt"], r["pl"]) for r in c.collect()) == [("1", [0, 1], None), ("2", [0, 1], None)]
+
+
+def test_short_lines_of_lists(spark, tmp_path):
+    assert readers.genetic_map(spark, write(tmp_path, "m", "h\n1 1 2\n")).count() == 1
+    with pytest.raises(Exception, match="three columns"):
+        readers.genetic_map(spark, write(tmp_path, "m2", "h\n1\n")).collect()
+    with pytest.raises(Exception, match="ploidy must be"):
+        readers.ploidy_file(spark, write(tmp_path, "p", "a\n")).collect()
+    assert readers.fasta_index(spark, write(tmp_path, "f", "chr1 100 6\nchr2\n")).filter("length IS NULL").count() == 1
+    assert readers.window_table(spark, write(tmp_path, "w", "0 1\n")).count() == 0
+
+
+def test_alignments(spark, tmp_path):
+    lines = ["@HD\tVN:1.6", "short", "r1\t0\t1\t100\t60\t3S5M2I4M3D2M5N2M\t=\t200\t0\tACGTACGTACGTACGTAC\tIIIIIIIIIIIIIIIIII\tRG:Z:a", "r2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\t*"]
+    path = write(tmp_path, "x.sam", "\n".join(lines))
+    found = {r["read_id"]: r for r in readers.alignments(spark, path).collect()}
+    assert set(found) == {"r1", "r2"} and found["r1"]["len"] == 21 and found["r1"]["mate_chrom"] == "1" and found["r2"]["mate_chrom"] is None
+    region = readers.alignments(spark, path, readers.parse_region("1:120-130"))
+    assert region.count() == 1 and readers.alignments(spark, path, readers.parse_region("1:121-130")).count() == 0
+
+
 def test_result_lines(spark, tmp_path):
     s = spark.createDataFrame([(1, 10, "r1", "A", "C", 0.1, 0.2, 0.9)], "site int, pos long, id string, ref string, alt string, raf double, af double, info double")
     c = spark.createDataFrame([(1, "a", 1, 1.0, [0.0, 1.0, 0.0], 0, 1)], "site int, sample string, gt int, ds double, gp array<double>, h0 int, h1 int")
