@@ -7,8 +7,8 @@ seeded by shared rare shingles: with the shingles of every set in one order, rar
 sets share one among their first n + 1 - ceil(0.75 n); all sets with a given such shingle form a
 region, and every linked pair is together in one.
 
-Within a region the metric is the symmetric difference of sketches (sizes of the parts of a set, by hash;
-their L1 distance is a metric and never above the symmetric difference of the sets). Pivots cut a region
+Within a region the metric is the distance of sketches (sizes of the parts of a set, by hash, modulo 4;
+their Lee distance is a metric and never above the symmetric difference of the sets). Pivots cut a region
 into Voronoi cells. Linked sets differ in at most a third of either's size, so by the triangle inequality a
 member is needed in all cells whose pivot is no farther than the cell's radius and that third (the
 boundary is in several cells), and cells are joined recursively by pivots of their own until they are small.
@@ -56,13 +56,15 @@ SMALL = 512
 #: Members of a region in a task; a larger region is dealt by blocks of members.
 LARGE = 1024
 #: Pivots of a region or cell; pairs of members that are compared without further cells.
-PIVOTS, DIRECT = 8, 1 << 16
+PIVOTS, DIRECT = 8, 1 << 18
 #: Candidates that a member asks for at first; in each later turn MORE times as many.
-NEAREST, MORE = 8, 16
+NEAREST, MORE = 2, 1024
 SAMPLE = 2
 ORDER_BITS = 20
-#: Parts of the sketches of sets up to WIDE shingles, and of larger ones.
-SKETCH, WIDE_SKETCH, WIDE = 256, 4096, 2000
+#: Parts of the sketches of sets by their size: of up to so many shingles, and beyond.
+SKETCHES, SKETCH = ((500, 256), (2000, 1024), (8000, 4096), (1 << 62, 16384)), 256
+#: Links that a task joins by itself.
+EDGES = 200_000
 #: Elements held before a task sends them.
 HELD = 2_000_000
 NO_ID = -(1 << 63)
@@ -75,33 +77,53 @@ def shingle_set(text: str | None) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
+def short(sig: str):
+    """The first eight bytes of a signature, as the number that _regions takes them for."""
+    return F.expr(f"CAST(conv(hex(substring({sig}, 1, 8)), 16, -10) AS BIGINT)")
+
+
 def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _gray(sizes: np.ndarray) -> bytes:
+    """Sizes modulo 4 as two planes of bits: the codes of neighbours (0 and 3 too) differ in one bit."""
+    high, low = (sizes >> 1) & 1, sizes & 1
+    return np.packbits(np.concatenate([high, high ^ low]).astype(np.uint8)).tobytes()
+
+
 def sketch(s: np.ndarray) -> bytes:
-    """Sizes of the parts of a set, by hash, up to 255; more parts for large sets.
+    """Sizes of the parts of a set, by hash, modulo 4, as bits; more parts for large sets.
 
-    Two sets differ in at least as many shingles as their sketches differ.
+    Two sets differ in at least as many shingles as their sketches differ in bits.
     """
-    parts = SKETCH if len(s) <= WIDE else WIDE_SKETCH
-    sizes = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
-    return np.minimum(sizes, 255).astype(np.uint8).tobytes()
+    parts = next(p for most, p in SKETCHES if len(s) <= most)
+    return _gray(np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts))
 
 
-def folded(x: bytes) -> np.ndarray:
-    """A sketch in SKETCH parts. Parts cut at 255 stay below what they stand for, in both sketches alike."""
-    v = np.frombuffer(x, dtype=np.uint8)
-    return v if len(v) == SKETCH else np.minimum(v.reshape(-1, SKETCH).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+def folded(x: bytes, parts: int = SKETCH) -> np.ndarray:
+    """A sketch in fewer parts, as 64-bit words."""
+    if len(x) * 4 != parts:
+        bits = np.unpackbits(np.frombuffer(x, dtype=np.uint8)).reshape(2, -1)
+        x = _gray((2 * bits[0].astype(np.int64) + (bits[0] ^ bits[1])).reshape(-1, parts).sum(axis=0))
+    return np.frombuffer(x, dtype=np.uint64)
+
+
+def finer(d: np.ndarray, xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Distances d of pairs of sketches, by the most parts that both have."""
+    d = d.astype(np.int64)
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        if (parts := 4 * min(len(x), len(y))) > SKETCH:
+            d[k] = np.bitwise_count(folded(x, parts) ^ folded(y, parts)).sum(dtype=np.int64)
+    return d
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """L1 distances of all rows of x (m, parts) from all rows of y (k, parts), as (m, k)."""
+    """Distances of all rows of x (m, words) from all rows of y (k, words), as (m, k)."""
     found = np.empty((len(x), len(y)), dtype=np.int32)
-    step = max(1, (1 << 22) // max(1, x.size))
+    step = max(1, (1 << 20) // max(1, x.size))
     for k in range(0, len(y), step):
-        z = y[k : k + step]
-        found[:, k : k + step] = (np.maximum(x[:, None], z) - np.minimum(x[:, None], z)).sum(axis=2, dtype=np.int32)
+        found[:, k : k + step] = np.bitwise_count(x[:, None] ^ y[k : k + step]).sum(axis=2, dtype=np.int32)
     return found
 
 
@@ -162,21 +184,10 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return common.splitmix(keys[: n + 1 - -(-LEAST * n // 100)]) >> np.uint64(16)
 
 
-def _names(sigs: np.ndarray) -> np.ndarray:
-    """Numbers of the rows of sigs (k, 2), equal for equal rows."""
-    order = np.lexsort((sigs[:, 1], sigs[:, 0]))
-    s = sigs[order]
-    new = np.zeros(len(s), dtype=np.int64)
-    new[1:] = (s[1:] != s[:-1]).any(axis=1)
-    found = np.empty(len(s), dtype=np.int64)
-    found[order] = np.cumsum(new)
-    return found
-
-
 def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
     """(region, a, b, rest, m, pivot): without region, pairs a and b of a tiny region; else a member a of a region of m members.
 
-    a, b: signatures; rest: shingles of a that don't stand before the region's shingle, at most.
+    a, b: first halves of signatures (short), which all sets of that half answer to; rest: shingles of a that don't stand before the region's shingle, at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -187,7 +198,7 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
             keys = np.concatenate([k for k, _, _ in held])
             own = np.repeat(np.arange(len(held)), [len(k) for k, _, _ in held])
             n = np.array([n for _, _, n in held], dtype=np.uint32)
-            sig = np.frombuffer(b"".join(s for _, s, _ in held), dtype=np.int64).reshape(-1, 2)
+            sig = np.frombuffer(b"".join(s[:8] for _, s, _ in held), dtype=">i8").astype("<i8")
             place = np.concatenate([np.arange(len(k)) for k, _, _ in held])
             packed = (keys << np.uint64(16)) | (place * 256 // n[own]).astype(np.uint64)
             bucket = (keys % np.uint64(parts)).astype(np.int64)
@@ -218,17 +229,16 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sigs, ns, before = [], [], [], 0
+        keys, sigs, ns = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 many = np.frombuffer(row["many"], dtype=np.uint32)
                 keys.append(np.frombuffer(row["keys"], dtype=np.uint64))
-                sigs.append(np.repeat(np.arange(before, before + len(many)), many))
-                before += len(many)
-                ns.append(np.rec.fromarrays([np.frombuffer(row["ns"], dtype=np.uint32), *np.frombuffer(row["sigs"], dtype=np.int64).reshape(-1, 2).T], names="n,x,y"))
+                sigs.append(np.repeat(np.frombuffer(row["sigs"], dtype="<i8"), many))
+                ns.append(np.repeat(np.frombuffer(row["ns"], dtype=np.uint32), many))
         if not keys:
             return
-        packed, own, sets = np.concatenate(keys), np.concatenate(sigs), np.concatenate(ns)
+        packed, sig, n = np.concatenate(keys), np.concatenate(sigs), np.concatenate(ns)
         del keys, sigs, ns
         key, place = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.int64)
         # most keys stand alone: leave them out before sorting by signature
@@ -240,22 +250,17 @@ def _regions(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
         order = order[twin]
         if not len(order):
             return
-        names = np.stack([sets["x"], sets["y"]], axis=1)
-        sig, n = _names(names), sets["n"].astype(np.int64)
-        first_of = np.zeros(len(sig), dtype=np.int64)
-        first_of[sig] = np.arange(len(sig))
-        order = order[np.lexsort((sig[own[order]], key[order]))]
-        key, place, own = key[order], place[order], own[order]
-        sig, n = sig[own], n[own]
+        order = order[np.lexsort((sig[order], key[order]))]
+        key, sig, n, place = key[order], sig[order], n[order].astype(np.int64), place[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
         key, sig, n, place = key[new], sig[new], n[new], place[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         m = np.diff(np.append(first, len(key)))
-        yield from _pairs_and_members(sig, n, place, first, m, names[first_of])
+        yield from _pairs_and_members(sig, n, place, first, m)
 
     buckets = docs.select("text").mapInArrow(send, "bucket int, keys binary, sigs binary, ns binary, many binary")
-    return buckets.repartition(parts, "bucket").mapInArrow(meet, "region long, a binary, b binary, rest long, m long, pivot boolean")
+    return buckets.repartition(parts, "bucket").mapInArrow(meet, "region long, a long, b long, rest long, m long, pivot boolean")
 
 
 def feasible(na, nb, ra, rb):
@@ -283,18 +288,10 @@ def _with_partner(n, rest, first, m) -> np.ndarray:
     return keep
 
 
-def _binary(names: np.ndarray) -> pa.Array:
-    """Rows of (k, 2) as 16 bytes each."""
-    at = np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(names).tobytes())])
-
-
-def _pairs_and_members(sig, n, place, first, m, names) -> Iterator[pa.RecordBatch]:
-    """sig: numbers of the members of all regions, in order of regions; names: their signatures, by number."""
+def _pairs_and_members(sig, n, place, first, m) -> Iterator[pa.RecordBatch]:
     region_of = np.repeat(np.arange(len(first)), m)
     rest = n - place * n // 256
-    mixed = common.splitmix(names[sig, 0].view(np.uint64)) + common.splitmix(names[sig, 1].view(np.uint64) ^ np.uint64(1))
-    region_name = np.add.reduceat(common.splitmix(mixed), first).view(np.int64)
+    region_name = np.add.reduceat(common.splitmix(sig.view(np.uint64)), first).view(np.int64)
     # of tiny regions all pairs, of larger ones the members
     tiny = [_all_pairs(first, m, k) for k in range(2, TINY + 1)]
     i, j = np.concatenate([a for a, _ in tiny]), np.concatenate([b for _, b in tiny])
@@ -315,10 +312,10 @@ def _pairs_and_members(sig, n, place, first, m, names) -> Iterator[pa.RecordBatc
     for k in range(0, len(pairs), 50_000):
         p = pairs[k : k + 50_000]
         none = pa.nulls(len(p), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, _binary(names[p[:, 0]]), _binary(names[p[:, 1]]), none, none, pa.nulls(len(p), pa.bool_())], names=columns)
+        yield pa.RecordBatch.from_arrays([none, pa.array(p[:, 0]), pa.array(p[:, 1]), none, none, pa.nulls(len(p), pa.bool_())], names=columns)
     for k in range(0, len(w), 50_000):
         v = slice(k, k + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(region[v]), _binary(names[sig[w[v]]]), pa.nulls(len(w[v]), pa.binary()), pa.array(rest[w[v]]), pa.array(m[region_of[w[v]]].astype(np.int64)), pa.array(pivot[v])], names=columns)
+        yield pa.RecordBatch.from_arrays([pa.array(region[v]), pa.array(sig[w[v]]), pa.nulls(len(w[v]), pa.int64()), pa.array(rest[w[v]]), pa.array(m[region_of[w[v]]].astype(np.int64)), pa.array(pivot[v])], names=columns)
 
 
 def _cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -384,13 +381,9 @@ def _candidates(rows: list[dict], many: int) -> tuple[np.ndarray, np.ndarray, bo
     need = -(-LEAST * (n[i] + n[j]) // (100 + LEAST))
     good = (a[i] != a[j]) & (label[i] != label[j]) & feasible(n[i], n[j], rest[i], rest[j]) & (d <= n[i] + n[j] - 2 * need)
     i, j, d, need = i[good], j[good], d[good], need[good]
-    both = np.flatnonzero((n[i] > WIDE) & (n[j] > WIDE))
-    if len(both):
-        u, v = (np.frombuffer(b"".join(wide[k] for k in z[both]), dtype=np.uint8).reshape(-1, WIDE_SKETCH).astype(np.int16) for z in (i, j))
-        d = d.copy()
-        d[both] = np.abs(u - v).sum(axis=1, dtype=np.int64)
-        good = d <= n[i] + n[j] - 2 * need
-        i, j, d = i[good], j[good], d[good]
+    d = finer(d, [wide[k] for k in i], [wide[k] for k in j])
+    good = d <= n[i] + n[j] - 2 * need
+    i, j, d = i[good], j[good], d[good]
     keep = _first_of_each(i, d, 2) if star.any() else _first_of_each(j, d, many)
     return np.maximum(a[i], a[j])[keep], np.minimum(a[i], a[j])[keep], bool(star.any()) or not keep.all()
 
@@ -477,7 +470,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _maybe(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(a, b) by name: the pairs of signatures whose sketches don't rule a link out."""
+    """(a, b) by name: the pairs of short names whose sketches don't rule a link out."""
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -485,15 +478,13 @@ def _maybe(pairs: DataFrame, entities: DataFrame) -> DataFrame:
                 continue
             xs, ys = batch.column("xa").to_pylist(), batch.column("xb").to_pylist()
             a, b, na, nb = (batch.column(k).to_numpy() for k in ("a", "b", "na", "nb"))
-            x, y = (np.stack([folded(v) for v in z]).astype(np.int16) for z in (xs, ys))
-            d = np.abs(x - y).sum(axis=1, dtype=np.int64)
-            for k in np.flatnonzero((na > WIDE) & (nb > WIDE)):
-                d[k] = np.abs(np.frombuffer(xs[k], dtype=np.uint8).astype(np.int16) - np.frombuffer(ys[k], dtype=np.uint8)).sum(dtype=np.int64)
+            x, y = (np.stack([folded(v) for v in z]) for z in (xs, ys))
+            d = finer(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), xs, ys)
             good = d <= na + nb - 2 * -(-LEAST * (na + nb) // (100 + LEAST))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[good]), pa.array(np.minimum(a, b)[good])], names=["a", "b"])
 
-    left = pairs.join(entities.select(F.col("sig").alias("a"), F.col("name").alias("ka"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
-    both = left.join(entities.select(F.col("sig").alias("b"), F.col("name").alias("kb"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
+    left = pairs.join(entities.select(F.col("short").alias("a"), F.col("name").alias("ka"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
+    both = left.join(entities.select(F.col("short").alias("b"), F.col("name").alias("kb"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
     return both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb", "xa", "xb").mapInArrow(process, "a long, b long")
 
 
@@ -522,8 +513,11 @@ def _is_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("x").alias("x"), F.max("y").alias("y")).filter("x > 1 OR (x = 1 AND y = 1)").isEmpty()
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) as stars around the least nodes of what is joined in a task; then dealt by a, and again. What was joined stays joined."""
+def forest(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges (a, b) as stars around the least nodes of what is joined in a task; then dealt by a, and again; whether one task had all.
+
+    What was joined stays joined.
+    """
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -544,8 +538,11 @@ def forest(edges: DataFrame) -> DataFrame:
         nodes = list(parent)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
 
-    local = edges.select("a", "b").mapInArrow(process, "a long, b long").filter("a <> b")
-    return common.cut_lineage(local.repartition(common.partitions(edges.sparkSession), "a").mapInArrow(process, "a long, b long").filter("a <> b"))
+    tasks = max(1, -(-edges.count() // EDGES))
+    local = edges.select("a", "b").coalesce(tasks).mapInArrow(process, "a long, b long").filter("a <> b")
+    if tasks > 1:
+        local = local.repartition(common.partitions(edges.sparkSession), "a").mapInArrow(process, "a long, b long").filter("a <> b")
+    return common.cut_lineage(local), tasks == 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -554,10 +551,10 @@ def components(links: DataFrame) -> DataFrame:
     Edges of a node meet and become stars; an edge to a node that has an edge of its own takes its end; until only
     stars are left. A star's centre with many leaves is never gathered: edges are dealt by their leaves.
     """
-    edges = forest(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    while not _is_stars(edges):
+    edges, whole = forest(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while not whole and not _is_stars(edges):
         up = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        edges = forest(edges.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b")))
+        edges, whole = forest(common.cut_lineage(edges.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"))))
     return edges
 
 
@@ -577,11 +574,11 @@ def _entities(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     signed = common.cut_lineage(_signed(docs))
     found = common.cut_lineage(_regions(docs, _order_table(signed), parts))
     signed = signed.filter("part IS NULL").drop("part", "counts")
-    sets = common.cut_lineage(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    involved = found.select(F.col("a").alias("sig")).unionByName(found.filter("region IS NULL").select(F.col("b").alias("sig"))).distinct()
-    entities = common.cut_lineage(sets.join(involved, "sig", "left_semi").withColumn("name", F.monotonically_increasing_id()))
+    sets = common.cut_lineage(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("short", short("sig")))
+    involved = found.select(F.col("a").alias("short")).unionByName(found.filter("region IS NULL").select(F.col("b").alias("short"))).distinct()
+    entities = common.cut_lineage(sets.join(involved, "short", "left_semi").withColumn("name", F.monotonically_increasing_id()))
     pairs = _maybe(found.filter("region IS NULL").select("a", "b").distinct(), entities)
-    members = found.filter("region IS NOT NULL").select("region", F.col("a").alias("sig"), "rest", "m", "pivot").join(entities.select("sig", "n", "sketch", F.col("name").alias("a")), "sig").drop("sig")
+    members = found.filter("region IS NOT NULL").select("region", F.col("a").alias("short"), "rest", "m", "pivot").join(entities.select("short", "n", "sketch", F.col("name").alias("a")), "short").drop("short")
     return signed.drop("sketch"), sets.select("sig", "rep", "entity_size"), entities, pairs, members
 
 

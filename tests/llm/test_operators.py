@@ -202,23 +202,27 @@ def test_all_links(spark):
 def test_cells(monkeypatch):
     monkeypatch.setattr(ngram_join, "DIRECT", 40)
     rng = np.random.default_rng(3)
-    centres = rng.integers(0, 40, (12, 256))
-    s = np.clip(centres[rng.integers(0, 12, 300)] + rng.integers(-1, 2, (300, 256)), 0, 255).astype(np.uint8)
-    reach = rng.integers(100, 300, 300)
+    centres = rng.integers(0, 1 << 62, (12, 8))
+    s = centres[rng.integers(0, 12, 300)] ^ (1 << rng.integers(0, 62, (300, 8)))
+    s = s.astype(np.uint64)
+    reach = rng.integers(5, 250, 300)
     ix, iy = np.arange(0, 300), np.arange(0, 300, 2)
     found = [(i, j, d) for a, b, c in ngram_join._cells(s, s, reach, ix, iy) for i, j, d in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)]
-    d = np.abs(s.astype(int)[:, None] - s).sum(axis=2)
-    expected = {(i, j, d[i, j]) for i in ix.tolist() for j in iy.tolist() if d[i, j] <= reach[j]}
+    d = [[sum((int(x) ^ int(y)).bit_count() for x, y in zip(a, b, strict=True)) for b in s] for a in s]
+    expected = {(i, j, d[i][j]) for i in ix.tolist() for j in iy.tolist() if d[i][j] <= reach[j]}
     assert len(found) == len(set(found)) and set(found) == expected
 
 
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(4)
-    for n in (10, 500, 5000):
-        x, y = (np.unique(rng.integers(0, 1 << 62, n, dtype=np.int64)).astype(np.uint64) for _ in range(2))
+    for n, m in ((10, 10), (490, 520), (1900, 2100), (7900, 8100), (20, 9000)):
+        x, y = (np.unique(rng.integers(0, 1 << 62, k, dtype=np.int64)).astype(np.uint64) for k in (n, m))
         y = np.union1d(x[: len(x) // 2], y)
-        a, b = (ngram_join.folded(ngram_join.sketch(v)).astype(int) for v in (x, y))
-        assert np.abs(a - b).sum() <= len(np.setxor1d(x, y))
+        for z in (x, y, x[1:], x[:-3]):
+            a, b = ngram_join.sketch(x), ngram_join.sketch(z)
+            d = np.bitwise_count(ngram_join.folded(a) ^ ngram_join.folded(b)).sum()
+            assert d <= ngram_join.finer(np.array([d]), [a], [b])[0] <= len(np.setxor1d(x, z))
+            assert len(z) != len(x) or (d == 0) == (z is x)
 
 
 def test_components_by_links(spark):
