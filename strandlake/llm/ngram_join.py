@@ -442,11 +442,10 @@ def slot(doc_id, bits: int):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, members): the sets of the wanted entities (name, sig, rep), eight bytes a shingle.
+    """(sig, members), dealt by sig: the sets of the wanted entities (kept table: name, sig, rep), eight bytes a shingle.
 
     Texts aren't shuffled: a bitmap tells which may be wanted, and only their sets are sent on.
     """
-    wanted = common.cut_lineage(wanted)
     bits, marks = _marks(wanted)
     # buckets count from 1, of 32768 positions each
     shared = docs.sparkSession.sparkContext.broadcast(marks)
@@ -466,7 +465,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     places = docs.withColumn("slot", slot(F.col("doc_id"), bits)).select(F.expr("bitmap_bucket_number(slot)").alias("bucket"), F.expr("bitmap_bit_position(slot)").alias("position"), "text")
     found = places.mapInArrow(process, "sig binary, members binary")
-    return found.join(wanted.select("sig", "name").hint("merge"), "sig").dropDuplicates(["sig"]).select("name", "members")
+    return found.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def _maybe(pairs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -488,8 +487,8 @@ def _maybe(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb", "xa", "xb").mapInArrow(process, "a long, b long")
 
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, either) for distinct pairs (a, b)."""
+def _measure(pairs: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, either) for distinct pairs (a, b) of the wanted. Pairs go to where sets are dealt; a set travels once more for each pair."""
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -502,8 +501,9 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 either.append(len(both) - i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "shared", "either"])
 
-    left = pairs.join(sets.select(F.col("name").alias("a"), F.col("members").alias("sa")), "a")
-    both = left.join(sets.select(F.col("name").alias("b"), F.col("members").alias("sb")), "b")
+    keyed = pairs.join(wanted.select(F.col("name").alias("a"), F.col("sig").alias("ka")), "a").join(wanted.select(F.col("name").alias("b"), F.col("sig").alias("kb")), "b")
+    left = keyed.join(sets.select(F.col("sig").alias("ka"), F.col("members").alias("sa")).hint("merge"), "ka").select("a", "b", "kb", "sa")
+    both = left.join(sets.select(F.col("sig").alias("kb"), F.col("members").alias("sb")).hint("merge"), "kb")
     return common.cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(process, "a long, b long, shared long, either long"))
 
 
@@ -570,9 +570,9 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _entities(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, text_hash, n, sig); sets; those that meet others, with names; the pairs and the members of regions that they make."""
-    parts = common.partitions(docs.sparkSession)
     signed = common.cut_lineage(_signed(docs))
-    found = common.cut_lineage(_regions(docs, _order_table(signed), parts))
+    # a set's name goes to each bucket that has one of its keys: fewer buckets than partitions
+    found = common.cut_lineage(_regions(docs, _order_table(signed), max(8, common.partitions(docs.sparkSession) // 3)))
     signed = signed.filter("part IS NULL").drop("part", "counts")
     sets = common.cut_lineage(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("short", short("sig")))
     involved = found.select(F.col("a").alias("short")).unionByName(found.filter("region IS NULL").select(F.col("b").alias("short"))).distinct()
@@ -586,8 +586,9 @@ def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, members: Data
     """Measured pairs by name (all that may be linked, if everything; else enough for the components), and components."""
 
     def measure(asked: DataFrame) -> DataFrame:
-        wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        return _measure(asked, _sets(docs, entities.select("name", "sig", "rep").join(wanted, "name", "left_semi")))
+        names = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        wanted = common.cut_lineage(entities.select("name", "sig", "rep").join(names, "name", "left_semi"))
+        return _measure(asked, wanted, _sets(docs, wanted))
 
     members = common.cut_lineage(members)
     all_ = F.lit(True) if everything else (F.col("m") <= SMALL) | F.col("pivot")
