@@ -1,10 +1,10 @@
 """Operator 2: a mix of sources at target weights by systematic sampling; DataFrame functions only.
 
 Every document of a source has the same expected number of copies: the source's target over its size
-in words. Within a source, documents stand in order of size class, salt and size; the prefix sums of
-their expected copies, plus one offset for the source, are cut at the integers, and a document is
-emitted once per integer that its step crosses. The offset is one of CANDIDATES equally spaced ones
-around a seeded random number: the one whose words come nearest to the target.
+in words. Within a source, documents stand in order of size class, salt and size, so that neighbours
+are of like size and what one takes too much the next takes less; the prefix sums of
+their expected copies, plus one random offset for the source (seeded), are cut at the integers, and a document is
+emitted once per integer that its step crosses. A source's words miss their target by little more than its largest document.
 
 The rank of a document within its source is put together from counts of (source, size class, salt)
 groups and a rank within the group, so no source, however large, meets in one task; the number of
@@ -12,8 +12,9 @@ salts follows the number of rows.
 
 Defined results: null texts have size 0; the null source is a source of its own, last; documents of
 size 0 take part with 0 words; a source of size 0 has target 0 and takes nothing; ties and repeated
-rows are ordered by doc_id, and equal rows get interchangeable results; an empty table gives an empty
-result; other columns are ignored.
+rows are ordered by doc_id, and equal rows get interchangeable results; a very long text is a document like
+others, its words are counted whole; an empty table gives an empty result; other columns are ignored, whatever
+their names (`mixed` keeps them).
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: No source's target, and no document, exceeds so many times its size.
 MOST = 3
-CANDIDATES = 16
 #: Rows of a source and size class are dealt to salts of about so many.
 SALT_ROWS = 2_000
 SEED = "mix-1"
@@ -54,14 +54,25 @@ def jitter(source: Column) -> Column:
     return hashed(F.concat(F.lit(SEED + "|"), F.coalesce(source, F.lit("")), F.when(source.isNull(), "|null").otherwise("|"))) / F.lit(float(1 << 32))
 
 
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """sizes with rank, from 0, in code point order of source, null last; by ranges, as there may be many sources."""
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = common.cut_lineage(sizes.repartitionByRange(common.partitions(sizes.sparkSession), *order).withColumn("range", F.spark_partition_id()))
+    per = dealt.groupBy("range").agg(F.count("*").alias("n"))  # a row a range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return dealt.withColumn("own", own).join(starts, "range").withColumn("rank", F.col("start") + F.col("own")).drop("own", "start", "range")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """sizes (source, source_size) with weight and target. One row a source.
 
     Weights go round in code point order, null last. Capped sources stop at most * size; what they
     leave is shared by weight until no other is above. Each round is one aggregate over the sources.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weighed = common.cut_lineage(sizes.withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in weights)), (rank % len(weights) + 1).cast("int"))))
+    weighed = ranked_sources(sizes).withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
+    weighed = common.cut_lineage(weighed)
     total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t")).first()["t"]
     capped_size, capped_weight = 0, 0
     all_weight = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()["w"]
@@ -106,30 +117,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     own = Window.partitionBy("src", "class", "salt").orderBy("size", "doc_id")
     ranked = rows.withColumn("own", F.row_number().over(own)).join(starts, ["src", "class", "salt"]).withColumn("rank", F.col("start") + F.col("own"))
 
-    def copies(offset: Column) -> Column:
-        crossed = F.floor(offset + F.col("rank") * F.col("rate")) - F.floor(offset + (F.col("rank") - 1) * F.col("rate"))
-        return F.least(crossed, F.lit(most)).cast("long")
-
-    def offset(k: int | Column) -> Column:
-        return (k + F.col("jitter")) / F.lit(float(CANDIDATES))
-
-    tried = ranked.groupBy("src").agg(
-        F.first("target").alias("aim"), *(F.sum(copies(offset(F.lit(k))) * F.col("size")).alias(f"t{k}") for k in range(CANDIDATES))
-    )
-    misses = F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("aim")).alias("miss"), F.lit(k).alias("k")) for k in range(CANDIDATES)))
-    chosen = tried.select("src", F.array_min(misses)["k"].alias("k"))
-    taken = ranked.join(chosen, "src").withColumn("copies", copies(offset(F.col("k"))))
+    crossed = F.floor(F.col("jitter") + F.col("rank") * F.col("rate")) - F.floor(F.col("jitter") + (F.col("rank") - 1) * F.col("rate"))
+    taken = ranked.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it."""
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))}
-    wanted = mix(docs, weights, most).select(*(c.alias(k) for k, c in keys.items()), F.col("text_hash").alias("_text"), "copies")
-    wanted = wanted.groupBy("_id", "_source", "_text").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    keyed = docs.withColumns(keys).withColumn("_text", F.xxhash64("text"))
-    chosen = keyed.join(wanted, ["_id", "_source", "_text"]).dropDuplicates(["_id", "_source", "_text"])
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The documents of the mix, each as often as the mix takes it, with the columns of docs as they are."""
+    key, source, text, copies, copy = common.fresh(docs, "key", "source_key", "text_hash", "copies", "copy")
+    keys = {key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), source: F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))}
+    wanted = mix(docs, weights, most).select(*(c.alias(k) for k, c in keys.items()), F.col("text_hash").alias(text), F.col("copies").alias(copies))
+    wanted = wanted.groupBy(key, source, text).agg(F.sum(copies).alias(copies)).filter(F.col(copies) > 0)
+    keyed = docs.withColumns(keys).withColumn(text, F.xxhash64("text"))
+    chosen = keyed.join(wanted, [key, source, text]).dropDuplicates([key, source, text])
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:
@@ -161,11 +162,6 @@ aimed AS (
 ranked AS (
   SELECT k.doc_id, k.size, a.source_size, a.target, a.source, a.jitter, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
          row_number() OVER (PARTITION BY k.source ORDER BY k.class, k.salt, k.size, k.doc_id) AS rank
-  FROM keyed k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source),
-tried AS (
-  SELECT r.*, o.k, least(floor((k + jitter) / {float(CANDIDATES)}::DOUBLE + rank * rate) - floor((k + jitter) / {float(CANDIDATES)}::DOUBLE + (rank - 1) * rate), {most})::BIGINT * size AS taken
-  FROM ranked r, (SELECT unnest(range({CANDIDATES})) AS k) o),
-best AS (
-  SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), k) AS place FROM tried GROUP BY source, k) WHERE place = 1)
-SELECT t.doc_id, t.size, t.source_size, t.target, t.taken FROM tried t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.k = b.k
+  FROM keyed k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target, least(floor(jitter + rank * rate) - floor(jitter + (rank - 1) * rate), {most})::BIGINT * size AS taken FROM ranked
 """
