@@ -1,19 +1,22 @@
 """Operator 4: toxicity by a weighted lexicon matched with an Aho-Corasick automaton.
 
 Texts are folded first: compatibility forms and case (NFKC, lower case), letters that look like Latin
-ones, digits and signs that stand for letters inside words. Lexicon entries are word beginnings and
+ones, digits and signs that stand for letters inside words (word by word: those before the word's last letter,
+and ! and | only behind a first one). Lexicon entries are word beginnings and
 whole words with weights (log odds); they count only where a word begins, the longest entry per word.
-Exception phrases are entries of the same automaton that cancel the entries they cover. The weight
+Exception phrases, of one to three words, are entries of the same automaton that cancel the entries they cover. The weight
 found, by itself and per length, is turned into a score between 0 and 1 by a logistic function.
 
 Learning reads at most MAX_TOXIC and MAX_CLEAN labelled documents (those smallest by a hash of
-doc_id): word beginnings of toxic documents with clearly higher document frequency there become
-entries; words that start like an entry but occur as often in clean documents become exceptions.
+doc_id), the only bound: all word beginnings of toxic documents with clearly higher document frequency there become
+entries; of the words that begin with an entry, and the phrases that such a word opens, those that stand in clean
+documents without being clearly more frequent in toxic ones become exceptions, whether toxic ones have them or not.
 
 Defined results: null and empty texts score as texts without any match; several labels of one document
 count as toxic if one is; null labels are skipped; without labels of both kinds there is no lexicon
-and all scores are 0 (1 if there are toxic labels only); repeated rows are scored each; an empty
-table gives an empty result.
+and all scores are 0 (1 if there are toxic labels only); ties and repeated rows are scored each, by their texts
+alone; very long texts are folded and searched whole; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -35,8 +38,8 @@ from . import common
 
 #: The most labelled documents that learning reads.
 MAX_TOXIC, MAX_CLEAN = 6_000, 14_000
-#: Lengths of word beginnings that may become entries, and the most entries.
-SHORTEST, LONGEST, MAX_ENTRIES = 3, 12, 2_000
+#: Lengths of word beginnings that may become entries.
+SHORTEST, LONGEST = 3, 12
 THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones.
@@ -46,8 +49,21 @@ STAND_INS = dict(zip("013457@$!|", "oieastasil", strict=True))
 
 FOLD = {ord(k): v for k, v in LOOKALIKES.items()}
 SIGNS = {ord(k): v for k, v in STAND_INS.items()}
-MIXED = re.compile(r"(?<![^\W_])[^\W_]*(?:[^\W\d_][\d@$!|]|[\d@$][^\W\d_])(?:[^\W_]|[@$!|](?=[^\W_]))*")
+#: A run of letters, digits and stand-ins with a stand-in in it.
+MASKED = re.compile(r"(?<![^\W_])(?<![@$!|])(?:[^\W_]|[@$!|])*[\d@$!|](?:[^\W_]|[@$!|])*")
 WORD = re.compile(r"[^\W\d_]+")
+#: A word with up to two more behind single blanks.
+PHRASE = re.compile(r"(?<![^\W\d_])([^\W\d_]+)(?= ([^\W\d_]+)(?: ([^\W\d_]+))?)?")
+
+
+def unmasked(m: re.Match) -> str:
+    """The word with letters for the stand-ins before its last letter; ! and | not at its start."""
+    w = m[0]
+    last = max((i for i, c in enumerate(w) if c.isalpha()), default=-1)
+    if last < 1:
+        return w
+    first = next(i for i, c in enumerate(w) if c not in "!|")
+    return w[:first] + w[first:last].translate(SIGNS) + w[last:]
 
 
 def fold(text: str) -> str:
@@ -55,7 +71,7 @@ def fold(text: str) -> str:
         text = unicodedata.normalize("NFKC", text).lower().translate(FOLD)
     else:
         text = text.lower()
-    return MIXED.sub(lambda m: m[0].translate(SIGNS), text) if re.search(r"[\d@$]", text) else text
+    return MASKED.sub(unmasked, text)
 
 
 @dataclass
@@ -65,14 +81,17 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-20.0, 0.0, 0.0, 0.0])
 
     def automaton(self) -> ahocorasick.Automaton | None:
-        a = ahocorasick.Automaton()
+        """Each string with its weight as a beginning, as a whole word, and whether it is an exception."""
+        told: dict[str, list] = {}
         for k, w in self.entries.items():
-            a.add_word(k.rstrip(), (k, len(k.rstrip()), w, False))
+            told.setdefault(k.rstrip(), [0.0, 0.0, False])[int(k[-1] == " ")] = w
         for k in self.exceptions:
-            old = a.get(k, None)
-            a.add_word(k, (k, len(k), old[2] if old else 0.0, True))
-        if not len(a):
+            told.setdefault(k, [0.0, 0.0, False])[2] = True
+        if not told:
             return None
+        a = ahocorasick.Automaton()
+        for k, v in told.items():
+            a.add_word(k, (len(k), *v))
         a.make_automaton()
         return a
 
@@ -82,19 +101,25 @@ class Model:
             return 0.0, 0
         longest: dict[int, tuple[int, float]] = {}
         covered: list[tuple[int, int]] = []
-        for end, (key, size, weight, exception) in automaton.iter(text):
+        for end, (size, begins, whole, exception) in automaton.iter(text):
             start, end = end - size + 1, end + 1
             if start and text[start - 1].isalpha():
                 continue
             ends = end == len(text) or not text[end].isalpha()
             if exception and ends:
                 covered.append((start, end))
-            elif weight and (ends or key[-1] != " ") and longest.get(start, (0, 0.0))[0] < size:
+            weight = max(begins, whole) if ends else begins
+            if weight and longest.get(start, (0, 0.0))[0] < size:
                 longest[start] = (size, weight)
         if covered:
-            for start in list(longest):
-                if any(a <= start < b for a, b in covered):
-                    del longest[start]
+            covered.sort()
+            gone, reach, k = set(), -1, 0
+            for start in sorted(longest):
+                while k < len(covered) and covered[k][0] <= start:
+                    reach, k = max(reach, covered[k][1]), k + 1
+                if start < reach:
+                    gone.add(start)
+            longest = {k: v for k, v in longest.items() if k not in gone}
         return sum(w for _, w in longest.values()), len(longest)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -111,33 +136,51 @@ def expand(features: np.ndarray) -> np.ndarray:
 def _beginnings(text: str) -> set[str]:
     found = set()
     for w in set(WORD.findall(fold(text))):
-        found.add(w[:40] + " ")
+        found.add(w + " ")
         found.update(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
     return found
 
 
-def _document_counts(docs: DataFrame, known: frozenset[str] | None) -> dict[str, int]:
-    """In how many documents each word beginning stands: of the known ones, or else of the most frequent."""
+def _phrases(text: str, entries: Entries) -> set[str]:
+    """The words that begin with an entry, and the phrases of two and three words that they open."""
+    found = set()
+    for m in PHRASE.finditer(fold(text)):
+        if entries.starts(m[1]):
+            found.update(" ".join(m.group(*range(1, k + 1)) if k > 1 else (m[1],)) for k in range(1, 4) if m[k] is not None)
+    return found
+
+
+class Entries:
+    """Word beginnings, and whole words with a trailing blank."""
+
+    def __init__(self, entries: Iterable[str]) -> None:
+        self.all = frozenset(entries)
+
+    def starts(self, word: str) -> bool:
+        return any(word[:n] in self.all for n in range(SHORTEST, min(LONGEST, len(word)) + 1)) or word + " " in self.all
+
+
+def _document_counts(docs: DataFrame, of: Callable[[str], set[str]], least: int) -> dict[str, int]:
+    """In how many documents each of the strings stands that `of` gives for a text; those of fewer than least are left out."""
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                some = _beginnings(text or "")
-                c.update(some & known if known is not None else some)
+                c.update(of(text or ""))
         items = list(c.items())
         for i in range(0, len(items), 50_000):
             part = items[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["entry", "n"])
 
-    counted = docs.select("text").mapInArrow(process, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    if known is None:
-        counted = counted.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "entry").limit(60_000)
-    return {r["entry"]: r["n"] for r in counted.collect()}
+    counted = docs.select("text").mapInArrow(process, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return {r["entry"]: r["n"] for r in counted.collect()}  # of a sample of bounded size
 
 
 #: An entry stands in so many toxic documents of the sample at least.
 LEAST = 5
+#: An exception stands in so many clean documents of the sample at least.
+CLEAN = 3
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> list[float]:
@@ -163,9 +206,15 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model(weights=[20.0 if toxic else -20.0, 0.0, 0.0, 0.0])
-    a = _document_counts(sample.filter("toxic = 1"), None)
-    b = _document_counts(sample.filter("toxic = 0"), frozenset(a))
-    odds = {k: math.log((n + 0.5) / (toxic + 1.0)) - math.log((b.get(k, 0) + 0.5) / (clean + 1.0)) for k, n in a.items()}
+    ill, well = sample.filter("toxic = 1"), sample.filter("toxic = 0")
+    a = _document_counts(ill, _beginnings, LEAST)
+    known = frozenset(a)
+    b = _document_counts(well, lambda t: _beginnings(t) & known, 1)
+
+    def log_odds(n: int, m: int) -> float:
+        return math.log((n + 0.5) / (toxic + 1.0)) - math.log((m + 0.5) / (clean + 1.0))
+
+    odds = {k: log_odds(n, b.get(k, 0)) for k, n in a.items()}
     entries: dict[str, float] = {}
     for k in sorted(odds, key=lambda k: (len(k), k)):
         n = a[k]
@@ -173,9 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         shorter = [entries[k[:i]] for i in range(SHORTEST, len(k)) if k[:i] in entries]
         if odds[k] >= 1.5 and surprise >= 20 and n >= LEAST and (not shorter or odds[k] > max(shorter) + 0.7):
             entries[k] = round(odds[k], 6)
-    entries = dict(sorted(entries.items(), key=lambda x: (-x[1] * a[x[0]], x[0]))[:MAX_ENTRIES])
-    stems = tuple(k for k in entries if k[-1] != " ")
-    exceptions = sorted(k[:-1] for k in a if k[-1] == " " and odds[k] < 0.7 and b.get(k, 0) >= 3 and any(k.startswith(s) for s in stems))
+    entries = dict(sorted(entries.items()))
+    stems = Entries(entries)
+    fine = _document_counts(well, lambda t: _phrases(t, stems), CLEAN)
+    named = frozenset(fine)
+    poor = _document_counts(ill, lambda t: _phrases(t, stems) & named, 1)
+    low = {k for k, m in fine.items() if log_odds(poor.get(k, 0), m) < 0.7}
+    # a phrase that a shorter exception opens adds nothing
+    exceptions = sorted(k for k in low if not any(" ".join(k.split(" ")[:i]) in low for i in range(1, k.count(" ") + 1)))
     model = Model(entries, exceptions)
     rows = features(sample, model, "toxic").select("toxic", "weight", "matches", "size").collect()
     x = np.array([[r["weight"], r["matches"], r["size"]] for r in rows], dtype=np.float64)
