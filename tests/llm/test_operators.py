@@ -108,8 +108,8 @@ def test_mixing(docs, corpus, empty):
         assert r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"]
         taken[r["source"]] += r["taken"]
     assert len(found) == len(corpus)
-    for s, aim in aims.items():
-        assert abs(taken[s] - aim) <= 0.15 * aim + 200
+    for s, aim in aims.items():  # neighbours are of like size, so what is missed is about one document
+        assert abs(taken[s] - aim) <= 1.2 * max(r["size"] for r in found if r["source"] == s)
     again = mixing.mix(docs.repartition(5)).collect()
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in found) == Counter((r["doc_id"], r["size"], r["taken"]) for r in again)
     mixed = mixing.mixed(docs)
@@ -117,6 +117,19 @@ def test_mixing(docs, corpus, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark, corpus):
+    docs = make(spark, corpus).withColumns({c: F.lit(5) for c in ("_id", "_copies", "copies", "key", "copy", "text_hash", "source_key", "rank")})
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.filter("_id <> 5 OR copies <> 5 OR rank <> 5").count() == 0
+    assert out.count() == sum(r["copies"] for r in mixing.mix(docs).collect())
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = [None, "", "B", "a", "é", "z", "\U00010000", "\uff00", *(f"s{i}" for i in range(50))]
+    rows = mixing.ranked_sources(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(4)).collect()
+    assert [r["source"] for r in sorted(rows, key=lambda r: r["rank"])] == [*sorted(n for n in names if n is not None), None]
+
+
 def test_targets_share_the_excess(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 3, None: 20}
     rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
@@ -459,6 +472,50 @@ def test_toxicity(spark, empty):
     assert {r["score"] < 1e-6 for r in toxicity.toxicity(make(spark, rows), l.limit(0)).collect()} == {True}
 
 
+def test_folding():
+    m = toxicity.Model({"idiot ": 3.0, "kill": 2.0, "bad ": 1.0, "ass ": 1.0})
+    a = m.automaton()
+    score = lambda t: m.found(a, toxicity.fold(t))[0]
+    for t in ("you idiot!", "you idiot! in 2024", "1d10t at 5", "IDIOT", "id!ot"):
+        assert score(t) == 3, t
+    assert score("k!ll b!d") == 2 and score("k!ll b@d 2024") == 3 and score("k1ll") == 2 and score("@ss") == 1
+    # numbers, trailing signs and other words are left alone
+    assert toxicity.fold("5 $ 100 a1 b2 wow!! 3.5% x|") == "5 $ 100 a1 b2 wow!! 3.5% x|"
+    assert toxicity.fold("a" * 200_000) == "a" * 200_000 and toxicity.fold("!" * 50_000) == "!" * 50_000
+
+
+def test_beginnings_and_whole_words():
+    m = toxicity.Model({"bad": 2.0, "bad ": 5.0}, ["bad apple pie", "badge"])
+    a = m.automaton()
+    score = lambda t: m.found(a, toxicity.fold(t))[0]
+    assert score("bad") == 5 and score("badly") == 2 and score("badge") == 0 and score("bad apple") == 5 and score("bad apple pie bad") == 5
+
+
+def test_learned_exceptions(spark):
+    """Words and phrases that begin with an entry and stand in clean documents, whether toxic ones have them or not."""
+    rng = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(400):
+        t = words(rng, 30)
+        if i % 4 == 0:
+            t += " vile " + ("vilest " if i % 8 else "")
+        elif i % 20 == 1:
+            t += (" vileness", " vile weed extract")[i % 40 // 20]
+        rows.append((i, t, "en", "a"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.train(make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {"vileness", "vile weed"} <= set(model.exceptions) and "vile" not in model.exceptions
+    scored = toxicity.features(make(spark, rows), model, "doc_id").collect()
+    assert all((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in scored)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    found = toxicity.toxicity(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    both = found.filter("held_out").join(common.table(spark, sf, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").collect()
+    assert len(both) > 50 and sum(r["predicted"] == r["toxic"] for r in both) >= 0.95 * len(both)
+
+
 def test_exceptions_cancel():
     m = toxicity.Model({"bad": 2.0, "fool ": 3.0}, ["bad apple", "badly"])
     a = m.automaton()
