@@ -1,21 +1,21 @@
 """Operator 5: shards cut from documents in Hilbert-curve order.
 
-Language, source and size are quantised to up to 32 steps each (by quantiles of the values, so that
-order is kept) and mapped to the place on a three-dimensional Hilbert curve. Equal texts form a group,
+Language, source and size are quantised to up to 32 steps each (by ranks of whole values, weighted by their
+rows, so that order is kept) and mapped to the place on a three-dimensional Hilbert curve. Equal texts form a group,
 which has the least place of its members. Groups stand in order of place; running sums of bytes are
 cut into shards of near equal bytes (law `bytes`), so a shard covers few values of each dimension and
 readers can skip files by their ranges.
 
-Groups stay whole. Those above GROUP_SHARE of a shard are dealt first, the largest to the emptiest
-shard; the rest of the curve fills what is left. A group above WHOLE_SHARE of a shard that no shard has
-room for can't stay whole with near equal bytes: its rows, in order of doc_id, are cut like single documents.
+Groups stay whole, whatever their size. Those above GROUP_SHARE of a shard, by bytes or rows, are dealt first, the largest
+to the emptiest shard; the rest of the curve fills all shards up to one level. So shards differ by no more than
+a small group, except that a shard above the level, which only a group larger than a shard makes, takes nothing else.
 
 Ranks and running sums over all rows are put together from ranges: rows are range partitioned once,
-sums per range go to the driver (one row a range), and windows stay within a range.
+sums per range make a small table, and windows stay within a range.
 
 Defined results: null texts have size 1 and belong to the group of empty texts; null language and
-source come first on the curve; ties and repeated rows are ordered by doc_id, null first; an empty
-table gives an empty result; other columns are ignored unless named in keep.
+source come first on the curve; ties and repeated rows are ordered by doc_id, null first; a very long text is a group
+like others; an empty table gives an empty result; other columns, whatever their names, are ignored unless named in keep.
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ from . import common
 
 BITS = 5
 SHARDS = 16
-#: Groups above this share of a shard are dealt one by one; there are at most SHARDS / GROUP_SHARE.
+#: Groups above this share of a shard's bytes or rows are dealt one by one; there are at most 2 * SHARDS / GROUP_SHARE.
 GROUP_SHARE = 0.005
-#: Groups up to this share of a shard stay whole even where that makes shards less equal.
-WHOLE_SHARE = 0.25
-GROUP = ["place", "text_hash", "size", "text_crc32"]
+KEYS = ["text_hash", "size", "text_crc32"]
+GROUP = ["place", *KEYS]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,11 +64,6 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return place
 
 
-def ordered_number(text: Column) -> Column:
-    """A number in the order of the first six bytes of a string; -1 for null."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("long"), F.lit(-1))
-
-
 def ranged(df: DataFrame, order: list[str], parts: int) -> DataFrame:
     """df in ranges of a sorted order, each row with its range; kept, so that ranges stay as they are."""
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -78,34 +72,46 @@ def ranged(df: DataFrame, order: list[str], parts: int) -> DataFrame:
 
 def running(df: DataFrame, order: list[str], sums: dict[str, Column], by: Column | None = None) -> DataFrame:
     """For a ranged df: for each name, the sum of a column over all rows that stand before, per `by` if given."""
-    by_col = F.lit(0) if by is None else by
-    df = df.withColumn("_by", by_col)
-    parts = df.groupBy("range", "_by").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    total: dict = {}
-    offsets = []
-    for r in sorted(parts.collect(), key=lambda r: (r["range"], r["_by"])):  # one row a range and value of by
-        had = total.setdefault(r["_by"], dict.fromkeys(sums, 0))
-        offsets.append((r["range"], r["_by"], *had.values()))
-        total[r["_by"]] = {k: had[k] + r[k] for k in sums}
-    if not offsets:
-        return df.withColumns({k: F.lit(0).cast("long") for k in sums}).drop("_by")
-    names = [f"_{k}" for k in sums]
-    table = df.sparkSession.createDataFrame(offsets, "range int, _by int, " + ", ".join(f"{n} long" for n in names))
-    before = Window.partitionBy("range", "_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumns({k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in sums.items()}).join(F.broadcast(table), ["range", "_by"])
-    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_by", *names)
-
-
-def deal(groups: list[tuple[int, int]], target: float, shards: int) -> tuple[dict[int, int], list[float]]:
-    """Shards of large groups (index, bytes), the largest to the emptiest; groups that fit nowhere are left out."""
-    loads = [0.0] * shards
-    dealt: dict[int, int] = {}
-    for key, size in groups:
+    df = df.withColumn("by_", F.lit(0) if by is None else by)
+    parts = df.groupBy("range", "by_").agg(*(F.sum(c).alias(f"sum_{k}") for k, c in sums.items()))  # a row a range and value of by
+    earlier = Window.partitionBy("by_").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("range", "by_", *(F.coalesce(F.sum(f"sum_{k}").over(earlier), F.lit(0)).alias(f"sum_{k}") for k in sums))
+    before = Window.partitionBy("range", "by_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in sums.items()}).join(offsets, ["range", "by_"])
+    return out.withColumns({k: F.col(k) + F.col(f"sum_{k}") for k in sums}).drop("by_", *(f"sum_{k}" for k in sums))
+
+
+def steps_of(df: DataFrame, column: str, total: int) -> list[tuple[str, int]]:
+    """For a string column, the least value of each step, ascending, with the step: where half of a value's rows stand among all."""
+    values = ranged(df.groupBy(column).agg(F.count("*").alias("n")), [column], common.partitions(df.sparkSession))
+    values = running(values, [column], {"before": F.col("n")}).filter(F.col(column).isNotNull())
+    step = F.floor((F.col("before") + F.col("n") / 2) * F.lit(1 << BITS) / F.lit(max(1, total))).cast("int")
+    found = values.groupBy(step.alias("step")).agg(F.min(column).alias("least")).collect()  # at most a row a step
+    return sorted((r["least"], r["step"]) for r in found)
+
+
+def step_at(value: Column, cuts: list[tuple[str, int]]) -> Column:
+    """The step of a value: that of the last cut at or before it; 0 for null."""
+    found = F.lit(0)
+    for least, step in cuts:
+        found = F.when(value >= F.lit(least), F.lit(step)).otherwise(found)
+    return F.when(value.isNull(), F.lit(0)).otherwise(found)
+
+
+def deal(sizes: list[int], rest: int, shards: int) -> tuple[list[int], list[float]]:
+    """Shards of large groups, given the largest first, each to the emptiest; and what each shard then takes of the rest up to one level."""
+    loads = [0] * shards
+    dealt = []
+    for size in sizes:
         s = min(range(shards), key=lambda i: (loads[i], i))
-        if loads[s] + size <= target:
-            loads[s] += size
-            dealt[key] = s
-    return dealt, loads
+        loads[s] += size
+        dealt.append(s)
+    level, some = 0.0, sorted(loads)
+    for k in range(1, shards + 1):  # the k emptiest share the rest
+        level = (rest + sum(some[:k])) / k
+        if k == shards or level <= some[k]:
+            break
+    return dealt, [max(0.0, level - x) for x in loads]
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,47 +124,36 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ())
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
-        ordered_number(F.col("lang").cast("string")).alias("d0"),
-        ordered_number(F.col("source").cast("string")).alias("d1"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
         *(F.col(c).alias(f"keep_{c}") for c in keep),
     )
     narrow = common.cut_lineage(narrow)
     shares = [i / (1 << BITS) for i in range(1, 1 << BITS)]
-    stats = narrow.agg(F.sum("size").alias("bytes"), *(F.percentile_approx(c, shares, 10_000).alias(f"q{c}") for c in ("d0", "d1", "size"))).first()
-    total = stats["bytes"] or 0
-    target = total / n_shards
-    cuts = [np.array(sorted(set(stats[f"q{c}"] or [])), dtype=np.int64) for c in ("d0", "d1", "size")]
+    stats = narrow.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.percentile_approx("size", shares, 10_000).alias("sizes")).first()
+    total, n = stats["bytes"] or 0, stats["n"]
+    size_cuts = np.array(sorted(set(stats["sizes"] or [])), dtype=np.int64)
 
     @F.pandas_udf("long")
     def place(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        steps = [np.searchsorted(q, v.to_numpy(), side="right") for q, v in zip(cuts, (a, b, c), strict=True)]
-        return pd.Series(hilbert(np.stack(steps, axis=1)))
+        return pd.Series(hilbert(np.stack([a.to_numpy(), b.to_numpy(), np.searchsorted(size_cuts, c.to_numpy(), side="right")], axis=1)))
 
-    placed = narrow.withColumn("place", place("d0", "d1", "size"))
-    groups = placed.groupBy("text_hash", "size", "text_crc32").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    steps = [step_at(F.col(c), steps_of(narrow, c, n)).cast("int") for c in ("lang", "source")]
+    groups = narrow.withColumn("place", place(*steps, "size")).groupBy(*KEYS).agg(F.min("place").alias("place"), F.count("*").alias("n"))
     groups = ranged(groups.withColumn("bytes", F.col("n") * F.col("size")), GROUP, parts)
-    large = groups.filter(F.col("bytes") > GROUP_SHARE * target).orderBy(F.desc("bytes"), *GROUP).collect()
-    dealt, loads = deal([(i, r["bytes"]) for i, r in enumerate(large)], target, n_shards)
-    schema = "text_hash long, size long, text_crc32 long, dealt int"
-    fixed = spark.createDataFrame([(large[i]["text_hash"], large[i]["size"], large[i]["text_crc32"], s) for i, s in dealt.items()], schema)
-    groups = groups.join(F.broadcast(fixed), ["text_hash", "size", "text_crc32"], "left")
-    on_curve = F.when(F.col("dealt").isNull(), F.col("bytes")).otherwise(0)
-    groups = running(groups, GROUP, {"bytes_before": on_curve, "rows_before": F.col("n")})
-    edges = np.cumsum([target - x for x in loads])[:-1].tolist()
-
-    def shard_at(byte: Column) -> Column:
-        return sum(((byte >= F.lit(float(e))).cast("int") for e in edges), F.lit(0))
-
-    whole = F.col("bytes") <= WHOLE_SHARE * target
-    aim = F.coalesce(F.col("dealt"), F.when(whole, shard_at(F.col("bytes_before") + F.col("bytes") / 2)))
-    groups = groups.select("text_hash", "size", "text_crc32", F.col("place").alias("group_place"), "bytes_before", "rows_before", aim.alias("aim"))
-
-    rows = narrow.join(groups, ["text_hash", "size", "text_crc32"]).withColumnRenamed("group_place", "place")
+    large = (F.col("bytes") > GROUP_SHARE * total / n_shards) | (F.col("n") > GROUP_SHARE * n / n_shards)
+    one_by_one = groups.filter(large).orderBy(F.desc("bytes"), *GROUP).collect()
+    dealt, room = deal([r["bytes"] for r in one_by_one], total - sum(r["bytes"] for r in one_by_one), n_shards)
+    fixed = spark.createDataFrame([(*(r[k] for k in GROUP), s) for r, s in zip(one_by_one, dealt, strict=True)], ", ".join(f"{k} long" for k in GROUP) + ", shard int")
+    middle = F.col("before") + F.col("bytes") / 2
+    shard = sum(((middle >= F.lit(float(e))).cast("int") for e in np.cumsum(room)[:-1]), F.lit(0))
+    others = running(groups.filter(~large), GROUP, {"before": F.col("bytes")}).select(*GROUP, shard.alias("shard"))
+
+    # no key of the second join has more rows than GROUP_SHARE of a shard
+    rows = narrow.drop("lang", "source")
+    rows = rows.join(F.broadcast(fixed), KEYS).unionByName(rows.join(F.broadcast(fixed.select(*KEYS)), KEYS, "left_anti").join(others, KEYS))
     order = [*GROUP, "doc_id"]
-    rows = running(ranged(rows, order, parts), order, {"rank": F.lit(1)})
-    own = F.col("bytes_before") + (F.col("rank") - F.col("rows_before")) * F.col("size") + F.col("size") / 2
-    rows = rows.withColumn("shard", F.coalesce("aim", shard_at(own)).cast("int"))
-    rows = running(rows, order, {"slot": F.lit(1)}, by=F.col("shard"))
+    rows = running(ranged(rows, order, parts), order, {"slot": F.lit(1).cast("long")}, by=F.col("shard"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place", *(F.col(f"keep_{c}").alias(c) for c in keep)
     )

@@ -272,30 +272,66 @@ def test_near_duplicates_again_and_again(spark, docs):
 # sharding ----------------------------------------------------------------------------------------------------
 
 
-def test_shards(docs, corpus, empty):
-    found = sharding.shards(docs, 4).collect()
-    assert len(found) == len(corpus)
-    by, load = defaultdict(list), Counter()
+def cut_as_promised(found, n_shards):
+    """Groups (size and crc32 name them here) whole, slots gapless, shards along the curve, loads up to one level."""
+    by, load, shard_of, group = defaultdict(list), Counter(), defaultdict(set), Counter()
     for r in found:
         by[r["shard"]].append(r["slot"])
         load[r["shard"]] += r["size"]
-    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(4))
-    total = sum(load.values())
-    assert max(load.values()) - min(load.values()) <= 0.1 * total
+        shard_of[r["size"], r["text_crc32"]].add(r["shard"])
+        group[r["size"], r["text_crc32"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(n_shards))
+    assert all(len(s) == 1 for s in shard_of.values())
+    total, n = sum(load.values()), len(found)
+    rows = Counter((r["size"], r["text_crc32"]) for r in found)
+    small = {g for g in group if group[g] <= sharding.GROUP_SHARE * total / n_shards and rows[g] <= sharding.GROUP_SHARE * n / n_shards}
+    loads, level = sorted(load[i] for i in range(n_shards)), 0
+    rest = sum(group[g] for g in small)
+    slack = max([group[g] for g in small], default=0) + 1
+    free = sorted(load[i] - sum(group[g] for g in small if shard_of[g] == {i}) for i in range(n_shards))
+    for k in range(1, n_shards + 1):
+        level = (rest + sum(free[:k])) / k
+        if k == n_shards or level <= free[k]:
+            break
+    assert all(max(level, f) - slack <= x <= max(level, f) + slack for x, f in zip(loads, sorted(max(level, f) for f in free), strict=True))
+    ends = {}
+    for r in found:
+        if (g := (r["size"], r["text_crc32"])) in small:
+            lo, hi = ends.get(r["shard"], (r["place"], r["place"]))
+            ends[r["shard"]] = (min(lo, r["place"]), max(hi, r["place"]))
+    runs = [ends[s] for s in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:], strict=False))
+
+
+def test_shards(docs, corpus, empty):
+    found = sharding.shards(docs, 4).collect()
+    assert len(found) == len(corpus)
+    cut_as_promised(found, 4)
     expected = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == expected
     assert sharding.shards(empty).count() == 0
 
 
-def test_groups_stay_whole(spark):
+@pytest.mark.parametrize("of", ["copies", "long"])
+def test_groups_stay_whole(spark, of):
+    """One text, often or very long, makes up more than half of all bytes."""
     rng = np.random.default_rng(5)
-    texts = [words(rng, 40) for _ in range(200)]
-    rows = [(i, texts[i % 150] if i % 12 else "the same text again and again", "en", f"s{i % 7}") for i in range(600)]
+    texts = [words(rng, 40) for _ in range(500)]
+    rows = [(i, t, ("en", "de", None)[i % 3], f"https://www.example.org/{i % 7}") for i, t in enumerate(texts)]
+    rows += [(1000 + i, texts[0], "en", "hot") for i in range(700)] if of == "copies" else [(1000, words(rng, 40_000), "en", "hot")]
+    rows += [(3000 + i, "", "en", "hot") for i in range(90)]
     found = sharding.shards(make(spark, rows)).collect()
-    text, where = {i: t for i, t, *_ in rows}, defaultdict(set)
-    for r in found:
-        where[text[r["doc_id"]]].add(r["shard"])
-    assert all(len(s) == 1 for t, s in where.items())
+    assert len(found) == len(rows) and max(Counter(r["shard"] for r in found).values()) >= 700 * (of == "copies")
+    cut_as_promised(found, sharding.SHARDS)
+
+
+def test_whole_values_are_ranked(spark):
+    """Sources that share a long beginning take different steps, in their order."""
+    values = [f"https://www.example.org/{i:02d}" for i in range(40)] + [None]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(5)], "source string")
+    cuts = sharding.steps_of(df, "source", 205)
+    steps = [r["s"] for r in df.distinct().orderBy("source").select(sharding.step_at(F.col("source"), cuts).alias("s")).collect()]
+    assert steps == sorted(steps) and len(set(steps)) >= 28 and max(steps) < 32
 
 
 def test_hilbert_steps():
