@@ -4,15 +4,18 @@ Texts are lower-cased and everything that is neither letter nor digit becomes on
 lemma, a place where a passage of m characters stands with at most e edits shares at least
 m + 1 - q - q * e of the passage's q-grams, on diagonals no more than e apart. Shared q-grams are
 counted in bands of diagonals that overlap by half, bands below the bound are dropped, and the rest is
-verified by an alignment within the band. The budget e is RATE of the passage's length, less for short
+verified by an alignment that stays within the band's diagonals and e more on either side. Bands are as wide as the
+passage's own budget asks. The budget e is RATE of the passage's length, less for short
 ones, so that the bound stays positive; passages shorter than q must stand exactly, between blanks.
 
 Documents are read once and never shuffled. The passages go to every task as an index; a benchmark
 beyond INDEX_BYTES is cut into several, which the documents pass one after another.
 
 Defined results: null and empty texts hold no passage; null or blank passages are skipped and passages
-of equal text are found together; an empty benchmark leaves all documents clean; repeated rows are
-judged each; an empty table gives an empty result. Long texts are read in overlapping pieces.
+of equal text are found together; an empty benchmark leaves all documents clean; ties and repeated rows are
+judged each; an empty table gives an empty result; other columns stay as they are in `search` and `clean`, whatever
+their names, and are ignored in `passages`. Very long texts are normalised whole and searched in pieces that overlap by more
+than a passage and its edits; start and stop count normalised symbols of the whole text.
 """
 
 from __future__ import annotations
@@ -40,11 +43,16 @@ WALL = 65535
 _LUT: list[np.ndarray] = []
 
 
-def symbols(text: str) -> np.ndarray:
-    """Letters and digits of the lower-cased text as numbers, 0 for each run of other characters."""
+def _symbols(text: str) -> np.ndarray:
     if not _LUT:
         _LUT.append(np.fromiter((1 + i % 65000 if chr(i).isalnum() else 0 for i in range(0x110000)), dtype=np.uint16, count=0x110000))
-    ids = _LUT[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    # one small sigma: which of the two lower() gives depends on what stands around it
+    return _LUT[0][np.frombuffer(text.lower().replace("ς", "σ").encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+
+
+def symbols(text: str) -> np.ndarray:
+    """Letters and digits of the lower-cased text as numbers, 0 for each run of other characters."""
+    ids = _symbols(text) if len(text) <= PIECE else np.concatenate([_symbols(text[k : k + PIECE]) for k in range(0, len(text), PIECE)])
     if not len(ids):
         return ids
     keep = np.ones(len(ids), dtype=bool)
@@ -75,19 +83,22 @@ def budget(m: int, q: int = Q, rate: float = RATE) -> int:
 
 
 def aligned(window: np.ndarray, passage: np.ndarray, limit: int) -> tuple[int, int] | None:
-    """The least edits between the passage and any part of the window, with the part's end; None beyond the limit."""
-    n = len(window)
-    steps = np.arange(n + 1)
-    row = np.zeros(n + 1, dtype=np.int64)
-    for j, symbol in enumerate(passage, 1):
-        new = np.empty_like(row)
-        new[0] = j
-        new[1:] = np.minimum(row[:-1] + (window != symbol), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
+    """The least edits between the passage and a part of the window along its diagonals, with the part's end; None beyond the limit.
+
+    The window holds len(window) - len(passage) + 1 diagonals; a part may begin on any of them and stays on them.
+    Cell b of row j: the passage's first j symbols against a part that ends at window[j + b].
+    """
+    width = len(window) - len(passage) + 1
+    steps = np.arange(width)
+    row = np.zeros(width, dtype=np.int64)
+    for j, symbol in enumerate(passage):
+        new = row + (window[j : j + width] != symbol)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a symbol of the passage is missing
+        row = np.minimum.accumulate(new - steps) + steps  # symbols of the text are more
         if row.min() > limit:
             return None
     end = int(row.argmin())
-    return int(row[end]), end
+    return int(row[end]), end + len(passage)
 
 
 @dataclass
@@ -154,15 +165,18 @@ class Index:
                 k, b = divmod(key, width)
                 m, e = len(self.passages[k]), int(self.budgets[k])
                 first_diagonal = b * (e + 1) - self.longest()
-                lo, hi = max(0, first_diagonal - e), min(len(joined), first_diagonal + 2 * (e + 1) + m + e)
-                # every text that the band touches
-                for d in range(int(np.searchsorted(opens, lo, side="right")) - 1, min(len(texts), int(np.searchsorted(opens, hi - 1, side="right")))):
+                lo, hi = first_diagonal - e, first_diagonal + 2 * (e + 1) + m + e
+                # every text that the band touches; beyond its ends stand walls, which match nothing
+                for d in range(max(0, int(np.searchsorted(opens, max(lo, 0), side="right")) - 1), min(len(texts), int(np.searchsorted(opens, hi - 1, side="right")))):
                     a, z = max(lo, int(opens[d])), min(hi, int(opens[d + 1]) - 1)
                     if z - a < m - e or a < ends.get((d, k), -1):
                         continue
-                    if (got := self._verify(joined[a:z], k)) is not None:
-                        out.append((d, k, a + got[1] - opens[d], a + got[2] - opens[d], got[0]))
-                        ends[d, k] = a + got[2]
+                    window = np.full(hi - lo, WALL, dtype=np.uint16)
+                    window[a - lo : z - lo] = joined[a:z]
+                    if (got := self._verify(window, k)) is not None:
+                        begin, stop = max(lo + got[1], int(opens[d])), min(lo + got[2], z)
+                        out.append((d, k, begin - opens[d], stop - opens[d], got[0]))
+                        ends[d, k] = stop
         for k, p in enumerate(self.passages):
             if len(p) < Q:
                 needle = np.concatenate([[0], p, [0]]).astype(np.uint16).tobytes()
@@ -191,61 +205,68 @@ class Index:
 HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())])
 
 
-def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    """Add what one index finds to the array column _hits."""
+def pieces(texts: list[str | None], overlap: int, piece: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Groups of about `piece` symbols: (row, place in the row's symbols, symbols)."""
+    group, size = [], 0
+    for row, t in enumerate(texts):
+        ids = symbols(t or "")
+        for low in range(0, max(1, len(ids)), piece):
+            part = ids[low : low + piece + overlap]
+            group.append((row, low, part))
+            size += len(part)
+            if size >= piece:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _pass(docs: DataFrame, index: Index, hits: str) -> DataFrame:
+    """Add what one index finds to an array column."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = docs.schema
-
-    def pieces(texts: list[str | None]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-        overlap, group, size = 2 * shared.value.longest() + 4 * shared.value.band, [], 0
-        for row, t in enumerate(texts):
-            t = t or ""
-            for low in range(0, max(1, len(t)), PIECE):
-                part = symbols(t[low : low + PIECE + overlap])
-                group.append((row, low, part))
-                size += len(part)
-                if size >= PIECE:
-                    yield group
-                    group, size = [], 0
-        if group:
-            yield group
+    schema, piece = docs.schema, PIECE
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        overlap = index.longest() + 2 * index.band
         for batch in batches:
-            hits = [{(h["item_id"], h["start"], h["stop"], h["edits"]) for h in x or []} for x in batch.column("_hits").to_pylist()]
-            for group in pieces(batch.column("text").to_pylist()):
+            found = [{(h["item_id"], h["start"], h["stop"], h["edits"]) for h in x or []} for x in batch.column(hits).to_pylist()]
+            for group in pieces(batch.column("text").to_pylist(), overlap, piece):
                 for d, k, a, z, e in index.search([p for _, _, p in group]):
                     row, low, _ = group[d]
-                    hits[row].add((int(index.ids[k]), low + int(a), low + int(z), e))
-            column = pa.array([[dict(zip(("item_id", "start", "stop", "edits"), x, strict=True)) for x in sorted(h)] for h in hits], pa.list_(HIT))
+                    found[row].add((int(index.ids[k]), low + int(a), low + int(z), e))
+            column = pa.array([[dict(zip(("item_id", "start", "stop", "edits"), x, strict=True)) for x in sorted(h)] for h in found], pa.list_(HIT))
             names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([column if n == "_hits" else batch.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([column if n == hits else batch.column(n) for n in names], names=names)
 
     return docs.mapInArrow(process, schema)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents with a column _hits: item_id, start and stop (in normalised text) and edits of what was found."""
+def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> tuple[DataFrame, str]:
+    """The documents with one more column, and its name: item_id, start and stop (in normalised text) and edits of what was found."""
     common.bounded_batches(docs.sparkSession)
+    hits = common.fresh(docs, "hits")[0]
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // INDEX_BYTES))
-    found = docs.withColumn("_hits", F.expr("CAST(array() AS array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>)"))
+    found = docs.withColumn(hits, F.expr("CAST(array() AS array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>)"))
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())  # about INDEX_BYTES
-        found = _pass(found, Index.build(rows, rate=rate))
-    return found
+        found = _pass(found, Index.build(rows, rate=rate), hits)
+        if k + 1 < parts:  # one index in a worker's memory at a time
+            found = common.cut_lineage(found)
+    return found, hits
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, item_ids (ascending), hits."""
-    found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate)
-    ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"])))
-    return found.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("_hits").alias("hits"))
+    found, hits = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate)
+    ids = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item_id"])))
+    return found.select("doc_id", (F.size(hits) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col(hits).alias("hits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no passage was found."""
-    return search(docs, benchmark, rate).filter(F.size("_hits") == 0).drop("_hits")
+    found, hits = search(docs, benchmark, rate)
+    return found.filter(F.size(hits) == 0).drop(hits)

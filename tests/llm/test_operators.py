@@ -433,12 +433,56 @@ def test_decontamination(spark, empty):
     assert not any(r["contaminated"] for r in decontaminate.passages(make(spark, rows), bench.limit(0)).collect())
 
 
-def test_pieces_overlap(spark, monkeypatch):
-    rng = np.random.default_rng(1)
-    item = words(rng, 30, 5000)
-    index = decontaminate.Index.build([(1, item)])
-    text = decontaminate.symbols(words(rng, 500, 5000) + " " + item + " " + words(rng, 500, 5000))
-    assert [x[1] for x in index.search([text])] == [0]
+def least_edits(text, passage):
+    """Sellers: the least edits between the passage and any part of the text."""
+    row = np.zeros(len(text) + 1, dtype=int)
+    steps = np.arange(len(text) + 1)
+    for j, symbol in enumerate(passage, 1):
+        new = np.empty_like(row)
+        new[0] = j
+        new[1:] = np.minimum(row[:-1] + (text != symbol), row[1:] + 1)
+        row = np.minimum.accumulate(new - steps) + steps
+    return row.min()
+
+
+@pytest.mark.parametrize("piece", [300, 1 << 20])
+def test_whole_texts_against_brute_force(spark, monkeypatch, piece):
+    """Passages with edits around their budgets, spread by long rules, in long and short texts, in small pieces and large."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    rng = np.random.default_rng(21)
+    items = [words(rng, int(rng.integers(4, 40)), 300) for _ in range(12)]
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = int(rng.integers(0, len(t)))
+            t[k : k + 1] = [[], ["q"], [t[k], "z"]][int(rng.integers(0, 3))]
+        return "".join(t)
+
+    texts = [None, "", items[0][:20]]
+    for i in range(60):
+        t = items[int(rng.integers(0, 12))]
+        t = edited(t, int(decontaminate.budget(len(t)) + rng.integers(-3, 3)) if i % 2 else 0) if len(t) > 30 else t
+        if i % 3 == 0:
+            t = (" " + "-" * 60 + " ").join(t.split())
+        texts.append(" ".join([words(rng, int(rng.integers(0, 200)), 300), t, words(rng, int(rng.integers(0, 200)), 300)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.passages(make(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), bench).collect()}
+    symbols, passages = [decontaminate.symbols(t or "") for t in texts], [decontaminate.trimmed(decontaminate.symbols(t)) for t in items]
+    expected = {d: [k for k, p in enumerate(passages) if least_edits(x, p) <= decontaminate.budget(len(p))] for d, x in enumerate(symbols)}
+    assert {d: r["item_ids"] for d, r in found.items()} == expected
+    assert sum(map(len, expected.values())) > 40 and sum(not x for x in expected.values()) > 3
+    for d, r in found.items():
+        for h in r["hits"]:
+            p = passages[h["item_id"]]
+            assert 0 <= h["start"] < h["stop"] <= len(symbols[d]) and h["edits"] == least_edits(symbols[d][max(0, h["start"] - 8) : h["stop"] + 8], p)
+
+
+def test_documents_keep_columns_of_any_name(spark):
+    docs = make(spark, [(1, "nothing here", "en", "a"), (2, "some words that stand in the benchmark", "en", "a")]).withColumns({"hits": F.lit(1), "_hits": F.lit(2)})
+    bench = spark.createDataFrame([(1, "words that stand in the benchmark")], "item_id long, text string")
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [1]
 
 
 def test_short_texts_beside_a_long_passage():
@@ -454,17 +498,19 @@ def test_short_texts_beside_a_long_passage():
 
 
 def test_alignment_against_brute_force():
+    """Parts that stay on the window's diagonals."""
     rng = np.random.default_rng(4)
     for _ in range(200):
-        w, p = rng.integers(1, 4, 14).astype(np.uint16), rng.integers(1, 4, 6).astype(np.uint16)
-        row = np.zeros(15, dtype=int)
+        w, p = rng.integers(1, 4, 11).astype(np.uint16), rng.integers(1, 4, 6).astype(np.uint16)
+        best = {(0, i): 0 for i in range(6)}
         for j in range(1, 7):
-            new = [j]
-            for i in range(1, 15):
-                new.append(min(row[i - 1] + (w[i - 1] != p[j - 1]), row[i] + 1, new[-1] + 1))
-            row = np.array(new)
+            for i in range(j, j + 6):  # diagonals 0 to 5
+                ways = [best[j - 1, i - 1] + (w[i - 1] != p[j - 1])]
+                ways += [best[j, i - 1] + 1] if (j, i - 1) in best else []
+                ways += [best[j - 1, i] + 1] if (j - 1, i) in best else []
+                best[j, i] = min(ways)
         got = decontaminate.aligned(w, p, 6)
-        assert got is not None and got[0] == row.min()
+        assert got is not None and got[0] == min(best[6, i] for i in range(6, 12)) and best[6, got[1]] == got[0]
 
 
 # learned operators -----------------------------------------------------------------------------------------------------------
