@@ -3,7 +3,10 @@
 Both models are bigram models over one vocabulary: every word of the documents. They have the same
 smoothing (absolute discounting, with the interpolated unigram model), which leaves room for UNKNOWN
 classes of words that no document has, and for VOCABULARY words at least. The target model learns from
-documents with the target label, the background model from all others; counts cover every document. A
+documents with the target label, the background model from all others; counts cover every document. The models
+are matched in size: the side with more text stands for the mean of all its samples that are as large as the other side.
+With a share r of its n occurrences, a pair keeps n r - D (1 - exp(-n r)) after the discount D, as a Poisson law gives, and
+its first word has the sum of 1 - exp(-n r) kinds of pairs; no count is dropped. A
 document's loss under a model is its mean negative log probability per word (natural log), the first
 word following a start mark; its score is the target loss less the background loss: low for documents
 like the target's.
@@ -19,7 +22,8 @@ what is. The driver gets a few sums of each bucket.
 Defined results: null and empty texts have 0 words and losses and score 0; several labels of a document
 count as target if one is; documents without a label belong to the background; repeated rows count and
 are scored each; without a target document the target model is uniform; an empty table gives an empty
-result; other columns are ignored. A group's documents are read twice and must be the same then.
+result; other columns, whatever their names, are ignored; ties don't matter; a very long text is hashed in pieces and makes its
+group as much larger. A group's documents are read twice and must be the same then.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ SIZE = VOCABULARY + UNKNOWN + 1
 START = np.uint64(0)
 DISCOUNT = 0.75
 #: Bytes of text in a group of documents, and behind a bucket of counts.
-GROUP = BUCKET = 12 << 20
+GROUP, BUCKET = 8 << 20, 12 << 20
+#: Kinds of pairs are told in such parts.
+PARTS = 1 << 20
 #: First words whose pairs are dealt to all buckets: those above 1 of so many words of a sample, so no more than that.
 HEAVY = 1000
 TAG = np.uint64((1 << 48) - 1)
@@ -156,10 +162,10 @@ def _requests(groups: DataFrame, marked: DataFrame, buckets: int, heavy: np.ndar
     return groups.groupBy("g").cogroup(marked.groupBy("g")).applyInArrow(process, REQUEST)
 
 
-def _told(requests: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Counts in all documents: of pairs on both sides, then of words as such, as first words, and their kinds of pairs, on both sides each.
+def _told(requests: DataFrame, heavy: np.ndarray, rates: tuple[float, float]) -> DataFrame:
+    """Counts in all documents: of pairs on both sides, then of words as such, as first words, and their kinds of pairs (in PARTS), on both sides each.
 
-    The sums of a bucket are its words, their counts on both sides, and the kinds of pairs of heavy words on both sides.
+    The sums of a bucket are its words, their counts on both sides, and the kinds of pairs of heavy words on both sides. rates: shares of the sides' texts.
     """
 
     def process(asked: pa.Table) -> pa.Table:
@@ -180,7 +186,7 @@ def _told(requests: DataFrame, heavy: np.ndarray) -> DataFrame:
         del first
         _, one, place = np.unique(common.splitmix(np.concatenate([words, heavy])[before] * np.uint64(common.BASE) + second), return_index=True, return_inverse=True)
         pairs = [np.bincount(place, weights=np.concatenate([s[side] for s in sums])).astype(np.int64) for side in (0, 1)]
-        kinds = [np.bincount(before[one], weights=n > 0, minlength=len(words) + len(heavy)).astype(np.int64) for n in pairs]
+        kinds = [np.rint(PARTS * np.bincount(before[one], weights=seen(n, rate), minlength=len(words) + len(heavy))).astype(np.int64) for n, rate in zip(pairs, rates, strict=True)]
         total[4:] = [n[: len(words)] for n in kinds]
         rows, low = [(b, -1, packed(np.array([int((words != START).sum()), *total[:2].sum(axis=1)]), *(n[len(words) :] for n in kinds)))], 0
         for g, own, s in zip(groups, places, sums, strict=True):
@@ -192,14 +198,20 @@ def _told(requests: DataFrame, heavy: np.ndarray) -> DataFrame:
     return requests.groupBy("b").applyInArrow(process, TOLD)
 
 
-def losses(pairs: np.ndarray, before: np.ndarray, kinds: np.ndarray, word: np.ndarray, total: int, size: int) -> np.ndarray:
-    """Negative log probabilities of pairs from the counts of pair and first word, the first word's kinds of pairs and the word's count."""
-    unigram = (word + 1.0) / (total + size)
-    rest = np.where(before > 0, DISCOUNT * kinds / np.maximum(before, 1), 1.0)
-    return -np.log(np.maximum(pairs - DISCOUNT, 0.0) / np.maximum(before, 1) + rest * unigram)
+def seen(n: np.ndarray, rate: float) -> np.ndarray:
+    """The mean number (0 to 1) of kinds that n occurrences make in a share of the text."""
+    return (n > 0).astype(np.float64) if rate >= 1 else -np.expm1(-rate * n)
 
 
-def _scored(groups: DataFrame, told: DataFrame, buckets: int, heavy: np.ndarray, sums: np.ndarray) -> DataFrame:
+def losses(pairs: np.ndarray, before: np.ndarray, kinds: np.ndarray, word: np.ndarray, total: int, size: int, rate: float = 1.0) -> np.ndarray:
+    """Negative log probabilities of pairs from the counts of pair and first word, the first word's kinds of pairs and the word's count, in a share of the text."""
+    unigram = (rate * word + 1.0) / (rate * total + size)
+    had = np.maximum(rate * before, 1e-300)
+    rest = np.where(before > 0, DISCOUNT * kinds / had, 1.0)
+    return -np.log(np.maximum(rate * pairs - DISCOUNT * seen(pairs, rate), 0.0) / had + rest * unigram)
+
+
+def _scored(groups: DataFrame, told: DataFrame, buckets: int, heavy: np.ndarray, sums: np.ndarray, rates: tuple[float, float]) -> DataFrame:
     size, totals, heavy_kinds = max(VOCABULARY, int(sums[0])) + UNKNOWN + 1, sums[1:3].tolist(), sums[3:].reshape(2, -1)
 
     def process(docs: pa.Table, counts: pa.Table) -> pa.Table:
@@ -215,7 +227,7 @@ def _scored(groups: DataFrame, told: DataFrame, buckets: int, heavy: np.ndarray,
         ends = np.cumsum(x.lengths)
         means = []
         for side in (0, 1):
-            loss = losses(pairs[side], known[2 + side][x.v], known[4 + side][x.v], known[side][x.w], totals[side], size)
+            loss = losses(pairs[side], known[2 + side][x.v], known[4 + side][x.v] / PARTS, known[side][x.w], totals[side], size, rates[side])
             running = np.append(0.0, np.cumsum(loss[x.place]))
             means.append((running[ends] - running[ends - x.lengths]) / np.maximum(x.lengths, 1))
         return pa.table([docs.column("doc_id"), x.lengths, *means, means[0] - means[1]], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
@@ -223,18 +235,28 @@ def _scored(groups: DataFrame, told: DataFrame, buckets: int, heavy: np.ndarray,
     return groups.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(process, SCHEMA)
 
 
+def shares(docs: DataFrame, targets: DataFrame) -> tuple[int, tuple[float, float]]:
+    """Bytes of all texts, and the shares of the target's and the background's that match in size. targets: distinct doc_ids."""
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    whole = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    target = sizes.join(targets.select("doc_id"), "doc_id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    least = min(target, whole - target)
+    return whole, (least / target if least else 1.0, least / (whole - target) if least else 1.0)
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Target: documents with quality 1. One row per document."""
     common.bounded_batches(docs.sparkSession)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    dealt, buckets, heavy = max(1, -(-size // GROUP)), max(1, -(-size // BUCKET)), _heavy(docs)
     ids = F.col("doc_id").cast("long").alias("doc_id")
+    targets = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(ids).distinct()
+    size, rates = shares(docs, targets)
+    dealt, buckets, heavy = max(1, -(-size // GROUP)), max(1, -(-size // BUCKET)), _heavy(docs)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(dealt)).cast("int")
     apart = F.pmod(F.xxhash64("text"), F.lit(dealt)).cast("int")
     groups = docs.select(ids, "text").select("doc_id", "text", F.when(F.col("doc_id").isNull(), apart).otherwise(place).alias("g"))
-    marked = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(ids).distinct().select("doc_id", place.alias("g"))
-    told = common.cut_lineage(_told(_requests(groups, marked, buckets, heavy), heavy))
+    marked = targets.select("doc_id", place.alias("g"))
+    told = common.cut_lineage(_told(_requests(groups, marked, buckets, heavy), heavy, rates))
     sums = np.zeros(3 + 2 * len(heavy), dtype=np.int64)
     for r in told.filter("g < 0").select("n").toLocalIterator():
         sums += unpacked(r["n"])
-    return _scored(groups, told.filter("g >= 0"), buckets, heavy, sums)
+    return _scored(groups, told.filter("g >= 0"), buckets, heavy, sums, rates)

@@ -606,6 +606,31 @@ def test_exceptions_cancel():
     assert score("f00l") == 3 and score("foolish") == 0 and score("unbad") == 0 and score("bаd") == 2
 
 
+def rates_by_hand(marked):
+    """(background, target) shares that match in bytes."""
+    sizes = [sum(len(t.encode()) for t, m in marked if m == side) for side in (False, True)]
+    return [min(sizes) / x for x in sizes]
+
+
+def loss_by_hand(pairs, t, size, rate):
+    """Mean loss of the words of t behind the first: the model of a share of the text, in expectation."""
+    import math
+
+    def kept(n):
+        return max(n - perplexity.DISCOUNT, 0) if rate >= 1 else rate * n - perplexity.DISCOUNT * (1 - math.exp(-rate * n))
+
+    before, after, kinds = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        after[b] += n
+        kinds[a] += 1 if rate >= 1 else 1 - math.exp(-rate * n)
+    total, out = sum(after.values()), 0.0
+    for a, b in zip(t, t[1:], strict=False):
+        uni = (rate * after[b] + 1) / (rate * total + size)
+        out -= math.log(kept(pairs[a, b]) / (rate * before[a]) + perplexity.DISCOUNT * kinds[a] / (rate * before[a]) * uni if before[a] else uni)
+    return out / (len(t) - 1)
+
+
 def test_perplexity(spark, empty):
     rng = np.random.default_rng(8)
     rows = [(i, words(rng, 60, 50) if i % 2 else words(rng, 60, 50).replace("w", "v"), "en", "a") for i in range(60)] + [(100, None, "en", "a"), (101, "", "en", "a")]
@@ -622,19 +647,10 @@ def test_perplexity(spark, empty):
         for a, b in zip(["<s>", *t], t, strict=False):
             pairs[int(i < 60 and i % 2)][a, b] += 1
     assert len(top) <= perplexity.VOCABULARY
+    rates = rates_by_hand([(t or "", i < 60 and i % 2 == 1) for i, t, *_ in rows])
 
     def loss(side, t):
-        before, after, kinds = Counter(), Counter(), Counter()
-        for (a, b), n in pairs[side].items():
-            before[a] += n
-            after[b] += n
-            kinds[a] += 1
-        total, out = sum(after.values()), 0.0
-        for a, b in zip(["<s>", *t], t, strict=False):
-            uni = (after[b] + 1) / (total + perplexity.SIZE)
-            rest = perplexity.DISCOUNT * kinds[a] / before[a] if before[a] else 1.0
-            out -= np.log(max(pairs[side][a, b] - perplexity.DISCOUNT, 0) / max(before[a], 1) + rest * uni)
-        return out / len(t)
+        return loss_by_hand(pairs[side], ["<s>", *t], perplexity.SIZE, rates[side])
 
     for i in (0, 1, 17):
         assert found[i]["target_loss"] == pytest.approx(loss(1, texts[i]), rel=1e-4) and found[i]["background_loss"] == pytest.approx(loss(0, texts[i]), rel=1e-4)
@@ -654,18 +670,20 @@ def test_perplexity_of_a_large_vocabulary(spark, monkeypatch):
     pairs = [Counter(), Counter()]
     for i, t in texts:
         pairs[int(i is not None and i < 80 and i % 2 == 0)].update(zip(["<s>", *t], t, strict=False))
+    rates = rates_by_hand([(t, i is not None and i < 80 and i % 2 == 0) for i, t, *_ in rows])
+    assert min(rates) < 0.95
     for side, column in ((1, "target_loss"), (0, "background_loss")):
-        before, after, kinds = Counter(), Counter(), Counter(a for a, _ in pairs[side])
-        for (a, b), n in pairs[side].items():
-            before[a] += n
-            after[b] += n
         for i, t in texts:
-            loss = 0.0
-            for a, b in zip(["<s>", *t], t, strict=False):
-                uni = (after[b] + 1) / (sum(after.values()) + len(vocabulary) + perplexity.UNKNOWN + 1)
-                rest = perplexity.DISCOUNT * kinds[a] / before[a] if before[a] else 1.0
-                loss -= np.log(max(pairs[side][a, b] - perplexity.DISCOUNT, 0) / max(before[a], 1) + rest * uni)
-            assert found[i, len(t)][column] == pytest.approx(loss / len(t), rel=1e-9)
+            assert found[i, len(t)][column] == pytest.approx(loss_by_hand(pairs[side], ["<s>", *t], len(vocabulary) + perplexity.UNKNOWN + 1, rates[side]), rel=1e-5)
+
+
+def test_a_matched_model_is_a_distribution():
+    """Over all words, the probabilities after a first word sum to one, whatever the share of the text."""
+    n, word = np.array([5, 2, 1, 0]), np.array([9, 4, 2, 1])
+    for rate in (1.0, 0.4, 0.01):
+        kinds = perplexity.seen(n, rate).sum()
+        p = np.exp(-perplexity.losses(n, np.full(4, n.sum()), np.full(4, kinds), word, 16, 4 + 0, rate))
+        assert p.sum() == pytest.approx(1.0)
 
 
 def test_word_hashes_of_long_data(monkeypatch):
