@@ -572,7 +572,7 @@ def _entities(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     """Documents (doc_id, text_hash, n, sig); sets; those that meet others, with names; the pairs and the members of regions that they make."""
     signed = common.cut_lineage(_signed(docs))
     # a set's name goes to each bucket that has one of its keys: fewer buckets than partitions
-    found = common.cut_lineage(_regions(docs, _order_table(signed), max(8, common.partitions(docs.sparkSession) // 3)))
+    found = common.cut_lineage(_regions(docs, _order_table(signed), max(4, common.partitions(docs.sparkSession) // 2)))
     signed = signed.filter("part IS NULL").drop("part", "counts")
     sets = common.cut_lineage(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("entity_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("short", short("sig")))
     involved = found.select(F.col("a").alias("short")).unionByName(found.filter("region IS NULL").select(F.col("b").alias("short"))).distinct()
