@@ -8,20 +8,21 @@ the same document) is removed. Documents in order of doc_id are cut into shards.
    unique; their text is left out. Hashes meet by value, one per shard.
 2. Per shard, the suffixes of what is left are sorted by the refinement of Larsson and Sadakane: ranks
    by eight bytes, doubled to 64 while groups of equal rank have several members (others stay as they
-   are), and then to WINDOW by two overlapping ranks. Neighbours of equal rank have a common prefix of
-   WINDOW bytes; these are the only common prefixes that matter, so ranks stand in for Kasai's table.
-   All but the first of a group are repeats within the shard.
+   are), and then to WINDOW by two overlapping ranks. Kasai's table of common prefixes follows for neighbours that
+   agree in 64 bytes: where a place and its neighbour both follow the ones before, the prefix is one byte less; the first of
+   such a run is compared, byte by byte. Places with a prefix of WINDOW bytes in common with the one before are repeats.
 3. Across shards, a shard sends what stands around each anchor (once for equal surroundings) to where
-   the anchor's hash belongs. There the windows of all shards are sorted and each shard's windows are
-   looked up by binary search: those that an earlier shard has are repeats.
+   the anchor's hash belongs. There the windows of all shards are sorted by hash, each shard's windows are
+   looked up by binary search, and what is found is compared byte by byte: those that an earlier shard has are repeats.
 4. Repeats come back to the shard, which removes the union of their bytes.
 
-The texts are shuffled once and that shuffle is read three times. Hash equality of windows needs two
-independent 64-bit hashes to agree (the anchor's and the window's).
+The texts are shuffled once and that shuffle is read three times. Hashes only bring windows together; equality is
+always that of bytes.
 
 Defined results: a null text is empty; documents of fewer than WINDOW bytes keep all; equal doc_ids
-are ordered by text, null doc_ids come first; an empty table gives an empty result; other columns are
-ignored.
+are ordered by text, null doc_ids come first; repeated rows count as documents of their own; very long texts are read in
+pieces for their anchors and are part of one shard; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +41,11 @@ from . import common
 
 WINDOW = 100
 GRAM = 32
+#: Bytes by which ranks are doubled; two overlapping ranks make a window.
+HALF = 64
 #: Bytes before and after an anchor that its windows can reach.
 REACH = WINDOW - GRAM
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Bytes of a document taken at a time.
 PIECE = 2 << 20
 NO_ID = -(1 << 63)
@@ -88,24 +91,27 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[one]
 
 
-def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ranks of the WINDOW-byte strings at all places of data; -1 where one doesn't fit before the place's end."""
+def refine(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, by WINDOW bytes, of the places whose first HALF bytes stand several times; marks of those that agree in HALF with the one before.
+
+    Places where WINDOW bytes don't fit before the place's end are left out; equal ones stand in order of place.
+    """
     n = len(data)
     room = ends - np.arange(n)
     rank = np.full(n, -1, dtype=np.int64)
     at = np.flatnonzero(room[: max(0, n - 7)] >= 8)
     if not len(at):
-        return rank
+        return at, at.astype(bool)
     eight = np.ndarray((n - 7,), dtype=">u8", buffer=np.ascontiguousarray(data).data, strides=(1,))[at].astype(np.uint64)
     order = np.argsort(eight)
     at, key = at[order], eight[order]
     start = np.ones(len(at), dtype=bool)
     start[1:] = key[1:] != key[:-1]
     rank[at] = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-    for step, need in ((8, 16), (16, 32), (32, 64), (WINDOW - 64, WINDOW)):
+    for step in (8, 16, HALF // 2):
         # a place is refined with the rank `step` further on; both must have been ranked to the same depth
         many = np.bincount(rank[rank >= 0], minlength=n)
-        fits = (rank >= 0) & (room >= need)
+        fits = (rank >= 0) & (room >= 2 * step)
         rank_next = np.full(n, -1, dtype=np.int64)
         alone = fits & (many[np.maximum(rank, 0)] == 1)
         rank_next[alone] = rank[alone]
@@ -120,7 +126,51 @@ def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         new[1:] |= s[1:] != s[:-1]
         rank_next[a] = r + np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(old, i, 0))
         rank = rank_next
-    return rank
+    fits = (rank >= 0) & (room >= WINDOW)
+    many = np.bincount(rank[fits], minlength=n)
+    a = np.flatnonzero(fits)
+    a = a[many[rank[a]] > 1]
+    r = rank[a]
+    order = np.lexsort((rank[a + WINDOW - HALF], r))
+    a, r = a[order], r[order]
+    tied = np.zeros(len(a), dtype=bool)
+    tied[1:] = r[1:] == r[:-1]
+    return a, tied
+
+
+def _extend(data: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many bytes from i and j on are equal, up to a limit; the first HALF are."""
+    found = np.minimum(HALF, limit)
+    active, width = np.flatnonzero(found < limit), 64
+    while len(active):
+        step = np.arange(width)
+        for low in range(0, len(active), (1 << 20) // width):
+            k = active[low : low + (1 << 20) // width]
+            at = found[k, None] + step
+            same = np.take(data, i[k, None] + at, mode="clip") == np.take(data, j[k, None] + at, mode="clip")
+            found[k] = np.minimum(found[k] + np.where(same.all(axis=1), width, same.argmin(axis=1)), limit[k])
+            active[low : low + len(k)] = np.where(same.all(axis=1) & (found[k] < limit[k]), k, -1)
+        active, width = active[active >= 0], min(1 << 14, 4 * width)
+    return found
+
+
+def kasai(data: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places, ascending, that agree in HALF bytes with the one before in the suffix array, and the length of their common prefix.
+
+    Lengths are told as far as they decide whether WINDOW bytes are common.
+    """
+    later = np.flatnonzero(tied)
+    i, j = suffixes[later], suffixes[later - 1]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    head = np.ones(len(i), dtype=bool)
+    head[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(i)))
+    x, y = i[first], j[first]
+    limit = np.minimum(size - 1 + WINDOW, np.minimum(ends[x] - x, ends[y] - y)) if len(i) else size
+    lengths = _extend(data, x, y, limit)
+    return i, np.repeat(lengths + first, size) - np.arange(len(i))
 
 
 def runs(places: np.ndarray) -> np.ndarray:
@@ -216,13 +266,11 @@ def _shard_repeats(parts: int):
         sizes = np.array([b - a for _, a, b in regions])
         data = np.concatenate([texts[d][a:b] for d, a, b in regions])
         opens = np.cumsum(sizes) - sizes
-        rank = refine(data, np.repeat(opens + sizes, sizes))
-        # the suffix array of what fits; places stand in order of text and start, so a group's first is its earliest
-        fits = np.flatnonzero(rank >= 0)
-        suffixes = fits[np.argsort(rank[fits], kind="stable")]
+        ends = np.repeat(opens + sizes, sizes)
+        # places stand in order of text and start, so a group's first is its earliest
+        places, lengths = kasai(data, ends, *refine(data, ends))
         again = np.zeros(len(data), dtype=bool)
-        r = rank[suffixes]
-        again[suffixes[1:][r[1:] == r[:-1]]] = True
+        again[places[lengths >= WINDOW]] = True
         rows = []
         for k in np.flatnonzero(np.add.reduceat(again, opens) > 0).tolist():
             d, a, b = regions[k]
@@ -256,8 +304,13 @@ def _surroundings(texts: list[np.ndarray], who, where, what, shard: int, parts:
         head["before"][lo:hi] = np.minimum(p, REACH)
         head["after"][lo:hi] = np.minimum(len(t) - GRAM - p, REACH)
     # once for equal surroundings
-    keys = np.stack([_window_hash(body, 0, WIDE), what, (head["before"] * 1000 + head["after"]).astype(np.uint64)], axis=1)
-    _, one = np.unique(keys, axis=0, return_index=True)
+    keys = (_window_hash(body, 0, WIDE), what, (head["before"] * 1000 + head["after"]).astype(np.uint64))
+    order = np.lexsort(keys)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    again = np.flatnonzero(~new)
+    new[again] = (body[order[again]] != body[order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[again]]]).any(axis=1)
+    one = order[new]
     head, body = head[one], body[one]
     bucket = head["hash"] % np.uint64(parts)
     order = np.argsort(bucket, kind="stable")
@@ -306,7 +359,9 @@ def _repeats(head: np.ndarray, body: np.ndarray, shard: np.ndarray) -> np.ndarra
     order = np.lexsort((shard, whole, head["hash"]))
     head, body, shard, whole = head[order], body[order], shard[order], whole[order]
     same = np.zeros(len(head), dtype=bool)  # an earlier shard has all of it
-    same[1:] = (head["hash"][1:] == head["hash"][:-1]) & (whole[1:] == whole[:-1])
+    same[1:] = (head["hash"][1:] == head["hash"][:-1]) & (whole[1:] == whole[:-1]) & (head["before"][1:] == head["before"][:-1]) & (head["after"][1:] == head["after"][:-1])
+    at = np.flatnonzero(same)
+    same[at] = (body[at] == body[at - 1]).all(axis=1)
     first = head["place"] - head["before"]
     last = head["place"] - REACH + head["after"]
     ok = same & (last >= first)
@@ -324,15 +379,29 @@ def _repeats(head: np.ndarray, body: np.ndarray, shard: np.ndarray) -> np.ndarra
             start = head["place"][i] - REACH + offset
             fits = (offset >= REACH - head["before"][i]) & (offset <= head["after"][i])
             j, key = i[fits], _window_hash(body[i[fits]], offset, WINDOW) ^ head["hash"][i[fits]]
-            by = np.lexsort((shard[j], key))
-            keys, one = np.unique(key[by], return_index=True)
-            earliest = shard[j][by][one]
-            late = earliest[np.searchsorted(keys, key)] < shard[j]
+            late = _late(key, shard[j], body[j, offset : offset + WINDOW])
             s = start[fits][late]
             out.append(np.stack([shard[j][late], head["text"][j][late], s, s], axis=1))
     return np.concatenate(out)
 
 
+def _late(key: np.ndarray, shard: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Marks of the windows that an earlier shard has: those with its key are looked up and compared."""
+    by = np.lexsort((shard, key))
+    keys, one = np.unique(key[by], return_index=True)
+    earliest = by[one][np.searchsorted(keys, key)]
+    late = shard[earliest] < shard
+    at = np.flatnonzero(late)
+    late[at] = (window[at] == window[earliest[at]]).all(axis=1)
+    for k in np.unique(key[at[~late[at]]]).tolist():  # different windows of one key
+        least: dict[bytes, int] = {}
+        own = np.flatnonzero(key == k).tolist()
+        for i in own:
+            least[window[i].tobytes()] = min(int(shard[i]), least.get(window[i].tobytes(), int(shard[i])))
+        late[own] = [least[window[i].tobytes()] < shard[i] for i in own]
+    return late
+
+
 def _blocks(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Runs of about size places that don't part equal keys."""
     low = 0

@@ -367,18 +367,45 @@ def test_suffixes(docs, corpus, empty, monkeypatch):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-def test_refined_ranks():
+def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(3)
     piece = rng.integers(97, 100, 150).astype(np.uint8)
-    data = np.concatenate([piece, rng.integers(97, 99, 200).astype(np.uint8), piece])
-    rank = suffixes.refine(data, np.full(len(data), len(data)))
-    strings = {i: data[i : i + 100].tobytes() for i in range(len(data) - 99)}
-    order = sorted(strings.values())
-    assert all(rank[i] == -1 for i in range(len(data) - 99, len(data)))
-    for i, a in strings.items():
-        for j in (i, (i + 350) % len(strings)):
-            assert (rank[i] == rank[j]) == (a == strings[j]) and (rank[i] < rank[j]) == (a < strings[j])
-    assert len({rank[i] for i in strings}) == len(set(order))
+    long = rng.integers(97, 99, 400).astype(np.uint8)
+    texts = [np.concatenate([piece, long, piece]), piece[20:130], np.full(300, 97, np.uint8), np.concatenate([long[:250], piece[:70], long[:99]]), piece[:99]]
+    data = np.concatenate(texts)
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    suffix, tied = suffixes.refine(data, ends)
+    strings = {i: data[i : i + 100].tobytes() for i in range(len(data)) if i + 100 <= ends[i]}
+    halves = Counter(s[:64] for s in strings.values())
+    assert suffix.tolist() == sorted((i for i, s in strings.items() if halves[s[:64]] > 1), key=lambda i: (strings[i], i))
+    assert all(t == (k > 0 and strings[i][:64] == strings[suffix[k - 1]][:64]) for k, (i, t) in enumerate(zip(suffix.tolist(), tied.tolist(), strict=True)))
+    before = dict(zip(suffix[1:].tolist(), suffix[:-1].tolist(), strict=True))
+    places, lengths = suffixes.kasai(data, ends, suffix, tied)
+    assert sorted(places.tolist()) == places.tolist() == sorted(suffix[tied].tolist()) and len(places) > 300
+    for i, n in zip(places.tolist(), lengths.tolist(), strict=True):
+        j, true = before[i], 0
+        while i + true < ends[i] and j + true < ends[j] and data[i + true] == data[j + true]:
+            true += 1
+        assert min(n, 100) == min(true, 100)
+
+
+def test_windows_of_one_key_are_compared():
+    window = np.array([[1, 1], [2, 2], [2, 2], [1, 1], [3, 3], [2, 2]], np.uint8)
+    key, shard = np.array([7, 7, 7, 7, 7, 8], np.uint64), np.array([0, 0, 1, 2, 3, 4])
+    assert suffixes._late(key, shard, window).tolist() == [False, False, True, True, False, False]
+
+
+def test_suffixes_over_many_shards(spark, monkeypatch):
+    """Small shards: repeats within and across them, in documents of many lengths, with colliding keys."""
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1500)
+    rng = np.random.default_rng(8)
+    passages = [words(rng, 40, 5000) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        t = words(rng, int(rng.integers(0, 60)), 5000) + " " + passages[int(rng.integers(0, 5))][int(rng.integers(0, 60)) :] * int(rng.integers(0, 3)) + words(rng, int(rng.integers(0, 30)), 5000)
+        rows.append((i, t, "en", "a"))
+    found = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(make(spark, rows)).collect())
+    assert found == removed_by_hand(in_order(rows)) and sum(r[2] > 0 for r in found) > 20
 
 
 # licenses ------------------------------------------------------------------------------------------------------------
