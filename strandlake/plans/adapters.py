@@ -104,5 +104,46 @@ def variant_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANT_SITES = """variant_sites AS (SELECT p_partkey AS site, p_partkey * 100 + 50 AS pos, 'A' AS ref, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'G' END AS alt FROM part)"""
 
 
+def aligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_id, sample, pos, cigar, bases, quals): a read per event, whole or with an insertion, a deletion, a clipped end or a skipped stretch."""
+    i = F.col("event_id")
+    x = table(spark, sf_dir, "events").select(i.alias("read_id"), (F.col("user_id") % 10).alias("sample"), (i * 20 + 1).alias("pos"), (F.lit(40) + i % 60).cast("int").alias("n"), (i % 6).alias("shape"))
+    # the first stretch ends at a site where it can
+    x = x.withColumn("a", F.expr("CAST(CASE WHEN (150 - read_id * 20 % 100) % 100 BETWEEN 5 AND n - 10 THEN (150 - read_id * 20 % 100) % 100 ELSE 10 + read_id % 25 END AS INT)"))
+    cigar = F.expr(
+        "CASE shape WHEN 0 THEN concat(n, 'M') WHEN 1 THEN concat(a, 'M2I', n - a - 2, 'M') WHEN 2 THEN concat(a, 'M2D', n - a, 'M') WHEN 3 THEN concat('5S', n - 5, 'M') "
+        "WHEN 4 THEN concat(a, 'M20N', n - a, 'M') ELSE concat(a, 'M1I', n - a - 1, 'M') END"
+    )
+    bases = F.expr("array_join(transform(sequence(0, n - 1), k -> substr('ACGT', CAST((read_id * 7 + k * 3 + k div 5) % 4 + 1 AS INT), 1)), '')")
+    quals = F.expr("array_join(transform(sequence(0, n - 1), k -> char(38 + (read_id + k * 11) % 36)), '')")
+    return x.select("read_id", "sample", "pos", cigar.alias("cigar"), bases.alias("bases"), quals.alias("quals"))
+
+
+# The same reads without strings: their matched stretches, one case a shape; base and quality at a place by their rules.
+ALIGNED = """e AS (SELECT event_id AS read_id, user_id % 10 AS sample, event_id * 20 + 1 AS pos, 40 + event_id % 60 AS n, (150 - (event_id * 20) % 100) % 100 AS to_site, event_id % 6 AS shape FROM events),
+r AS (SELECT *, CASE WHEN to_site BETWEEN 5 AND n - 10 THEN to_site ELSE 10 + read_id % 25 END AS a FROM e),
+stretch AS (
+  SELECT read_id, sample, n, pos AS first, CASE shape WHEN 0 THEN n WHEN 3 THEN n - 5 ELSE a END AS m, CASE shape WHEN 3 THEN 5 ELSE 0 END AS skipped, CASE shape WHEN 1 THEN 2 WHEN 2 THEN -2 WHEN 5 THEN 1 ELSE 0 END AS indel FROM r
+  UNION ALL
+  SELECT read_id, sample, n, pos + a + CASE shape WHEN 2 THEN 2 WHEN 4 THEN 20 ELSE 0 END, n - a - CASE shape WHEN 1 THEN 2 WHEN 5 THEN 1 ELSE 0 END, a + CASE shape WHEN 1 THEN 2 WHEN 5 THEN 1 ELSE 0 END, 0 FROM r WHERE shape IN (1, 2, 4, 5)),
+spots AS (
+  SELECT read_id, sample, n, site, ref, alt, skipped + pos - first AS off, CASE WHEN pos = first + m - 1 THEN indel ELSE 0 END AS read_indel FROM stretch JOIN any_sites ON pos >= first AND pos < first + m),
+evidence AS (
+  SELECT *, substr('ACGT', (read_id * 7 + off * 3 + off // 5) % 4 + 1, 1) AS base, substr('ACGT', (read_id * 7 + (off + 1) * 3 + (off + 1) // 5) % 4 + 1, 1) AS base1, substr('ACGT', (read_id * 7 + (off + 2) * 3 + (off + 2) // 5) % 4 + 1, 1) AS base2,
+         (5 + (read_id + off * 11) % 36)::INT AS qual, 5 + (read_id + (off + 1) * 11) % 36 AS qual1, 5 + (read_id + (off + 2) * 11) % 36 AS qual2, n - off AS room FROM spots)"""
+
+
+def any_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, pos, ref, alt): SNPs, insertions of one and two bases and deletions of two, a site every 100 bases."""
+    k = F.col("p_partkey") % 5
+    p = table(spark, sf_dir, "part")
+    ref, alt = F.when(k == 1, "ACG").when(k == 2, "C").otherwise("A"), F.when(k == 0, "ATT").when(k == 1, "A").when(k == 2, "CA").otherwise("G")
+    return p.select(F.col("p_partkey").alias("site"), (F.col("p_partkey") * 100 + 50).alias("pos"), ref.alias("ref"), alt.alias("alt"))
+
+
+ANY_SITES = """any_sites AS (SELECT p_partkey AS site, p_partkey * 100 + 50 AS pos, CASE p_partkey % 5 WHEN 1 THEN 'ACG' WHEN 2 THEN 'C' ELSE 'A' END AS ref,
+  CASE p_partkey % 5 WHEN 0 THEN 'ATT' WHEN 1 THEN 'A' WHEN 2 THEN 'CA' ELSE 'G' END AS alt FROM part)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"

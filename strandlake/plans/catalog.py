@@ -347,6 +347,45 @@ def agg_14_snk_05_fn_29_coverage(spark, sf_dir):
     return x.select("sample", "reads", "covered", "n_sites", F.round("mean_depth", 6).alias("mean_depth"), F.round("no_data", 6).alias("no_data"), F.round("e0", 4).alias("e0"), F.round("e1", 4).alias("e1"))
 
 
+ALIGNED_SQL = A.with_(A.ANY_SITES, A.ALIGNED)
+
+
+@query(ALIGNED_SQL + "SELECT read_id, sample, site, off, base, qual, read_indel FROM evidence")
+def src_16_join_10_flt_09_aligned_bases(spark, sf_dir):
+    """Bases, qualities and indels at sites, along the reads' alignments."""
+    pile = pileup.pile_up(A.aligned_reads(spark, sf_dir), A.any_sites(spark, sf_dir), 128).filter("base IS NOT NULL")
+    return pile.select("read_id", "sample", "site", F.col("offset").cast("long").alias("off"), "base", "qual", F.col("read_indel").cast("long").alias("read_indel"))
+
+
+@query(ALIGNED_SQL + """, b AS (SELECT *, pow(10.0, -greatest(qual, 4) / 10.0) AS e FROM evidence WHERE length(ref) = 1 AND length(alt) = 1 AND qual >= 10),
+l AS (SELECT sample, site, count(*) AS depth, sum(CASE WHEN base = ref THEN log10(1 - e) ELSE log10(e) END) AS l0, sum(CASE WHEN base = alt THEN log10(1 - e) ELSE log10(e) END) AS l1 FROM b GROUP BY sample, site)
+SELECT sample, site, depth, least(floor(round((greatest(l0, l1) - l0) * 10.0, 6)), 255)::INT AS pl0, least(floor(round((greatest(l0, l1) - l1) * 10.0, 6)), 255)::INT AS pl1 FROM l""")
+def mdl_02_haploid_likelihoods(spark, sf_dir):
+    pile = pileup.pile_up(A.aligned_reads(spark, sf_dir), A.any_sites(spark, sf_dir).filter("length(ref) = 1 AND length(alt) = 1"), 128)
+    x = pileup.likelihoods(pileup.usable_bases(pile), 1)
+    return x.select("sample", "site", "depth", *(F.col("pl")[k].alias(f"pl{k}") for k in range(2)))
+
+
+@query(ALIGNED_SQL + """, s AS (
+  SELECT sample, site, ref, alt,
+    CASE WHEN base <> ref[1] THEN NULL
+         WHEN length(alt) > 1 AND read_indel = 0 THEN 0
+         WHEN length(alt) > 1 AND read_indel > 0 AND read_indel = least(length(alt), room) - 1 AND (read_indel < 2 OR base1 = alt[2]) THEN 1
+         WHEN length(ref) > 1 AND read_indel = 0 AND (room < 2 OR base1 = ref[2]) AND (room < 3 OR base2 = ref[3]) THEN 0
+         WHEN length(ref) > 1 AND read_indel = 1 - length(ref) THEN 1 END AS shows,
+    CASE WHEN length(alt) > 1 AND read_indel = 2 THEN (qual + qual1) // 2
+         WHEN length(ref) > 1 AND read_indel = 0 AND room >= 3 THEN (qual + qual1 + qual2) // 3
+         WHEN length(ref) > 1 AND read_indel = 0 AND room = 2 THEN (qual + qual1) // 2 ELSE qual END AS q
+  FROM evidence WHERE length(ref) > 1 OR length(alt) > 1),
+b AS (SELECT *, pow(10.0, -greatest(q, 4) / 10.0) AS e FROM s WHERE shows IS NOT NULL AND q >= 10),
+l AS (SELECT sample, site, count(*) AS depth, sum(CASE WHEN shows = 0 THEN log10(1 - e) ELSE log10(e / 3) END) AS l0, sum(log10(0.5 - e / 3)) AS l1, sum(CASE WHEN shows = 1 THEN log10(1 - e) ELSE log10(e / 3) END) AS l2 FROM b GROUP BY sample, site)
+SELECT sample, site, depth, least(floor(round((greatest(l0, l1, l2) - l0) * 10.0, 6)), 255)::INT AS pl0, least(floor(round((greatest(l0, l1, l2) - l1) * 10.0, 6)), 255)::INT AS pl1, least(floor(round((greatest(l0, l1, l2) - l2) * 10.0, 6)), 255)::INT AS pl2 FROM l""")
+def mdl_03_indel_likelihoods(spark, sf_dir):
+    pile = pileup.pile_up(A.aligned_reads(spark, sf_dir), A.any_sites(spark, sf_dir).filter("length(ref) > 1 OR length(alt) > 1"), 128)
+    x = pileup.likelihoods(pileup.indel_bases(pile))
+    return x.select("sample", "site", "depth", *(F.col("pl")[k].alias(f"pl{k}") for k in range(3)))
+
+
 @query()
 def smp_02_limited_depth(spark, sf_dir):
     return pileup.limit_depth(_pile(spark, sf_dir), pileup.ReadOptions(max_depth=10)).select("sample", "site", "read_id")
