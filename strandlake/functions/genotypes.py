@@ -289,21 +289,29 @@ def estimate(gp: Column | None, ds: Column | None, gt: Column | None = None, pl:
 def truth_code(gp: Column, dp: Column, min_dp: int, min_p: float) -> Column:
     """FLT-10: the true genotype, or why it can't be used: -5 no depth, -2 low depth, -3 no likelihood, -4 too uncertain, -1 no single best."""
     total = gp[0] + gp[1] + gp[2]
-    p = F.transform(gp, lambda x: x / F.when(total > 0, total).otherwise(d(1.0)))
+    p = [gp[k] / F.when(total > 0, total).otherwise(d(1.0)) for k in range(3)]
     best = F.when((p[0] > p[1]) & (p[0] > p[2]), 0).when((p[1] > p[0]) & (p[1] > p[2]), 1).when((p[2] > p[0]) & (p[2] > p[1]), 2).otherwise(-1)
-    return F.when(dp.isNull(), -5).when(dp < min_dp, -2).when((gp[0] < 0) | (gp[1] < 0) | (gp[2] < 0), -3).when(F.array_max(p) < d(min_p), -4).otherwise(best)
+    return F.when(dp.isNull(), -5).when(dp < min_dp, -2).when((gp[0] < 0) | (gp[1] < 0) | (gp[2] < 0), -3).when(F.greatest(*p) < d(min_p), -4).otherwise(best)
+
+
+def _outside(p: list[Column]) -> Column:
+    """Whether one of some probabilities isn't one."""
+    found = F.lit(False)
+    for x in p:
+        found = found | (x < 0) | (x > d(1.0 + 1e-7))
+    return found
 
 
 def estimate_code(gp: Column, min_gp: float) -> Column:
     """FLT-11: the best-guess genotype, or -3 for values outside 0 to 1, -4 below the filter."""
-    outside = F.exists(gp, lambda x: (x < 0) | (x > d(1.0 + 1e-7)))
-    return F.when(outside, -3).when(F.array_max(gp) < d(min_gp), -4).otherwise(best_genotype(gp[0], gp[1], gp[2]))
+    p = [gp[k] for k in range(3)]
+    return F.when(_outside(p), -3).when(F.greatest(*p) < d(min_gp), -4).otherwise(best_genotype(*p))
 
 
 def estimate_code_haploid(gp: Column, min_gp: float) -> Column:
     """FLT-11 for haploids: a tie is no call (-1)."""
-    outside = F.exists(gp, lambda x: (x < 0) | (x > d(1.0 + 1e-7)))
-    return F.when(outside, -3).when(F.array_max(gp) < d(min_gp), -4).when(gp[0] == gp[1], -1).otherwise((gp[1] > gp[0]).cast("int"))
+    p = [gp[k] for k in range(2)]
+    return F.when(_outside(p), -3).when(F.greatest(*p) < d(min_gp), -4).when(p[0] == p[1], -1).otherwise((p[1] > p[0]).cast("int"))
 
 
 def swap_phase(gt: Column, phased: Column, swap: Column) -> Column:

@@ -54,8 +54,8 @@ def evaluation(cells: DataFrame, sites: DataFrame, edges: list[float] | None = N
     """
     x = cells.join(sites.filter(F.col("vtype").isin("SNP", "INDEL")), "site")
     flip = G.flips(F.col("maf"))
-    tp = G.flip_gp(F.array("tp0", "tp1", "tp2"), flip)
-    gp = G.flip_gp(F.array("gp0", "gp1", "gp2"), flip)
+    # items of arrays made here are plain columns to the optimiser
+    tp, gp = (F.array(F.when(flip, F.col(f"{n}2")).otherwise(F.col(f"{n}0")), F.col(f"{n}1"), F.when(flip, F.col(f"{n}0")).otherwise(F.col(f"{n}2"))) for n in ("tp", "gp"))
     x = x.withColumn("truth_code", G.truth_code(tp, F.col("dp"), min_dp, min_p)).withColumn("estimate_code", G.estimate_code(gp, min_gp))
     x = x.withColumn("ds", G.flip_count(F.col("ds"), 2, flip)).withColumn("cal_bin", G.calibration_bin(F.col("gp0"), F.col("gp1"), F.col("gp2")))
     if edges is not None:
@@ -124,9 +124,9 @@ def per_site(eval_: DataFrame) -> DataFrame:
 
 def rejects(eval_: DataFrame) -> DataFrame:
     """AGG-09: why cells can't be used, for truth and estimate."""
-    t = eval_.filter("truth_code < 0").select(F.lit("truth").alias("source"), F.col("truth_code").alias("code"))
-    e = eval_.filter("truth_code >= 0 AND estimate_code < 0").select(F.lit("estimate").alias("source"), F.col("estimate_code").alias("code"))
-    return t.unionByName(e).groupBy("source", "code").agg(F.count("*").alias("n"))
+    truth = F.col("truth_code") < 0
+    x = eval_.filter("truth_code < 0 OR estimate_code < 0").select(F.when(truth, "truth").otherwise("estimate").alias("source"), F.when(truth, F.col("truth_code")).otherwise(F.col("estimate_code")).alias("code"))
+    return x.groupBy("source", "code").agg(F.count("*").alias("n"))
 
 
 def verdicts(eval_: DataFrame) -> DataFrame:
@@ -148,8 +148,10 @@ def totals(eval_: DataFrame) -> DataFrame:
 
 def by_filter(eval_: DataFrame, thresholds: list[float]) -> DataFrame:
     """A list of probability filters in one scan: used cells and errors at each (the loop of the manifest)."""
-    filters = eval_.sparkSession.range(len(thresholds)).select(F.element_at(F.array(*(F.lit(float(t)) for t in thresholds)), (F.col("id") + 1).cast("int")).alias("min_gp"))
-    x = eval_.filter("valid").crossJoin(F.broadcast(filters))
-    ok = F.greatest("gp0", "gp1", "gp2") >= F.col("min_gp")
-    wrong = ok & (F.col("truth_code") != G.best_genotype(F.col("gp0"), F.col("gp1"), F.col("gp2")))
-    return x.groupBy("min_gp").agg(F.sum(ok.cast("long")).alias("n_used"), F.sum(wrong.cast("long")).alias("n_wrong"))
+    best, top = G.best_genotype(F.col("gp0"), F.col("gp1"), F.col("gp2")), F.greatest("gp0", "gp1", "gp2")
+    wrong, sums = F.col("truth_code") != best, []
+    for k, t in enumerate(thresholds):
+        ok = top >= F.lit(float(t))
+        sums += [F.coalesce(F.sum(ok.cast("long")), F.lit(0)).alias(f"n{k}"), F.coalesce(F.sum((ok & wrong).cast("long")), F.lit(0)).alias(f"w{k}")]
+    rows = F.array(*(F.struct(F.lit(float(t)).alias("min_gp"), F.col(f"n{k}").alias("n_used"), F.col(f"w{k}").alias("n_wrong")) for k, t in enumerate(thresholds)))
+    return eval_.filter("valid").agg(*sums).select(F.inline(rows))

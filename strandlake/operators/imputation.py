@@ -31,7 +31,7 @@ class ModelOptions:
     k_pbwt: int = 2000
     depth: int = 12
     modulo_cm: float = 0.1
-    seed: int = 15052011
+    seed: int = 20011
 
     def __post_init__(self) -> None:
         if not 1 <= self.main <= 15:

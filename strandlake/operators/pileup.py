@@ -110,7 +110,7 @@ def usable_bases(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
 
 def limit_depth(pile: DataFrame, o: ReadOptions = ReadOptions(), seed: int = 20011) -> DataFrame:
     """SMP-02: at most max_depth reads a sample and site, drawn by a hash of the read."""
-    draw = F.crc32(F.concat_ws("|", F.lit(seed), "sample", "site", "read_id").cast("binary"))
+    draw = F.md5(F.concat_ws("|", F.lit(seed), "sample", "site", "read_id").cast("binary"))
     w = Window.partitionBy("sample", "site").orderBy(draw, "read_id")
     return pile.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= o.max_depth).drop("draw")
 

@@ -193,7 +193,7 @@ def set_01_added_states(spark, sf_dir):
     return panels.add_states(x.filter("l_linenumber = 1"), x.filter("l_linenumber = 2"))
 
 
-@query()
+@query(A.with_(A.PANEL) + "SELECT site, hap, draw::INT AS draw FROM (SELECT site, hap, row_number() OVER (PARTITION BY site ORDER BY md5('20011|' || site || '|' || hap), hap) AS draw FROM panel) WHERE draw <= 5")
 def smp_01_03_sampled_haplotypes(spark, sf_dir):
     return panels.sample(A.panel(spark, sf_dir).select("site", "hap"), "hap", 5, by=["site"]).select("site", "hap", "draw")
 
@@ -340,11 +340,13 @@ def mdl_01_04_flt_09_fn_33_likelihoods(spark, sf_dir):
 @query(READ_SQL + PILE + """, per AS (SELECT sample, site, count(*) AS depth FROM pile GROUP BY ALL), n AS (SELECT count(*) AS n_sites FROM variant_sites),
 o AS (SELECT sample, sum(depth)::BIGINT AS reads, count(*) AS covered FROM per GROUP BY sample)
 SELECT s.sample, coalesce(reads, 0) AS reads, coalesce(covered, 0) AS covered, n_sites, round(coalesce(reads, 0) / n_sites::DOUBLE, 6) AS mean_depth, round(100.0 * (n_sites - coalesce(covered, 0)) / n_sites, 6) AS no_data,
-  round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE), 4) AS e0, round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE) * coalesce(reads, 0) / n_sites::DOUBLE, 4) AS e1
+  round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE), 4) AS e0, round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE) * coalesce(reads, 0) / n_sites::DOUBLE, 4) AS e1,
+  round(n_sites * list_sum(list_transform(range(5, 11), lambda k: pow(coalesce(reads, 0) / n_sites::DOUBLE, k) * exp(-coalesce(reads, 0) / n_sites::DOUBLE) / gamma(k + 1.0))), 4) AS e5,
+  round(n_sites * list_sum(list_transform(range(11, 31), lambda k: pow(coalesce(reads, 0) / n_sites::DOUBLE, k) * exp(-coalesce(reads, 0) / n_sites::DOUBLE) / gamma(k + 1.0))), 4) AS e6
 FROM (SELECT range AS sample FROM range(0, 12)) s LEFT JOIN o USING (sample), n""")
 def agg_14_snk_05_fn_29_coverage(spark, sf_dir):
     x = pileup.coverage(_pile(spark, sf_dir), A.variant_sites(spark, sf_dir), spark.range(12).withColumnRenamed("id", "sample"))
-    return x.select("sample", "reads", "covered", "n_sites", F.round("mean_depth", 6).alias("mean_depth"), F.round("no_data", 6).alias("no_data"), F.round("e0", 4).alias("e0"), F.round("e1", 4).alias("e1"))
+    return x.select("sample", "reads", "covered", "n_sites", F.round("mean_depth", 6).alias("mean_depth"), F.round("no_data", 6).alias("no_data"), *(F.round(e, 4).alias(e) for e in ("e0", "e1", "e5", "e6")))
 
 
 ALIGNED_SQL = A.with_(A.ANY_SITES, A.ALIGNED)
@@ -386,7 +388,7 @@ def mdl_03_indel_likelihoods(spark, sf_dir):
     return x.select("sample", "site", "depth", *(F.col("pl")[k].alias(f"pl{k}") for k in range(3)))
 
 
-@query()
+@query(READ_SQL + PILE + "SELECT sample, site, read_id FROM (SELECT *, row_number() OVER (PARTITION BY sample, site ORDER BY md5('20011|' || sample || '|' || site || '|' || read_id), read_id) AS draw FROM pile) WHERE draw <= 10")
 def smp_02_limited_depth(spark, sf_dir):
     return pileup.limit_depth(_pile(spark, sf_dir), pileup.ReadOptions(max_depth=10)).select("sample", "site", "read_id")
 
