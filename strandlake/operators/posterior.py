@@ -50,3 +50,8 @@ def site_statistics(posteriors: DataFrame, sites: DataFrame) -> DataFrame:
 def in_core(posteriors: DataFrame, start: int, stop: int) -> DataFrame:
     """FLT-15: rows carry whether they are in the core window; text output has all, binary output only those."""
     return posteriors.withColumn("in_core", F.col("pos").between(start, stop))
+
+
+def in_site_order(entries: DataFrame) -> DataFrame:
+    """SRT-03: the entries of each sample together and in order of site, without a global sort."""
+    return entries.repartition("sample").sortWithinPartitions("sample", "site")

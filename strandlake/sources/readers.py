@@ -5,7 +5,10 @@ on transient errors are run again by Spark (spark.task.maxFailures)."""
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,23 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as G
 
 END = (1 << 31) - 1
+T = TypeVar("T")
+
+
+def retrying(action: Callable[[], T], attempts: int = 3, wait: float = 1.0, transient: Callable[[Exception], bool] | None = None) -> T:
+    """SRC-11: what the driver reads itself, again after a transient error, each time after twice the wait. Tasks have Spark's retries.
+
+    By default, errors of input and output are transient, but not missing files.
+    """
+    for k in range(attempts):
+        try:
+            return action()
+        except Exception as e:
+            passing = transient(e) if transient else re.search("IOException|Timeout|Connection|SocketException", f"{type(e).__name__} {e}") is not None and "PATH_NOT_FOUND" not in str(e)
+            if not passing or k == attempts - 1:
+                raise
+            time.sleep(wait * 2**k)
+    raise ValueError("attempts must be positive")
 
 
 @dataclass(frozen=True)
@@ -162,7 +182,7 @@ def contigs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_names(spark: SparkSession, path: str) -> list[str]:
-    row = spark.read.text(path).filter(F.col("value").startswith("#CHROM")).first()
+    row = retrying(lambda: spark.read.text(path).filter(F.col("value").startswith("#CHROM")).first())
     return row["value"].split("\t")[9:] if row else []
 
 
@@ -191,10 +211,15 @@ def site_counts(calls: DataFrame) -> DataFrame:
 
 
 def cells(calls: DataFrame, names: list[str], keys: tuple[str, ...] = ("chrom", "pos", "ref", "alt")) -> DataFrame:
-    """SRC-08, SRC-09, SRC-13: a row per site and sample with its fields by name; gt as array, ploidy by its length."""
-    samples = F.array(*(F.lit(n) for n in names))
-    x = calls.select(*keys, F.split("format", ":").alias("k"), F.posexplode("cells").alias("i", "v"))
-    x = x.withColumn("fields", F.map_from_arrays("k", F.transform("k", lambda _, i: F.get(F.split("v", ":"), i)))).withColumn("sample", F.get(samples, F.col("i")))
+    """SRC-08, SRC-09, SRC-13: a row per site and sample with its fields by name; gt as array, ploidy by its length.
+
+    An error for a line with cells for fewer or more samples (a file cut short); lines without any cell have no rows.
+    """
+    cut = F.raise_error(F.concat(F.lit("cells of other samples than the header's at "), F.concat_ws(":", *(F.col(k) for k in keys[:2]))))
+    whole = F.when(F.size("cells").isin(0, len(names)), F.col("cells")).otherwise(cut.cast("array<string>"))
+    table = calls.sparkSession.createDataFrame(list(enumerate(names)), "i int, sample string")  # not an expression a sample
+    x = calls.select(*keys, F.split("format", ":").alias("k"), F.posexplode(whole).alias("i", "v")).join(F.broadcast(table), "i")  # a row a sample
+    x = x.withColumn("fields", F.map_from_arrays("k", F.transform("k", lambda _, i: F.get(F.split("v", ":"), i))))
     alleles = F.split(F.col("fields")["GT"], r"[|/]")
     gt = F.transform(alleles, lambda a: a.try_cast("int"))
     return x.select(*keys, "sample", "fields", gt.alias("gt"), F.contains(F.col("fields")["GT"], F.lit("|")).alias("phased"), F.size(gt).alias("ploidy"))

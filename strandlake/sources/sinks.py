@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
+import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("strandlake")
 
+
+def open_log(path: str) -> logging.Handler:
+    """SNK-15: messages go to a file too; the handler's close() ends it."""
+    handler = logging.FileHandler(path)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+    log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    return handler
+
+
+@contextlib.contextmanager
+def logged(what: str) -> Iterator[None]:
+    """SNK-15: begin, end and seconds of a step."""
+    began = time.monotonic()
+    log.info("%s: begins", what)
+    try:
+        yield
+    except BaseException:
+        log.info("%s: failed after %.1f s", what, time.monotonic() - began)
+        raise
+    log.info("%s: %.1f s", what, time.monotonic() - began)
+
+
 #: Header lines of result files.
 HEADER = [
     "##fileformat=VCFv4.2",
@@ -24,7 +50,8 @@ HEADER = [
 
 def packed_panel(packed: DataFrame, path: str) -> None:
     """SNK-02; SRC-10 reads it by spark.read.parquet with a filter on chunk."""
-    packed.write.mode("overwrite").partitionBy("chunk").parquet(path)
+    with logged(f"panel {path}"):
+        packed.write.mode("overwrite").partitionBy("chunk").parquet(path)
 
 
 def read_packed_panel(spark: SparkSession, path: str, chunk: int | None = None) -> DataFrame:
@@ -39,12 +66,14 @@ def read_packed_panel(spark: SparkSession, path: str, chunk: int | None = None)
 
 def lines(frame: DataFrame, path: str, compression: str | None = None) -> None:
     """SNK-13: a column of lines as text, .gz or .bz2 if asked for."""
-    frame.write.mode("overwrite").option("compression", compression or "none").text(path)
+    with logged(f"lines {path}"):
+        frame.write.mode("overwrite").option("compression", compression or "none").text(path)
 
 
 def report(frame: DataFrame, path: str) -> None:
-    """SNK-05 to SNK-11: a table as tab-separated text with a header."""
-    frame.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    """SNK-05, SNK-10, SNK-11: a table as tab-separated text with a header. reports.write_all has SNK-06 to SNK-09."""
+    with logged(f"report {path}"):
+        frame.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def call_lines(sites: DataFrame, called: DataFrame, sample_names: list[str], chrom: str) -> DataFrame:
@@ -66,19 +95,41 @@ def call_lines(sites: DataFrame, called: DataFrame, sample_names: list[str], chr
 
 def write_calls(value_lines: DataFrame, path: str, compression: str | None = None) -> None:
     """SNK-03, SNK-12: lines in order of position over as many files as the shuffle has partitions, named in order."""
-    value_lines.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").option("compression", compression or "none").text(path)
+    with logged(f"calls {path}"):
+        value_lines.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").option("compression", compression or "none").text(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a checkpoint, ascending: those whose last file has been committed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    numbers = [int(f.getPath().getName()[1:]) for f in fs.listStatus(at) if f.getPath().getName()[:1] == "v" and f.getPath().getName()[1:].isdigit()]
+    return sorted(n for n in numbers if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/about/_SUCCESS")))
 
 
 def save_checkpoint(state: DataFrame, path: str, parameters: dict) -> None:
-    """SNK-14, SRC-26, FN-36: state with its parameters and a checksum."""
-    state.write.mode("overwrite").parquet(f"{path}/state")
+    """SNK-14, SRC-26, FN-36: state with its parameters and a checksum, as a new version; what was there stays until it is complete."""
     spark = state.sparkSession
-    spark.createDataFrame([(json.dumps(parameters, sort_keys=True), checksum(spark.read.parquet(f"{path}/state")))], "parameters string, checksum long").write.mode("overwrite").parquet(f"{path}/about")
+    old = _versions(spark, path)
+    new = f"{path}/v{old[-1] + 1 if old else 0}"
+    with logged(f"checkpoint {new}"):
+        state.write.mode("overwrite").parquet(f"{new}/state")
+        about = [(json.dumps(parameters, sort_keys=True), checksum(spark.read.parquet(f"{new}/state")))]
+        spark.createDataFrame(about, "parameters string, checksum long").write.mode("overwrite").parquet(f"{new}/about")  # completes the version
+    for n in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def load_checkpoint(spark: SparkSession, path: str, parameters: dict) -> DataFrame:
-    """SRC-26: the state; an error if parameters or checksum differ."""
-    about, state = spark.read.parquet(f"{path}/about").first(), spark.read.parquet(f"{path}/state")
+    """SRC-26: the latest complete state; an error if there is none, or if parameters or checksum differ."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise ValueError("there is no checkpoint")
+    last = f"{path}/v{versions[-1]}"
+    about, state = spark.read.parquet(f"{last}/about").first(), spark.read.parquet(f"{last}/state")
     if about["parameters"] != json.dumps(parameters, sort_keys=True):
         raise ValueError("the checkpoint was made with other parameters")
     if about["checksum"] != checksum(state):

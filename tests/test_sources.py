@@ -112,6 +112,81 @@ def test_panel_and_checkpoint(spark, sf_dir, tmp_path):
     assert sinks.load_checkpoint(spark, str(tmp_path / "c"), {"seed": 1}).count() == p.count()
     with pytest.raises(ValueError):
         sinks.load_checkpoint(spark, str(tmp_path / "c"), {"seed": 2})
+    with pytest.raises(ValueError, match="no checkpoint"):
+        sinks.load_checkpoint(spark, str(tmp_path / "none"), {"seed": 2})
+
+
+def test_a_checkpoint_is_whole_or_the_one_before(spark, tmp_path):
+    at = str(tmp_path / "c")
+    sinks.save_checkpoint(spark.range(5), at, {"seed": 1})
+    bad = spark.range(5).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_checkpoint(bad, at, {"seed": 2})
+    assert sinks.load_checkpoint(spark, at, {"seed": 1}).count() == 5
+    spark.range(9).write.parquet(f"{at}/v1/state", mode="overwrite")  # state without what completes it
+    assert sinks.load_checkpoint(spark, at, {"seed": 1}).count() == 5
+    sinks.save_checkpoint(spark.range(7), at, {"seed": 3})
+    assert sinks.load_checkpoint(spark, at, {"seed": 3}).count() == 7 and len([p for p in (tmp_path / "c").iterdir() if p.name.startswith("v")]) == 1
+
+
+def test_log(spark, tmp_path):
+    handler = sinks.open_log(str(tmp_path / "log"))
+    sinks.lines(spark.createDataFrame([("x",)], "value string"), str(tmp_path / "l"))
+    with pytest.raises(ZeroDivisionError), sinks.logged("division"):
+        1 / 0
+    handler.close()
+    sinks.log.removeHandler(handler)
+    text = (tmp_path / "log").read_text()
+    assert "lines" in text and "division: failed" in text
+
+
+def test_retries():
+    calls = []
+
+    def fails(n, error):
+        calls.clear()
+
+        def action():
+            calls.append(1)
+            if len(calls) <= n:
+                raise error
+            return 5
+
+        return action
+
+    assert readers.retrying(fails(2, OSError("Connection reset")), wait=0) == 5 and len(calls) == 3
+    for n, error, expected in ((3, OSError("Connection reset"), 3), (1, ValueError("wrong"), 1), (1, OSError("PATH_NOT_FOUND IOException"), 1)):
+        with pytest.raises(type(error)):
+            readers.retrying(fails(n, error), wait=0)
+        assert len(calls) == expected
+
+
+def test_reports(spark, sf_dir, tmp_path):
+    from strandlake.plans import catalog
+    from strandlake.sources import reports
+
+    x = catalog._eval(spark, sf_dir).cache()
+    reports.write_all(x, str(tmp_path / "r"), None)
+    text = {n: "".join(p.read_text() for p in sorted((tmp_path / f"r.{n}").glob("part-*"))).splitlines() for n in reports.FILES}
+    samples = x.select("sample").distinct().count()
+    spl = text["error.spl.txt"]
+    assert len(spl) == 3 * (samples + 2) and spl[0] == "#Genotype concordance by sample (SNPs)" and spl[1].startswith("#GCsS id sample_name #val_gt_RR") and len(spl[1].split()) == len(spl[2].split()) == 19
+    for line in spl[2 * (samples + 2) + 2 :]:  # all variants
+        f = line.split()
+        own = x.filter(F.col("sample") == int(f[2]))
+        n = {c: own.filter(c).count() for c in ("truth_code = 0", "valid AND NOT used", "used AND truth_code = 1 AND estimate_code = 1", "used AND truth_code = 2 AND estimate_code <> 2")}
+        assert f[0] == "GCsV" and [int(f[3]), int(f[6]), int(f[8]), int(f[12])] == list(n.values())
+        break
+    assert len(text["error.cal.txt"]) == 3 * 102 and len(text["error.cal.txt"][2].split()) == len(text["error.cal.txt"][1].split())
+    assert len(text["error.grp.txt"][2].split()) == len(text["error.grp.txt"][1].split()) and len(text["rsquare.spl.txt"]) == samples
+    assert all(0 <= float(v.split()[-1]) <= 1 for v in text["rsquare.grp.txt"])
+
+
+def test_cut_lines(spark, tmp_path):
+    path = write(tmp_path, "cut.vcf", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t0/1\n")
+    v = readers.variants(spark, path).withColumn("alt", F.get("alts", F.lit(0)))
+    with pytest.raises(Exception, match="other samples"):
+        readers.cells(v, readers.sample_names(spark, path)).collect()
 
 
 def test_ploidy_and_missing(spark):
