@@ -103,11 +103,17 @@ def unpack(packed: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[: EXACT * 4], dtype="<u4"), np.frombuffer(raw[EXACT * 4 :], dtype="<i2").astype(np.int64)
 
 
+def emitted(sketch: np.ndarray) -> np.ndarray:
+    """Sketch lanes as the packed fingerprint has them: modulo 2**16, signed."""
+    return ((sketch + 0x8000) & 0xFFFF) - 0x8000
+
+
 def likeness(a, b) -> float:
-    """1 for equal fingerprints, else the shared part of the sketches, within 0 and 1."""
-    if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
+    """1 for equal fingerprints, else the shared part of the sketches, within 0 and 1; a function of the packed fingerprints."""
+    p, q = emitted(a[1]), emitted(b[1])
+    if np.array_equal(a[0], b[0]) and np.array_equal(p, q):
         return 1.0
-    x, y = a[1].astype(np.float64), b[1].astype(np.float64)
+    x, y = p.astype(np.float64), q.astype(np.float64)
     whole = float(x @ x + y @ y)
     return min(1.0, max(0.0, 2.0 * float(x @ y) / whole)) if whole else 0.0
 

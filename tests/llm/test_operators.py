@@ -76,6 +76,14 @@ def test_fingerprint_algebra():
     assert fingerprint.likeness(fingerprint.fingerprint(long), fingerprint.fingerprint(long + " more")) > 0.9
 
 
+def test_likeness_is_that_of_the_packed_fingerprints():
+    """Also where a lane passes its 16 bits."""
+    a, b = fingerprint.fingerprint("same three words " * 40_000), fingerprint.fingerprint("same three words " * 20_000 + "others here too " * 30_000)
+    assert np.abs(a[1]).max() > 0x8000
+    x, y = (fingerprint.unpack(fingerprint.pack(v)) for v in (a, b))
+    assert fingerprint.likeness(a, b) == fingerprint.likeness(x, y) and fingerprint.likeness(a, x) == 1.0
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprint.fingerprints(make(spark, [(1, "only one text", "en", "a")])).first()
     assert r["near_next"] == 1.0
