@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bits
+
 
 def sparse_lines(panel: DataFrame) -> DataFrame:
     """BIT-07, SET-02, JOIN-11: per site, the haplotypes with the minor allele; negated where that is the reference."""
@@ -22,6 +28,46 @@ def encodings(panel: DataFrame, threshold: int) -> DataFrame:
     return n.select("site", "ones", F.when(mac > threshold, "dense").otherwise("sparse").alias("encoding"), mac.alias("entries"))
 
 
+LINE = "site long, n long, ones long, encoding string, haps binary, line binary"
+
+
+def encoded_lines(panel: DataFrame, threshold: int) -> DataFrame:
+    """BIT-06, BIT-08: a line of bytes per site: word-aligned bits where the minor allele has more than threshold carriers, else the carriers; haps: their ids in order.
+
+    A task holds the haplotypes of one site at a time.
+    """
+
+    def work(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("hap").to_numpy(), kind="stable")
+        haps, row = group.column("hap").to_numpy()[order].astype("<i8"), group.column("allele").to_numpy()[order].astype(np.uint8)
+        ones = int(row.sum())
+        dense = min(ones, len(row) - ones) > threshold
+        minor = 0 if 2 * ones > len(row) else 1
+        line = bits.encode_words(row).tobytes() if dense else bytes([minor]) + np.flatnonzero(row == minor).astype("<u4").tobytes()
+        columns = [[group.column("site")[0].as_py()], [len(row)], [ones], ["dense" if dense else "sparse"], [haps.tobytes()], [line]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in LINE.split(", ")])
+
+    return panel.select("site", "hap", "allele").groupBy("site").applyInArrow(work, LINE)
+
+
+def decoded_lines(lines: DataFrame) -> DataFrame:
+    """BIT-05, BIT-06: (site, hap, allele) of encoded lines."""
+
+    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["encoding"] == "dense":
+                    row = bits.decode_words(np.frombuffer(r["line"], dtype="<u2"), r["n"])
+                else:
+                    minor = r["line"][0]
+                    row = np.full(r["n"], 1 - minor, dtype=np.uint8)
+                    row[np.frombuffer(r["line"][1:], dtype="<u4")] = minor
+                haps = np.frombuffer(r["haps"], dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(r["n"], r["site"])), pa.array(haps), pa.array(row.astype(np.int32))], names=["site", "hap", "allele"])
+
+    return lines.mapInArrow(process, "site long, hap long, allele int")
+
+
 def transpose(panel: DataFrame) -> DataFrame:
     """BIT-03, JOIN-11: per haplotype, the sites with the alternative allele."""
     return panel.filter("allele = 1").groupBy("hap").agg(F.array_sort(F.collect_list("site")).alias("sites"))
