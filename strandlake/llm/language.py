@@ -8,9 +8,11 @@ taken out of the prototypes. A document gets the language whose prototype has th
 Letters are Unicode letters of the lower-cased text; what stands between them counts as one blank.
 Letters share vectors by code point modulo 1021. Texts are cut every 2**20 characters.
 
-Learning reads at most `max_train` documents, those smallest by a hash of doc_id; every document is
-predicted. Defined results: null texts and texts without letters give `und` with score 0; without any
-training document all are `und`; repeated rows are predicted each; an empty table gives an empty result.
+Learning reads at most `max_train` documents, those smallest by a hash of doc_id (and repeated rows of the last); every
+document is predicted. Defined results: null texts and texts without letters give `und` with score 0; without any
+training document all are `und`; of equal cosines the first language counts; repeated rows are predicted each; very long
+texts are bundled piece by piece; an empty table gives an empty result; other columns, whatever their names, are
+ignored (`recognised` keeps them).
 """
 
 from __future__ import annotations
@@ -102,10 +104,11 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.nd
     """Languages and their prototypes, from rows (doc_id, text, lang) with lang and text."""
     common.bounded_batches(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    if n > max_train:
-        share = int(max_train / n * (1 << 30))
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    place = F.xxhash64("doc_id")
+    last = usable.select(place.alias("place")).orderBy("place").limit(max_train).agg(F.max("place").alias("last")).first()["last"]
+    if last is None:
+        return [], np.zeros((0, DIM), dtype=np.float32)
+    usable = usable.filter(place <= last)
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -10,7 +10,8 @@ Words are the maximal runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z a
 the most mandatory words of an accepted template or found phrase, m / (m + 1), else 0.
 
 Defined results: null and empty texts have 0 words, no labels (empty strings) and score 0; repeated
-rows are scored each; an empty table gives an empty result; other columns are ignored.
+rows are scored each; ties don't matter; very long texts are searched whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,21 @@ TEMPLATES = [
     ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<<end>> neither the name of <<var;12>> may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph <<opt>>and the following two paragraphs<<end>> appear in all copies"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("gpl-2.0-or-later", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0-or-later", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("epl-2.0", "made available under the terms of the eclipse public license <<opt>>v<<end>> <<opt>>version<<end>> 2 0"),
+    ("cc0-1.0", "to the extent possible under law <<var;12>> waived all copyright and related or neighboring rights to"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd-4.0", "licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
