@@ -186,11 +186,12 @@ def top_01_states(spark, sf_dir):
     return panels.top_states(n, 20)
 
 
-@query("""WITH a AS (SELECT l_suppkey AS target, l_partkey % 100 AS hap FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS target, l_partkey % 100 AS hap FROM lineitem WHERE l_linenumber = 2)
+@query("""WITH a AS (SELECT l_suppkey AS target, l_partkey % 100 AS hap FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT l_suppkey AS target, l_partkey % 100 AS hap FROM lineitem WHERE l_linenumber % 2 = 0)
 SELECT target, hap FROM a UNION SELECT target, hap FROM b""")
 def set_01_added_states(spark, sf_dir):
+    """Lines of odd numbers are the selected states, the others those that are listed."""
     x = A.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("target"), (F.col("l_partkey") % 100).alias("hap"), "l_linenumber")
-    return panels.add_states(x.filter("l_linenumber = 1"), x.filter("l_linenumber = 2"))
+    return panels.add_states(x.filter("l_linenumber % 2 = 1"), x.filter("l_linenumber % 2 = 0"))
 
 
 @query(A.with_(A.PANEL) + "SELECT site, hap, draw::INT AS draw FROM (SELECT site, hap, row_number() OVER (PARTITION BY site ORDER BY md5('20011|' || site || '|' || hap), hap) AS draw FROM panel) WHERE draw <= 5")
@@ -343,9 +344,9 @@ SELECT s.sample, coalesce(reads, 0) AS reads, coalesce(covered, 0) AS covered, n
   round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE), 4) AS e0, round(n_sites * exp(-coalesce(reads, 0) / n_sites::DOUBLE) * coalesce(reads, 0) / n_sites::DOUBLE, 4) AS e1,
   round(n_sites * list_sum(list_transform(range(5, 11), lambda k: pow(coalesce(reads, 0) / n_sites::DOUBLE, k) * exp(-coalesce(reads, 0) / n_sites::DOUBLE) / gamma(k + 1.0))), 4) AS e5,
   round(n_sites * list_sum(list_transform(range(11, 31), lambda k: pow(coalesce(reads, 0) / n_sites::DOUBLE, k) * exp(-coalesce(reads, 0) / n_sites::DOUBLE) / gamma(k + 1.0))), 4) AS e6
-FROM (SELECT range AS sample FROM range(0, 12)) s LEFT JOIN o USING (sample), n""")
+FROM (SELECT DISTINCT user_id % 12 AS sample FROM events) s LEFT JOIN o USING (sample), n""")
 def agg_14_snk_05_fn_29_coverage(spark, sf_dir):
-    x = pileup.coverage(_pile(spark, sf_dir), A.variant_sites(spark, sf_dir), spark.range(12).withColumnRenamed("id", "sample"))
+    x = pileup.coverage(_pile(spark, sf_dir), A.variant_sites(spark, sf_dir), A.table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("sample")).distinct())
     return x.select("sample", "reads", "covered", "n_sites", F.round("mean_depth", 6).alias("mean_depth"), F.round("no_data", 6).alias("no_data"), *(F.round(e, 4).alias(e) for e in ("e0", "e1", "e5", "e6")))
 
 
@@ -565,10 +566,10 @@ def join_06_set_03_flt_13_samples(spark, sf_dir):
     return concordance.common_samples(c, A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("sample")))
 
 
-@query("""WITH g AS (SELECT l_partkey AS pos, l_returnflag AS grp, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem WHERE l_partkey % 3 = 0), f AS (SELECT pos, arg_min(grp, ordinal * 10 + ascii(grp) % 10) AS grp FROM g GROUP BY pos)
+@query("""WITH g AS (SELECT l_partkey AS pos, l_returnflag AS grp, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem), f AS (SELECT pos, arg_min(grp, ordinal * 10 + ascii(grp) % 10) AS grp FROM g GROUP BY pos)
 SELECT p_partkey AS pos, f.grp FROM part JOIN f ON f.pos = p_partkey""")
 def join_07_src_21_groups(spark, sf_dir):
-    return _groups(spark, sf_dir, A.table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0"))
+    return _groups(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
 
 
 def _groups(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
@@ -576,11 +577,6 @@ def _groups(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     return concordance.assign_groups(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos")), g)
 
 
-@query(_sql["join_07_src_21_groups"].replace(" WHERE l_partkey % 3 = 0", ""))
-def join_07_src_21_groups_whole(spark, sf_dir):
-    return _groups(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
-
-
 @query(A.with_(A.SITE_AF) + f"""SELECT site, maf, {BINS.format(x='maf')} AS af_bin FROM site_af""")
 def join_09_fn_20_bins(spark, sf_dir):
     s = A.site_af(spark, sf_dir)
@@ -599,10 +595,10 @@ def fn_22_23_frequency_and_flip(spark, sf_dir):
 # joins with the panel -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT l_partkey AS pos, l_suppkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'G' END AS alt FROM lineitem WHERE l_linenumber <= 2), p AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'G' END AS alt, p_size AS ac FROM part)
+@query("""WITH t AS (SELECT l_partkey AS pos, l_suppkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'G' END AS alt FROM lineitem), p AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'G' END AS alt, p_size AS ac FROM part)
 SELECT p.pos, p.alt, p.ac, count(t.sample) AS n FROM p LEFT JOIN t ON p.pos = t.pos AND p.alt = t.alt GROUP BY ALL""")
 def join_01_02_src_12_13_panel_match(spark, sf_dir):
-    return _matched(spark, sf_dir, A.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2"))
+    return _matched(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
 
 
 def _matched(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
@@ -613,22 +609,17 @@ def _matched(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     return readers.match_panel(t, p, panel_only=True).groupBy("pos", "alt", "ac").agg(F.count("sample").alias("n"))
 
 
-@query(_sql["join_01_02_src_12_13_panel_match"].replace(" WHERE l_linenumber <= 2", ""))
-def join_01_02_src_12_13_panel_match_whole(spark, sf_dir):
-    return _matched(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
-
-
 # ligation -------------------------------------------------------------------------------------------------------------------
 
-CALLS = """cells AS (SELECT l_partkey AS site, l_suppkey AS sample, sum(l_quantity::BIGINT) AS q FROM lineitem WHERE l_suppkey <= 40 GROUP BY ALL),
+CALLS = """cells AS (SELECT l_partkey AS site, l_suppkey AS sample, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL),
 width AS (SELECT greatest(count(*) // 4, 1) AS w FROM part),
 calls AS (
   SELECT k.range AS chunk, c.site, c.sample, CASE WHEN c.sample % 2 = 0 AND k.range % 2 = 1 THEN (q // 3) % 2 ELSE q % 2 END AS a0, CASE WHEN c.sample % 2 = 0 AND k.range % 2 = 1 THEN q % 2 ELSE (q // 3) % 2 END AS a1
   FROM cells c, width, range(0, 4) k WHERE c.site >= k.range * w AND c.site < (k.range + 1) * w + w // 3)"""
 
 
-def _calls(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    c = A.table(spark, sf_dir, "lineitem").filter("true" if whole else "l_suppkey <= 40").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
     w = A.table(spark, sf_dir, "part").agg(F.expr("greatest(count(*) div 4, 1)").alias("w"))
     x = c.crossJoin(F.broadcast(w)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("site >= chunk * w AND site < (chunk + 1) * w + w div 3")
     flipped = (F.col("sample") % 2 == 0) & (F.col("chunk") % 2 == 1)
@@ -673,30 +664,6 @@ def set_04_snk_12_ligated(spark, sf_dir):
     return ligate.ligate(_calls(spark, sf_dir))
 
 
-# The same over all samples: only the filter of the SQL above is left out.
-
-
-@query(_sql["join_08_agg_13_fn_32_votes"].replace(" WHERE l_suppkey <= 40", ""))
-def join_08_agg_13_fn_32_votes_whole(spark, sf_dir):
-    return ligate.votes(ligate.overlap(_calls(spark, sf_dir, whole=True)))
-
-
-@query(_sql["win_14_swaps"].replace(" WHERE l_suppkey <= 40", ""))
-def win_14_swaps_whole(spark, sf_dir):
-    c = _calls(spark, sf_dir, whole=True)
-    return ligate.swaps(ligate.votes(ligate.overlap(c)), c)
-
-
-@query(_sql["win_13_owners"].replace(" WHERE l_suppkey <= 40", ""))
-def win_13_owners_whole(spark, sf_dir):
-    return ligate.owners(_calls(spark, sf_dir, whole=True))
-
-
-@query(_sql["set_04_snk_12_ligated"].replace(" WHERE l_suppkey <= 40", ""))
-def set_04_snk_12_ligated_whole(spark, sf_dir):
-    return ligate.ligate(_calls(spark, sf_dir, whole=True))
-
-
 # strings and options ----------------------------------------------------------------------------------------------------------
 
 
