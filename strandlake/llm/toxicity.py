@@ -49,21 +49,18 @@ STAND_INS = dict(zip("013457@$!|", "oieastasil", strict=True))
 
 FOLD = {ord(k): v for k, v in LOOKALIKES.items()}
 SIGNS = {ord(k): v for k, v in STAND_INS.items()}
-#: A run of letters, digits and stand-ins with a stand-in in it.
-MASKED = re.compile(r"(?<![^\W_])(?<![@$!|])(?:[^\W_]|[@$!|])*[\d@$!|](?:[^\W_]|[@$!|])*")
+#: Stand-ins right before a letter.
+MASKED = re.compile(r"[\d@$!|]+(?=[^\W\d_])")
 WORD = re.compile(r"[^\W\d_]+")
 #: A word with up to two more behind single blanks.
 PHRASE = re.compile(r"(?<![^\W\d_])([^\W\d_]+)(?= ([^\W\d_]+)(?: ([^\W\d_]+))?)?")
 
 
 def unmasked(m: re.Match) -> str:
-    """The word with letters for the stand-ins before its last letter; ! and | not at its start."""
-    w = m[0]
-    last = max((i for i, c in enumerate(w) if c.isalpha()), default=-1)
-    if last < 1:
-        return w
-    first = next(i for i, c in enumerate(w) if c not in "!|")
-    return w[:first] + w[first:last].translate(SIGNS) + w[last:]
+    """Letters for the stand-ins; ! and | that open a word stay."""
+    run, at = m[0], m.start()
+    rest = run if at and m.string[at - 1].isalpha() else run.lstrip("!|")
+    return run[: len(run) - len(rest)] + rest.translate(SIGNS)
 
 
 def fold(text: str) -> str:
