@@ -464,7 +464,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = own.withColumn("shard", shard_of(F.col("doc_id"), cuts))
     hashes = texts.groupBy("shard").applyInArrow(_send_anchors(parts), MOVE)
     flags = hashes.repartition(parts, "target").mapInArrow(_flag, MOVE)
-    found = texts.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(_shard_repeats(parts), MOVE)
-    merged = found.withColumn("target", F.pmod("target", F.lit(parts))).repartition(parts, "target").mapInArrow(_merge, MOVE)
+    wide = 2 * parts  # a task holds what its bucket gets
+    found = texts.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(_shard_repeats(wide), MOVE)
+    merged = found.withColumn("target", F.pmod("target", F.lit(wide))).repartition(wide, "target").mapInArrow(_merge, MOVE)
     out = texts.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(_remove, SCHEMA)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
