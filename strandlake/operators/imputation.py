@@ -166,50 +166,90 @@ def segments(het: np.ndarray, most: int = 3) -> np.ndarray:
     return out
 
 
+def junctions(states: np.ndarray, seg: np.ndarray, alleles: np.ndarray, t: np.ndarray, error: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """MDL-12: for neighbouring segments, how likely each pair of their haplotypes is with all data (8, 8); for each segment, each haplotype (8).
+
+    Forward and backward passes over the states run for the eight haplotypes of a segment at once; from and to other segments,
+    their haplotypes are equally likely. Values of one array are relative to each other.
+    """
+    k, n = states.shape[1], int(seg[-1]) + 1
+    own = [np.flatnonzero(seg == s) for s in range(n)]
+
+    def emit(l: int) -> np.ndarray:
+        return np.where(states[l][None, :] == alleles[l][:, None], 1 - error, error)
+
+    def step(v: np.ndarray, l: int) -> np.ndarray:
+        """Over the gap before site l; the same from either side."""
+        return v * (1 - t[l]) + t[l] * v.mean(axis=-1, keepdims=True)
+
+    ends, v = [], np.full((8, k), 1.0 / k)
+    for places in own:  # the data up to a segment's last site, and the state there
+        for l in places:
+            v = (step(v, l) if l else v) * emit(l)
+            v /= v.max()
+        ends.append(v)
+        v = np.repeat(v.mean(axis=0)[None], 8, axis=0)
+    pairs: list[np.ndarray] = []
+    alone: list[np.ndarray] = []
+    future = np.ones(k)
+    for s in range(n - 1, -1, -1):
+        alone.append(ends[s] @ future)
+        b = np.repeat(future[None], 8, axis=0)
+        for l in own[s][::-1]:  # the data from a segment's first site on, given the state there
+            b = b * emit(l)
+            if l != own[s][0]:
+                b = step(b, l)
+            b /= b.max()
+        if s:
+            pairs.append(step(ends[s - 1], own[s][0]) @ b.T)
+            future = step(b.mean(axis=0), own[s][0])
+    return pairs[::-1], alone[::-1]
+
+
 def phase(states: np.ndarray, h0: np.ndarray, h1: np.ndarray, t: np.ndarray, error: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """MDL-12: heterozygotes drawn anew: eight haplotypes a segment, each with its complement; a backward pass, then forward draws."""
+    """MDL-12: heterozygotes drawn anew: eight haplotypes a segment, each with its complement, joined from segment to segment in such pairs.
+
+    A backward pass sums what follows over the complementary pairs of the next segment, then pairs are drawn forward. With up to
+    two segments that is a draw from all phasings by the product of their haplotypes' likelihoods; with more, segments two apart
+    are independent given the one between.
+    """
     het = h0 != h1
     if het.sum() < 2:
         return h0, h1
-    sites, k = states.shape
     seg = segments(het)
     n = int(seg[-1]) + 1
+    hets = [np.flatnonzero(het & (seg == s)) for s in range(n)]
     alleles = np.repeat(h0[:, None], 8, axis=1)
-    for s in range(n):
-        for bit, l in enumerate(np.flatnonzero(het & (seg == s))):
+    for places in hets:
+        for bit, l in enumerate(places):
             alleles[l] = (np.arange(8) >> bit) & 1
-    emit = lambda l: np.where(states[l][None, :] == alleles[l][:, None], 1 - error, error)
-
-    def through(v: np.ndarray, s: int, which: slice | int) -> np.ndarray:
-        for l in np.flatnonzero(seg == s):
-            if l:
-                v = v * ((1 - t[l]) / v.sum(axis=-1, keepdims=True)) + t[l] / k
-            v = v * emit(l)[which]
-        return v
-
-    ahead = [np.ones((8, k))] * (n + 1)  # what follows, given the state at a segment's start
-    future = np.ones(k)
-    for s in range(n - 1, -1, -1):
-        b = np.repeat(future[None, :], 8, axis=0)
-        for l in np.flatnonzero(seg == s)[::-1]:
-            b = b * emit(l)
-            if l:
-                b = b * (1 - t[l]) + t[l] * b.mean(axis=1, keepdims=True)
-            b /= b.max()
-        ahead[s] = b
-        future = b.mean(axis=0)
-    a, b = np.full(k, 1.0 / k), np.full(k, 1.0 / k)
+    pairs, alone = junctions(states, seg, alleles, t, error)
+    first = [np.arange(1 << len(places)) for places in hets]  # one haplotype of each pair, in both orders
+    other = [x[::-1] for x in first]
+
+    def joined(s: int) -> np.ndarray:
+        """Weights of a pair of segment s with one of segment s + 1."""
+        w = pairs[s][np.ix_(first[s], first[s + 1])] * pairs[s][np.ix_(other[s], other[s + 1])]
+        return w / w.max()
+
+    follows = [np.ones(len(first[-1]))]
+    for s in range(n - 2, -1, -1):
+        inner = alone[s + 1][first[s + 1]] * alone[s + 1][other[s + 1]] if s + 1 < n - 1 else 1.0
+        ahead = joined(s) @ (follows[-1] / inner)
+        follows.append(ahead / ahead.max())
+    follows = follows[::-1]
     n0, n1 = h0.copy(), h1.copy()
     for s in range(n):
-        hets = np.flatnonzero(het & (seg == s))
-        full = (1 << len(hets)) - 1
-        wa, wb = ahead[s] @ (a / a.sum()), ahead[s] @ (b / b.sum())
-        w = np.array([wa[d] * wb[full - d] for d in range(full + 1)])
-        d = int(np.searchsorted(np.cumsum(w) / w.sum(), rng.random()))
-        d = min(d, full)
-        for bit, l in enumerate(hets):
+        if n == 1:
+            w = alone[0][first[0]] * alone[0][other[0]]
+        elif s == 0:
+            w = follows[0]
+        else:
+            inner = alone[s][first[s]] * alone[s][other[s]] if s < n - 1 else 1.0
+            w = joined(s - 1)[d] * follows[s] / inner
+        d = min(categorical(w, rng), len(w) - 1)
+        for bit, l in enumerate(hets[s]):
             n0[l], n1[l] = (d >> bit) & 1, 1 - ((d >> bit) & 1)
-        a, b = through(a[None, :], s, slice(d, d + 1))[0], through(b[None, :], s, slice(full - d, full - d + 1))[0]
     return n0, n1
 
 
@@ -281,13 +321,14 @@ def pack(panel: DataFrame) -> DataFrame:
     return panel.groupBy("chunk", "site").applyInPandas(bits, "chunk int, site int, n_haps int, bits binary")
 
 
-def run(packed: DataFrame, targets: DataFrame, options: ModelOptions = ModelOptions(), block: int = 16) -> DataFrame:
+def run(packed: DataFrame, targets: DataFrame, options: ModelOptions = ModelOptions(), block: int = 64) -> DataFrame:
     """Impute and phase. packed: chunk, site, n_haps, bits, cm, lq; targets: chunk, sample, site, gp0..gp2, flat.
 
-    Samples are dealt to blocks of about `block`; a window's panel goes to each of its blocks.
+    Samples are dealt to blocks of about `block`, smaller ones only as far as tasks would be idle; a window's panel goes to each of its blocks.
     """
-    samples = targets.select("chunk", "sample").distinct()
-    per = samples.groupBy("chunk").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    samples, tasks = targets.select("chunk", "sample").distinct(), int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.least(F.ceil(F.count("*") / 4), F.lit(tasks)))
+    per = samples.groupBy("chunk").agg(blocks.cast("long").alias("blocks"))
     placed = targets.join(per, "chunk").withColumn("block", F.pmod(F.crc32(F.col("sample").cast("string").cast("binary")), "blocks")).drop("blocks")
     panels = packed.join(per, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 

@@ -46,6 +46,41 @@ def test_forward_backward_random():
         assert np.allclose(imputation.impute(x, hl, none, none, t, 0.01), enumerate_paths(x, hl, t, 0.01))
 
 
+def likelihood(x, hap, t, e):
+    """Of a haplotype as a copy with errors of a panel, by a forward pass."""
+    a = np.full(x.shape[1], 1.0 / x.shape[1])
+    for l, allele in enumerate(hap):
+        if l:
+            a = a * (1 - t[l]) + t[l] * a.mean()
+        a = a * np.where(x[l] == allele, 1 - e, e)
+    return a.sum()
+
+
+@pytest.mark.parametrize(("hets", "near"), [((1, 4), 0.03), ((0, 1, 2), 0.03), ((0, 2, 3, 5), 0.03), ((0, 1, 2, 4, 5, 7), 0.03), ((0, 1, 2, 3, 4, 5, 6, 8), 0.12)])
+def test_phase_draws_by_enumeration(hets, near):
+    """All phasings of a few heterozygotes, weighted by the likelihoods of both haplotypes: exact for two segments, near for three."""
+    rng = np.random.default_rng(len(hets))
+    sites, e = 9, 0.05
+    x = rng.integers(0, 2, (sites, 4))
+    t = np.concatenate([[0.0], rng.uniform(0.02, 0.3, sites - 1)])
+    h0 = rng.integers(0, 2, sites)
+    h1 = h0.copy()
+    h0[list(hets)], h1[list(hets)] = 0, 1
+    weights = {}
+    for bits in itertools.product((0, 1), repeat=len(hets)):
+        a, b = h0.copy(), h1.copy()
+        a[list(hets)], b[list(hets)] = bits, [1 - v for v in bits]
+        weights[bits] = likelihood(x, a, t, e) * likelihood(x, b, t, e)
+    total, n, found = sum(weights.values()), 4000, {}
+    for _ in range(n):
+        a, b = imputation.phase(x, h0, h1, t, e, rng)
+        assert np.array_equal(a + b, h0 + h1)
+        key = tuple(a[list(hets)].tolist())
+        found[key] = found.get(key, 0) + 1
+    apart = sum(abs(found.get(k, 0) / n - w / total) for k, w in weights.items()) / 2
+    assert apart < near + np.sqrt(len(weights) / n) / 2
+
+
 def test_prefix_orders():
     rng = np.random.default_rng(2)
     panel = rng.integers(0, 2, (6, 20))
