@@ -99,7 +99,7 @@ def bit_07_join_11_set_02_sparse_lines(spark, sf_dir):
 
 @query(A.with_(A.PANEL) + """, n AS (SELECT site, sum(allele)::BIGINT AS ones, count(*) AS an FROM panel GROUP BY site)
 SELECT site, ones, CASE WHEN least(ones, an - ones) > 25 THEN 'dense' ELSE 'sparse' END AS encoding, least(ones, an - ones) AS entries FROM n""")
-def bit_06_08_encodings(spark, sf_dir):
+def bit_08_encodings(spark, sf_dir):
     return panels.encodings(A.panel(spark, sf_dir), 25)
 
 
@@ -168,7 +168,7 @@ def fn_39_xsi_04_swapped_and_unphased(spark, sf_dir):
 
 @query("""WITH s AS (SELECT c_custkey AS ordinal, c_name AS sample, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS ploidy FROM customer)
 SELECT ordinal, sample, ploidy, coalesce(sum(ploidy) OVER w, 0)::BIGINT AS hap_offset, coalesce(sum(ploidy + 1) OVER w, 0)::BIGINT AS gl_offset FROM s WINDOW w AS (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def win_18_src_09_18_offsets(spark, sf_dir):
+def win_18_offsets(spark, sf_dir):
     c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("sample"), F.when(F.col("c_nationkey") % 2 == 0, 2).otherwise(1).alias("ploidy"))
     return panels.offsets(c)
 
@@ -549,7 +549,7 @@ def agg_10_totals(spark, sf_dir):
 
 @query(A.with_(A.GENOTYPES, A.SITE_AF, EVAL) + """SELECT t.min_gp, sum((top >= t.min_gp)::BIGINT)::BIGINT AS n_used, sum((top >= t.min_gp AND truth_code <> CASE WHEN g.gp0 > g.gp1 AND g.gp0 > g.gp2 THEN 0 WHEN g.gp1 > g.gp0 AND g.gp1 > g.gp2 THEN 1 WHEN g.gp2 > g.gp0 AND g.gp2 > g.gp1 THEN 2 ELSE 0 END)::BIGINT)::BIGINT AS n_wrong
 FROM eval JOIN genotypes g USING (site, sample), (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS min_gp) t WHERE valid GROUP BY 1""")
-def src_20_filter_list(spark, sf_dir):
+def flt_11_filter_list(spark, sf_dir):
     return concordance.by_filter(_eval(spark, sf_dir), [0.5, 0.7, 0.9])
 
 
@@ -568,7 +568,7 @@ def join_06_set_03_flt_13_samples(spark, sf_dir):
 
 @query("""WITH g AS (SELECT l_partkey AS pos, l_returnflag AS grp, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem), f AS (SELECT pos, arg_min(grp, ordinal * 10 + ascii(grp) % 10) AS grp FROM g GROUP BY pos)
 SELECT p_partkey AS pos, f.grp FROM part JOIN f ON f.pos = p_partkey""")
-def join_07_src_21_groups(spark, sf_dir):
+def join_07_groups(spark, sf_dir):
     return _groups(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
 
 
@@ -597,7 +597,7 @@ def fn_22_23_frequency_and_flip(spark, sf_dir):
 
 @query("""WITH t AS (SELECT l_partkey AS pos, l_suppkey AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'G' END AS alt FROM lineitem), p AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'G' END AS alt, p_size AS ac FROM part)
 SELECT p.pos, p.alt, p.ac, count(t.sample) AS n FROM p LEFT JOIN t ON p.pos = t.pos AND p.alt = t.alt GROUP BY ALL""")
-def join_01_02_src_12_13_panel_match(spark, sf_dir):
+def join_01_02_src_12_panel_match(spark, sf_dir):
     return _matched(spark, sf_dir, A.table(spark, sf_dir, "lineitem"))
 
 
@@ -664,6 +664,90 @@ def set_04_snk_12_ligated(spark, sf_dir):
     return ligate.ligate(_calls(spark, sf_dir))
 
 
+# small rules ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT p_partkey AS site, string_split(p_type, ' ')[1 : 1 + (p_partkey % 3)::INT] AS alts FROM part) SELECT site, alts[1] AS alt FROM x WHERE len(alts) = 1""")
+def flt_01_biallelic(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    alts = F.slice(F.split("p_type", " "), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return sites.biallelic(p.select(F.col("p_partkey").alias("site"), alts.alias("alts"))).select("site", "alt")
+
+
+@query(A.with_(A.SITE_AF) + """SELECT site, CASE WHEN vtype = 'SNP' THEN p_size ELSE 0 END::INT AS pl0, CASE WHEN vtype = 'SNP' THEN p_size * 2 ELSE 0 END::INT AS pl2, vtype <> 'SNP' OR p_size % 10 = 0 AS flat
+FROM site_af JOIN part ON p_partkey = site""")
+def flt_05_snp_likelihoods(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site"), F.array(F.col("p_size"), F.lit(0), F.col("p_size") * 2).alias("pl"), (F.col("p_size") % 10 == 0).alias("flat"))
+    x = pileup.snp_only(A.site_af(spark, sf_dir).join(p, "site"))
+    return x.select("site", F.col("pl")[0].cast("int").alias("pl0"), F.col("pl")[2].cast("int").alias("pl2"), "flat")
+
+
+@query(A.with_(A.SITE_AF) + "SELECT site, pos FROM site_af WHERE pos BETWEEN 40000 AND 120000")
+def flt_15_core_window(spark, sf_dir):
+    return posterior.in_core(A.site_af(spark, sf_dir), 40_000, 120_000).filter("in_core").select("site", "pos")
+
+
+@query("""WITH x AS (SELECT p_partkey AS site, p_size / 60.0::DOUBLE AS r2, (10 + p_partkey % 100)::DOUBLE AS n, [p_size % 7, p_size % 5, p_size % 3] AS v FROM part)
+SELECT site, round(1.96::DOUBLE * sqrt(4 * r2 * pow(1 - r2, 2) * pow(n - 3, 2) / ((n * n - 1) * (n + 3))), 9) AS bound, list_position(v, list_max(v)) - 1 AS best FROM x""")
+def fn_26_35_bound_and_best(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    r2, n = F.col("p_size") / F.lit(60.0), (F.lit(10) + F.col("p_partkey") % 100).cast("double")
+    best = G.argmax(F.array(*(F.col("p_size") % k for k in (7, 5, 3))))
+    return p.select(F.col("p_partkey").alias("site"), F.round(G.standard_error_95(r2, n), 9).alias("bound"), best.cast("int").alias("best"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS site, CASE WHEN p_size % 5 < 3 THEN p_size % 5 WHEN p_size % 5 = 3 THEN -1 END AS gt, [p_size % 40, (p_size * 3) % 40, (p_size * 7) % 40] AS pl FROM part),
+y AS (SELECT *, [pow(10.0::DOUBLE, -pl[1] / 10.0::DOUBLE), pow(10.0::DOUBLE, -pl[2] / 10.0::DOUBLE), pow(10.0::DOUBLE, -pl[3] / 10.0::DOUBLE)] AS p FROM x)
+SELECT site, CASE WHEN gt >= 0 THEN (gt = 0)::INT::DOUBLE ELSE -1 END::DOUBLE AS t0, CASE WHEN gt >= 0 THEN (gt = 2)::INT::DOUBLE ELSE -1 END::DOUBLE AS t2, round(p[2], 9) AS q1, CASE WHEN gt >= 0 THEN gt::DOUBLE WHEN gt < 0 THEN gt::DOUBLE END AS hard_ds,
+  round(p[2] / list_sum(p) + 2 * p[3] / list_sum(p), 9) AS soft_ds FROM y""")
+def fn_40_41_truth_and_estimate(spark, sf_dir):
+    k = F.col("p_size") % 5
+    gt = F.when(k < 3, k).when(k == 3, -1)
+    pl = F.array(*((F.col("p_size") * m) % 40 for m in (1, 3, 7)))
+    hard, soft = G.estimate(None, None, gt=gt)[1], G.estimate(None, None, pl=pl)[1]
+    t, q = G.truth_probabilities(gt, None), G.truth_probabilities(None, pl)
+    x = A.table(spark, sf_dir, "part")
+    return x.select(F.col("p_partkey").alias("site"), t[0].alias("t0"), t[2].alias("t2"), F.round(q[1], 9).alias("q1"), hard.alias("hard_ds"), F.round(soft, 9).alias("soft_ds"))
+
+
+@query("""SELECT p_partkey AS site, least(round(p_size / 10.0::DOUBLE * 10), 255)::INT AS pl0, 0 AS pl1, least(round(p_size * 1.5::DOUBLE * 10), 255)::INT AS pl2 FROM part""")
+def src_15_decoded_gl(spark, sf_dir):
+    gl = F.array(F.col("p_size") / F.lit(-10.0), F.lit(0.0), F.col("p_size") * F.lit(-1.5))
+    pl = G.decode_gl(gl)
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site"), *(pl[k].cast("int").alias(f"pl{k}") for k in range(3)))
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS chrom, o_orderkey AS ordinal, o_custkey AS pos, lag(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS previous FROM orders)
+SELECT ordinal, pos, previous FROM x WHERE pos < previous""")
+def srt_02_out_of_order(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("chrom"), F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("pos"))
+    return sites.check_order(o).select("ordinal", "pos", "previous")
+
+
+@query("""SELECT s_suppkey AS pos, s_suppkey AS ac, s_nationkey AS an, 'x' AS gt, NULL::BIGINT AS chunk FROM supplier UNION ALL SELECT p_partkey, p_partkey, p_size, NULL, p_partkey % 4 FROM part""")
+def fn_38_join_13_merged_records(spark, sf_dir):
+    """Records of two windows, stripped to the allele counts, under the union of their columns."""
+    def info(ac, an):
+        return F.create_map(F.lit("AC"), ac.cast("long"), F.lit("AN"), an.cast("long"), F.lit("DP"), F.lit(9).cast("long"))
+
+    a = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), info(F.col("s_suppkey"), F.col("s_nationkey")).alias("info"), F.lit("x").alias("gt"), F.lit("f").alias("format"))
+    b = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), info(F.col("p_partkey"), F.col("p_size")).alias("info"), (F.col("p_partkey") % 4).alias("chunk"))
+    x = ligate.merge_headers([ligate.strip(a), ligate.strip(b)])
+    return x.filter(~F.map_contains_key("info", "DP")).select("pos", F.col("info")["AC"].alias("ac"), F.col("info")["AN"].alias("an"), "gt", "chunk")
+
+
+@query(A.with_(A.PANEL) + "SELECT site, hap % 97 AS sample, allele FROM panel WHERE hap % 97 NOT IN (3, 50)")
+def xsi_02_dropped_samples(spark, sf_dir):
+    return panels.drop_samples(A.panel(spark, sf_dir).select("site", (F.col("hap") % 97).alias("sample"), "allele"), [3, 50])
+
+
+@query(A.with_(A.GENOTYPES) + "SELECT sample, site, ds, row_number() OVER (PARTITION BY sample ORDER BY site) AS place FROM genotypes")
+def srt_03_entries_in_order(spark, sf_dir):
+    """A sample's entries in order: a window over them needs no sort of its own."""
+    x = posterior.in_site_order(A.genotypes(spark, sf_dir))
+    return x.select("sample", "site", "ds", F.row_number().over(Window.partitionBy("sample").orderBy("site")).alias("place"))
+
+
 # strings and options ----------------------------------------------------------------------------------------------------------
 
 
