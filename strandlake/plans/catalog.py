@@ -7,6 +7,7 @@ or run models; tests hold them against brute force.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,23 +245,81 @@ def _for_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, sf_dir).select(F.lit("chr1").alias("chrom"), "pos", "cm", (F.col("maf") >= 0.1).alias("is_common"))
 
 
-@query()
+# Windows by their definitions: sites by place i with running counts; `halves` splits ranges, `ends` has the end of a window that opens
+# at each site for each count of common sites, `chain` follows them; the first count whose last window is long enough is taken.
+O = OPTIONS
+WINDOW_SITES = f"""numbered AS (SELECT row_number() OVER (ORDER BY p.pos) - 1 AS i, p.pos, p.cm, (s.maf >= 0.1::DOUBLE)::BIGINT AS c FROM placed p JOIN site_af s USING (site)),
+s AS (SELECT *, sum(c) OVER (ORDER BY i)::BIGINT AS upto, count(*) OVER () - 1 AS last FROM numbered)"""
+LONG = f"{{b}}.cm - {{a}}.cm >= {O.window_cm}::DOUBLE AND {{b}}.pos - {{a}}.pos >= {O.window_mb * 1e6}::DOUBLE AND {{b}}.i - {{a}}.i + 1 >= {{n}}"
+SPLIT = f"""SELECT h.a, h.b, (h.a + h.b) // 2 AS m,
+    h.b - h.a >= 2 AND sm.upto - sa.upto + sa.c > {O.window_count} AND sb.upto - sm.upto > {O.window_count} AND {LONG.format(a='sa', b='sm', n=1)} AND {LONG.format(a='sn', b='sb', n=1)} AS parts
+  FROM halves h JOIN s sa ON sa.i = h.a JOIN s sb ON sb.i = h.b JOIN s sm ON sm.i = (h.a + h.b) // 2 JOIN s sn ON sn.i = least((h.a + h.b) // 2 + 1, h.b)"""
+
+
+def _halves_sql(name: str) -> str:
+    """A recursive table of all ranges; the leaves are those that don't split."""
+    return f"""halves AS (
+  SELECT 0::BIGINT AS a, (SELECT max(i) FROM s)::BIGINT AS b
+  UNION ALL
+  SELECT unnest([t.a, t.m + 1]), unnest([t.m, t.b]) FROM ({SPLIT}) t WHERE t.parts),
+{name} AS (SELECT t.a, t.b FROM ({SPLIT}) t WHERE NOT t.parts)"""
+
+
+def _windows_sql(uniform: bool = False, recursive: bool = False) -> str:
+    """Cores as (a, b), first and last place."""
+    if recursive:
+        return _halves_sql("cores")
+    chains = f"""counts AS (SELECT {O.window_count} + 100 * range AS n FROM range(0, (SELECT max(i) // 100 + 2 FROM s)) WHERE range = 0 OR {O.window_count} + 100 * range <= (SELECT max(i) + 1 FROM s)),
+met AS (SELECT n, x.i AS a, min(y.i) AS e FROM counts, s x JOIN s y ON y.i >= x.i WHERE y.upto - x.upto + x.c >= n AND {LONG.format(a='x', b='y', n='n')} GROUP BY ALL),
+opened AS (SELECT x.n, x.i AS a, coalesce(e, x.last) AS e FROM (SELECT n, i, last FROM counts, s) x LEFT JOIN met ON met.a = x.i AND met.n = x.n),
+ends AS (
+  SELECT o.n, o.a, CASE WHEN z.i < z.last AND (f.cm - z.cm < {O.buffer_cm}::DOUBLE OR f.pos - z.pos < {O.buffer_mb * 1e6}::DOUBLE OR z.last - z.i < {O.buffer_count}) THEN z.last ELSE z.i END AS b
+  FROM opened o JOIN s z ON z.i = o.e JOIN s f ON f.i = z.last),
+chain AS (SELECT n, a, b FROM ends WHERE a = 0 UNION ALL SELECT e.n, e.a, e.b FROM chain k JOIN ends e ON e.n = k.n AND e.a = k.b + 1),
+good AS (
+  SELECT k.n FROM chain k JOIN s x ON x.i = k.a JOIN s y ON y.i = k.b AND y.i = y.last JOIN (SELECT n, count(*) AS many FROM chain GROUP BY n) USING (n)
+  WHERE many = 1 OR {LONG.format(a='x', b='y', n=O.window_count)} ORDER BY k.n LIMIT 1)"""
+    first = f"{chains},\n{_halves_sql('fallback')},\nsequential AS (SELECT a, b FROM chain JOIN good USING (n) UNION ALL SELECT a, b FROM fallback WHERE NOT EXISTS (SELECT 1 FROM good))"
+    if not uniform:
+        return first + ",\ncores AS (SELECT a, b FROM sequential)"
+    return first + f""",
+size AS (SELECT ceil((max(last) + 1) / (SELECT count(*) FROM sequential))::BIGINT AS w, max(last) AS last FROM s),
+even_ AS (SELECT range AS a, least(range + w - 1, last) AS b FROM size, range(0, (SELECT max(last) + 1 FROM s), (SELECT w FROM size))),
+all_long AS (SELECT bool_and({LONG.format(a='x', b='y', n=1)}) AND (SELECT count(*) > 1 FROM sequential) AS yes FROM even_ e JOIN s x ON x.i = e.a JOIN s y ON y.i = e.b),
+cores AS (SELECT a, b FROM even_ WHERE (SELECT yes FROM all_long) UNION ALL SELECT a, b FROM sequential WHERE NOT (SELECT yes FROM all_long))"""
+
+
+TABLE = f"""met_left AS (SELECT k.a, max(j.i) AS lo FROM cores k JOIN s x ON x.i = k.a JOIN s j ON j.i < k.a WHERE x.cm - j.cm >= {O.buffer_cm}::DOUBLE AND x.pos - j.pos >= {O.buffer_mb * 1e6}::DOUBLE AND x.i - j.i >= {O.buffer_count} GROUP BY k.a),
+met_right AS (SELECT k.b, min(j.i) AS hi FROM cores k JOIN s x ON x.i = k.b JOIN s j ON j.i > k.b WHERE j.cm - x.cm >= {O.buffer_cm}::DOUBLE AND j.pos - x.pos >= {O.buffer_mb * 1e6}::DOUBLE AND j.i - x.i >= {O.buffer_count} GROUP BY k.b),
+placed_windows AS (
+  SELECT 'chr1' AS chrom, (row_number() OVER (ORDER BY k.a) - 1)::INT AS chunk, CASE WHEN k.a = 0 THEN 1 ELSE l.pos END AS buf_start, CASE WHEN k.b = x.last THEN {chunking.NO_LENGTH} ELSE r.pos END AS buf_stop,
+    CASE WHEN k.a = 0 THEN 1 ELSE x.pos END AS core_start, CASE WHEN k.b = x.last THEN {chunking.NO_LENGTH} ELSE y.pos END AS core_stop, round(y.cm - x.cm, 6) AS cm, y.pos - x.pos + 1 AS bp, k.b - k.a + 1 AS n_variants, y.upto - x.upto + x.c AS n_common
+  FROM cores k JOIN s x ON x.i = k.a JOIN s y ON y.i = k.b LEFT JOIN met_left USING (a) LEFT JOIN met_right USING (b) JOIN s l ON l.i = coalesce(lo, 0) JOIN s r ON r.i = coalesce(hi, x.last))"""
+MET = """SELECT chrom, chunk, buf_start, buf_stop, coalesce((lag(core_stop) OVER (ORDER BY chunk) + core_start) // 2 + 1, core_start)::BIGINT AS core_start,
+  coalesce((core_stop + lead(core_start) OVER (ORDER BY chunk)) // 2, core_stop)::BIGINT AS core_stop, cm, bp, n_variants, n_common FROM placed_windows"""
+
+
+def _table_sql(select: str, **kind: bool) -> str:
+    return MAP_SQL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + ",\n".join([WINDOW_SITES, _windows_sql(**kind), TABLE]) + "\n" + select
+
+
+def _rounded(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("cm", F.round("cm", 6))
+
+
+@query(_table_sql(MET))
 def win_07_08_10_11_sequential_windows(spark, sf_dir):
-    return chunking.meet_halfway(chunking.chunk(_for_windows(spark, sf_dir), OPTIONS))
+    return _rounded(chunking.meet_halfway(chunking.chunk(_for_windows(spark, sf_dir), OPTIONS)))
 
 
-@query()
+@query(_table_sql("SELECT * FROM placed_windows", recursive=True))
 def win_09_recursive_windows(spark, sf_dir):
-    from dataclasses import replace
-
-    return chunking.chunk(_for_windows(spark, sf_dir), replace(OPTIONS, recursive=True))
+    return _rounded(chunking.chunk(_for_windows(spark, sf_dir), replace(OPTIONS, recursive=True)))
 
 
-@query()
+@query(_table_sql("SELECT * FROM placed_windows", uniform=True))
 def win_12_uniform_windows(spark, sf_dir):
-    from dataclasses import replace
-
-    return chunking.chunk(_for_windows(spark, sf_dir), replace(OPTIONS, uniform=True))
+    return _rounded(chunking.chunk(_for_windows(spark, sf_dir), replace(OPTIONS, uniform=True)))
 
 
 CORES = """cores AS (SELECT 'chr' || n_regionkey AS chrom, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS chunk, n_nationkey * 1000 + 1 AS core_start, n_nationkey * 1000 + 400 + (n_nationkey * 37) % 300 AS core_stop FROM nation)"""
