@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op3_jaccard": ngram_join.oracle(), "op9_licenses": licenses.oracle()}
+    return {"op2_mixing": mixing.oracle(), "op3_jaccard": ngram_join.oracle(), "op7_suffixes": suffixes.oracle(), "op9_licenses": licenses.oracle()}

@@ -469,3 +469,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     merged = found.withColumn("target", F.pmod("target", F.lit(wide))).repartition(wide, "target").mapInArrow(_merge, MOVE)
     out = texts.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(_remove, SCHEMA)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def oracle() -> str:
+    """DuckDB SQL for doc_id, n_bytes, n_removed, n_spans, kept_sha256: every window of every text, by its bytes in hexadecimal."""
+    return f"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, encode(coalesce(text, ''))) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT r, unnest(range(0, length(x) // 2 - {WINDOW - 1})) AS s FROM docs),
+windows AS (SELECT r, s, substr(x, 2 * s + 1, {2 * WINDOW}) AS w FROM starts JOIN docs USING (r)),
+several AS (SELECT w, min(struct_pack(r := r, s := s)) AS first FROM windows GROUP BY w HAVING count(*) > 1),
+again AS (SELECT r, s FROM windows JOIN several USING (w) WHERE struct_pack(r := r, s := s) <> first),
+opened AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {WINDOW} THEN 0 ELSE 1 END AS new FROM again),
+numbered AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM opened),
+spans AS (SELECT r, min(s) AS a, max(s) + {WINDOW} AS b FROM numbered GROUP BY r, k),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM pieces JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, length(x)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
