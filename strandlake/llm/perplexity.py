@@ -45,7 +45,7 @@ SIZE = VOCABULARY + UNKNOWN + 1
 START = np.uint64(0)
 DISCOUNT = 0.75
 #: Bytes of text in a group of documents, and behind a bucket of counts.
-GROUP, BUCKET = 8 << 20, 12 << 20
+GROUP, BUCKET = 10 << 20, 12 << 20
 #: Kinds of pairs are told in such parts.
 PARTS = 1 << 20
 #: First words whose pairs are dealt to all buckets: those above 1 of so many words of a sample, so no more than that.
@@ -238,8 +238,8 @@ def _scored(groups: DataFrame, told: DataFrame, buckets: int, heavy: np.ndarray,
 def shares(docs: DataFrame, targets: DataFrame) -> tuple[int, tuple[float, float]]:
     """Bytes of all texts, and the shares of the target's and the background's that match in size. targets: distinct doc_ids."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
-    whole = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    target = sizes.join(targets.select("doc_id"), "doc_id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    both = sizes.join(targets.select("doc_id", F.lit(1).alias("t")), "doc_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("t")), F.lit(0)).alias("t")).first()
+    whole, target = both["n"], both["t"]
     least = min(target, whole - target)
     return whole, (least / target if least else 1.0, least / (whole - target) if least else 1.0)
 
@@ -256,6 +256,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     groups = docs.select(ids, "text").select("doc_id", "text", F.when(F.col("doc_id").isNull(), apart).otherwise(place).alias("g"))
     marked = targets.select("doc_id", place.alias("g"))
     told = common.cut_lineage(_told(_requests(groups, marked, buckets, heavy), heavy, rates))
+    common.release(docs.sparkSession)  # the texts' first shuffle and the requests
     sums = np.zeros(3 + 2 * len(heavy), dtype=np.int64)
     for r in told.filter("g < 0").select("n").toLocalIterator():
         sums += unpacked(r["n"])
