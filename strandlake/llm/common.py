@@ -6,6 +6,7 @@ import gc
 import hashlib
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,9 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of what nothing refers to any more; Spark's cleaner then drops the shuffle files of earlier steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of what nothing refers to any more; Spark's cleaner then drops the shuffle files of earlier steps.
+
+    The first round only frees what stands between Python and the plans, the second the plans.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
