@@ -41,7 +41,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local["):
+        if not shared and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
