@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,26 @@ def decoded_lines(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(process, "site long, hap long, allele int")
 
 
+def traverse(panel: DataFrame, visit: Callable[[int, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """XSI-10: what a visitor says of each line: visit(site, haplotypes in order, their alleles) gives rows of the schema."""
+    fields = [f.split() for f in schema.split(", ")]
+
+    def process(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [r for site, h, a in zip(pdf["site"], pdf["haps"], pdf["alleles"], strict=True) for r in visit(int(site), np.asarray(h), np.asarray(a))]
+            yield pd.DataFrame(rows, columns=[n for n, _ in fields])
+
+    ordered = F.array_sort(F.collect_list(F.struct("hap", "allele")))
+    lines = panel.groupBy("site").agg(ordered.alias("line")).select("site", F.col("line.hap").alias("haps"), F.col("line.allele").alias("alleles"))
+    return lines.mapInPandas(process, schema)
+
+
+def sample_names(cells: DataFrame) -> DataFrame:
+    """XSI-01: the distinct samples in order, with ordinal; sinks.lines writes the names, readers.sample_list reads them."""
+    names = cells.select(F.col("sample").cast("string").alias("sample")).distinct()
+    return names.withColumn("ordinal", F.row_number().over(Window.orderBy("sample")) - 1)  # a row a sample
+
+
 def transpose(panel: DataFrame) -> DataFrame:
     """BIT-03, JOIN-11: per haplotype, the sites with the alternative allele."""
     return panel.filter("allele = 1").groupBy("hap").agg(F.array_sort(F.collect_list("site")).alias("sites"))

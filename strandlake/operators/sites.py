@@ -72,6 +72,13 @@ def index_sites(sites: DataFrame) -> DataFrame:
     )
 
 
+def sparse_index(sites: DataFrame, every: int = 1000) -> DataFrame:
+    """XSI-09: the position of each every-th line and its place, to begin a search for a position from; ranges of positions in parallel."""
+    x = with_totals_before(ranged(sites), n_before=F.lit(1))
+    line = F.col("n_before") + F.row_number().over(within(x).orderBy("pos", "site")) - 1
+    return x.withColumn("line", line).filter(F.col("line") % every == 0).select(*[c for c in ("chrom",) if c in sites.columns], "pos", "line")
+
+
 def check_order(sites: DataFrame) -> DataFrame:
     """SRT-02: rows that stand out of coordinate order, by ordinal; empty for a sorted input."""
     w = _by_chromosome(sites).orderBy("ordinal")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bits
 from ..functions import genotypes as G
 from ..operators import chunking, concordance, gmap, imputation, ligate, panels, pileup, posterior, sites
 from . import adapters as A
@@ -800,6 +801,33 @@ def xsi_02_dropped_samples(spark, sf_dir):
     return panels.drop_samples(A.panel(spark, sf_dir).select("site", (F.col("hap") % 97).alias("sample"), "allele"), [3, 50])
 
 
+@query(A.with_(A.SITE_AF) + "SELECT pos, line FROM (SELECT pos, row_number() OVER (ORDER BY pos, site) - 1 AS line FROM site_af) WHERE line % 25 = 0")
+def xsi_09_sparse_index(spark, sf_dir):
+    return sites.sparse_index(A.site_af(spark, sf_dir), 25)
+
+
+@query(A.with_(A.PANEL) + """, x AS (SELECT *, CASE WHEN allele IS DISTINCT FROM lag(allele) OVER (PARTITION BY site ORDER BY hap) THEN 1 ELSE 0 END AS new FROM panel),
+y AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY hap) AS run FROM x), z AS (SELECT site, run, count(*) AS n, any_value(allele) AS allele FROM y GROUP BY site, run)
+SELECT site, max(n) AS longest, coalesce(max(n) FILTER (allele = 1), 0) AS longest_of_ones FROM z GROUP BY site""")
+def xsi_10_visited_lines(spark, sf_dir):
+    def visit(site, haps, alleles):
+        runs = bits.run_lengths(alleles)
+        return [(site, int(runs.max(initial=0)), int(runs[1::2].max(initial=0)))]
+
+    return panels.traverse(A.panel(spark, sf_dir), visit, "site long, longest long, longest_of_ones long")
+
+
+@query("SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS ordinal FROM (SELECT DISTINCT n_name AS sample FROM nation)")
+def xsi_01_sample_names(spark, sf_dir):
+    return panels.sample_names(A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample"))).select("sample", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(A.with_(A.PANEL) + "SELECT site, hap, allele FROM panel")
+def bit_05_06_decoded_lines(spark, sf_dir):
+    """Lines encoded, dense and sparse, and decoded again."""
+    return panels.decoded_lines(panels.encoded_lines(A.panel(spark, sf_dir), 25))
+
+
 @query(A.with_(A.GENOTYPES) + "SELECT sample, site, ds, row_number() OVER (PARTITION BY sample ORDER BY site) AS place FROM genotypes")
 def srt_03_entries_in_order(spark, sf_dir):
     """A sample's entries in order: a window over them needs no sort of its own."""

@@ -182,6 +182,13 @@ def test_reports(spark, sf_dir, tmp_path):
     assert all(0 <= float(v.split()[-1]) <= 1 for v in text["rsquare.grp.txt"])
 
 
+def test_sample_names(spark, tmp_path):
+    c = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "sample string, site int")
+    names = panels.sample_names(c)
+    sinks.lines(names.repartition(1).sortWithinPartitions("ordinal").select(F.col("sample").alias("value")), str(tmp_path / "n"))
+    assert [r["sample"] for r in readers.sample_list(spark, str(tmp_path / "n")).orderBy("ordinal").collect()] == ["a", "b"]
+
+
 def test_cut_lines(spark, tmp_path):
     path = write(tmp_path, "cut.vcf", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t0/1\n")
     v = readers.variants(spark, path).withColumn("alt", F.get("alts", F.lit(0)))
