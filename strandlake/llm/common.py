@@ -47,15 +47,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 3) -> None:
     """Let go of what nothing refers to any more; Spark's cleaner then drops the shuffle files of earlier steps.
 
-    The first round only frees what stands between Python and the plans, the second the plans.
+    Plans are referred to by events that listeners have still to see, and by what stands between Python and the JVM: so
+    there are a few rounds, with time between.
     """
-    for _ in range(2):
+    for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.7)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
