@@ -326,7 +326,7 @@ def run(packed: DataFrame, targets: DataFrame, options: ModelOptions = ModelOpti
 
     Samples are dealt to blocks of about `block`, smaller ones only as far as tasks would be idle; a window's panel goes to each of its blocks.
     """
-    samples, tasks = targets.select("chunk", "sample").distinct(), int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    samples, tasks = targets.select("chunk", "sample").distinct(), 4 * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.greatest(F.ceil(F.count("*") / block), F.least(F.ceil(F.count("*") / 4), F.lit(tasks)))
     per = samples.groupBy("chunk").agg(blocks.cast("long").alias("blocks"))
     placed = targets.join(per, "chunk").withColumn("block", F.pmod(F.crc32(F.col("sample").cast("string").cast("binary")), "blocks")).drop("blocks")
@@ -350,4 +350,6 @@ def run(packed: DataFrame, targets: DataFrame, options: ModelOptions = ModelOpti
             out.append(pd.DataFrame({"chunk": chunk, "sample": str(sample), "site": sites, "gp0": g[:, 0], "gp1": g[:, 1], "gp2": g[:, 2], "ds": g[:, 1] + 2 * g[:, 2], "h0": a, "h1": b}))
         return pd.concat(out)[columns]
 
+    # little data, much work: as many tasks as asked for, not as few as the data would fill
+    panels, placed = (x.repartition(tasks, "chunk", "block") for x in (panels, placed))
     return panels.groupBy("chunk", "block").cogroup(placed.groupBy("chunk", "block")).applyInPandas(work, SCHEMA)
