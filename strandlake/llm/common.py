@@ -10,7 +10,7 @@ import time
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed in one piece; longer data is cut at separators.
@@ -167,10 +167,34 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def id_blocks(docs: DataFrame, blocks: int, column: str = "doc_id") -> list[int]:
-    """Up to blocks - 1 ids of the table, ascending, that cut it into runs of like counts."""
+def shard_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many cuts are not above the id; in two steps, so that a row looks at few of them."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    step = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    heads = F.array(*(F.lit(b[0]).cast("long") for b in blocks))
+    block = F.greatest(F.size(F.filter(heads, lambda x: x <= doc_id)), F.lit(1))
+    inner = F.element_at(F.array(*(F.array(*(F.lit(x).cast("long") for x in b)) for b in blocks)), block)
+    return ((block - 1) * step + F.size(F.filter(inner, lambda x: x <= doc_id))).cast("long")
+
+
+def id_blocks(docs: DataFrame, blocks: int) -> list[int]:
+    """Ids of a table (doc_id, n), ascending, that cut it into runs whose sums of n are about a `blocks`-th of the whole at most.
+
+    Fine runs of like counts are cut first and then put together; a run of one id may be larger.
+    """
     if blocks < 2:
         return []
-    shares = [i / blocks for i in range(1, blocks)]
-    found = docs.select(F.percentile_approx(column, shares, 20_000).alias("cuts")).first()["cuts"]
-    return sorted({int(x) for x in found or []})
+    fine = (16 if blocks <= 1000 else 4) * blocks
+    shares = [i / fine for i in range(1, fine)]
+    found = docs.select(F.percentile_approx("doc_id", shares, max(20_000, 10 * fine)).alias("cuts")).first()["cuts"]
+    cuts = sorted({int(x) for x in found or []})
+    sums = {r["k"]: r["n"] for r in docs.groupBy(shard_of(F.col("doc_id"), cuts).alias("k")).agg(F.sum("n").alias("n")).collect()}  # a row a cut
+    most, kept, filled = sum(sums.values()) / blocks, [], 0
+    for k, cut in enumerate(cuts):  # fine run k ends before cut k
+        filled += sums.get(k, 0)
+        if filled and filled + sums.get(k + 1, 0) > most:
+            kept.append(cut)
+            filled = 0
+    return kept

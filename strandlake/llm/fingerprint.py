@@ -169,7 +169,7 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     common.bounded_batches(spark)
     n = blocks or common.partitions(spark)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = common.id_blocks(own.select("doc_id"), n)
+    cuts = common.id_blocks(own.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n")), n)
     first = own.agg(F.min("doc_id").alias("m")).first()["m"]
     if first is None:
         first = 0

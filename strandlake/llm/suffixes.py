@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -442,26 +442,14 @@ NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 TYPES = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
 
 
-def shard_of(doc_id: Column, cuts: list[int]) -> Column:
-    """How many cuts are not above the id; in two steps, so that a row looks at few of them."""
-    if not cuts:
-        return F.lit(0).cast("long")
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = F.array(*(F.lit(b[0]).cast("long") for b in blocks))
-    block = F.greatest(F.size(F.filter(heads, lambda x: x <= doc_id)), F.lit(1))
-    inner = F.element_at(F.array(*(F.array(*(F.lit(x).cast("long") for x in b)) for b in blocks)), block)
-    return ((block - 1) * step + F.size(F.filter(inner, lambda x: x <= doc_id))).cast("long")
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed, in bytes)."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
-    cuts = common.id_blocks(own.select("doc_id"), max(parts, -(-total // SHARD_BYTES)))
-    texts = own.withColumn("shard", shard_of(F.col("doc_id"), cuts))
+    cuts = common.id_blocks(own.select("doc_id", F.octet_length("data").cast("long").alias("n")), max(parts, -(-total // SHARD_BYTES)))
+    texts = own.withColumn("shard", common.shard_of(F.col("doc_id"), cuts))
     hashes = texts.groupBy("shard").applyInArrow(_send_anchors(parts), MOVE)
     flags = hashes.repartition(parts, "target").mapInArrow(_flag, MOVE)
     wide = 2 * parts  # a task holds what its bucket gets

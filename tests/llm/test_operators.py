@@ -721,6 +721,21 @@ def test_a_matched_model_is_a_distribution():
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_blocks_follow_sizes(spark):
+    """A run of long texts is cut finer than short ones; ids of one run stay together."""
+    rng = np.random.default_rng(2)
+    sizes = {i: 5000 if 300 <= i < 340 else int(rng.integers(1, 60)) for i in range(0, 900, 2)}
+    df = spark.createDataFrame(list(sizes.items()) + [(10, 7)] * 5, "doc_id long, n long").repartition(3)
+    cuts = common.id_blocks(df, 12)
+    run = {r["doc_id"]: r["k"] for r in df.select("doc_id", common.shard_of(F.col("doc_id"), cuts).alias("k")).distinct().collect()}
+    assert len(run) == len(sizes) and cuts == sorted(set(cuts)) and all(k == sum(c <= i for c in cuts) for i, k in run.items())
+    loads = Counter()
+    for i, n in sizes.items():
+        loads[run[i]] += n
+    assert max(loads.values()) <= 4 * 5000 and len(loads) >= 9  # a twelfth is 9,400; by counts alone it would be 100,000
+    assert common.id_blocks(df.limit(0), 12) == [] and common.id_blocks(df, 1) == []
+
+
 def test_word_hashes_of_long_data(monkeypatch):
     rng = np.random.default_rng(0)
     text = b" ".join(bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 40, 200))
