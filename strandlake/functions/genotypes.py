@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Largest phred-scaled likelihood that is stored.
+# Fixed values, which results must share with other programs: the largest phred-scaled likelihood that is stored, the sign of a
+# missing allele, the limits of a switching probability, the scale and entropy of phase qualities, the steps of calibration bins.
 PL_CAP = 255
 MISSING = -1
+LEAST_SWITCH = 1e-7
+PHASE_SCALE, PHASE_ENTROPY = 99.0, 0.7
+CALIBRATION_STEPS = 99.0
 
 
 def d(x: float) -> Column:
@@ -175,7 +179,7 @@ def frequency_bin(x: Column, edges: list[float]) -> Column:
 
 def calibration_bin(gp0: Column, gp1: Column, gp2: Column) -> Column:
     """FN-21."""
-    return F.floor(F.greatest(gp0, gp1, gp2) * d(99.0)).cast("int")
+    return F.floor(F.greatest(gp0, gp1, gp2) * d(CALIBRATION_STEPS)).cast("int")
 
 
 def allele_frequency(tag: Column, ac: Column, an: Column) -> Column:
@@ -236,7 +240,7 @@ def poisson(n: Column, mean: Column) -> Column:
 def transition(cm: Column, n_ref: int, ne: float = 100_000.0, with_states: bool = False) -> Column:
     """FN-30: probability of switching state over a distance in centimorgans, clamped."""
     rate = 0.04 * ne / (max(n_ref, ne) if with_states else n_ref)
-    return F.least(F.greatest(-F.expm1(cm * d(-rate)), d(1e-7)), d(1.0 - 1e-7))
+    return F.least(F.greatest(-F.expm1(cm * d(-rate)), d(LEAST_SWITCH)), d(1.0 - LEAST_SWITCH))
 
 
 def emission(hl0: Column, hl1: Column, error: float) -> Column:
@@ -249,8 +253,8 @@ def phase_quality(match: Column, mismatch: Column) -> Column:
     """FN-32: 99 where either count is 0."""
     f = match / F.when(match + mismatch > 0, match + mismatch).otherwise(1)
     safe = F.when((match > 0) & (mismatch > 0), f).otherwise(d(0.5))
-    q = d(99.0) * (d(0.7) + safe * F.ln(safe) + (1 - safe) * F.ln(1 - safe)) / d(0.7)
-    return F.when((match == 0) | (mismatch == 0), d(99.0)).otherwise(q)
+    q = d(PHASE_SCALE) * (d(PHASE_ENTROPY) + safe * F.ln(safe) + (1 - safe) * F.ln(1 - safe)) / d(PHASE_ENTROPY)
+    return F.when((match == 0) | (mismatch == 0), d(PHASE_SCALE)).otherwise(q)
 
 
 def error_logs(q: Column) -> Column:

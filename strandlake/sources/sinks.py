@@ -36,15 +36,15 @@ def logged(what: str) -> Iterator[None]:
     log.info("%s: %.1f s", what, time.monotonic() - began)
 
 
-#: Header lines of result files.
+#: Header lines of result files; identifiers, numbers and types are fixed values, descriptions are ours.
 HEADER = [
     "##fileformat=VCFv4.2",
-    '##INFO=<ID=RAF,Number=A,Type=Float,Description="ALT allele frequency in the reference panel">',
-    '##INFO=<ID=AF,Number=A,Type=Float,Description="ALT allele frequency computed from DS/GP field across target samples">',
-    '##INFO=<ID=INFO,Number=A,Type=Float,Description="IMPUTE info quality score for diploid samples">',
-    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Best-guess genotypes">',
-    '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Genotype dosage">',
-    '##FORMAT=<ID=GP,Number=G,Type=Float,Description="Genotype posteriors">',
+    '##INFO=<ID=RAF,Number=A,Type=Float,Description="Share of panel haplotypes with the alternative allele">',
+    '##INFO=<ID=AF,Number=A,Type=Float,Description="Mean of the samples\' dosages by ploidy">',
+    '##INFO=<ID=INFO,Number=A,Type=Float,Description="Information score of the imputed genotypes">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Most probable genotype, phased where there is a bar">',
+    '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Expected number of alternative alleles">',
+    '##FORMAT=<ID=GP,Number=G,Type=Float,Description="Probabilities of the genotypes">',
 ]
 
 
