@@ -633,6 +633,35 @@ def test_toxicity_held_out(spark):
     assert len(both) > 50 and sum(r["predicted"] == r["toxic"] for r in both) >= 0.95 * len(both)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Every text's weight and matches, by trying each entry and exception at each place."""
+    model = toxicity.Model({"bad": 2.0, "bad ": 3.5, "badge ": 1.0, "ill": 1.5, "kill": 4.0, "kil": 0.5, "ass ": 2.5}, ["badly", "kill time", "bad hair day", "illness"], [-1.0, 0.4, 0.3, 0.2])
+    rng = np.random.default_rng(14)
+    parts = ["bad", "badly", "badge", "badges", "kill", "time", "k1ll", "b@d", "hair", "day", "ill", "illness", "ass", "a$s", "class", "x", "9", "!!", "bаd", "KILL", "ki|l", "é"]
+    glue = [" ", " ", " ", "  ", "\n", ", ", "-", "_"]
+    texts = ["".join(str(rng.choice(parts)) + str(rng.choice(glue)) for _ in range(int(rng.integers(0, 25)))) for _ in range(300)] + [None, ""]
+
+    def by_hand(text):
+        t = toxicity.fold(text or "")
+        starts = [i for i in range(len(t)) if not (i and t[i - 1].isalpha())]
+        ends = lambda i: i == len(t) or not t[i].isalpha()
+        gone = {j for i in starts for e in model.exceptions if t.startswith(e, i) and ends(i + len(e)) for j in range(i, i + len(e))}
+        total, n = 0.0, 0
+        for i in starts:
+            fits = [(len(k.rstrip()), w) for k, w in model.entries.items() if t.startswith(k.rstrip(), i) and (k[-1] != " " or ends(i + len(k.rstrip())))]
+            if fits and i not in gone:
+                total, n = total + max(fits)[1], n + 1
+        return round(total, 9), n, len(text or "")
+
+    found = {r["doc_id"]: r for r in toxicity.features(make(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model, "doc_id").collect()}
+    for i, t in enumerate(texts):
+        w, n, size = by_hand(t)
+        z = -1.0 + 0.4 * np.log1p(w) + 0.3 * np.log1p(1000 * w / (size + 200)) + 0.2 * (n > 0)
+        assert (round(found[i]["weight"], 9), found[i]["matches"], found[i]["size"]) == (w, n, size), t
+        assert found[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert sum(r["matches"] > 2 for r in found.values()) > 100
+
+
 def test_exceptions_cancel():
     m = toxicity.Model({"bad": 2.0, "fool ": 3.0}, ["bad apple", "badly"])
     a = m.automaton()
