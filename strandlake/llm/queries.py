@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, licenses, mixing, ngram_join, perplexity, sharding, suffixes, toxicity
+from . import chats, decontaminate, fingerprint, language, licenses, mixing, ngram_join, perplexity, sharding, suffixes, toxicity, variants, whitening
 from .common import table
 
 
@@ -50,10 +50,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op11_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.digests(chats.chats(chats.with_planted(table(spark, sf_dir, "conversations"))), "conv_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_mixing, op3_jaccard, op4_toxicity, op5_sharding, op6_language, op7_suffixes, op8_perplexity, op9_licenses, op10_decontamination)
+    found = (op1_fingerprints, op2_mixing, op3_jaccard, op4_toxicity, op5_sharding, op6_language, op7_suffixes, op8_perplexity, op9_licenses, op10_decontamination, op11_chats, op12_whitening, op13_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op3_jaccard": ngram_join.oracle(), "op7_suffixes": suffixes.oracle(), "op9_licenses": licenses.oracle()}
+    return {"op2_mixing": mixing.oracle(), "op3_jaccard": ngram_join.oracle(), "op7_suffixes": suffixes.oracle(), "op9_licenses": licenses.oracle(), "op11_chats": chats.oracle()}
