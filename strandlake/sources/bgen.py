@@ -1,6 +1,6 @@
 """SNK-04: genotype probabilities in the BGEN format, version 1.2, layout 2 (unphased, two alleles).
 
-Executors encode a block of bytes per site; the driver streams them, in order of position, behind the header.
+Executors encode a block of bytes per site and write them, in order of position, as parts that the commit joins behind the header.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .calls import registered
+
 # Compressions of the format by name; flags of the layout and of sample identifiers.
 COMPRESSIONS = {"none": 0, "zlib": 1, "zstd": 2}
 LAYOUT, IDENTIFIERS = 2 << 2, 1 << 31
@@ -105,20 +107,11 @@ def blocks(sites: DataFrame, called: DataFrame, names: list[str], chrom: str, bi
 
 
 def write(encoded: DataFrame, path: str, names: list[str], compression: str = "zlib") -> None:
-    """The blocks behind a header as one file of the path's file system; the driver holds a partition's blocks at a time."""
-    spark = encoded.sparkSession
-    ordered = encoded.repartitionByRange("pos", "site").sortWithinPartitions("pos", "site").persist()
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-        try:
-            out.write(bytearray(header(ordered.count(), names, compression)))
-            for r in ordered.select("block").toLocalIterator():
-                out.write(bytearray(r["block"]))
-        finally:
-            out.close()
-    finally:
-        ordered.unpersist()
+    """The blocks behind a header as one file: tasks write ranges of positions, the commit counts them and joins the parts (calls.JoinedWriter)."""
+    registered(encoded.sparkSession)
+    ordered = encoded.repartitionByRange("pos", "site").sortWithinPartitions("pos", "site").select("block")
+    # the number of sites stands behind the offset and the header's own size
+    ordered.write.format("joined").mode("overwrite").option("header", header(0, names, compression).hex()).option("countAt", "8").save(path)
 
 
 def read(data: bytes) -> tuple[list[str], Iterator[dict]]:
