@@ -1,20 +1,24 @@
 """Operator 2: a mix of sources at target weights by systematic sampling; DataFrame functions only.
 
-Every document of a source has the same expected number of copies: the source's target over its size
-in words. Within a source, documents stand in order of size class, salt and size, so that neighbours
-are of like size and what one takes too much the next takes less; the prefix sums of
-their expected copies, plus one random offset for the source (seeded), are cut at the integers, and a document is
-emitted once per integer that its step crosses. A source's words miss their target by little more than its largest document.
+Within a source, documents stand in order of size class, salt and size, so that neighbours are of like size and what one takes
+too much the next takes less; the prefix sums of their expected copies, plus one random offset for the source (seeded), are cut
+at the integers, and a document is emitted once per integer that its step crosses.
+
+What such a pass misses is about its largest document. So size classes whose largest document has more than LARGE of its
+source's target are sampled first, at the source's rate (target over size); the rest then stand at the rate that brings the
+source to its target, within 0 and MOST copies. So a source misses its target by a document of the rest, about LARGE of the target,
+unless its large documents alone miss it by more than the rest can make good (a source of a few documents).
 
 The rank of a document within its source is put together from counts of (source, size class, salt)
 groups and a rank within the group, so no source, however large, meets in one task; the number of
-salts follows the number of rows.
+salts follows the number of rows. Large documents of a source are few: at most its size over LARGE of its target, and those of their classes.
 
 Defined results: null texts have size 0; the null source is a source of its own, last; documents of
 size 0 take part with 0 words; a source of size 0 has target 0 and takes nothing; ties and repeated
 rows are ordered by doc_id, and equal rows get interchangeable results; a very long text is a document like
 others, its words are counted whole; an empty table gives an empty result; other columns are ignored, whatever
-their names (`mixed` keeps them).
+their names (`mixed` keeps them; of rows with equal doc_id, source and text that differ elsewhere, the one with the least hash
+of the whole row stands for all).
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: No source's target, and no document, exceeds so many times its size.
 MOST = 3
+#: Size classes with a document above this share of their source's target are sampled first.
+LARGE = 0.02
 #: Rows of a source and size class are dealt to salts of about so many.
 SALT_ROWS = 2_000
 SEED = "mix-1"
@@ -100,26 +106,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     rows = sized.withColumn("class", size_class(F.col("size"))).withColumn("salt", F.pmod(hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(salts)))
     rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
 
-    groups = rows.groupBy("src", "source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    by_class = groups.groupBy("src", "source", "class").agg(F.sum("n").alias("class_n"), F.sum("words").alias("class_words"))
-    before = Window.partitionBy("src").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    by_class = by_class.withColumn("class_start", F.coalesce(F.sum("class_n").over(before), F.lit(0)))
+    groups = rows.groupBy("src", "source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("most"))
+    by_class = groups.groupBy("src", "source", "class").agg(F.sum("n").alias("class_n"), F.sum("words").alias("class_words"), F.max("most").alias("class_most"))
     sizes = by_class.groupBy("src", "source").agg(F.sum("class_words").alias("source_size"))
     aimed = targets(sizes, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aimed = aimed.select("src", "source_size", "target", rate.alias("rate"), jitter(F.col("source")).alias("jitter"))
 
+    by_class = by_class.join(aimed, "src").withColumn("large", F.col("class_most") > F.lit(LARGE) * F.col("target"))
+    before = Window.partitionBy("src", "large").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    by_class = by_class.withColumn("class_start", F.coalesce(F.sum("class_n").over(before), F.lit(0)))
     within = Window.partitionBy("src", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("salt_start", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    starts = starts.join(by_class.select("src", "class", "class_start"), ["src", "class"]).join(aimed, "src")
-    starts = starts.select("src", "class", "salt", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "jitter")
-
-    own = Window.partitionBy("src", "class", "salt").orderBy("size", "doc_id")
-    ranked = rows.withColumn("own", F.row_number().over(own)).join(starts, ["src", "class", "salt"]).withColumn("rank", F.col("start") + F.col("own"))
-
-    crossed = F.floor(F.col("jitter") + F.col("rank") * F.col("rate")) - F.floor(F.col("jitter") + (F.col("rank") - 1) * F.col("rate"))
-    taken = ranked.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+    starts = groups.withColumn("salt_start", F.coalesce(F.sum("n").over(within), F.lit(0))).drop("source", "n", "words", "most")
+    starts = starts.join(by_class.drop("source"), ["src", "class"])
+    starts = starts.select("src", "class", "salt", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "jitter", "large")
+    starts = common.cut_lineage(starts)
+
+    def copied(some: DataFrame) -> DataFrame:
+        """Rows of the groups in `some` with their copies."""
+        own = Window.partitionBy("src", "class", "salt").orderBy("size", "doc_id")
+        ranked = rows.join(some, ["src", "class", "salt"]).withColumn("rank", F.col("start") + F.row_number().over(own))
+        crossed = F.floor(F.col("jitter") + F.col("rank") * F.col("rate")) - F.floor(F.col("jitter") + (F.col("rank") - 1) * F.col("rate"))
+        return ranked.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
+
+    first = copied(starts.filter("large")).groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("had"), F.sum("size").alias("large_size"))
+    first = first.select("src", "had", "large_size")
+    left = F.col("source_size") - F.col("large_size")
+    adjusted = F.when(~F.col("large") & (left > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("had")) / left))).otherwise(F.col("rate"))
+    starts = starts.join(first, "src", "left").withColumn("rate", F.when(F.col("had").isNull(), F.col("rate")).otherwise(adjusted)).drop("had", "large_size", "large")
+    return copied(starts).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -129,7 +144,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     wanted = mix(docs, weights, most).select(*(c.alias(k) for k, c in keys.items()), F.col("text_hash").alias(text), F.col("copies").alias(copies))
     wanted = wanted.groupBy(key, source, text).agg(F.sum(copies).alias(copies)).filter(F.col(copies) > 0)
     keyed = docs.withColumns(keys).withColumn(text, F.xxhash64("text"))
-    chosen = keyed.join(wanted, [key, source, text]).dropDuplicates([key, source, text])
+    (row,) = common.fresh(docs, "row")
+    one = keyed.groupBy(key, source, text).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    chosen = one.join(wanted, [key, source, text]).select(f"{row}.*", copies)
     return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
@@ -159,9 +176,17 @@ aimed AS (
          ELSE (weight * (t - {most} * cs))::DOUBLE / (w - cw)::DOUBLE END AS target,
          ('0x' || substr(md5('{SEED}|' || coalesce(source, '') || CASE WHEN source IS NULL THEN '|null' ELSE '|' END), 1, 8))::BIGINT / {float(1 << 32)}::DOUBLE AS jitter
   FROM sources, last),
-ranked AS (
-  SELECT k.doc_id, k.size, a.source_size, a.target, a.source, a.jitter, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY k.source ORDER BY k.class, k.salt, k.size, k.doc_id) AS rank
-  FROM keyed k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target, least(floor(jitter + rank * rate) - floor(jitter + (rank - 1) * rate), {most})::BIGINT * size AS taken FROM ranked
+classed AS (
+  SELECT k.doc_id, k.size, k.class, k.salt, a.source_size, a.target, a.source, a.jitter, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
+         max(k.size) OVER (PARTITION BY k.source, k.class) > {LARGE}::DOUBLE * a.target AS large
+  FROM keyed k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY class, salt, size, doc_id) AS rank FROM classed),
+first AS (
+  SELECT source, sum(least(floor(jitter + rank * rate) - floor(jitter + (rank - 1) * rate), {most})::BIGINT * size)::BIGINT AS had, sum(size)::BIGINT AS large_size
+  FROM ranked WHERE large GROUP BY source),
+rated AS (
+  SELECT r.* EXCLUDE (rate), CASE WHEN NOT large AND had IS NOT NULL AND source_size > large_size
+         THEN greatest(0.0::DOUBLE, least({most}.0::DOUBLE, (target - had) / (source_size - large_size)::DOUBLE)) ELSE rate END AS rate
+  FROM ranked r LEFT JOIN first f ON r.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target, least(floor(jitter + rank * rate) - floor(jitter + (rank - 1) * rate), {most})::BIGINT * size AS taken FROM rated
 """
