@@ -114,8 +114,11 @@ def deal(sizes: list[int], rest: int, shards: int) -> tuple[list[int], list[floa
     return dealt, [max(0.0, level - x) for x in loads]
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, place and the kept columns."""
+def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, place and the kept columns; its text if asked for.
+
+    Shards are cut without the texts. Texts are put in at the end, in one shuffle, one for each doc_id and text (of a null and an empty one, the empty).
+    """
     spark = docs.sparkSession
     parts = common.partitions(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -154,6 +157,12 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ())
     rows = rows.join(F.broadcast(fixed), KEYS).unionByName(rows.join(F.broadcast(fixed.select(*KEYS)), KEYS, "left_anti").join(others, KEYS))
     order = [*GROUP, "doc_id"]
     rows = running(ranged(rows, order, parts), order, {"slot": F.lit(1).cast("long")}, by=F.col("shard"))
+    if texts:
+        named = [n.alias(c) for c, n in (("doc_id", F.col("doc_id").cast("long")), ("text_hash", F.xxhash64(text)), ("size", F.octet_length(text).cast("long") + 1))]
+        one = docs.select(*named, F.col("text").cast("string").alias("text")).groupBy("doc_id", "text_hash", "size").agg(F.first("text", ignorenulls=True).alias("text"))
+        same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_hash") == F.col("t.text_hash")) & (F.col("r.size") == F.col("t.size"))
+        rows = rows.alias("r").join(one.alias("t"), same).select("r.*", F.col("t.text").alias("keep_text"))
+        keep = (*keep, "text")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place", *(F.col(f"keep_{c}").alias(c) for c in keep)
     )
