@@ -90,19 +90,17 @@ def walked(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     linked = nodes.filter(F.col("parent").isNotNull()).join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("up"), "score")
     roots = nodes.filter(F.col("parent").isNull()).select("node", F.lit(None).cast("long").alias("up"), "score")
     at = linked.unionByName(roots).select("node", "up", F.col("node").alias("root"), F.lit(1).cast("long").alias("depth"), "score")
-    arrived: DataFrame | None = None
     links: list[DataFrame] = []
     while True:
         at = common.cut_lineage(at)
-        climbing = at.filter(F.col("up").isNotNull())
-        there = at.filter(F.col("up").isNull())
-        arrived = there if arrived is None else arrived.unionByName(there)
-        n = climbing.count()
-        if not n or 1 << len(links) > n + arrived.count():  # what climbs on is on a cycle
-            return arrived.select("node", "root", "depth", F.col("score").alias("total")), links
+        climbing, there = at.filter(F.col("up").isNotNull()), at.filter(F.col("up").isNull())
+        n = at.agg(F.count("*").alias("all"), F.count("up").alias("climbing")).first()
+        if not n["climbing"] or 1 << len(links) > n["all"]:  # what climbs on is on a cycle
+            return there.select("node", "root", "depth", F.col("score").alias("total")), links
         links.append(climbing.select("node", "up"))
-        further = climbing.unionByName(arrived).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("score").alias("gain"))
-        at = climbing.join(further, "up").select("node", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("gain")).alias("score"))
+        further = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("score").alias("gain"))
+        moved = climbing.join(further, "up").select("node", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("gain")).alias("score"))
+        at = moved.unionByName(there)  # rows without a parent take no part in the join: they would have one key
 
 
 def branches(nodes: DataFrame, top: DataFrame, keep: int | None) -> DataFrame:
