@@ -34,8 +34,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
 #: Eigenvalues up to this share of the trace count as zero.
 LEAST = 1e-12
-#: Rows multiplied at a time.
-BLOCK = 64
+#: Products made at a time (of one row, if it has more).
+BLOCK = 1 << 17
 
 Pair = tuple[np.ndarray, np.ndarray]
 
@@ -143,17 +143,17 @@ def centred_products(rows: DataFrame, dims: int, centred: Callable[[pa.Array], P
 
 def _merged(rows: DataFrame, dims: int, centred: Callable[[pa.Array], Pair], products: bool) -> Pair:
     lines = dims if products else 1
+    a, b = np.triu_indices(dims) if products else (np.zeros(dims, dtype=int), np.arange(dims))
+    rows_at_once = max(1, BLOCK // max(1, len(a)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [(np.zeros(dims - i), np.zeros(dims - i)) for i in range(lines)]
+        at = (np.zeros(len(a)), np.zeros(len(a)))
         for batch in batches:
-            for start in range(0, len(batch), BLOCK):
-                h, l = centred(batch.column(0).slice(start, BLOCK))  # noqa: E741
-                for i in range(lines):
-                    y = (h[:, i:], l[:, i:])
-                    more = multiply((h[:, i : i + 1], l[:, i : i + 1]), y) if products else y
-                    at[i] = add(at[i], total(more))
-        yield from _lines(enumerate(at))
+            for start in range(0, len(batch), rows_at_once):
+                y = centred(batch.column(0).slice(start, rows_at_once))
+                at = add(at, total(multiply(tuple(x[:, a] for x in y), tuple(x[:, b] for x in y)) if products else y))
+        cuts = np.flatnonzero(np.diff(a)) + 1
+        yield from _lines(enumerate(zip(*(np.split(x, cuts) for x in at), strict=True)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Pair] = {}
