@@ -133,8 +133,24 @@ def mixed_by_hand(rows):
             return (bits * 8 + n * 8 // (1 << (bits - 1)) - 8 if n else 0), number(str(r[0])) % salts, n, r[0]
 
         rate, jitter = (aims[s] / total[s] if total[s] else 0.0), number(f"{mixing.SEED}|{s}|" if s is not None else f"{mixing.SEED}||null") / float(1 << 32)
-        for k, r in enumerate(sorted((r for r in rows if r[3] == s), key=place), 1):
-            out += [r] * min(mixing.MOST, math.floor(jitter + k * rate) - math.floor(jitter + (k - 1) * rate))
+        some = sorted((r for r in rows if r[3] == s), key=place)
+        most = defaultdict(int)
+        for r in some:
+            most[place(r)[0]] = max(most[place(r)[0]], size[r[0]])
+        large, had = [r for r in some if most[place(r)[0]] > mixing.LARGE * aims[s]], 0
+
+        def emit(r, k, at, jitter=jitter):
+            n = min(mixing.MOST, math.floor(jitter + k * at) - math.floor(jitter + (k - 1) * at))
+            out.extend([r] * n)
+            return n * size[r[0]]
+
+        for k, r in enumerate(large, 1):
+            had += emit(r, k, rate)
+        rest = total[s] - sum(size[r[0]] for r in large)
+        if large and rest:
+            rate = max(0.0, min(float(mixing.MOST), (aims[s] - had) / rest))
+        for k, r in enumerate((r for r in some if r not in large), 1):
+            emit(r, k, rate)
     return out
 
 
@@ -171,10 +187,17 @@ def test_pipeline_by_hand(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((r[0], len((r[1] or "").encode()) + 1) for r in expected)
     cut_as_promised(found, sharding.SHARDS)
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r["text"] == texts[r["doc_id"]] and r["source"] == {x[0]: x[3] for x in rows}[r["doc_id"]] for r in found)
     # the same, stage by stage over written tables
     docs, folder = common.table(spark, str(tmp_path), "documents"), str(tmp_path)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, folder).write.parquet(f"{folder}/stage{k}")
         docs = spark.read.parquet(f"{folder}/stage{k}")
-    columns = ("doc_id", "size", "text_crc32", "shard", "slot")
+    columns = ("doc_id", "size", "text_crc32", "shard", "slot", "text", "lang", "source", "n_chars")
     assert Counter(tuple(r[c] for c in columns) for r in docs.collect()) == Counter(tuple(r[c] for c in columns) for r in found)
+    # shards as files: each holds its rows, in order, and readers of one shard read one folder
+    docs.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{folder}/shards")
+    for k in {r["shard"] for r in found}:
+        rows = spark.read.parquet(f"{folder}/shards/shard={k}").collect()
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and Counter(r["text"] for r in rows) == Counter(r["text"] for r in found if r["shard"] == k)
