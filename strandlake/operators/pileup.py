@@ -56,23 +56,55 @@ def usable_reads(reads: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
     return reads.filter(~(bad | (has(PAIRED) & pair)))
 
 
-def cover(reads: DataFrame, sites: DataFrame, width: int = 256) -> DataFrame:
+#: Pieces of reads in a block from which on the block is dealt over several tasks, and blocks of that kind that are broadcast.
+DEEP, BROADCAST = 100_000, 50_000
+
+
+def deep_blocks(pieces: DataFrame, deep: int) -> DataFrame | None:
+    """Blocks (block, chrom) with more pieces than that, with the number of parts to deal them over; None without any. Pieces are added up before the shuffle."""
+    keys = [c for c in ("block", "chrom") if c in pieces.columns]
+    found = pieces.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > deep).select(*keys, F.ceil(F.col("n") / deep).cast("int").alias("parts"))
+    found = found.persist()
+    n = found.count()
+    return F.broadcast(found) if 0 < n <= BROADCAST else found if n else None
+
+
+def joined(pieces: DataFrame, sites: DataFrame, deep: DataFrame | None) -> DataFrame:
+    """Pieces (block, read_pos, len) with the sites within them. Deep blocks are dealt by reads; only their sites are repeated."""
+    keys = [c for c in ("block", "chrom") if c in pieces.columns and c in sites.columns]
+    if deep is not None:
+        hashed = F.pmod(F.xxhash64("read_id", "read_pos"), F.coalesce("parts", F.lit(1))).cast("int")
+        pieces = pieces.join(deep, keys, "left").withColumn("part", hashed).drop("parts")
+        sites = sites.join(deep, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        keys = [*keys, "part"]
+    return pieces.join(sites, keys).filter((F.col("pos") >= F.col("read_pos")) & (F.col("pos") < F.col("read_pos") + F.col("len"))).drop("block", "part")
+
+
+def cover(reads: DataFrame, sites: DataFrame, width: int = 256, deep: int | None = None) -> DataFrame:
     """JOIN-10: pairs of a read and a site within it, by an equality join on blocks of positions.
 
-    A read is repeated for each block it touches, so width should be near the read length.
+    A read is repeated for each block it touches, so width should be near the read length. With `deep` (DEEP), reads of blocks
+    are counted first, and those of deeper blocks are dealt over several tasks.
     """
     r = reads.withColumn("block", F.explode(F.sequence(F.expr(f"pos div {width}"), F.expr(f"(pos + len - 1) div {width}")))).withColumnRenamed("pos", "read_pos")
-    s = sites.withColumn("block", F.expr(f"pos div {width}"))
-    keys = ["block", "chrom"] if "chrom" in reads.columns and "chrom" in sites.columns else ["block"]
-    return r.join(s, keys).filter((F.col("pos") >= F.col("read_pos")) & (F.col("pos") < F.col("read_pos") + F.col("len"))).drop("block")
+    return joined(r, sites.withColumn("block", F.expr(f"pos div {width}")), deep_blocks(r, deep) if deep else None)
+
 
+# Stretches of a CIGAR in one pass: op, n, and bases of the reference (MDN=X) and of the read (MIS=X) before each; the last
+# element holds the totals.
+STRETCHES = """aggregate(parsed, array(named_struct('op', '', 'n', 0, 'ref_at', 0L, 'at', 0L)), (s, x) -> concat(
+  slice(s, 1, size(s) - 1), array(
+    named_struct('op', x.op, 'n', x.n, 'ref_at', element_at(s, -1).ref_at, 'at', element_at(s, -1).at),
+    named_struct('op', '', 'n', 0, 'ref_at', element_at(s, -1).ref_at + if(x.op IN ('M', 'D', 'N', '=', 'X'), x.n, 0), 'at', element_at(s, -1).at + if(x.op IN ('M', 'I', 'S', '=', 'X'), x.n, 0)))))"""
+# What a stretch shows behind its last base: bases inserted (positive) or deleted (negative).
+INDEL = "CASE WHEN stretches[i].op NOT IN ('M', '=', 'X') THEN 0 WHEN get(stretches, i + 1).op = 'I' THEN get(stretches, i + 1).n WHEN get(stretches, i + 1).op = 'D' THEN -get(stretches, i + 1).n ELSE 0 END"
+COVERING = "filter(if(size(stretches) > 1, sequence(0, size(stretches) - 2), array()), i -> stretches[i].op IN ('M', 'D', 'N', '=', 'X') AND stretches[i].n > 0)"
 
-# Stretches of a CIGAR: what follows counts bases of the reference (MDN=X) and of the read (MIS=X) before each.
-STRETCHES = r"""transform(if(size(parsed) > 0, sequence(1, size(parsed)), array()), i -> named_struct(
-  'op', parsed[i - 1].op, 'n', parsed[i - 1].n,
-  'ref_at', aggregate(slice(parsed, 1, i - 1), 0L, (s, x) -> s + if(x.op IN ('M', 'D', 'N', '=', 'X'), x.n, 0)),
-  'at', aggregate(slice(parsed, 1, i - 1), 0L, (s, x) -> s + if(x.op IN ('M', 'I', 'S', '=', 'X'), x.n, 0)),
-  'indel', CASE WHEN parsed[i - 1].op NOT IN ('M', '=', 'X') THEN 0 WHEN get(parsed, i).op = 'I' THEN get(parsed, i).n WHEN get(parsed, i).op = 'D' THEN -get(parsed, i).n ELSE 0 END))"""
+
+def _stretches(reads: DataFrame) -> DataFrame:
+    parts = F.regexp_extract_all("cigar", F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
+    parsed = F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("n")))
+    return reads.withColumn("parsed", parsed).withColumn("stretches", F.expr(STRETCHES)).drop("parsed")
 
 
 def segments(reads: DataFrame) -> DataFrame:
@@ -81,26 +113,49 @@ def segments(reads: DataFrame) -> DataFrame:
     indel: bases inserted (positive) or deleted (negative) right behind the stretch, which belong to its last base. Other
     columns stay; a read without an alignment has no row.
     """
-    parts = F.regexp_extract_all("cigar", F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
-    parsed = F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("n")))
-    x = reads.withColumn("parsed", parsed).withColumn("stretch", F.explode(F.expr(STRETCHES))).filter(F.col("stretch.op").isin(*"MDN=X"))
+    each = f"transform({COVERING}, i -> named_struct('op', stretches[i].op, 'n', stretches[i].n, 'ref_at', stretches[i].ref_at, 'at', stretches[i].at, 'indel', {INDEL}))"
+    x = _stretches(reads).withColumn("stretch", F.explode(F.expr(each)))
     columns = {"pos": F.col("pos") + F.col("stretch.ref_at"), "len": F.col("stretch.n"), "op": F.col("stretch.op"), "at": F.col("stretch.at"), "indel": F.col("stretch.indel")}
-    return x.withColumns(columns).drop("parsed", "stretch")
+    return x.withColumns(columns).drop("stretches", "stretch")
+
+
+def pieces(reads: DataFrame, width: int, ahead: int) -> DataFrame:
+    """A row per stretch and block of positions: block, read_pos, len, op, at, indel, room (bases from there to the read's end), and the bases and
+    quals of the piece with `ahead` more, instead of the read's (null where the read has none). Strings are cut before anything is exploded or shuffled."""
+    first, last = f"(pos + stretches[i].ref_at) div {width}", f"(pos + stretches[i].ref_at + stretches[i].n - 1) div {width}"
+    low = f"greatest(pos + stretches[i].ref_at, b * {width}L)"
+    high = f"least(pos + stretches[i].ref_at + stretches[i].n, (b + 1) * {width}L)"
+    at = f"(stretches[i].at + {low} - pos - stretches[i].ref_at)"
+    aligned = "stretches[i].op IN ('M', '=', 'X')"
+
+    def text(c: str) -> str:
+        return f"CASE WHEN {aligned} AND {c} <> '*' THEN substr({c}, CAST({at} + 1 AS INT), CAST({high} - {low} + {ahead} AS INT)) END"
+
+    ended = f"if({high} = pos + stretches[i].ref_at + stretches[i].n, {INDEL}, 0)"
+    piece = f"named_struct('block', b, 'read_pos', {low}, 'len', CAST({high} - {low} AS INT), 'op', stretches[i].op, 'at', {at}, 'indel', {ended}, 'room', CAST(length(bases) - {at} AS INT), 'bases', {text('bases')}, 'quals', {text('quals')})"
+    each = F.expr(f"flatten(transform({COVERING}, i -> transform(sequence({first}, {last}), b -> {piece})))")
+    others = [c for c in reads.columns if c not in ("pos", "len", "cigar", "bases", "quals")]
+    return _stretches(reads).select(*others, F.explode(each).alias("piece")).select(*others, "piece.*")
 
 
 def bases_at(pile: DataFrame) -> DataFrame:
-    """JOIN-10, FLT-09: base, qual and read_indel of segments (cover) at sites; null bases for deleted and skipped positions."""
+    """JOIN-10, FLT-09: offset (in the read), base, qual and read_indel of pieces of reads at sites; null bases for deleted and skipped positions.
+
+    `within` is the place in the piece's own strings, `left` how many bases the read has from there on.
+    """
     aligned = F.col("op").isin("M", "=", "X")
-    offset = F.when(aligned, F.col("at") + F.col("pos") - F.col("read_pos")).cast("int")
-    x = pile.withColumn("offset", offset)
-    qual = F.when(F.col("quals") == "*", 255).otherwise(F.ascii(F.substr("quals", F.col("offset") + 1, F.lit(1))) - 33)
+    within = F.when(aligned, F.col("pos") - F.col("read_pos")).cast("int")
+    x = pile.withColumns({"within": within, "offset": F.when(aligned, F.col("at") + F.col("pos") - F.col("read_pos")).cast("int"), "left": F.col("room") - within})
+    qual = F.when(F.col("quals").isNull(), 255).otherwise(F.ascii(F.substr("quals", F.col("within") + 1, F.lit(1))) - 33)
     last = F.col("pos") == F.col("read_pos") + F.col("len") - 1
-    return x.withColumns({"base": F.upper(F.substr("bases", F.col("offset") + 1, F.lit(1))), "qual": F.when(aligned, qual), "read_indel": F.when(aligned, F.when(last, F.col("indel")).otherwise(0))})
+    return x.withColumns({"base": F.upper(F.substr("bases", F.col("within") + 1, F.lit(1))), "qual": F.when(aligned, qual), "read_indel": F.when(aligned, F.when(last, F.col("indel")).otherwise(0))})
 
 
-def pile_up(reads: DataFrame, sites: DataFrame, width: int = 256) -> DataFrame:
-    """SRC-16, JOIN-10: reads (with cigar, bases, quals) at sites, by base."""
-    return bases_at(cover(segments(reads), sites, width))
+def pile_up(reads: DataFrame, sites: DataFrame, width: int = 256, deep: int | None = None) -> DataFrame:
+    """SRC-16, JOIN-10: reads (with cigar, bases, quals) at sites, by base. Only as much of a read's strings travels as a block's sites need."""
+    longest = sites.agg(F.max(F.greatest(F.length("ref"), F.length("alt"))).alias("n")).first()["n"] or 1
+    r = pieces(reads, width, longest - 1)
+    return bases_at(joined(r, sites.withColumn("block", F.expr(f"pos div {width}")), deep_blocks(r, deep) if deep else None))
 
 
 def usable_bases(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
@@ -136,8 +191,8 @@ def likelihoods(pile: DataFrame, ploidy: int = 2) -> DataFrame:
 
 def _mean_quality(n) -> Column:
     """Mean of n qualities from the site's base on, rounded down."""
-    places = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.ascii(F.substr("quals", F.col("offset") + k, F.lit(1))) - 33)
-    return F.when(F.col("quals") == "*", 255).otherwise(F.floor(F.aggregate(places, F.lit(0), lambda s, q: s + q) / F.greatest(n, F.lit(1)))).cast("int")
+    places = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.ascii(F.substr("quals", F.col("within") + k, F.lit(1))) - 33)
+    return F.when(F.col("quals").isNull(), 255).otherwise(F.floor(F.aggregate(places, F.lit(0), lambda s, q: s + q) / F.greatest(n, F.lit(1)))).cast("int")
 
 
 def indel_bases(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
@@ -147,12 +202,12 @@ def indel_bases(pile: DataFrame, o: ReadOptions = ReadOptions()) -> DataFrame:
     alternative (less, where the read ends) and the same bases but the last, the alternative. Deletion: with one of its
     size, the alternative; without an indel and with the reference's bases as far as the read goes, the reference.
     """
-    left = F.length("bases") - F.col("offset")
+    left = F.col("left")
     inserts, deletes = (F.length("ref") == 1) & (F.length("alt") > 1), (F.length("ref") > 1) & (F.length("alt") == 1)
     size = F.least(F.length("alt"), left) - 1
-    same = F.substr("bases", F.col("offset") + 2, size - 1) == F.substr("alt", F.lit(2), size - 1)
+    same = F.substr("bases", F.col("within") + 2, size - 1) == F.substr("alt", F.lit(2), size - 1)
     shown = F.least(F.length("ref"), left)
-    plain = F.substr("bases", F.col("offset") + 1, shown) == F.substr("ref", F.lit(1), shown)
+    plain = F.substr("bases", F.col("within") + 1, shown) == F.substr("ref", F.lit(1), shown)
     indel = F.col("read_indel")
     supports = (
         F.when(inserts & (indel == 0), F.col("ref")).when(inserts & (indel > 0) & (indel == size) & same, F.col("alt"))

@@ -87,3 +87,31 @@ def test_poisson_beyond_twenty(spark):
     df = spark.range(0, 45).select(F.col("id").alias("n"), G.poisson(F.col("id"), F.lit(12.5)).alias("p"), G.poisson(F.col("id"), F.lit(0.0)).alias("z"))
     for r in df.collect():
         assert math.isclose(r["p"], math.exp(r["n"] * math.log(12.5) - 12.5 - math.lgamma(r["n"] + 1)), rel_tol=1e-9) and r["z"] == (1.0 if r["n"] == 0 else 0.0)
+
+
+def test_deep_sites_are_dealt_over_tasks(spark):
+    """A site with most of the reads: dealt by reads, its likelihoods as without."""
+    rng = random.Random(5)
+    rows = [(i, f"s{i % 3}", 1_000 if i % 10 else 1 + i * 13 % 5_000, "10M2I20M" if i % 4 else "30M", "".join(rng.choices("ACGT", k=32 if i % 4 else 30)), "5" * (32 if i % 4 else 30)) for i in range(4_000)]
+    reads = spark.createDataFrame(rows, READS).repartition(4)
+    sites = spark.createDataFrame([(i, i * 11 + 2, "A", "C" if i % 5 else "ATT") for i in range(450)], "site long, pos long, ref string, alt string")
+    plain, dealt = (pileup.pile_up(reads, sites, 64, deep).cache() for deep in (None, 200))
+    keys = ("read_id", "site", "offset", "base", "qual", "read_indel", "left")
+    assert sorted(map(tuple, plain.select(*keys).collect())) == sorted(map(tuple, dealt.select(*keys).collect()))
+    one, two = (sorted(map(tuple, pileup.likelihoods(pileup.usable_evidence(x)).select("sample", "site", "depth", "pl").collect())) for x in (plain, dealt))
+    assert one == two and max(r[2] for r in one) > 200
+    pieces = pileup.pieces(reads, 64, 0)
+    deep = pileup.deep_blocks(pieces, 200)
+    parts = {r["block"]: r["parts"] for r in deep.collect()}
+    assert parts[1_000 // 64] >= 18 and pileup.deep_blocks(pieces, 1 << 40) is None
+    n = pieces.join(deep, "block").groupBy("block", F.pmod(F.xxhash64("read_id", "read_pos"), F.col("parts"))).count().agg(F.max("count")).first()[0]
+    assert n < 2 * 200
+    a, b = (pileup.cover(reads.withColumn("len", F.lit(30)), sites, 64, deep).select("read_id", "site").collect() for deep in (None, 200))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_missing_bases_and_qualities(spark):
+    rows = [(1, "s", 5, "4M", "ACGT", "*"), (2, "s", 5, "4M", "*", "*"), (3, "s", 5, "1M3D1M2I1M", "ACGTA", "*+5*5")]
+    sites = spark.createDataFrame([(p, p, "A", "C") for p in range(1, 20)], "site long, pos long, ref string, alt string")
+    found = {(r["read_id"], r["pos"]): (r["base"], r["qual"]) for r in pileup.pile_up(spark.createDataFrame(rows, READS), sites, 4).filter("base IS NOT NULL").collect()}
+    assert found == {(1, 5): ("A", 255), (1, 6): ("C", 255), (1, 7): ("G", 255), (1, 8): ("T", 255), (3, 5): ("A", 9), (3, 9): ("C", 10), (3, 10): ("A", 20)}
