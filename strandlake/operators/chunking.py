@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut_lineage
 from .ranges import RANGE, ranged, with_totals_before, within
 from .ranges import keys as range_keys
 
@@ -38,121 +39,277 @@ class ChunkOptions:
             raise ValueError("window and buffer sizes must be positive")
 
 
-class Sites:
-    """One chromosome's sites as arrays."""
-
-    def __init__(self, pos: np.ndarray, cm: np.ndarray, common: np.ndarray):
-        self.pos, self.cm = pos, cm
-        self.before = np.concatenate([[0], np.cumsum(common)])  # common sites before each
-
-    def __len__(self) -> int:
-        return len(self.pos)
-
-    def common(self, a: int, b: int) -> int:
-        """Common sites from a to b, both included."""
-        return int(self.before[b + 1] - self.before[a])
-
-    def enough(self, a: int, b: int, cm: float, bp: float, n: int) -> bool:
-        return self.cm[b] - self.cm[a] >= cm and self.pos[b] - self.pos[a] >= bp and b - a + 1 >= n
-
-    def extend(self, a: int, b: int, o: ChunkOptions) -> tuple[int, int]:
-        """WIN-10: the buffered range: on each side, the first site that meets all three minima."""
-
-        def cm_from(i: int, j: np.ndarray) -> np.ndarray:
-            gap = np.abs(self.cm[j] - self.cm[i])
-            return gap if o.exact_buffer else np.floor(gap)
-
-        def nearest(i: int, step: int) -> int:
-            """Search outwards in blocks of growing size."""
-            end, at, block = (len(self) if step > 0 else -1), i + step, 1024
-            while at != end:
-                side = np.arange(at, at + step * min(block, abs(end - at)), step)
-                met = (cm_from(i, side) >= o.buffer_cm) & (np.abs(self.pos[side] - self.pos[i]) >= o.buffer_mb * 1e6) & (np.abs(side - i) >= o.buffer_count)
-                if met.any():
-                    return int(side[np.argmax(met)])
-                at, block = int(side[-1]) + step, 2 * block
-            return (len(self) - 1 if step > 0 else 0) if len(self) else i
-
-        return nearest(a, -1), nearest(b, 1)
-
-
-def sequential(s: Sites, o: ChunkOptions, count: int) -> list[tuple[int, int]]:
-    """WIN-07: from left to right, each window as short as the three minima allow; a rest shorter than the buffer joins the last."""
-    out, a, n = [], 0, len(s)
-    while a < n:
-        # jump to the site that completes the common count, then on until all minima are met
-        b = int(np.searchsorted(s.before, s.before[a] + count)) - 1
-        b = min(max(b, a), n - 1)
-        while b < n - 1 and not s.enough(a, b, o.window_cm, o.window_mb * 1e6, count):
-            b += 1
-        rest = n - 1 - b
-        if rest and (s.cm[-1] - s.cm[b] < o.buffer_cm or s.pos[-1] - s.pos[b] < o.buffer_mb * 1e6 or rest < o.buffer_count):
-            b = n - 1
-        out.append((a, b))
-        a = b + 1
+# places -----------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Need:
+    """What a site must have over another to end a window or a buffer: centimorgans (whole ones only, if asked), bases, places, common sites."""
+
+    cm: float
+    bp: float
+    places: int
+    common: int = 0
+    floored: bool = False
+
+
+@dataclass
+class Side:
+    """Sites in the direction of a search: place, position, centimorgans, common sites up to and with each; all ascending."""
+
+    idx: np.ndarray
+    pos: np.ndarray
+    cm: np.ndarray
+    upto: np.ndarray
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame, back: bool = False) -> Side:
+        """Rows in ascending order of place; looked at from the other end, with signs changed, if the search goes back."""
+        columns = (frame[c].to_numpy() for c in ("idx", "pos", "cm", "upto"))
+        return cls(*(-x[::-1] if back else x for x in columns))
+
+
+def first_enough(at: Side, q: Side, need: Need, common: np.ndarray | int = 0) -> np.ndarray:
+    """For each q (upto: common sites before it), the first place in `at` that meets all minima; len(at) if none does. Each is met from a place on."""
+    n = len(at.idx)
+    k = np.maximum(np.searchsorted(at.idx, q.idx + need.places), np.searchsorted(at.pos, q.pos + int(np.ceil(need.bp))))
+    if need.common:
+        k = np.maximum(k, np.searchsorted(at.upto, q.upto + common))
+
+    def met(j: np.ndarray) -> np.ndarray:
+        gap = at.cm[np.clip(j, 0, n - 1)] - q.cm
+        return (np.floor(gap) if need.floored else gap) >= need.cm
+
+    j = np.searchsorted(at.cm, q.cm + (np.ceil(need.cm) if need.floored else need.cm))
+    while (back := (j > 0) & met(j - 1)).any():  # the sum above is rounded, the difference counts
+        j = j - back
+    while (on := (j < n) & ~met(j)).any():
+        j = j + on
+    return np.maximum(k, j)
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns as others, so that a table can meet what was derived from it."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
+class Places:
+    """Sites by place, in ranges of so many places: `rows` (chrom, idx, pos, cm, c, upto, range), kept; `ends` (by chromosome) has a row a range."""
+
+    def __init__(self, sites: DataFrame, per_range: int):
+        self.per_range = per_range
+        c = F.col("is_common").cast("long")
+        x = with_totals_before(ranged(sites.select("chrom", F.col("pos").cast("long").alias("pos"), F.col("cm").cast("double").alias("cm"), "is_common")), n_before=F.lit(1), common_before=c)
+        w = within(x).orderBy("pos", "cm", "is_common")
+        idx = F.col("n_before") + F.row_number().over(w) - 1
+        x = x.select("chrom", idx.alias("idx"), "pos", "cm", c.alias("c"), (F.col("common_before") + F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("upto"))
+        x = x.withColumn("range", F.expr(f"idx div {per_range}"))
+        self.rows = cut_lineage(x.repartition(F.col("chrom"), F.col("range")))
+        firsts = [F.min("idx").alias("first_idx"), F.min("pos").alias("first_pos"), F.min_by("cm", "idx").alias("first_cm")]
+        lasts = [F.max("idx").alias("idx"), F.max("pos").alias("pos"), F.max_by("cm", "idx").alias("cm"), F.max("upto").alias("upto")]
+        table = self.rows.groupBy("chrom", "range").agg(*firsts, *lasts).toPandas()  # a row for each per_range sites
+        self.ends = {chrom: t.sort_values("range", ignore_index=True) for chrom, t in table.groupby("chrom")}
+        self.last = {chrom: t.iloc[-1] for chrom, t in self.ends.items()}
+
+    def reached(self, queries: DataFrame, need: Need, counts: dict[str, int] | None = None, back: bool = False) -> DataFrame:
+        """Of queries (chrom, idx, pos, cm, before), (chrom, idx, at): the nearest place that meets all minima, or the chromosome's end.
+
+        The table of ranges tells the range that holds it; there it is searched for, by all queries of the range together.
+        """
+        sides = {}
+        for chrom, t in self.ends.items():
+            f = t[["first_idx", "first_pos", "first_cm", "upto"]].set_axis(["idx", "pos", "cm", "upto"], axis=1) if back else t
+            sides[chrom] = Side.of(f, back)
+
+        def common(chrom: str) -> int:
+            return counts[chrom] if counts else need.common
+
+        def side(q: pd.DataFrame) -> Side:
+            sign = -1 if back else 1
+            return Side(sign * q["idx"].to_numpy(), sign * q["pos"].to_numpy(), sign * q["cm"].to_numpy(), q["before"].to_numpy())
+
+        def needed(chrom: str) -> Need:
+            return need if not counts else replace(need, places=counts[chrom] - 1, common=counts[chrom])
+
+        def target(batches):
+            for batch in batches:
+                for chrom, q in batch.groupby("chrom"):
+                    k = first_enough(sides[chrom], side(q), needed(chrom), common(chrom))
+                    n = len(sides[chrom].idx)
+                    yield q.assign(range=np.where(k < n, n - 1 - k if back else k, -1))
+
+        def find(q: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+            if not len(q):
+                return pd.DataFrame({"chrom": [], "idx": [], "at": []}).astype({"chrom": str, "idx": int, "at": int})
+            chrom = q["chrom"].iloc[0]
+            here = Side.of(at.sort_values("idx"), back)
+            return pd.DataFrame({"chrom": chrom, "idx": q["idx"], "at": np.abs(here.idx[first_enough(here, side(q), needed(chrom), common(chrom))])})
+
+        dealt = queries.select("chrom", "idx", "pos", "cm", "before").mapInPandas(target, "chrom string, idx long, pos long, cm double, before long, range long")
+        found = dealt.filter("range >= 0").groupBy("chrom", "range").cogroup(_renewed(self.rows).groupBy("chrom", "range")).applyInPandas(find, "chrom string, idx long, at long")
+        last = {chrom: 0 if back else int(r["idx"]) for chrom, r in self.last.items()}
+        spark = queries.sparkSession
+        bounds = spark.createDataFrame(list(last.items()) or [("", 0)], "chrom string, bound long")  # a row a chromosome
+        rest = dealt.filter("range < 0").join(F.broadcast(bounds), "chrom").select("chrom", "idx", F.col("bound").alias("at"))
+        return found.unionByName(rest)
+
+    def opened(self, counts: dict[str, int], o: ChunkOptions) -> DataFrame:
+        """WIN-07: (chrom, a, b) for the chromosomes of counts: the end of a window that opens at each place; a rest shorter than the buffer joins it."""
+        some = self.rows.filter(F.col("chrom").isin(*counts))
+        queries = some.select("chrom", "idx", "pos", "cm", (F.col("upto") - F.col("c")).alias("before"))
+        found = self.reached(queries, Need(o.window_cm, o.window_mb * 1e6, 0, 1), counts)
+        table = some.sparkSession.createDataFrame([(c, int(r["idx"]), int(r["pos"]), float(r["cm"])) for c, r in self.last.items() if c in counts], "chrom string, last long, last_pos long, last_cm double")
+        ends = some.select("chrom", F.col("idx").alias("at"), "pos", "cm")
+        x = found.join(ends, ["chrom", "at"]).join(F.broadcast(table), "chrom")  # a row a chromosome
+        rest = F.col("last") - F.col("at")
+        short = (F.col("last_cm") - F.col("cm") < o.buffer_cm) | (F.col("last_pos") - F.col("pos") < o.buffer_mb * 1e6) | (rest < o.buffer_count)
+        return x.select("chrom", F.col("idx").alias("a"), F.when((rest > 0) & short, F.col("last")).otherwise(F.col("at")).alias("b"))
+
+    def chain(self, opened: DataFrame) -> DataFrame:
+        """(chrom, a, b): the windows that follow one another from a chromosome's first site on.
+
+        Within a range the way out of it is followed in one task; over ranges, pointers are doubled, so that rounds grow with
+        the logarithm of the number of ranges; then the places where ranges are entered are marked, and windows listed from there.
+        """
+        per_range = self.per_range
+        opened = cut_lineage(opened.withColumn("range", F.expr(f"a div {per_range}")))
+
+        def out(t: pd.DataFrame) -> pd.DataFrame:
+            t = t.sort_values("a")
+            first, to = int(t["a"].iloc[0]), (t["b"] + 1).to_numpy().copy()
+            for i in range(len(to) - 1, -1, -1):
+                if to[i] - first < len(to):
+                    to[i] = to[to[i] - first]
+            return pd.DataFrame({"chrom": t["chrom"], "a": t["a"], "to": to})
+
+        entries = opened.filter("a = 0").select("chrom", F.col("a").alias("entry"))
+        if max(len(t) for t in self.ends.values()) > 1:
+            jumps = [cut_lineage(opened.groupBy("chrom", "range").applyInPandas(out, "chrom string, a long, to long"))]
+            while 1 << len(jumps) < max(len(t) for t in self.ends.values()):
+                x = jumps[-1]
+                x = x.join(x.select("chrom", F.col("a").alias("to"), F.col("to").alias("next")), ["chrom", "to"]).select("chrom", "a", F.col("next").alias("to"))
+                jumps.append(cut_lineage(x))
+            for j in reversed(jumps):
+                both = F.array_compact(F.array("entry", "to"))
+                entries = entries.join(j.withColumnRenamed("a", "entry"), ["chrom", "entry"], "left").select("chrom", F.explode(both).alias("entry"))
+            entries = entries.join(opened.select("chrom", F.col("a").alias("entry")), ["chrom", "entry"], "left_semi")  # not beyond the end
+
+        def walk(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            rows: list[tuple] = []
+            if len(e):
+                t = t.sort_values("a")
+                first, b, chrom = int(t["a"].iloc[0]), t["b"].to_numpy(), t["chrom"].iloc[0]
+                at = int(e["entry"].min())
+                while at - first < len(b):
+                    rows.append((chrom, at, int(b[at - first])))
+                    at = rows[-1][2] + 1
+            return pd.DataFrame(rows, columns=["chrom", "a", "b"]).astype({"chrom": str, "a": int, "b": int})
+
+        dealt = entries.withColumn("range", F.expr(f"entry div {per_range}"))
+        return dealt.groupBy("chrom", "range").cogroup(_renewed(opened).groupBy("chrom", "range")).applyInPandas(walk, "chrom string, a long, b long")
+
+    def at(self, windows: DataFrame, **places) -> DataFrame:
+        """windows with pos, cm, upto and c at some of its places, as columns like a_pos."""
+        for name, place in places.items():
+            here = self.rows.select("chrom", F.col("idx").alias(f"{name}_idx"), *(F.col(c).alias(f"{name}_{c}") for c in ("pos", "cm", "upto", "c")))
+            windows = windows.withColumn(f"{name}_idx", place).join(here, ["chrom", f"{name}_idx"])
+        return windows
+
+    def halves(self, windows: DataFrame, o: ChunkOptions) -> DataFrame:
+        """WIN-09: (chrom, a, b) halved, level by level, as long as both halves meet the minima; what can't be split is a window."""
+        done: list[DataFrame] = []
+        while True:
+            x = self.at(windows, x=F.col("a"), m=F.expr("(a + b) div 2"), n=F.least(F.expr("(a + b) div 2 + 1"), F.col("b")), y=F.col("b"))
+            left = F.col("m_upto") - F.col("x_upto") + F.col("x_c")
+            right = F.col("y_upto") - F.col("m_upto")
+            parts = (F.col("b") - F.col("a") >= 2) & (F.least(left, right) > o.window_count)
+            for p, q in (("x", "m"), ("n", "y")):
+                parts &= (F.col(f"{q}_cm") - F.col(f"{p}_cm") >= o.window_cm) & (F.col(f"{q}_pos") - F.col(f"{p}_pos") >= o.window_mb * 1e6)
+            x = cut_lineage(x.select("chrom", "a", "b", F.col("m_idx").alias("m"), parts.alias("parts")))
+            done.append(x.filter(~F.col("parts")).select("chrom", "a", "b"))
+            if x.filter("parts").isEmpty():
+                out = done[0]
+                for d in done[1:]:
+                    out = out.unionByName(d)
+                return out
+            two = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct((F.col("m") + 1).alias("a"), F.col("b").alias("b")))
+            windows = x.filter("parts").select("chrom", F.explode(two).alias("w")).select("chrom", "w.a", "w.b")
+
+    def whole(self, chroms: list[str]) -> DataFrame:
+        """One window a chromosome."""
+        spark = self.rows.sparkSession
+        return spark.createDataFrame([(c, 0, int(self.last[c]["idx"])) for c in chroms], "chrom string, a long, b long")
+
+
+def sequential(p: Places, o: ChunkOptions) -> DataFrame:
+    """WIN-08: windows with a growing count until the last of a chromosome is long enough, else halves. Each attempt is for the chromosomes that are left."""
+    counts, done = dict.fromkeys(p.ends, o.window_count), []
+    while counts:
+        found = cut_lineage(p.chain(p.opened(counts, o)))
+        last = found.groupBy("chrom").agg(F.count("*").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"))
+        last = p.at(last, x=F.col("a"), y=F.col("b"))
+        long = (F.col("y_cm") - F.col("x_cm") >= o.window_cm) & (F.col("y_pos") - F.col("x_pos") >= o.window_mb * 1e6) & (F.col("b") - F.col("a") + 1 >= o.window_count)
+        good = [r["chrom"] for r in last.filter((F.col("n") == 1) | long).select("chrom").collect()]  # a row a chromosome
+        if good:
+            done.append(found.filter(F.col("chrom").isin(*good)))
+        counts = {c: n + 100 for c, n in counts.items() if c not in good}
+        if over := [c for c, n in counts.items() if n > int(p.last[c]["idx"]) + 1]:
+            done.append(p.halves(p.whole(over), o))
+            counts = {c: n for c, n in counts.items() if c not in over}
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
     return out
 
 
-def recursive(s: Sites, o: ChunkOptions, a: int, b: int, count: int) -> list[tuple[int, int]]:
-    """WIN-09: halves, as long as both meet the minima; a range that can't be split is a window."""
-    m = (a + b) // 2
-    if b - a < 2 or min(s.common(a, m), s.common(m + 1, b)) <= count or not (s.enough(a, m, o.window_cm, o.window_mb * 1e6, 1) and s.enough(m + 1, b, o.window_cm, o.window_mb * 1e6, 1)):
-        return [(a, b)]
-    return recursive(s, o, a, m, count) + recursive(s, o, m + 1, b, count)
+def even(p: Places, found: DataFrame, o: ChunkOptions) -> DataFrame:
+    """WIN-12: windows of equal numbers of sites, as many as were found, for chromosomes where all such are long enough."""
+    per = found.groupBy("chrom").agg(F.count("*").alias("windows"), (F.max("b") + 1).alias("n"))
+    mean = F.ceil(F.col("n") / F.col("windows"))
+    starts = per.filter("windows > 1").withColumn("mean", mean).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("mean"))))
+    again = p.at(starts.select("chrom", "a", (F.least(F.col("a") + F.col("mean"), F.col("n")) - 1).alias("b")), x=F.col("a"), y=F.col("b"))
+    long = (F.col("y_cm") - F.col("x_cm") >= o.window_cm) & (F.col("y_pos") - F.col("x_pos") >= o.window_mb * 1e6)
+    again = cut_lineage(again.select("chrom", "a", "b", long.alias("long")))
+    kept = again.groupBy("chrom").agg(F.every("long").alias("all")).filter("all").select("chrom")
+    return again.join(kept, "chrom").select("chrom", "a", "b").unionByName(found.join(kept, "chrom", "left_anti"))
+
+
+#: Sites of a range: a task's share when windows are searched for.
+PER_RANGE = 1 << 14
+
 
+def chunk(sites: DataFrame, options: ChunkOptions = ChunkOptions(), lengths: dict[str, int] | None = None, per_range: int = PER_RANGE) -> DataFrame:
+    """WIN-07 to WIN-12, AGG-15: windows of (chrom, pos, cm, is_common) with buffers; the first and last reach the chromosome's ends.
 
-def windows(s: Sites, o: ChunkOptions) -> list[tuple[int, int]]:
-    """WIN-08, WIN-12: sequential windows with a growing count until the last is long enough, else halves; uniform: a second pass at the mean count."""
-    n = len(s)
-    if not n:
-        return []
+    cm must not fall along a chromosome (gmap.validate). All is dealt by ranges of places, none by chromosome.
+    """
+    o, known, spark = options, lengths or {}, sites.sparkSession
+    p = Places(sites, per_range)
+    if not p.ends:
+        return spark.createDataFrame([], SCHEMA)
     if o.recursive:
-        return recursive(s, o, 0, n - 1, o.window_count)
-    found, count = [], o.window_count
-    for _ in range(10_000):
-        found = sequential(s, o, count)
-        a, b = found[-1]
-        if len(found) == 1 or s.enough(a, b, o.window_cm, o.window_mb * 1e6, o.window_count):
-            break
-        count += 100
-        if count > n:
-            found = recursive(s, o, 0, n - 1, o.window_count)
-            break
-    if o.uniform and len(found) > 1:
-        mean = -(-n // len(found))
-        again = [(i, min(i + mean, n) - 1) for i in range(0, n, mean)]
-        if all(s.enough(a, b, o.window_cm, o.window_mb * 1e6, 1) for a, b in again):
-            found = again
-    return found
-
-
-def chunk_table(chrom: str, s: Sites, o: ChunkOptions, length: int, whole: bool = True) -> pd.DataFrame:
-    """WIN-11, AGG-15: windows with buffers; the first and last reach the chromosome's ends."""
-    found = windows(s, o)
-    rows = []
-    for i, (a, b) in enumerate(found):
-        lo, hi = s.extend(a, b, o)
-        core = [int(s.pos[a]), int(s.pos[b])]
-        buf = [int(s.pos[lo]), int(s.pos[hi])]
-        if whole and i == 0:
-            core[0] = buf[0] = 1
-        if whole and i == len(found) - 1:
-            core[1] = buf[1] = length
-        rows.append((chrom, i, buf[0], buf[1], core[0], core[1], float(s.cm[b] - s.cm[a]), int(s.pos[b] - s.pos[a]) + 1, b - a + 1, s.common(a, b)))
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
-
-
-def chunk(sites: DataFrame, options: ChunkOptions = ChunkOptions(), lengths: dict[str, int] | None = None) -> DataFrame:
-    """Windows of (chrom, pos, cm, is_common), a task per chromosome: the cut of a window depends on all before it."""
-    known = lengths or {}
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        chrom = pdf["chrom"].iloc[0]
-        s = Sites(pdf["pos"].to_numpy(), pdf["cm"].to_numpy(), pdf["is_common"].to_numpy().astype(np.int64))
-        return chunk_table(chrom, s, options, known.get(chrom, NO_LENGTH))
-
-    return sites.select("chrom", "pos", "cm", "is_common").groupBy("chrom").applyInPandas(work, SCHEMA)
+        found = p.halves(p.whole(list(p.ends)), o)
+    else:
+        found = sequential(p, o)
+        if o.uniform:
+            found = even(p, found, o)
+    found = cut_lineage(p.at(found, x=F.col("a"), y=F.col("b")))
+    # WIN-10: on each side, the first site that meets all three minima
+    need = Need(o.buffer_cm, o.buffer_mb * 1e6, o.buffer_count, floored=not o.exact_buffer)
+    for name, side, back in (("lo", "x", True), ("hi", "y", False)):
+        queries = found.select("chrom", *(F.col(f"{side}_{c}").alias(c) for c in ("idx", "pos", "cm")), F.lit(0).cast("long").alias("before"))
+        reached = p.reached(queries, need, back=back).select("chrom", F.col("idx").alias(f"{side}_idx"), F.col("at").alias(f"{name}_at"))
+        found = found.join(reached, ["chrom", f"{side}_idx"])
+    found = p.at(found, lo=F.col("lo_at"), hi=F.col("hi_at"))
+    bounds = spark.createDataFrame([(c, int(r["idx"]), known.get(c, NO_LENGTH)) for c, r in p.last.items()], "chrom string, last long, length long")
+    found = found.join(F.broadcast(bounds), "chrom")  # a row a chromosome
+    first, last = F.col("a") == 0, F.col("b") == F.col("last")
+    return found.select(
+        "chrom", (F.row_number().over(Window.partitionBy("chrom").orderBy("a")) - 1).alias("chunk"),  # a row a window
+        F.when(first, F.lit(1)).otherwise(F.col("lo_pos")).cast("long").alias("buf_start"), F.when(last, F.col("length")).otherwise(F.col("hi_pos")).alias("buf_stop"),
+        F.when(first, F.lit(1)).otherwise(F.col("x_pos")).cast("long").alias("core_start"), F.when(last, F.col("length")).otherwise(F.col("y_pos")).alias("core_stop"),
+        (F.col("y_cm") - F.col("x_cm")).alias("cm"), (F.col("y_pos") - F.col("x_pos") + 1).alias("bp"), (F.col("b") - F.col("a") + 1).alias("n_variants"), (F.col("y_upto") - F.col("x_upto") + F.col("x_c")).alias("n_common"),
+    )
 
 
 def meet_halfway(chunks: DataFrame) -> DataFrame:

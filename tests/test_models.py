@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from strandlake.operators import chunking, imputation
+from strandlake.operators import imputation
 
 
 def enumerate_paths(x, hl, t, e):
@@ -137,23 +137,6 @@ def test_segments():
     assert imputation.segments(het).tolist() == [0, 0, 0, 0, 1, 1, 1, 1, 2]
 
 
-def test_windows_cover_and_meet_minima():
-    rng = np.random.default_rng(5)
-    pos = np.cumsum(rng.integers(1, 2000, 3000))
-    cm = pos / 1e6 * 1.2
-    common = (rng.random(3000) < 0.3).astype(np.int64)
-    for extra in ({}, {"recursive": True}, {"uniform": True}):
-        o = chunking.ChunkOptions(window_cm=0.3, window_mb=0.2, window_count=100, buffer_cm=0.05, buffer_mb=0.05, buffer_count=20, **extra)
-        s = chunking.Sites(pos, cm, common)
-        w = chunking.windows(s, o)
-        assert w[0][0] == 0 and w[-1][1] == 2999 and all(b + 1 == c for (_, b), (c, _) in zip(w, w[1:], strict=False))
-        t = chunking.chunk_table("c", s, o, 10**9)
-        assert (t.buf_start <= t.core_start).all() and (t.buf_stop >= t.core_stop).all()
-        assert t.core_start.iloc[0] == 1 and t.core_stop.iloc[-1] == 10**9
-        if not extra:
-            assert len(w) > 1 and all(s.enough(a, b, 0.3, 0.2e6, 100) for a, b in w)
-
-
 def test_imputation_query_is_whole(spark, sf_dir, monkeypatch):
     """Every target sample, with the default iterations; only counted here, not run."""
     from strandlake.plans import adapters, catalog

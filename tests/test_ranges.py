@@ -1,5 +1,7 @@
 """Work on ranges of positions gives what one range would, and windows of a chromosome what their definitions say."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,50 +75,92 @@ def test_indexes_and_groups(spark, monkeypatch, chrom):
 def chromosome(seed, n=300):
     rng = np.random.default_rng(seed)
     pos = np.sort(rng.choice(np.arange(1, 20 * n), n, replace=False))
-    return chunking.Sites(pos, np.cumsum(rng.random(n) * 0.02), rng.integers(0, 2, n))
+    cm = np.cumsum(np.where(rng.random(n) < 0.3, 0.0, rng.random(n) * 0.02))  # with stretches of equal values
+    return pos, np.round(cm, 2) if seed % 2 else cm, rng.integers(0, 2, n)
 
 
 OPTIONS = [
     chunking.ChunkOptions(window_cm=0.2, window_mb=0.0004, window_count=20, buffer_cm=0.05, buffer_mb=0.0001, buffer_count=5),
     chunking.ChunkOptions(window_cm=0.01, window_mb=0.001, window_count=5, buffer_cm=0.0, buffer_mb=0.0005, buffer_count=1),
     chunking.ChunkOptions(window_cm=0.0, window_mb=0.0, window_count=40, buffer_cm=1.5, buffer_mb=0.0, buffer_count=1, exact_buffer=False),
+    chunking.ChunkOptions(window_cm=50.0, window_mb=0.0, window_count=40, buffer_cm=0.1, buffer_mb=0.0, buffer_count=3),
 ]
 
 
-@pytest.mark.parametrize("o", OPTIONS)
-@pytest.mark.parametrize("seed", [1, 2])
-def test_windows_by_definition(o, seed):
-    s, n = chromosome(seed), 300
-    commons = np.diff(s.before)
+def windows_by_hand(pos, cm, common, o, length):
+    """Rows of the table of windows, by their definitions."""
+    n = len(pos)
 
     def long_enough(a, b, count):
-        return s.cm[b] - s.cm[a] >= o.window_cm and s.pos[b] - s.pos[a] >= o.window_mb * 1e6 and b - a + 1 >= count
-
-    # sequential: each window ends at the first site with enough common sites, length and sites; a short rest joins the last
-    expected, a = [], 0
-    while a < n:
-        b = next((b for b in range(a, n) if commons[a : b + 1].sum() >= o.window_count and long_enough(a, b, o.window_count)), n - 1)
-        rest = n - 1 - b
-        if rest and (s.cm[-1] - s.cm[b] < o.buffer_cm or s.pos[-1] - s.pos[b] < o.buffer_mb * 1e6 or rest < o.buffer_count):
-            b = n - 1
-        expected.append((a, b))
-        a = b + 1
-    assert chunking.sequential(s, o, o.window_count) == expected
+        return cm[b] - cm[a] >= o.window_cm and pos[b] - pos[a] >= o.window_mb * 1e6 and b - a + 1 >= count
 
     def halves(a, b):
         m = (a + b) // 2
-        ok = b - a >= 2 and min(commons[a : m + 1].sum(), commons[m + 1 : b + 1].sum()) > o.window_count and long_enough(a, m, 1) and long_enough(m + 1, b, 1)
+        ok = b - a >= 2 and min(common[a : m + 1].sum(), common[m + 1 : b + 1].sum()) > o.window_count and long_enough(a, m, 1) and long_enough(m + 1, b, 1)
         return halves(a, m) + halves(m + 1, b) if ok else [(a, b)]
 
-    assert chunking.recursive(s, o, 0, n - 1, o.window_count) == halves(0, n - 1)
-    # buffers: the first site outwards that meets all three minima, else the end
-    for a, b in expected:
+    def sequence(count):
+        """Each window ends at the first site with enough common sites, length and sites; a short rest joins the last."""
+        out, a = [], 0
+        while a < n:
+            b = next((b for b in range(a, n) if common[a : b + 1].sum() >= count and long_enough(a, b, count)), n - 1)
+            rest = n - 1 - b
+            if rest and (cm[-1] - cm[b] < o.buffer_cm or pos[-1] - pos[b] < o.buffer_mb * 1e6 or rest < o.buffer_count):
+                b = n - 1
+            out.append((a, b))
+            a = b + 1
+        return out
+
+    if o.recursive:
+        found = halves(0, n - 1)
+    else:
+        count = o.window_count
+        while True:
+            found = sequence(count)
+            if len(found) == 1 or long_enough(*found[-1], o.window_count):
+                break
+            count += 100
+            if count > n:
+                found = halves(0, n - 1)
+                break
+        if o.uniform and len(found) > 1:
+            mean = -(-n // len(found))
+            again = [(i, min(i + mean, n) - 1) for i in range(0, n, mean)]
+            if all(long_enough(a, b, 1) for a, b in again):
+                found = again
+    rows = []
+    for k, (a, b) in enumerate(found):
         def met(i, j):
-            gap = abs(s.cm[j] - s.cm[i])
-            return (gap if o.exact_buffer else np.floor(gap)) >= o.buffer_cm and abs(s.pos[j] - s.pos[i]) >= o.buffer_mb * 1e6 and abs(i - j) >= o.buffer_count
-
-        left = next((j for j in range(a - 1, -1, -1) if met(a, j)), 0)
-        right = next((j for j in range(b + 1, n) if met(b, j)), n - 1)
-        assert s.extend(a, b, o) == (left, right)
-    found = chunking.windows(s, o)
-    assert [x for x, _ in found] == [0, *(y + 1 for _, y in found[:-1])] and found[-1][1] == n - 1
+            gap = abs(cm[j] - cm[i])
+            return (gap if o.exact_buffer else np.floor(gap)) >= o.buffer_cm and abs(pos[j] - pos[i]) >= o.buffer_mb * 1e6 and abs(i - j) >= o.buffer_count
+
+        left, right = next((j for j in range(a - 1, -1, -1) if met(a, j)), 0), next((j for j in range(b + 1, n) if met(b, j)), n - 1)
+        rows.append((k, 1 if a == 0 else pos[left], length if b == n - 1 else pos[right], 1 if a == 0 else pos[a], length if b == n - 1 else pos[b], cm[b] - cm[a], pos[b] - pos[a] + 1, b - a + 1, common[a : b + 1].sum()))
+    return [tuple(map(float, r)) for r in rows]
+
+
+@pytest.mark.parametrize(("o", "kind"), [(0, {}), (1, {}), (2, {}), (3, {}), (0, {"recursive": True}), (1, {"recursive": True}), (0, {"uniform": True}), (2, {"uniform": True})])
+def test_windows_by_definition(spark, o, kind):
+    """Three chromosomes at once, in ranges of 16 places (pointers are doubled over 20 of them) and in one."""
+    o = replace(OPTIONS[o], **kind)
+    some = {f"c{k}": chromosome(k, n) for k, n in ((1, 300), (2, 317), (3, 9))}
+    rows = [(c, int(p), float(x), bool(m)) for c, v in some.items() for p, x, m in zip(*v, strict=True)]
+    sites = spark.createDataFrame(rows, "chrom string, pos int, cm double, is_common boolean").repartition(3)
+    for per_range in (16,) if kind else (16, 1 << 14):
+        found = {}
+        for r in chunking.chunk(sites, o, {"c1": 10_000}, per_range).orderBy("chrom", "chunk").collect():
+            found.setdefault(r["chrom"], []).append(tuple(map(float, r[1:])))
+        for c, v in some.items():
+            assert found[c] == windows_by_hand(*v, o, 10_000 if c == "c1" else chunking.NO_LENGTH)
+
+
+def test_no_sites_no_windows(spark):
+    assert chunking.chunk(spark.createDataFrame([], "chrom string, pos int, cm double, is_common boolean")).count() == 0
+
+
+def test_tasks_grow_with_ranges(spark):
+    """No task has more places than a range, whatever the chromosome's."""
+    pos, cm, common = chromosome(4, 2_000)
+    sites = spark.createDataFrame([("c", int(p), float(x), bool(m)) for p, x, m in zip(pos, cm, common, strict=True)], "chrom string, pos int, cm double, is_common boolean")
+    p = chunking.Places(sites, 64)
+    assert p.rows.groupBy("chrom", "range").count().agg({"count": "max"}).first()[0] == 64 and len(p.ends["c"]) == 32
