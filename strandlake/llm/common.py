@@ -10,6 +10,7 @@ import time
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,34 +168,43 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def shard_of(doc_id: Column, cuts: list[int]) -> Column:
-    """How many cuts are not above the id; in two steps, so that a row looks at few of them."""
-    if not cuts:
+def shard_of(doc_id: Column, cuts: np.ndarray | list[int]) -> Column:
+    """How many cuts (ascending) are not above the id; the cuts travel as one array, a row looks them up by halving."""
+    if not len(cuts):
         return F.lit(0).cast("long")
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = F.array(*(F.lit(b[0]).cast("long") for b in blocks))
-    block = F.greatest(F.size(F.filter(heads, lambda x: x <= doc_id)), F.lit(1))
-    inner = F.element_at(F.array(*(F.array(*(F.lit(x).cast("long") for x in b)) for b in blocks)), block)
-    return ((block - 1) * step + F.size(F.filter(inner, lambda x: x <= doc_id))).cast("long")
+    limits = np.asarray(cuts, dtype=np.int64)
 
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(limits, ids.to_numpy(), side="right"))
 
-def id_blocks(docs: DataFrame, blocks: int) -> list[int]:
+    return place(doc_id)
+
+
+def id_blocks(docs: DataFrame, blocks: int) -> np.ndarray:
     """Ids of a table (doc_id, n), ascending, that cut it into runs whose sums of n are about a `blocks`-th of the whole at most.
 
     Fine runs of like counts are cut first and then put together; a run of one id may be larger.
     """
     if blocks < 2:
-        return []
+        return np.zeros(0, dtype=np.int64)
     fine = (16 if blocks <= 1000 else 4) * blocks
     shares = [i / fine for i in range(1, fine)]
     found = docs.select(F.percentile_approx("doc_id", shares, max(20_000, 10 * fine)).alias("cuts")).first()["cuts"]
-    cuts = sorted({int(x) for x in found or []})
-    sums = {r["k"]: r["n"] for r in docs.groupBy(shard_of(F.col("doc_id"), cuts).alias("k")).agg(F.sum("n").alias("n")).collect()}  # a row a cut
-    most, kept, filled = sum(sums.values()) / blocks, [], 0
-    for k, cut in enumerate(cuts):  # fine run k ends before cut k
-        filled += sums.get(k, 0)
-        if filled and filled + sums.get(k + 1, 0) > most:
-            kept.append(cut)
-            filled = 0
-    return kept
+    cuts = np.unique(np.array(found or [], dtype=np.int64))
+    rows = docs.groupBy(shard_of(F.col("doc_id"), cuts).alias("k")).agg(F.sum("n").alias("n")).toPandas()  # a row a cut
+    sums = np.zeros(len(cuts) + 1)
+    sums[rows["k"].to_numpy()] = rows["n"].to_numpy()
+    return cuts[_put_together(sums, sums.sum() / blocks)]
+
+
+def _put_together(sums: np.ndarray, most: float) -> np.ndarray:
+    """Places behind which runs of neighbouring sums end, each as long as it stays below most (a single one may be above)."""
+    kept, ahead, at = [], np.concatenate([[0], np.cumsum(sums)]), 0
+    while True:
+        # the last run end that stays below most, or the next that holds anything
+        end = max(int(np.searchsorted(ahead, ahead[at] + most, side="right")) - 1, int(np.searchsorted(ahead, ahead[at], side="right")))
+        if end >= len(sums):
+            return np.array(kept, dtype=np.int64)
+        kept.append(end - 1)
+        at = end

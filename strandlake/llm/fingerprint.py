@@ -173,16 +173,15 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     first = own.agg(F.min("doc_id").alias("m")).first()["m"]
     if first is None:
         first = 0
-    edges = sorted({c for c in cuts if c > first})
-    limits = np.array(edges, dtype=np.int64)
-    openers = {c: k + 1 for k, c in enumerate(edges)}
-    last = len(edges)
+    limits = cuts[cuts > first]
+    last = len(limits)
 
     @F.pandas_udf("array<int>")
     def places(ids):
         """The run of an id, and also the run before it where the id opens a run (as -1 - run)."""
         run = np.searchsorted(limits, ids.to_numpy(), side="right")
-        also = [([int(r), -1 - (int(r) - 1)] if i in openers else [int(r)]) + ([-1 - last] if i == first else []) for i, r in zip(ids.to_numpy(), run, strict=True)]
+        opens = np.searchsorted(limits, ids.to_numpy(), side="left") < run
+        also = [([int(r), -1 - (int(r) - 1)] if o else [int(r)]) + ([-1 - last] if i == first else []) for i, r, o in zip(ids.to_numpy(), run, opens, strict=True)]
         return pd.Series(also)
 
     dealt = own.withColumn("place", F.explode(places("doc_id"))).select(

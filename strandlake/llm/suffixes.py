@@ -14,6 +14,8 @@ the same document) is removed. Documents in order of doc_id are cut into shards.
 3. Across shards, a shard sends what stands around each anchor (once for equal surroundings) to where
    the anchor's hash belongs. There the windows of all shards are sorted by hash, each shard's windows are
    looked up by binary search, and what is found is compared byte by byte: those that an earlier shard has are repeats.
+   Of an anchor that stands nearly everywhere (a line of dashes), windows go one by one to where their own hash belongs, so that no
+   task gets all that stands around it.
 4. Repeats come back to the shard, which removes the union of their bytes.
 
 The texts are shuffled once and that shuffle is read three times. Hashes only bring windows together; equality is
@@ -46,6 +48,8 @@ HALF = 64
 #: Bytes before and after an anchor that its windows can reach.
 REACH = WINDOW - GRAM
 SHARD_BYTES = 3 << 20
+#: An anchor that stands so often in a shard counts as MANY; by shards' weights (once, several, many) above HOT, an anchor is hot.
+MANY, WEIGHTS, HOT = 64, (1, 16, 1024), 4096
 #: Bytes of a document taken at a time.
 PIECE = 2 << 20
 NO_ID = -(1 << 63)
@@ -201,7 +205,7 @@ def _send_anchors(parts: int):
         shard = group.column("shard")[0].as_py()
         bucket = h % np.uint64(parts)
         rows = []
-        for kind, some in ((0, n == 1), (1, n > 1)):  # 1: several in this shard
+        for kind, some in ((0, n == 1), (1, (n > 1) & (n < MANY)), (2, n >= MANY)):  # several, many in this shard
             order = np.argsort(bucket[some], kind="stable")
             b, x = bucket[some][order], h[some][order]
             cuts = np.searchsorted(b, np.arange(parts + 1, dtype=np.uint64))
@@ -211,22 +215,20 @@ def _send_anchors(parts: int):
     return send
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back to each shard: its hashes that several shards have (kind 1), and those it alone has several times (kind 0)."""
+def _flag(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Back to each shard: its hashes that several shards have (kind 1; 2 for the hot ones), and those it alone has several times (kind 0)."""
     rows = [r for b in batches for r in b.to_pylist()]
     if not rows:
         return
     h = [np.frombuffer(r["payload"], dtype=np.uint64) for r in rows]
-    keys, n = np.unique(np.concatenate(h), return_counts=True)
-    shared = keys[n > 1]
-    out = []
+    keys, at, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+    weight = np.bincount(at, weights=np.repeat([WEIGHTS[r["kind"]] for r in rows], [len(x) for x in h]), minlength=len(keys))
+    kinds = np.where(n > 1, np.where(weight > limit, 2, 1), 0)
+    out, low = [], 0
     for r, own in zip(rows, h, strict=True):
-        at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
-        is_shared = shared[at] == own if len(shared) else np.zeros(len(own), dtype=bool)
-        if is_shared.any():
-            out.append((r["shard"], 1, r["shard"], own[is_shared].tobytes()))
-        if r["kind"] == 1 and not is_shared.all():
-            out.append((r["shard"], 0, r["shard"], own[~is_shared].tobytes()))
+        kind = kinds[at[low : low + len(own)]]
+        low += len(own)
+        out += [(r["shard"], k, r["shard"], own[kind == k].tobytes()) for k in ((0, 1, 2) if r["kind"] else (1, 2)) if (kind == k).any()]
     for i in range(0, len(out), 1000):
         yield from _moves(out[i : i + 1000]).to_batches()
 
@@ -259,7 +261,7 @@ def _shard_repeats(parts: int):
         texts, shard = _texts(_in_order(group)), group.column("shard")[0].as_py()
         lists = [(k, np.frombuffer(p, dtype=np.uint64)) for k, p in zip(flags.column("kind").to_pylist(), flags.column("payload").to_pylist(), strict=True)]
         flagged = np.unique(np.concatenate([x for _, x in lists]))
-        across = np.unique(np.concatenate([*(x for k, x in lists if k == 1), np.zeros(0, np.uint64)]))
+        across, hot = (np.unique(np.concatenate([*(x for k, x in lists if k == kind), np.zeros(0, np.uint64)])) for kind in (1, 2))
         who, where, what, regions = _candidates(texts, flagged)
         if not regions:
             return _moves([])
@@ -281,11 +283,54 @@ def _shard_repeats(parts: int):
             at = np.minimum(np.searchsorted(across, what), len(across) - 1)
             hit = across[at] == what
             out += _surroundings(texts, who[hit], where[hit], what[hit], shard, parts)
+        if len(hot):
+            out += _hot_windows(texts, who, hot, shard, parts)
         return _moves(out)
 
     return work
 
 
+#: A window's hash, text and start, before its WINDOW bytes.
+SINGLE = np.dtype([("hash", "<u8"), ("text", "<i8"), ("place", "<i8")])
+
+
+def _hot_windows(texts: list[np.ndarray], who: np.ndarray, hot: np.ndarray, shard: int, parts: int) -> list[tuple]:
+    """Windows whose anchor is hot, the first of equal ones, for the buckets of their own hashes: no bucket gets all that stands around an anchor."""
+    heads, bodies = [], []
+    for d in np.unique(who).tolist():
+        t = texts[d]
+        for low in range(0, len(t) - WINDOW + 1, PIECE):
+            piece = t[low : low + PIECE + WINDOW - 1]
+            least = _slide(gram_hashes(piece), REACH + 1, np.minimum)
+            at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+            if len(at):
+                body = np.lib.stride_tricks.sliding_window_view(piece, WINDOW)[at]
+                key = _window_hash(body, 0, WINDOW)
+                _, one = np.unique(key, return_index=True)
+                one = np.sort(np.concatenate([one, _others(body, key, one)]))
+                head = np.zeros(len(one), dtype=SINGLE)
+                head["hash"], head["text"], head["place"] = key[one], d, at[one] + low
+                heads.append(head)
+                bodies.append(body[one])
+    if not heads:
+        return []
+    head, body = np.concatenate(heads), np.concatenate(bodies)
+    _, one = np.unique(head["hash"], return_index=True)
+    one = np.concatenate([one, _others(body, head["hash"], one)])
+    bucket = head["hash"][one] % np.uint64(parts)
+    order = np.argsort(bucket, kind="stable")
+    one, bucket = one[order], bucket[order]
+    cut = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
+    return [(k, 2, shard, zlib.compress(head[one[cut[k] : cut[k + 1]]].tobytes() + body[one[cut[k] : cut[k + 1]]].tobytes(), 1)) for k in range(parts) if cut[k + 1] > cut[k]]
+
+
+def _others(body: np.ndarray, key: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Places whose bytes differ from those of the first with their key, if ever."""
+    keys = key[one]
+    first = one[np.searchsorted(keys, key)]
+    return np.flatnonzero((body != body[first]).any(axis=1))
+
+
 WIDE = GRAM + 2 * REACH
 #: An anchor's hash, text, place and the bytes before and after it that exist, then WIDE bytes.
 HEAD = np.dtype([("hash", "<u8"), ("text", "<i8"), ("place", "<i8"), ("before", "<i4"), ("after", "<i4")])
@@ -329,13 +374,18 @@ def _window_hash(body: np.ndarray, start: int, size: int) -> np.ndarray:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats within shards pass; windows around anchors that an earlier shard also has become repeats."""
+    """Repeats within shards pass; windows around anchors, and single windows of hot ones, that an earlier shard also has become repeats."""
     heads, bodies, shards = [], [], []
+    single: list[tuple] = []
     for batch in batches:
         through = []
         for r in batch.to_pylist():
             if r["kind"] == 0:
                 through.append((r["shard"], 0, r["shard"], r["payload"]))
+            elif r["kind"] == 2:
+                raw = zlib.decompress(r["payload"])
+                n = len(raw) // (SINGLE.itemsize + WINDOW)
+                single.append((np.frombuffer(raw, dtype=SINGLE, count=n), np.frombuffer(raw, dtype=np.uint8, offset=n * SINGLE.itemsize).reshape(n, WINDOW), np.full(n, r["shard"], dtype=np.int64)))
             else:
                 raw = zlib.decompress(r["payload"])
                 n = len(raw) // (HEAD.itemsize + WIDE)
@@ -343,11 +393,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=n * HEAD.itemsize).reshape(n, WIDE))
                 shards.append(np.full(n, r["shard"], dtype=np.int64))
         yield from _moves(through).to_batches()
-    if not heads:
+    found = []
+    if single:
+        head, body, shard = (np.concatenate(x) for x in zip(*single, strict=True))
+        late = _late(head["hash"], shard, body)
+        found.append(np.stack([shard[late], head["text"][late], head["place"][late], head["place"][late]], axis=1))
+        del single
+    if heads:
+        head, body, shard = np.concatenate(heads), np.concatenate(bodies), np.concatenate(shards)
+        del heads, bodies, shards
+        found.append(_repeats(head, body, shard))  # shard, text, first start, last start
+    if not found:
         return
-    head, body, shard = np.concatenate(heads), np.concatenate(bodies), np.concatenate(shards)
-    del heads, bodies, shards
-    rows = _repeats(head, body, shard)  # shard, text, first start, last start
+    rows = np.concatenate(found)
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
     to, cut = np.unique(rows[:, 0], return_index=True)
     out = [(int(s), 0, int(s), np.ascontiguousarray(x[:, 1:]).astype("<i8").tobytes()) for s, x in zip(to, np.split(rows, cut[1:]), strict=True)] if len(rows) else []
@@ -442,16 +500,16 @@ NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 TYPES = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed, in bytes)."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
-    cuts = common.id_blocks(own.select("doc_id", F.octet_length("data").cast("long").alias("n")), max(parts, -(-total // SHARD_BYTES)))
+    cuts = common.id_blocks(own.select("doc_id", F.octet_length("data").cast("long").alias("n")), max(parts, -(-total // shard_bytes)))
     texts = own.withColumn("shard", common.shard_of(F.col("doc_id"), cuts))
     hashes = texts.groupBy("shard").applyInArrow(_send_anchors(parts), MOVE)
-    flags = hashes.repartition(parts, "target").mapInArrow(_flag, MOVE)
+    flags = hashes.repartition(parts, "target").mapInArrow(lambda batches: _flag(batches, hot), MOVE)
     wide = 2 * parts  # a task holds what its bucket gets
     found = texts.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(_shard_repeats(wide), MOVE)
     merged = found.withColumn("target", F.pmod("target", F.lit(wide))).repartition(wide, "target").mapInArrow(_merge, MOVE)
