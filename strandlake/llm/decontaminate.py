@@ -36,7 +36,7 @@ RATE = 0.08
 #: Characters read at a time.
 PIECE = 1 << 20
 #: Text bytes of passages in one index.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 12 << 20
 #: Separates texts; never part of a q-gram that is looked up.
 WALL = 65535
 
@@ -82,35 +82,38 @@ def budget(m: int, q: int = Q, rate: float = RATE) -> int:
     return max(0, min(int(rate * m), (m - q) // q))
 
 
-def aligned(window: np.ndarray, passage: np.ndarray, limit: int) -> tuple[int, int] | None:
-    """The least edits between the passage and a part of the window along its diagonals, with the part's end; None beyond the limit.
+#: Costs are counted in these units, so that a place fits beside one.
+UNIT = 1 << 24
+
+
+def aligned(window: np.ndarray, passage: np.ndarray, limit: int) -> tuple[int, int, int] | None:
+    """The least edits between the passage and a part of the window along its diagonals, with the part's start and end; None beyond the limit.
 
     The window holds len(window) - len(passage) + 1 diagonals; a part may begin on any of them and stays on them.
-    Cell b of row j: the passage's first j symbols against a part that ends at window[j + b].
+    Cell b of row j: the passage's first j symbols against a part that ends at window[j + b]; its cost, and where its part begins.
     """
     width = len(window) - len(passage) + 1
-    steps = np.arange(width)
-    row = np.zeros(width, dtype=np.int64)
+    steps = np.arange(width) * UNIT
+    row = np.arange(width)
     for j, symbol in enumerate(passage):
-        new = row + (window[j : j + width] != symbol)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a symbol of the passage is missing
+        new = row + UNIT * (window[j : j + width] != symbol)
+        new[:-1] = np.minimum(new[:-1], row[1:] + UNIT)  # a symbol of the passage is missing
         row = np.minimum.accumulate(new - steps) + steps  # symbols of the text are more
-        if row.min() > limit:
+        if row.min() >= (limit + 1) * UNIT:
             return None
-    end = int(row.argmin())
-    return int(row[end]), end + len(passage)
+    end = int((row // UNIT).argmin())
+    return int(row[end]) // UNIT, int(row[end]) % UNIT, end + len(passage)
 
 
 @dataclass
 class Index:
     ids: list[int]
     passages: list[np.ndarray]
-    hashes: np.ndarray  # distinct, ascending
-    starts: np.ndarray  # of a hash in items and places; one more at the end
-    items: np.ndarray
-    places: np.ndarray
+    keys: np.ndarray  # 32 bits of each gram's hash, ascending
+    spots: np.ndarray  # where the grams stand in the passages put one behind another
+    opens: np.ndarray  # where a passage begins there
     bits: int
-    maybe: np.ndarray
+    maybe: np.ndarray  # a bit for each value of the first bits of a hash
     budgets: np.ndarray
     needed: np.ndarray
     band: int
@@ -119,18 +122,24 @@ class Index:
     def build(cls, benchmark: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Index:
         found = [(i, p) for i, t in benchmark if t is not None and len(p := trimmed(symbols(t)))]
         ids, passages = [i for i, _ in found], [p for _, p in found]
+        sizes = np.array([len(p) for p in passages], dtype=np.int64)
+        opens = np.cumsum(np.append(0, sizes))[:-1] if len(sizes) else sizes
         per = [grams(p, q) for p in passages]
         flat = np.concatenate([*per, np.zeros(0, np.uint64)])
-        items = np.repeat(np.arange(len(per)), [len(g) for g in per]).astype(np.int64)
-        places = np.concatenate([*(np.arange(len(g)) for g in per), np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(flat, kind="stable")
-        hashes, first = np.unique(flat[order], return_index=True)
-        bits = max(16, int(len(hashes) * 16).bit_length())
-        maybe = np.zeros(1 << bits, dtype=bool)
-        maybe[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-        sizes = np.array([len(p) for p in passages], dtype=np.int64)
+        spots = np.concatenate([*(np.arange(len(g), dtype=np.int32) + np.int32(o) for g, o in zip(per, opens, strict=True)), np.zeros(0, np.int32)])
+        del per
+        bits = max(16, int(len(flat) * 8).bit_length())
+        maybe = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        first = (flat >> np.uint64(64 - bits)).astype(np.int64)
+        np.bitwise_or.at(maybe, first >> 3, (1 << (first & 7)).astype(np.uint8))
+        keys = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        del flat, first
+        order = np.argsort(keys, kind="stable")
         budgets = np.array([budget(m, q, rate) for m in sizes], dtype=np.int64)
-        return cls(ids, passages, hashes, np.append(first, len(flat)), items[order], places[order], bits, maybe, budgets, sizes + 1 - q - q * budgets, int(budgets.max(initial=0)) + 1)
+        return cls(ids, passages, keys[order], spots[order], opens, bits, maybe, budgets, sizes + 1 - q - q * budgets, int(budgets.max(initial=0)) + 1)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.spots, self.opens, self.maybe, self.budgets, self.needed, *self.passages))
 
     def longest(self) -> int:
         return max((len(p) for p in self.passages), default=0)
@@ -142,15 +151,17 @@ class Index:
         opens = np.cumsum([0] + [len(t) + 1 for t in texts])
         out: list[tuple[int, int, int, int, int]] = []
         h = grams(joined)
-        hit = np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-        if len(hit) and len(self.hashes):
-            own = h[hit]
-            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-            true = self.hashes[at] == own
-            hit, at = hit[true], at[true]
-            many = self.starts[at + 1] - self.starts[at]
-            spots = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            item, diagonal = self.items[spots], np.repeat(hit, many) - self.places[spots]
+        first = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        hit = np.flatnonzero(self.maybe[first >> 3] >> (first & 7) & 1)
+        del first
+        if len(hit) and len(self.keys):
+            own = (h[hit] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            low, high = np.searchsorted(self.keys, own, side="left"), np.searchsorted(self.keys, own, side="right")
+            true = high > low
+            hit, low, many = hit[true], low[true], (high - low)[true]
+            spot = self.spots[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))].astype(np.int64)
+            item = np.searchsorted(self.opens, spot, side="right") - 1
+            diagonal = np.repeat(hit, many) - (spot - self.opens[item])
             # a diagonal is in its band and in the one before; a band is twice as wide as its step, the passage's own budget and 1
             step = (diagonal + self.longest()) // (self.budgets[item] + 1)
             width = int(len(joined) + 2 * self.longest()) + 3
@@ -199,7 +210,7 @@ class Index:
         if at >= 0:
             return 0, at // 2, at // 2 + len(p)
         got = aligned(window, p, int(self.budgets[k]))
-        return None if got is None else (got[0], max(0, got[1] - len(p)), got[1])
+        return got
 
 
 HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())])
