@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,27 +35,28 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Shuffle files of a finished query go at once, not when the driver's memory is next cleared.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that spark.checkpoint.dir names; a temporary one only in local mode, where it is unset."""
-    context = df.sparkSession.sparkContext
+    """checkpoint() into the folder that spark.checkpoint.dir names; a temporary one only in local mode, where it is unset.
+
+    What was shuffled on the way isn't needed any more and is removed.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession, rounds: int = 3) -> None:
-    """Let go of what nothing refers to any more; Spark's cleaner then drops the shuffle files of earlier steps.
-
-    Plans are referred to by events that listeners have still to see, and by what stands between Python and the JVM: so
-    there are a few rounds, with time between.
-    """
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

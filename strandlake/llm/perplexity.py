@@ -17,7 +17,8 @@ buckets by hash of the first word. Documents are dealt to groups of about GROUP
 distinct words and pairs with their counts to the buckets and gets their counts in all documents back in
 the same order, so that nothing is sent for each word of a text. Pairs of frequent first words (found in a
 sample, HEAVY at most) are dealt by the second word as well; this changes where they are counted, not
-what is. The driver gets a few sums of each bucket.
+what is. The driver gets a few sums of each bucket. Beyond about a GB of text, groups and buckets grow with the root of the
+input, so that the rows between them (one for each group and bucket) grow with the input, not with its square.
 
 Defined results: null and empty texts have 0 words and losses and score 0; several labels of a document
 count as target if one is; documents without a label belong to the background; repeated rows count and
@@ -46,6 +47,8 @@ START = np.uint64(0)
 DISCOUNT = 0.75
 #: Bytes of text in a group of documents, and behind a bucket of counts.
 GROUP, BUCKET = 10 << 20, 12 << 20
+#: Bytes of text for each row that is sent between groups and buckets, at least.
+MESSAGE = 100_000
 #: Kinds of pairs are told in such parts.
 PARTS = 1 << 20
 #: First words whose pairs are dealt to all buckets: those above 1 of so many words of a sample, so no more than that.
@@ -244,19 +247,25 @@ def shares(docs: DataFrame, targets: DataFrame) -> tuple[int, tuple[float, float
     return whole, (least / target if least else 1.0, least / (whole - target) if least else 1.0)
 
 
+def dealing(size: int) -> tuple[int, int]:
+    """Groups and buckets for so many bytes. Both grow with the root of the input once MESSAGE bytes of text come for each row between them, so that rows grow with the input."""
+    more = max(1.0, (size * MESSAGE / (GROUP * BUCKET)) ** 0.5)
+    return max(1, -(-size // int(GROUP * more))), max(1, -(-size // int(BUCKET * more)))
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Target: documents with quality 1. One row per document."""
     common.bounded_batches(docs.sparkSession)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     targets = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(ids).distinct()
     size, rates = shares(docs, targets)
-    dealt, buckets, heavy = max(1, -(-size // GROUP)), max(1, -(-size // BUCKET)), _heavy(docs)
+    dealt, buckets = dealing(size)
+    heavy = _heavy(docs)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(dealt)).cast("int")
     apart = F.pmod(F.xxhash64("text"), F.lit(dealt)).cast("int")
     groups = docs.select(ids, "text").select("doc_id", "text", F.when(F.col("doc_id").isNull(), apart).otherwise(place).alias("g"))
     marked = targets.select("doc_id", place.alias("g"))
     told = common.cut_lineage(_told(_requests(groups, marked, buckets, heavy), heavy, rates))
-    common.release(docs.sparkSession)  # the texts' first shuffle and the requests
     sums = np.zeros(3 + 2 * len(heavy), dtype=np.int64)
     for r in told.filter("g < 0").select("n").toLocalIterator():
         sums += unpacked(r["n"])
