@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -87,7 +88,8 @@ def test_empty_companions(spark, odd):
 # the pipeline by hand ------------------------------------------------------------------------------------------------------------
 
 
-def languages_by_hand(rows, max_train=10_000):
+def cosines_by_hand(rows, learned):
+    """For each row the cosines with the languages learned from some rows; none for a text without letters."""
     a, b, c = language._vectors()
 
     def bundle(text):
@@ -109,12 +111,33 @@ def languages_by_hand(rows, max_train=10_000):
 
     bundles = {i: bundle(t or "") for i, t, *_ in rows}
     sums = defaultdict(lambda: np.zeros(language.DIM))
-    for i, t, lang, _ in rows:
-        if lang is not None and t is not None:
+    for i, t, lang, _ in learned:
+        if lang is not None and t is not None and np.any(bundles[i]):
             sums[lang] += unit(bundles[i])
     prototypes = np.stack([unit(v) for _, v in sorted(sums.items())])
     prototypes = np.stack([unit(v) for v in prototypes - prototypes.mean(axis=0)])
-    return [r for r in rows if np.any(bundles[r[0]]) and (prototypes @ unit(bundles[r[0]])).max() >= corpus_pipeline.LEAST_COSINE]
+    return {i: dict(zip(sorted(sums), prototypes @ unit(v), strict=True)) if np.any(v) else {} for i, v in bundles.items()}
+
+
+def languages_by_hand(rows):
+    cosines = cosines_by_hand(rows, rows)
+    return [r for r in rows if max(cosines[r[0]].values(), default=-1) >= corpus_pipeline.LEAST_COSINE]
+
+
+def test_languages_by_hand(spark):
+    """The query's predictions and scores, learned from the rows that aren't held out."""
+    rng = np.random.default_rng(17)
+    speak = {"en": "the thing other which weather there strong mother whole", "fr": "quelque jamais toujours beaucoup voix peuple oiseau", "de": "über straße nicht schön zwischen möchte"}
+    rows = [(i, " ".join(rng.choice(speak[lang := ("en", "fr", "de")[i % 3]].split(), int(rng.integers(3, 30)))), lang if i % 7 else None, "a") for i in range(80)]
+    rows += [(100, None, "en", "a"), (101, "12, 34!", "fr", "a"), (102, "", "de", None), (103, "Ünïcode THE thing", "en", "a"), (104, "the nicht voix", None, None)]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    cosines = cosines_by_hand(rows, [r for r in rows if not held[r[0]]])
+    found = {r["doc_id"]: r for r in language.language_ids(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(4)).collect()}
+    assert len(found) == len(rows) and 5 < sum(held.values()) < 40
+    for i, own in cosines.items():
+        best = max(own, key=own.get, default="und")
+        assert found[i]["held_out"] == held[i] and found[i]["lang_pred"] == best
+        assert abs(found[i]["score"] - min(1.0, max(0.0, own.get(best, 0.0)))) < 1e-4
 
 
 def mixed_by_hand(rows):

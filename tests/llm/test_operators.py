@@ -608,7 +608,41 @@ def test_alignment_against_brute_force():
                 ways += [best[j - 1, i] + 1] if (j - 1, i) in best else []
                 best[j, i] = min(ways)
         got = decontaminate.aligned(w, p, 6)
-        assert got is not None and got[0] == min(best[6, i] for i in range(6, 12)) and best[6, got[1]] == got[0]
+        assert got is not None and got[0] == min(best[6, i] for i in range(6, 12)) and best[6, got[2]] == got[0]
+        assert 0 <= got[1] <= 5 and distance(w[got[1] : got[2]], p) <= got[0]  # the part that it names
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_a_hit_starts_where_its_passage_does():
+    """Also behind letters that are left out, or between those that are put in."""
+    rng = np.random.default_rng(14)
+    passage = decontaminate.trimmed(decontaminate.symbols(words(rng, 40, 5000)))
+    index = decontaminate.Index.build([(1, " ".join(words(rng, 9, 5000).split())), (2, "".join(map(chr, passage)))])
+    for _ in range(60):
+        p = index.passages[1]
+        gone = np.sort(rng.choice(np.arange(20, len(p) - 20), 3, replace=False))
+        text = np.delete(p, gone) if rng.random() < 0.5 else np.insert(p, gone, 7)
+        before = decontaminate.symbols(words(rng, int(rng.integers(3, 60)), 5000))
+        hits = [h for h in index.search([np.concatenate([before, text, before]).astype(np.uint16)]) if h[1] == 1]
+        assert len(hits) == 1 and hits[0][4] == 3 and distance(np.concatenate([before, text, before])[hits[0][2] : hits[0][3]], p) == 3
+
+
+def test_an_index_is_small():
+    rng = np.random.default_rng(15)
+    items = [(i, words(rng, 60, 90_000)) for i in range(4_000)]
+    size = sum(len(t) for _, t in items)
+    index = decontaminate.Index.build(items)
+    assert size > 1 << 20 and index.nbytes() * decontaminate.INDEX_BYTES / size < 150 << 20
+    found = index.search([decontaminate.symbols(f"{words(rng, 20, 90_000)} {items[k][1]} {words(rng, 20, 90_000)}") for k in range(0, 4_000, 400)])
+    assert {(d, k) for d, k, *_ in found} >= {(d, k) for d, k in enumerate(range(0, 4_000, 400))}
 
 
 # learned operators -----------------------------------------------------------------------------------------------------------
@@ -813,6 +847,12 @@ def test_a_matched_model_is_a_distribution():
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_messages_grow_with_the_input():
+    rows = {size: np.prod(perplexity.dealing(size)) for size in (0, 1, 10**8, 10**9, 10**10, 10**11, 10**12, 10**13, 10**14)}
+    assert rows[0] == rows[1] == 1 and all(n <= 1.3 * size / perplexity.MESSAGE + 2 for size, n in rows.items() if size >= 10**10)
+    assert all(rows[10 * s] <= 13 * rows[s] for s in (10**10, 10**11, 10**12, 10**13)) and perplexity.dealing(840_000_000)[0] == -(-840_000_000 // perplexity.GROUP)
+
+
 def test_blocks_follow_sizes(spark):
     """A run of long texts is cut finer than short ones; ids of one run stay together."""
     rng = np.random.default_rng(2)
