@@ -4,14 +4,15 @@ Within a source, documents stand in order of size class, salt and size, so that
 too much the next takes less; the prefix sums of their expected copies, plus one random offset for the source (seeded), are cut
 at the integers, and a document is emitted once per integer that its step crosses.
 
-What such a pass misses is about its largest document. So size classes whose largest document has more than LARGE of its
-source's target are sampled first, at the source's rate (target over size); the rest then stand at the rate that brings the
-source to its target, within 0 and MOST copies. So a source misses its target by a document of the rest, about LARGE of the target,
-unless its large documents alone miss it by more than the rest can make good (a source of a few documents).
+What such a pass misses is about its largest document. So there are strata: size classes whose largest document has more
+than a share of the source's target (LARGE, several) are sampled first, at the source's rate (target over size); the next stratum
+stands at the rate that brings the source to its target from there, within 0 and MOST copies, and so on. What a stratum misses is made
+good by those after it, so a source misses its target by about the last share, unless the smaller documents are too few to make
+good what the larger ones missed (a source of a few documents, or without small ones).
 
 The rank of a document within its source is put together from counts of (source, size class, salt)
 groups and a rank within the group, so no source, however large, meets in one task; the number of
-salts follows the number of rows. Large documents of a source are few: at most its size over LARGE of its target, and those of their classes.
+salts follows the number of rows. Documents of a source before the last stratum are few: about its size over the last share of its target at most.
 
 Defined results: null texts have size 0; the null source is a source of its own, last; documents of
 size 0 take part with 0 words; a source of size 0 has target 0 and takes nothing; ties and repeated
@@ -32,8 +33,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: No source's target, and no document, exceeds so many times its size.
 MOST = 3
-#: Size classes with a document above this share of their source's target are sampled first.
-LARGE = 0.02
+#: Strata: size classes with a document above such a share of their source's target come before the others.
+LARGE = (0.2, 0.07, 0.025, 0.01)
 #: Rows of a source and size class are dealt to salts of about so many.
 SALT_ROWS = 2_000
 SEED = "mix-1"
@@ -110,31 +111,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     by_class = groups.groupBy("src", "source", "class").agg(F.sum("n").alias("class_n"), F.sum("words").alias("class_words"), F.max("most").alias("class_most"))
     sizes = by_class.groupBy("src", "source").agg(F.sum("class_words").alias("source_size"))
     aimed = targets(sizes, weights, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    aimed = aimed.select("src", "source_size", "target", rate.alias("rate"), jitter(F.col("source")).alias("jitter"))
+    aimed = common.cut_lineage(aimed.select("src", "source_size", "target", jitter(F.col("source")).alias("jitter")))
 
-    by_class = by_class.join(aimed, "src").withColumn("large", F.col("class_most") > F.lit(LARGE) * F.col("target"))
-    before = Window.partitionBy("src", "large").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    by_class = by_class.join(aimed, "src").withColumn("stratum", sum((F.col("class_most") <= F.lit(x) * F.col("target")).cast("int") for x in LARGE))
+    before = Window.partitionBy("src", "stratum").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     by_class = by_class.withColumn("class_start", F.coalesce(F.sum("class_n").over(before), F.lit(0)))
     within = Window.partitionBy("src", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("salt_start", F.coalesce(F.sum("n").over(within), F.lit(0))).drop("source", "n", "words", "most")
     starts = starts.join(by_class.drop("source"), ["src", "class"])
-    starts = starts.select("src", "class", "salt", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "jitter", "large")
-    starts = common.cut_lineage(starts)
+    starts = common.cut_lineage(starts.select("src", "class", "salt", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "jitter", "stratum"))
 
-    def copied(some: DataFrame) -> DataFrame:
-        """Rows of the groups in `some` with their copies."""
+    def ranked(some: DataFrame) -> DataFrame:
         own = Window.partitionBy("src", "class", "salt").orderBy("size", "doc_id")
-        ranked = rows.join(some, ["src", "class", "salt"]).withColumn("rank", F.col("start") + F.row_number().over(own))
-        crossed = F.floor(F.col("jitter") + F.col("rank") * F.col("rate")) - F.floor(F.col("jitter") + (F.col("rank") - 1) * F.col("rate"))
-        return ranked.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
+        return rows.join(some, ["src", "class", "salt"]).withColumn("rank", F.col("start") + F.row_number().over(own))
 
-    first = copied(starts.filter("large")).groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("had"), F.sum("size").alias("large_size"))
-    first = first.select("src", "had", "large_size")
-    left = F.col("source_size") - F.col("large_size")
-    adjusted = F.when(~F.col("large") & (left > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("had")) / left))).otherwise(F.col("rate"))
-    starts = starts.join(first, "src", "left").withColumn("rate", F.when(F.col("had").isNull(), F.col("rate")).otherwise(adjusted)).drop("had", "large_size", "large")
-    return copied(starts).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+    large = common.cut_lineage(ranked(starts.filter(F.col("stratum") < len(LARGE))).select("src", "stratum", "size", "rank", "jitter"))
+    rated = aimed.withColumns({"had": F.lit(0).cast("long"), "done": F.lit(0).cast("long")})
+    for k in range(len(LARGE) + 1):
+        left = F.col("source_size") - F.col("done")
+        rate = F.when(left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("had")) / left))).otherwise(0.0)
+        rated = rated.withColumn(f"rate{k}", rate)
+        if k < len(LARGE):
+            part = large.filter(F.col("stratum") == k).join(rated.select("src", F.col(f"rate{k}").alias("rate")), "src")
+            part = part.groupBy("src").agg(F.sum(crossed(most) * F.col("size")).alias("more"), F.sum("size").alias("size"))
+            rated = rated.join(part, "src", "left").withColumns({"had": F.col("had") + F.coalesce("more", F.lit(0)), "done": F.col("done") + F.coalesce("size", F.lit(0))}).drop("more", "size")
+    rates = rated.select("src", F.posexplode(F.array(*(f"rate{k}" for k in range(len(LARGE) + 1)))).alias("stratum", "rate"))
+    taken = ranked(starts.join(rates, ["src", "stratum"])).withColumn("copies", crossed(most))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+
+
+def crossed(most: int) -> Column:
+    """Integers that a document's step crosses, from rank, rate and jitter."""
+    steps = F.floor(F.col("jitter") + F.col("rank") * F.col("rate")) - F.floor(F.col("jitter") + (F.col("rank") - 1) * F.col("rate"))
+    return F.least(steps, F.lit(most)).cast("long")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -153,6 +162,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:
     """DuckDB SQL for doc_id, size, source_size, target, taken."""
     listed = ", ".join(map(str, weights))
+    steps = f"least(floor(r.jitter + r.rank * t.rate) - floor(r.jitter + (r.rank - 1) * t.rate), {most})::BIGINT"
+    strata = ""
+    for k in range(len(LARGE) + 1):
+        strata += f"""step{k} AS (SELECT *, CASE WHEN source_size > done THEN greatest(0.0::DOUBLE, least({most}.0::DOUBLE, (target - had) / (source_size - done)::DOUBLE)) ELSE 0.0::DOUBLE END AS rate FROM rated{k}),
+had{k} AS (SELECT r.source, sum({steps} * r.size)::BIGINT AS more, sum(r.size)::BIGINT AS size FROM ranked r JOIN step{k} t ON r.source IS NOT DISTINCT FROM t.source WHERE r.stratum = {k} GROUP BY r.source),
+rated{k + 1} AS (SELECT s.source, s.target, s.source_size, s.had + coalesce(h.more, 0) AS had, s.done + coalesce(h.size, 0) AS done FROM step{k} s LEFT JOIN had{k} h ON s.source IS NOT DISTINCT FROM h.source),
+"""
     return rf"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -177,16 +193,11 @@ aimed AS (
          ('0x' || substr(md5('{SEED}|' || coalesce(source, '') || CASE WHEN source IS NULL THEN '|null' ELSE '|' END), 1, 8))::BIGINT / {float(1 << 32)}::DOUBLE AS jitter
   FROM sources, last),
 classed AS (
-  SELECT k.doc_id, k.size, k.class, k.salt, a.source_size, a.target, a.source, a.jitter, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
-         max(k.size) OVER (PARTITION BY k.source, k.class) > {LARGE}::DOUBLE * a.target AS large
+  SELECT k.doc_id, k.size, k.class, k.salt, a.source_size, a.target, a.source, a.jitter, {" + ".join(f"(max(k.size) OVER (PARTITION BY k.source, k.class) <= {x}::DOUBLE * a.target)::INT" for x in LARGE)} AS stratum
   FROM keyed k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY class, salt, size, doc_id) AS rank FROM classed),
-first AS (
-  SELECT source, sum(least(floor(jitter + rank * rate) - floor(jitter + (rank - 1) * rate), {most})::BIGINT * size)::BIGINT AS had, sum(size)::BIGINT AS large_size
-  FROM ranked WHERE large GROUP BY source),
-rated AS (
-  SELECT r.* EXCLUDE (rate), CASE WHEN NOT large AND had IS NOT NULL AND source_size > large_size
-         THEN greatest(0.0::DOUBLE, least({most}.0::DOUBLE, (target - had) / (source_size - large_size)::DOUBLE)) ELSE rate END AS rate
-  FROM ranked r LEFT JOIN first f ON r.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, target, least(floor(jitter + rank * rate) - floor(jitter + (rank - 1) * rate), {most})::BIGINT * size AS taken FROM rated
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY class, salt, size, doc_id) AS rank FROM classed),
+rated0 AS (SELECT source, target, source_size, 0::BIGINT AS had, 0::BIGINT AS done FROM aimed),
+{strata}
+rates AS ({" UNION ALL ".join(f"SELECT source, {k} AS stratum, rate FROM step{k}" for k in range(len(LARGE) + 1))})
+SELECT r.doc_id, r.size, r.source_size, r.target, {steps} * r.size AS taken FROM ranked r JOIN rates t ON r.source IS NOT DISTINCT FROM t.source AND r.stratum = t.stratum
 """
