@@ -56,7 +56,7 @@ class Template:
 
     @property
     def marks(self) -> list[str]:
-        return sorted({self.opening, self.turn, self.text, self.end, *self.others})
+        return sorted({self.opening, self.turn, self.text, self.end, *self.others} - {""})
 
     def by_first(self) -> dict[str, str]:
         """First characters of control strings, each with a pattern of what may follow."""

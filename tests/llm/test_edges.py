@@ -155,25 +155,20 @@ def mixed_by_hand(rows):
             bits = n.bit_length()
             return (bits * 8 + n * 8 // (1 << (bits - 1)) - 8 if n else 0), number(str(r[0])) % salts, n, r[0]
 
-        rate, jitter = (aims[s] / total[s] if total[s] else 0.0), number(f"{mixing.SEED}|{s}|" if s is not None else f"{mixing.SEED}||null") / float(1 << 32)
+        jitter = number(f"{mixing.SEED}|{s}|" if s is not None else f"{mixing.SEED}||null") / float(1 << 32)
         some = sorted((r for r in rows if r[3] == s), key=place)
         most = defaultdict(int)
         for r in some:
             most[place(r)[0]] = max(most[place(r)[0]], size[r[0]])
-        large, had = [r for r in some if most[place(r)[0]] > mixing.LARGE * aims[s]], 0
-
-        def emit(r, k, at, jitter=jitter):
-            n = min(mixing.MOST, math.floor(jitter + k * at) - math.floor(jitter + (k - 1) * at))
-            out.extend([r] * n)
-            return n * size[r[0]]
-
-        for k, r in enumerate(large, 1):
-            had += emit(r, k, rate)
-        rest = total[s] - sum(size[r[0]] for r in large)
-        if large and rest:
-            rate = max(0.0, min(float(mixing.MOST), (aims[s] - had) / rest))
-        for k, r in enumerate((r for r in some if r not in large), 1):
-            emit(r, k, rate)
+        had = done = 0
+        for stratum in range(len(mixing.LARGE) + 1):
+            own = [r for r in some if sum(most[place(r)[0]] <= x * aims[s] for x in mixing.LARGE) == stratum]
+            rate = max(0.0, min(float(mixing.MOST), (aims[s] - had) / (total[s] - done))) if total[s] > done else 0.0
+            for k, r in enumerate(own, 1):
+                n = min(mixing.MOST, math.floor(jitter + k * rate) - math.floor(jitter + (k - 1) * rate))
+                out += [r] * n
+                had += n * size[r[0]]
+            done += sum(size[r[0]] for r in own)
     return out
 
 
