@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .lineage import cut_lineage
-from .ranges import RANGE, ranged, with_totals_before, within
+from .ranges import RANGE, in_order, previous, ranged, running, with_totals_before, within
 from .ranges import keys as range_keys
 
 #: Fixed value: end of a chromosome whose length isn't known.
@@ -332,8 +332,11 @@ def as_lines(chunks: DataFrame) -> DataFrame:
 
 def islands(values: DataFrame, order: str, value: str) -> DataFrame:
     """WIN-15: runs of equal values, as start, length and value."""
-    w = Window.orderBy(order)
-    x = values.withColumn("new", F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    x = previous(in_order(values, [order]), [order], before=value)
+    x = x.withColumn("new", (~F.col(value).eqNullSafe(F.col("before"))).cast("int"))
+    first = x.agg(F.min(order).alias("first_"))  # one row
+    x = x.crossJoin(F.broadcast(first)).withColumn("new", F.when(F.col(order) == F.col("first_"), 1).otherwise(F.col("new"))).drop("first_", "before")
+    x = running(x, [order], run=F.col("new")).withColumn("run", F.col("run") + F.col("new"))
     return x.groupBy("run").agg(F.min(order).alias("start"), F.count("*").alias("length"), F.first(value).alias(value)).drop("run")
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranges import RANGE, ranged
+from .ranges import RANGE, in_order, previous, ranged
 
 
 def validate(gmap: DataFrame) -> DataFrame:
     """SRC-06: knots whose position or value falls behind the one before, by ordinal; empty for a good map."""
-    w = (Window.partitionBy("chrom") if "chrom" in gmap.columns else Window.partitionBy(F.lit(0))).orderBy("ordinal")
-    return gmap.withColumns({"p": F.lag("pos").over(w), "c": F.lag("cm").over(w)}).filter("pos < p OR cm < c").drop("p", "c")
+    key = ["chrom"] if "chrom" in gmap.columns else []
+    x = previous(in_order(gmap, ["ordinal"], key), ["ordinal"], key, p="pos", c="cm")
+    return x.filter("pos < p OR cm < c").drop("p", "c", RANGE)
 
 
 def interpolate(sites: DataFrame, gmap: DataFrame, floor: bool = False) -> DataFrame:

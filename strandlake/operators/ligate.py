@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import genotypes as G
+from .lineage import cut_lineage
 
 
 def overlap(calls: DataFrame) -> DataFrame:
-    """JOIN-08: cells of the same site and sample in neighbouring windows. calls: chunk, site, sample, a0, a1."""
-    left = calls.select("chunk", "site", "sample", "a0", "a1")
-    right = calls.select((F.col("chunk") - 1).alias("chunk"), "site", "sample", F.col("a0").alias("b0"), F.col("a1").alias("b1"))
-    return left.join(right, ["chunk", "site", "sample"])
+    """JOIN-08: cells of the same site and sample in neighbouring windows, side by side: one window over a cell's rows. calls: chunk, site, sample, a0, a1."""
+    w = Window.partitionBy("site", "sample").orderBy("chunk")
+    x = calls.select("chunk", "site", "sample", "a0", "a1", F.lead("chunk").over(w).alias("next"), F.lead("a0").over(w).alias("b0"), F.lead("a1").over(w).alias("b1"))
+    return x.filter(F.col("next") == F.col("chunk") + 1).drop("next")
 
 
 def votes(shared: DataFrame) -> DataFrame:
@@ -30,7 +31,8 @@ def swaps(votes_: DataFrame, chunks: DataFrame) -> DataFrame:
     A boundary flips, keeps or (a tie) resets. Ties start a new segment; within it the state is the
     parity of flips: one window over the boundaries of a sample, no iteration. chunks: one column chunk.
     """
-    every = votes_.select("sample").distinct().crossJoin(F.broadcast(chunks.select("chunk").distinct()))
+    windows = chunks.agg(F.collect_set("chunk").alias("chunks"))  # one row
+    every = votes_.select("sample").distinct().crossJoin(F.broadcast(windows)).select("sample", F.explode("chunks").alias("chunk"))
     v = every.join(votes_.withColumn("chunk", F.col("chunk") + 1), ["chunk", "sample"], "left").na.fill(0, ["n_match", "n_mismatch"])
     order = Window.partitionBy("sample").orderBy("chunk")
     v = v.withColumn("segment", F.sum((F.col("n_match") == F.col("n_mismatch")).cast("int")).over(order))
@@ -41,21 +43,21 @@ def swaps(votes_: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def owners(calls: DataFrame) -> DataFrame:
     """WIN-13: of the sites two neighbours share, the first half (rounded down) is the left one's, the rest the right one's."""
+    by_site = Window.partitionBy("site").orderBy("chunk")
     own = calls.select("chunk", "site").distinct()
-    right = own.select((F.col("chunk") - 1).alias("chunk"), "site", F.lit(True).alias("shared"))
-    both = own.join(right, ["chunk", "site"])
-    w = Window.partitionBy("chunk").orderBy("site")
-    ranked = both.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("chunk")))
-    split = ranked.select("chunk", "site", (F.col("k") <= F.expr("n div 2")).alias("left_has"))
-    lost_left = split.filter("NOT left_has").select("chunk", "site")
-    lost_right = split.filter("left_has").select((F.col("chunk") + 1).alias("chunk"), "site")
-    return own.join(lost_left.unionByName(lost_right), ["chunk", "site"], "left_anti")
+    own = own.withColumn("shared", F.coalesce(F.lead("chunk").over(by_site) == F.col("chunk") + 1, F.lit(False)))
+    place = F.col("shared").cast("long")
+    k, n = F.sum(place).over(Window.partitionBy("chunk").orderBy("site")), F.sum(place).over(Window.partitionBy("chunk"))
+    x = own.withColumn("left_has", F.when(F.col("shared"), k <= F.floor(n / 2)))
+    right_has = F.when(F.lag("shared").over(by_site), ~F.lag("left_has").over(by_site))
+    return x.withColumn("right_has", right_has).filter(F.coalesce("left_has", F.lit(True)) & F.coalesce("right_has", F.lit(True))).select("chunk", "site")
 
 
 def ligate(calls: DataFrame) -> DataFrame:
-    """SET-04, FN-39: one row per site and sample, in consistent phase. calls: chunk, site, sample, a0, a1."""
+    """SET-04, FN-39: one row per site and sample, in consistent phase. calls: chunk, site, sample, a0, a1. They are computed once and kept."""
+    calls = cut_lineage(calls)
     s = swaps(votes(overlap(calls)), calls)
-    mine = calls.join(owners(calls), ["chunk", "site"], "left_semi").join(s, ["chunk", "sample"], "left")
+    mine = calls.join(owners(calls), ["chunk", "site"]).join(s, ["chunk", "sample"], "left")
     flip: Column = F.coalesce(F.col("swap"), F.lit(0)) == 1
     return mine.select("site", "sample", "chunk", F.when(flip, F.col("a1")).otherwise(F.col("a0")).alias("a0"), F.when(flip, F.col("a0")).otherwise(F.col("a1")).alias("a1"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bits
+from .ranges import RANGE, in_order, running
 
 
 def sparse_lines(panel: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def traverse(panel: DataFrame, visit: Callable[[int, np.ndarray, np.ndarray], li
 def sample_names(cells: DataFrame) -> DataFrame:
     """XSI-01: the distinct samples in order, with ordinal; sinks.lines writes the names, readers.sample_list reads them."""
     names = cells.select(F.col("sample").cast("string").alias("sample")).distinct()
-    return names.withColumn("ordinal", F.row_number().over(Window.orderBy("sample")) - 1)  # a row a sample
+    return running(in_order(names, ["sample"]), ["sample"], ordinal=F.lit(1)).drop(RANGE)
 
 
 def transpose(panel: DataFrame) -> DataFrame:
@@ -181,8 +182,8 @@ def probes(cells: DataFrame) -> DataFrame:
 
 def offsets(samples: DataFrame) -> DataFrame:
     """WIN-18, SRC-09: where a sample's haplotypes and likelihoods start. samples: ordinal, sample, ploidy."""
-    w = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return samples.withColumns({"hap_offset": F.coalesce(F.sum("ploidy").over(w), F.lit(0)), "gl_offset": F.coalesce(F.sum(F.col("ploidy") + 1).over(w), F.lit(0))})
+    x = running(in_order(samples, ["ordinal"]), ["ordinal"], hap_offset=F.col("ploidy"), gl_offset=F.col("ploidy") + 1)
+    return x.drop(RANGE)
 
 
 def duplicates(names: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import genotypes as G
-from .ranges import RANGE, ranged, with_totals_before, within
+from .ranges import RANGE, WIDTH, in_order, keys, previous, ranged, running, with_totals_before, within
 
 
 @dataclass(frozen=True)
@@ -50,12 +50,8 @@ def classify(sites: DataFrame, options: SiteOptions = SiteOptions()) -> DataFram
     )
     if not options.keep_monomorphic:
         out = out.filter(~F.col("monomorphic"))
-    previous = F.lag("pos").over(within(out).orderBy("pos", "site"))  # equal positions are in one range
-    return out.withColumn("lq", (F.col("vtype") != "SNP") | F.coalesce(previous == F.col("pos"), F.lit(False))).drop(RANGE)
-
-
-def _by_chromosome(df: DataFrame):
-    return Window.partitionBy("chrom") if "chrom" in df.columns else Window.partitionBy(F.lit(0))
+    before = F.lag("pos").over(within(out).orderBy("pos", "site"))  # equal positions are in one range
+    return out.withColumn("lq", (F.col("vtype") != "SNP") | F.coalesce(before == F.col("pos"), F.lit(False))).drop(RANGE)
 
 
 def index_sites(sites: DataFrame) -> DataFrame:
@@ -81,8 +77,8 @@ def sparse_index(sites: DataFrame, every: int = 1000) -> DataFrame:
 
 def check_order(sites: DataFrame) -> DataFrame:
     """SRT-02: rows that stand out of coordinate order, by ordinal; empty for a sorted input."""
-    w = _by_chromosome(sites).orderBy("ordinal")
-    return sites.withColumn("previous", F.lag("pos").over(w)).filter("pos < previous")
+    key = keys(sites)
+    return previous(in_order(sites, ["ordinal"], key), ["ordinal"], key, previous="pos").filter("pos < previous").drop(RANGE)
 
 
 def spectrum(sites: DataFrame, edges: list[float]) -> DataFrame:
@@ -95,7 +91,9 @@ def spectrum(sites: DataFrame, edges: list[float]) -> DataFrame:
 
 def rare_first(sites: DataFrame) -> DataFrame:
     """SRT-04: rare sites in order of minor allele count, then place."""
-    return sites.filter(~F.col("is_common")).withColumn("rare_rank", F.row_number().over(_by_chromosome(sites).orderBy("mac", "site")))
+    key, order = keys(sites), ["mac", "site"]
+    x = running(in_order(sites.filter(~F.col("is_common")), order, key), order, key, rare_rank=F.lit(1))
+    return x.withColumn("rare_rank", F.col("rare_rank") + 1).drop(RANGE)
 
 
 def recount(panel: DataFrame, sites: DataFrame) -> DataFrame:
@@ -107,3 +105,15 @@ def recount(panel: DataFrame, sites: DataFrame) -> DataFrame:
 def span(sites: DataFrame) -> DataFrame:
     """FN-42: length of a region in bases and centimorgans."""
     return sites.agg((F.max("pos") - F.min("pos") + 1).alias("bp"), (F.max("cm") - F.min("cm")).alias("cm"), F.count("*").alias("n"))
+
+
+def window_totals(sites: DataFrame, windows: DataFrame) -> DataFrame:
+    """AGG-15: sites, common ones, bases and centimorgans of each window (chrom, chunk, start, stop), by an equality join on ranges of positions.
+
+    Windows may overlap; a window without sites has zeros. sites: chrom, pos, cm, is_common.
+    """
+    w = windows.select("chrom", "chunk", "start", "stop")
+    dealt = w.withColumn(RANGE, F.explode(F.sequence(F.expr(f"start div {WIDTH}"), F.expr(f"stop div {WIDTH}"))))
+    x = dealt.join(ranged(sites.select("chrom", "pos", "cm", "is_common")), ["chrom", RANGE]).filter(F.col("pos").between(F.col("start"), F.col("stop")))
+    sums = [F.count("*").alias("n_variants"), F.sum(F.col("is_common").cast("long")).alias("n_common"), (F.max("pos") - F.min("pos") + 1).alias("bp"), (F.max("cm") - F.min("cm")).alias("cm")]
+    return w.join(x.groupBy("chrom", "chunk").agg(*sums), ["chrom", "chunk"], "left").na.fill(0, ["n_variants", "n_common", "bp", "cm"])

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import bits
 from ..functions import genotypes as G
 from ..operators import chunking, concordance, gmap, imputation, ligate, panels, pileup, posterior, sites
+from ..operators.lineage import cut_lineage
 from . import adapters as A
 
 EDGES = [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
@@ -341,8 +342,10 @@ def win_05_snk_01_meet_halfway(spark, sf_dir):
 
 @query(A.with_(A.SITE_AF) + """, b AS (SELECT pos // 100000 AS block, count(*) AS n_variants, sum((maf >= 0.1::DOUBLE)::BIGINT)::BIGINT AS n_common, max(pos) - min(pos) + 1 AS bp FROM site_af GROUP BY 1) SELECT * FROM b""")
 def agg_15_window_totals(spark, sf_dir):
-    s = A.site_af(spark, sf_dir)
-    return s.groupBy(F.expr("pos div 100000").alias("block")).agg(F.count("*").alias("n_variants"), F.sum((F.col("maf") >= 0.1).cast("long")).alias("n_common"), (F.max("pos") - F.min("pos") + 1).alias("bp"))
+    s = A.site_af(spark, sf_dir).select(F.lit("chr1").alias("chrom"), "pos", F.lit(0.0).alias("cm"), (F.col("maf") >= 0.1).alias("is_common"))
+    block = F.expr("pos div 100000")
+    windows = s.select("chrom", block.alias("chunk")).distinct().select("chrom", "chunk", (F.col("chunk") * 100_000).alias("start"), (F.col("chunk") * 100_000 + 99_999).alias("stop"))
+    return sites.window_totals(s, windows).select(F.col("chunk").alias("block"), "n_variants", "n_common", "bp")
 
 
 @query(MAP_SQL + """, g AS (SELECT p.site, p.pos, s.maf >= 0.1::DOUBLE AND s.vtype = 'SNP' AS good, CASE WHEN s.maf >= 0.1::DOUBLE AND s.vtype = 'SNP' THEN round(p.cm / 0.1::DOUBLE)::BIGINT END AS step FROM placed p JOIN site_af s USING (site)),
@@ -704,7 +707,7 @@ swaps AS (SELECT chunk, sample, (sum((n_mismatch > n_match)::INT) OVER (PARTITIO
 
 @query(A.with_(CALLS, VOTES, SWAPS) + "SELECT chunk, sample, swap FROM swaps")
 def win_14_swaps(spark, sf_dir):
-    c = _calls(spark, sf_dir)
+    c = cut_lineage(_calls(spark, sf_dir))
     return ligate.swaps(ligate.votes(ligate.overlap(c)), c)
 
 
