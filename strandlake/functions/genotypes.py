@@ -298,6 +298,14 @@ def truth_code(gp: Column, dp: Column, min_dp: int, min_p: float) -> Column:
     return F.when(dp.isNull(), -5).when(dp < min_dp, -2).when((gp[0] < 0) | (gp[1] < 0) | (gp[2] < 0), -3).when(F.greatest(*p) < d(min_p), -4).otherwise(best)
 
 
+def truth_code_haploid(gp: Column, dp: Column, min_dp: int, min_p: float) -> Column:
+    """FLT-10 for haploids: 0 or 1, or why it can't be used, as truth_code."""
+    total = gp[0] + gp[1]
+    p = [gp[k] / F.when(total > 0, total).otherwise(d(1.0)) for k in range(2)]
+    best = F.when(p[0] > p[1], 0).when(p[1] > p[0], 1).otherwise(-1)
+    return F.when(dp.isNull(), -5).when(dp < min_dp, -2).when((gp[0] < 0) | (gp[1] < 0), -3).when(F.greatest(*p) < d(min_p), -4).otherwise(best)
+
+
 def _outside(p: list[Column]) -> Column:
     """Whether one of some probabilities isn't one."""
     found = F.lit(False)
@@ -359,6 +367,10 @@ def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
+#: Checksums are below this prime.
+CHECKSUM = (1 << 61) - 1
+
+
 def checksum(rows: list[Column]) -> Column:
-    """FN-36: order-independent checksum of rows (an aggregate)."""
-    return F.bit_xor(F.crc32(F.concat_ws("|", *(c.cast("string") for c in rows)).cast("binary")))
+    """FN-36: order-independent checksum of rows as a multiset (an aggregate): the sum of their hashes, so that equal rows don't cancel. Null without rows."""
+    return F.pmod(F.sum(F.xxhash64(*rows).cast("decimal(20,0)")), F.lit(CHECKSUM).cast("decimal(20,0)")).cast("long")

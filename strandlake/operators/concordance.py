@@ -47,6 +47,33 @@ def assign_groups(sites: DataFrame, groups: DataFrame) -> DataFrame:
     return sites.drop("grp").join(first, keys)
 
 
+def untouched_groups(sites: DataFrame, groups: DataFrame) -> DataFrame:
+    """JOIN-07: groups that no site is in, with the number of places they list."""
+    keys = [k for k in ("chrom", "pos", "ref", "alt") if k in groups.columns]
+    first = groups.groupBy(*keys).agg(F.min_by("grp", "ordinal").alias("grp"))
+    hit = first.join(sites.select(*keys).distinct(), keys).select("grp").distinct()
+    return groups.select("grp", *keys).distinct().groupBy("grp").agg(F.count("*").alias("listed")).join(hit, "grp", "left_anti")
+
+
+def with_one_ploidy(cells: DataFrame) -> DataFrame:
+    """FLT-18: cells (with ploidy), as they are; an error at run time if samples differ in ploidy. One row travels."""
+    n = cells.agg(F.count_distinct("ploidy").alias("ploidies"))
+    checked = F.when(F.col("ploidies") <= 1, F.col("ploidy")).otherwise(F.raise_error(F.lit("samples of mixed ploidy")).cast("int"))
+    return cells.crossJoin(F.broadcast(n)).withColumn("ploidy", checked).drop("ploidies")
+
+
+def haploid_evaluation(cells: DataFrame, sites: DataFrame, edges: list[float] | None = None, min_dp: int = 0, min_p: float = 0.0, min_gp: float = 0.0) -> DataFrame:
+    """evaluation() of haploid samples. cells: site, sample, tp0, tp1 (truth), gp0, gp1, ds, dp, ploidy. Codes are 0 and 1 (the report's RR and RA)."""
+    x = with_one_ploidy(cells).join(sites.filter(F.col("vtype").isin("SNP", "INDEL")), "site")
+    flip = G.flips(F.col("maf"))
+    tp, gp = (F.array(*(F.when(flip, F.col(f"{n}{1 - k}")).otherwise(F.col(f"{n}{k}")) for k in (0, 1))) for n in ("tp", "gp"))
+    x = x.withColumn("truth_code", G.truth_code_haploid(tp, F.col("dp"), min_dp, min_p)).withColumn("estimate_code", G.estimate_code_haploid(gp, min_gp))
+    x = x.withColumn("ds", G.flip_count(F.col("ds"), 1, flip)).withColumn("cal_bin", G.calibration_bin(F.col("gp0"), F.col("gp1"), F.lit(0.0)))
+    if edges is not None:
+        x = x.withColumn("af_bin", G.frequency_bin(F.least(F.col("maf"), 1 - F.col("maf")), edges))
+    return x.withColumn("valid", F.col("truth_code") >= 0).withColumn("used", (F.col("truth_code") >= 0) & (F.col("estimate_code") >= 0))
+
+
 def evaluation(cells: DataFrame, sites: DataFrame, edges: list[float] | None = None, min_dp: int = 0, min_p: float = 0.0, min_gp: float = 0.0) -> DataFrame:
     """FLT-04, FLT-10, FLT-11, FN-20, FN-21, FN-23: the long table. cells: site, sample, tp0..tp2 (truth), gp0..gp2, ds, dp; sites: site, maf, vtype, grp.
 

@@ -119,6 +119,13 @@ def aligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("read_id", "sample", "pos", cigar.alias("cigar"), bases.alias("bases"), quals.alias("quals"))
 
 
+def alignment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, value): those reads as lines of alignment text."""
+    r = aligned_reads(spark, sf_dir)
+    columns = ("read_id", F.lit(0), F.lit("chr1"), "pos", F.lit(60), "cigar", F.lit("*"), F.lit(0), F.lit(0), "bases", "quals")
+    return r.select("sample", F.concat_ws("\t", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns)).alias("value"))
+
+
 # The same reads without strings: their matched stretches, one case a shape; base and quality at a place by their rules.
 ALIGNED = """e AS (SELECT event_id AS read_id, user_id % 10 AS sample, event_id * 20 + 1 AS pos, 40 + event_id % 60 AS n, (150 - (event_id * 20) % 100) % 100 AS to_site, event_id % 6 AS shape FROM events),
 r AS (SELECT *, CASE WHEN to_site BETWEEN 5 AND n - 10 THEN to_site ELSE 10 + read_id % 25 END AS a FROM e),

@@ -17,6 +17,7 @@ from ..functions import bits
 from ..functions import genotypes as G
 from ..operators import chunking, concordance, gmap, imputation, ligate, panels, pileup, posterior, sites
 from ..operators.lineage import cut_lineage
+from ..sources import calls, readers, sinks
 from . import adapters as A
 
 EDGES = [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
@@ -418,8 +419,11 @@ ALIGNED_SQL = A.with_(A.ANY_SITES, A.ALIGNED)
 
 @query(ALIGNED_SQL + "SELECT read_id, sample, site, off, base, qual, read_indel FROM evidence")
 def src_16_join_10_flt_09_aligned_bases(spark, sf_dir):
-    """Bases, qualities and indels at sites, along the reads' alignments."""
-    pile = pileup.pile_up(A.aligned_reads(spark, sf_dir), A.any_sites(spark, sf_dir), 128).filter("base IS NOT NULL")
+    """Bases, qualities and indels at sites, along the reads' alignments: written as alignment text, a folder a sample, and read back."""
+    folder = sinks.shared_folder(spark, "reads")
+    A.alignment_lines(spark, sf_dir).write.partitionBy("sample").text(folder)
+    reads = readers.alignments(spark, folder).withColumns({"read_id": F.col("read_id").cast("long"), "sample": F.col("sample").cast("long")})
+    pile = pileup.pile_up(reads, A.any_sites(spark, sf_dir), 128).filter("base IS NOT NULL")
     return pile.select("read_id", "sample", "site", F.col("offset").cast("long").alias("off"), "base", "qual", F.col("read_indel").cast("long").alias("read_indel"))
 
 
@@ -568,6 +572,35 @@ def agg_03_07_concordance_by_sample(spark, sf_dir):
     return concordance.report(_eval(spark, sf_dir), "sample")
 
 
+HAPLOID = """hap AS (
+  SELECT g.sample, s.vtype, g.dp, p_size * 2 / 100.0::DOUBLE > 0.5::DOUBLE AS flip, g.truth % 2 AS t, g.gp0 AS h0, 1.0::DOUBLE - g.gp0 AS h1, round(1.0::DOUBLE - g.gp0, 3) AS d FROM genotypes g JOIN site_af s USING (site) JOIN part ON p_partkey = g.site),
+eval AS (SELECT *, truth_code >= 0 AS valid, truth_code >= 0 AND estimate_code >= 0 AS used FROM (
+  SELECT sample, vtype, CASE WHEN dp < 8 THEN -2 WHEN flip THEN 1 - t ELSE t END AS truth_code,
+         CASE WHEN greatest(h0, h1) < 0.55::DOUBLE THEN -4 WHEN h0 = h1 THEN -1 WHEN flip THEN (h0 > h1)::INT ELSE (h1 > h0)::INT END AS estimate_code, CASE WHEN flip THEN 1 - d ELSE d END AS ds FROM hap))"""
+
+
+def _haploid_sql() -> str:
+    one, all_ = (REPORT.format(key="sample", scope=scope, group=group, where="", extra="") for scope, group in (("vtype", "sample, vtype"), ("'ALL'", "sample")))
+    return A.with_(A.GENOTYPES, A.SITE_AF, HAPLOID, f"r AS ({one} UNION ALL {all_})") + FINISH.format(key="sample", extra="")
+
+
+@query(_haploid_sql())
+def flt_18_agg_03_haploid_concordance(spark, sf_dir):
+    h1 = F.lit(1.0) - F.col("gp0")
+    tp = [F.when(F.col("truth") % 2 == k, 1.0).otherwise(0.0).alias(f"tp{k}") for k in range(2)]
+    cells = A.genotypes(spark, sf_dir).select("site", "sample", "dp", F.round(h1, 3).alias("ds"), "gp0", h1.alias("gp1"), *tp, F.lit(1).alias("ploidy"))
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site"), (F.col("p_size") * 2 / F.lit(100.0)).alias("maf"))
+    return concordance.report(concordance.haploid_evaluation(cells, A.site_af(spark, sf_dir).drop("maf").join(p, "site"), min_dp=8, min_p=0.9999, min_gp=0.55), "sample")
+
+
+@query("""WITH g AS (SELECT l_partkey + CASE WHEN l_returnflag = 'R' THEN 100000000 ELSE 0 END AS pos, l_returnflag AS grp FROM lineitem)
+SELECT grp, count(DISTINCT pos) AS listed FROM g WHERE grp = 'R' GROUP BY grp""")
+def join_07_untouched_groups(spark, sf_dir):
+    far = F.when(F.col("l_returnflag") == "R", F.lit(100_000_000)).otherwise(0)
+    g = A.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + far).alias("pos"), F.col("l_returnflag").alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return concordance.untouched_groups(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos")), g)
+
+
 @query(_report_sql("af_bin", "WHERE af_bin >= 0", ", avg(maf) FILTER (used) AS m", ", round(m, 6) AS mean_maf"))
 def agg_04_06_concordance_by_af_bin(spark, sf_dir):
     return concordance.by_bin(_eval(spark, sf_dir))
@@ -665,13 +698,27 @@ def join_01_02_src_12_panel_match(spark, sf_dir):
 
 
 def _matched(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    from ..sources import readers
-
     t = lines.select(F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("l_suppkey").alias("sample"))
     p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("p_partkey") % 2 == 0, "C").otherwise("G").alias("alt"), F.col("p_size").alias("ac"))
     return readers.match_panel(t, p, panel_only=True).groupBy("pos", "alt", "ac").agg(F.count("sample").alias("n"))
 
 
+@query(A.with_(A.GENOTYPES, A.ANY_SITES) + "SELECT 'chr1' AS chrom, pos, ref, alt, sample::VARCHAR AS sample, best AS gt, ds FROM genotypes JOIN any_sites USING (site) WHERE pos BETWEEN 20000 AND 120000")
+def src_03_snk_03_12_call_file(spark, sf_dir):
+    """Calls written as one indexed file, and a region of it read through the index."""
+    path = sinks.shared_folder(spark, "calls") + ".vcf.gz"
+    g = A.genotypes(spark, sf_dir)
+    s = A.any_sites(spark, sf_dir).select("site", "pos", F.lit(".").alias("id"), "ref", "alt", *(F.lit(0.5).alias(n) for n in ("raf", "af", "info")))
+    called = g.select("site", "sample", F.col("best").alias("gt"), "ds", F.array("gp0", "gp1", "gp2").alias("gp"), *(F.lit(None).cast("int").alias(n) for n in ("h0", "h1")))
+    names = [r["sample"] for r in g.select(F.col("sample").cast("string").alias("sample")).distinct().orderBy("sample").collect()]  # a row a sample
+    lines = sinks.call_lines(s, called, names, "chr1")
+    header = [r["value"] for r in lines.filter("pos < 0").orderBy("pos").collect()]
+    calls.write_call_file(lines.filter("pos >= 0").withColumn("chrom", F.lit("chr1")), path, header)
+    found = calls.calls(spark, path, readers.Region("chr1", 20_000, 120_000)).withColumn("alt", F.get("alts", F.lit(0)))
+    cells = readers.cells(found, calls.sample_names(path)).filter("gt[0] IS NOT NULL")
+    return cells.select("chrom", "pos", "ref", "alt", "sample", (F.col("gt")[0] + F.col("gt")[1]).alias("gt"), F.col("fields")["DS"].cast("double").alias("ds"))
+
+
 # ligation -------------------------------------------------------------------------------------------------------------------
 
 CALLS = """cells AS (SELECT l_partkey AS site, l_suppkey AS sample, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL),
@@ -851,8 +898,6 @@ def fn_34_43_strings(spark, sf_dir):
 @query("""WITH x AS (SELECT n_nationkey, 'chr' || (n_nationkey % 5) || CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN ':' || (n_nationkey * 10) || '-' ELSE ':' || (n_nationkey * 10) || '-' || (n_nationkey * 20) END AS r FROM nation)
 SELECT n_nationkey, 'chr' || (n_nationkey % 5) AS chrom, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_nationkey * 10 END::BIGINT AS start, CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey * 20 ELSE 2147483647 END::BIGINT AS stop, n_nationkey % 3 = 0 AS whole_chr FROM x""")
 def src_01_regions(spark, sf_dir):
-    from ..sources import readers
-
     k = F.col("n_nationkey")
     tail = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(":"), k * 10, F.lit("-"))).otherwise(F.concat(F.lit(":"), k * 10, F.lit("-"), k * 20))
     x = A.table(spark, sf_dir, "nation").select(k, F.concat(F.lit("chr"), k % 5, tail).alias("r"))

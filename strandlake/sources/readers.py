@@ -244,14 +244,16 @@ def match_panel(target: DataFrame, panel: DataFrame, panel_only: bool = False) -
 def alignments(spark: SparkSession, path: str, region: Region | None = None) -> DataFrame:
     """SRC-16: alignment text: read_id, flags, chrom, pos, mapq, mate_chrom, mate_pos, len (of the reference), bases, quals and cigar.
 
-    Lines of fewer than eleven fields are left out. pileup.segments walks the alignment.
+    Lines of fewer than eleven fields are left out. pileup.segments walks the alignment. Columns of partitioned folders (sample=...) stay.
     """
-    x = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
+    x = spark.read.text(path)
+    others = [c for c in x.columns if c != "value"]
+    x = x.filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"), *others)
     f = [item("f", i) for i in range(11)]
     span = F.aggregate(F.regexp_extract_all(f[5], F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
     mate = F.when(f[6] == "=", f[2]).when(f[6] != "*", f[6])
     x = x.select(
-        F.size("f").alias("width"), f[0].alias("read_id"), f[1].try_cast("int").alias("flags"), f[2].alias("chrom"), f[3].try_cast("long").alias("pos"), f[4].try_cast("int").alias("mapq"), mate.alias("mate_chrom"),
+        *others, F.size("f").alias("width"), f[0].alias("read_id"), f[1].try_cast("int").alias("flags"), f[2].alias("chrom"), f[3].try_cast("long").alias("pos"), f[4].try_cast("int").alias("mapq"), mate.alias("mate_chrom"),
         f[7].try_cast("long").alias("mate_pos"), span.alias("len"), f[9].alias("bases"), f[10].alias("quals"), f[5].alias("cigar"),
     ).filter("width >= 11").drop("width")
     if region is not None:

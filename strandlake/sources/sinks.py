@@ -5,12 +5,17 @@ from __future__ import annotations
 import contextlib
 import json
 import logging
+import os
+import tempfile
 import time
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import genotypes as G
+
 log = logging.getLogger("strandlake")
 
 
@@ -48,6 +53,17 @@ HEADER = [
 ]
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def packed_panel(packed: DataFrame, path: str) -> None:
     """SNK-02; SRC-10 reads it by spark.read.parquet with a filter on chunk."""
     with logged(f"panel {path}"):
@@ -138,6 +154,85 @@ def load_checkpoint(spark: SparkSession, path: str, parameters: dict) -> DataFra
 
 
 def checksum(frame: DataFrame) -> int:
-    from ..functions import genotypes as G
-
     return frame.agg(G.checksum([F.col(c) for c in sorted(frame.columns)]).alias("x")).first()["x"] or 0
+
+
+# ledger -------------------------------------------------------------------------------------------------------
+
+
+def done_windows(spark: SparkSession, path: str, parameters: dict) -> DataFrame:
+    """SRC-26: chunk and checksum of the windows that a ledger says are complete under these parameters; an error if it is of others."""
+    entries = f"{path}/ledger"
+    at = spark._jvm.org.apache.hadoop.fs.Path(entries)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "chunk int, checksum long, rows long")
+    ledger = spark.read.schema("chunk int, checksum long, rows long, parameters string").parquet(entries)
+    if not ledger.filter(F.col("parameters") != json.dumps(parameters, sort_keys=True)).isEmpty():
+        raise ValueError("the ledger was made with other parameters")
+    return ledger.groupBy("chunk").agg(F.max_by("checksum", "rows").alias("checksum"), F.max("rows").alias("rows"))
+
+
+def resumed(windows: DataFrame, path: str, parameters: dict, compute: Callable[[DataFrame], DataFrame], batch: int = 64) -> DataFrame:
+    """SNK-14, SRC-26: results of all windows, of which those that are done are read, not computed again.
+
+    compute(windows) gives the rows (with chunk) of some windows (chunk and what else it needs). Windows are computed in batches;
+    a batch's rows are written in a folder of their own, read back for their checksums, and only then entered in the ledger, a
+    row a window: what a job left unentered when it stopped is computed again, and rows of a batch that wasn't entered are never read.
+    """
+    spark = windows.sparkSession
+    done = done_windows(spark, path, parameters)
+    left = windows.join(done, "chunk", "left_anti")  # a row a window
+    chunks = sorted(r["chunk"] for r in left.select("chunk").collect())
+    for low in range(0, len(chunks), batch):
+        some = chunks[low : low + batch]
+        folder = f"{path}/rows/b{uuid.uuid4().hex}"
+        with logged(f"windows {some[0]} to {some[-1]}"):
+            compute(windows.filter(F.col("chunk").isin(some))).write.parquet(folder)
+            written = spark.read.parquet(folder)
+            sums = written.groupBy("chunk").agg(G.checksum([F.col(c) for c in sorted(written.columns)]).alias("checksum"), F.count("*").alias("rows"))
+            entered = spark.createDataFrame([(c,) for c in some], "chunk int").join(sums, "chunk", "left").na.fill(0, ["rows"])  # windows without rows are done, too
+            entered = entered.withColumns({"parameters": F.lit(json.dumps(parameters, sort_keys=True)), "folder": F.lit(folder.rpartition("/")[2])})
+            entered.coalesce(1).write.mode("append").parquet(f"{path}/ledger")  # commits the batch
+    return finished(spark, path, parameters, compute(windows.limit(0)).schema)
+
+
+def finished(spark: SparkSession, path: str, parameters: dict, schema) -> DataFrame:
+    """The rows of all windows in a ledger; an error if a window's rows aren't those that were entered."""
+    done_windows(spark, path, parameters)
+    folders = [r["folder"] for r in spark.read.parquet(f"{path}/ledger").select("folder").distinct().collect()]  # a row a batch
+    rows = spark.read.schema(schema).parquet(*(f"{path}/rows/{f}" for f in folders)) if folders else spark.createDataFrame([], schema)
+    sums = rows.groupBy("chunk").agg(G.checksum([F.col(c) for c in sorted(rows.columns)]).alias("found"), F.count("*").alias("n"))
+    both = done_windows(spark, path, parameters).join(sums, "chunk", "full")
+    bad = both.filter(~F.col("checksum").eqNullSafe(F.col("found")) | ~F.coalesce("rows", F.lit(-1)).eqNullSafe(F.coalesce("n", F.lit(0))))
+    if (first := bad.first()) is not None:
+        raise ValueError(f"rows of window {first['chunk']} are damaged")
+    return rows
+
+
+# counters -----------------------------------------------------------------------------------------------------
+
+
+class Counted:
+    """SNK-15, FLT-02, JOIN-05: counts of rows taken while a DataFrame is used, by DataFrame.observe: no job of their own.
+
+        seen = Counted("sites")
+        kept = seen.at(sites, kept=F.col("mac") > 0, dropped=F.col("mac") <= 0).filter("mac > 0")
+        kept.write...; seen.log()
+    """
+
+    def __init__(self, what: str):
+        self.what, self.observation = what, Observation(f"{what}-{uuid.uuid4().hex[:8]}")
+
+    def at(self, df: DataFrame, **conditions: Column) -> DataFrame:
+        """df, whose rows are counted in all (`rows`) and where each condition holds."""
+        counts = [F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in conditions.items()]
+        return df.observe(self.observation, F.count(F.lit(1)).alias("rows"), *counts)
+
+    def counts(self) -> dict[str, int]:
+        """After the first action on what `at` gave."""
+        return dict(self.observation.get)
+
+    def log(self) -> dict[str, int]:
+        found = self.counts()
+        log.info("%s: %s", self.what, ", ".join(f"{n} {v}" for n, v in found.items()))
+        return found
