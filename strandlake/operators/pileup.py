@@ -121,21 +121,17 @@ def segments(reads: DataFrame) -> DataFrame:
 
 def pieces(reads: DataFrame, width: int, ahead: int) -> DataFrame:
     """A row per stretch and block of positions: block, read_pos, len, op, at, indel, room (bases from there to the read's end), and the bases and
-    quals of the piece with `ahead` more, instead of the read's (null where the read has none). Strings are cut before anything is exploded or shuffled."""
+    quals of the piece with `ahead` more, instead of the read's (null where the read has none). Strings are cut before they are shuffled."""
     first, last = f"(pos + stretches[i].ref_at) div {width}", f"(pos + stretches[i].ref_at + stretches[i].n - 1) div {width}"
-    low = f"greatest(pos + stretches[i].ref_at, b * {width}L)"
-    high = f"least(pos + stretches[i].ref_at + stretches[i].n, (b + 1) * {width}L)"
-    at = f"(stretches[i].at + {low} - pos - stretches[i].ref_at)"
-    aligned = "stretches[i].op IN ('M', '=', 'X')"
-
-    def text(c: str) -> str:
-        return f"CASE WHEN {aligned} AND {c} <> '*' THEN substr({c}, CAST({at} + 1 AS INT), CAST({high} - {low} + {ahead} AS INT)) END"
-
-    ended = f"if({high} = pos + stretches[i].ref_at + stretches[i].n, {INDEL}, 0)"
-    piece = f"named_struct('block', b, 'read_pos', {low}, 'len', CAST({high} - {low} AS INT), 'op', stretches[i].op, 'at', {at}, 'indel', {ended}, 'room', CAST(length(bases) - {at} AS INT), 'bases', {text('bases')}, 'quals', {text('quals')})"
+    piece = f"named_struct('b', b, 'start', pos + stretches[i].ref_at, 'n', stretches[i].n, 'op', stretches[i].op, 'at', stretches[i].at, 'indel', {INDEL})"
     each = F.expr(f"flatten(transform({COVERING}, i -> transform(sequence({first}, {last}), b -> {piece})))")
     others = [c for c in reads.columns if c not in ("pos", "len", "cigar", "bases", "quals")]
-    return _stretches(reads).select(*others, F.explode(each).alias("piece")).select(*others, "piece.*")
+    x = _stretches(reads).select(*others, "bases", "quals", F.explode(each).alias("p"))
+    x = x.select(*others, "bases", "quals", F.col("p.b").alias("block"), F.col("p.start").alias("start_"), (F.col("p.start") + F.col("p.n")).alias("stop_"), F.col("p.op").alias("op"), F.col("p.at").alias("at"), F.col("p.indel").alias("indel"))
+    low, high = F.greatest(F.col("start_"), F.col("block") * width), F.least(F.col("stop_"), (F.col("block") + 1) * width)
+    x = x.withColumns({"read_pos": low, "len": (high - low).cast("int"), "at": F.col("at") + low - F.col("start_"), "indel": F.when(high == F.col("stop_"), F.col("indel")).otherwise(0)})
+    cut = {c: F.when(F.col("op").isin("M", "=", "X") & (F.col(c) != "*"), F.substr(F.col(c), (F.col("at") + 1).cast("int"), F.col("len") + ahead)) for c in ("bases", "quals")}
+    return x.withColumn("room", (F.length("bases") - F.col("at")).cast("int")).withColumns(cut).select(*others, "block", "read_pos", "len", "op", "at", "indel", "room", "bases", "quals")
 
 
 def bases_at(pile: DataFrame) -> DataFrame:

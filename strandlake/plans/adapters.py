@@ -114,8 +114,11 @@ def aligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE shape WHEN 0 THEN concat(n, 'M') WHEN 1 THEN concat(a, 'M2I', n - a - 2, 'M') WHEN 2 THEN concat(a, 'M2D', n - a, 'M') WHEN 3 THEN concat('5S', n - 5, 'M') "
         "WHEN 4 THEN concat(a, 'M20N', n - a, 'M') ELSE concat(a, 'M1I', n - a - 1, 'M') END"
     )
-    bases = F.expr("array_join(transform(sequence(0, n - 1), k -> substr('ACGT', CAST((read_id * 7 + k * 3 + k div 5) % 4 + 1 AS INT), 1)), '')")
-    quals = F.expr("array_join(transform(sequence(0, n - 1), k -> char(38 + (read_id + k * 11) % 36)), '')")
+    # the base at k is 'ACGT'[(read_id * 7 + k * 3 + k div 5) % 4], of period 20 in k; the quality is char(38 + (read_id + k * 11) % 36), of
+    # period 36, and the read begins where 11 k is read_id (11 * 23 = 1 modulo 36): so both are cut from a few fixed strings
+    turns = ["".join("ACGT"[(r + k * 3 + k // 5) % 4] for k in range(100)) for r in range(4)]
+    bases = F.substr(F.element_at(F.array(*map(F.lit, turns)), (F.col("read_id") * 7 % 4 + 1).cast("int")), F.lit(1), F.col("n"))
+    quals = F.substr(F.lit("".join(chr(38 + k * 11 % 36) for k in range(136))), (F.col("read_id") % 36 * 23 % 36 + 1).cast("int"), F.col("n"))
     return x.select("read_id", "sample", "pos", cigar.alias("cigar"), bases.alias("bases"), quals.alias("quals"))
 
 

@@ -711,11 +711,9 @@ def src_03_snk_03_12_call_file(spark, sf_dir):
     s = A.any_sites(spark, sf_dir).select("site", "pos", F.lit(".").alias("id"), "ref", "alt", *(F.lit(0.5).alias(n) for n in ("raf", "af", "info")))
     called = g.select("site", "sample", F.col("best").alias("gt"), "ds", F.array("gp0", "gp1", "gp2").alias("gp"), *(F.lit(None).cast("int").alias(n) for n in ("h0", "h1")))
     names = [r["sample"] for r in g.select(F.col("sample").cast("string").alias("sample")).distinct().orderBy("sample").collect()]  # a row a sample
-    lines = sinks.call_lines(s, called, names, "chr1")
-    header = [r["value"] for r in lines.filter("pos < 0").orderBy("pos").collect()]
-    calls.write_call_file(lines.filter("pos >= 0").withColumn("chrom", F.lit("chr1")), path, header)
-    found = calls.calls(spark, path, readers.Region("chr1", 20_000, 120_000)).withColumn("alt", F.get("alts", F.lit(0)))
-    cells = readers.cells(found, calls.sample_names(path)).filter("gt[0] IS NOT NULL")
+    calls.write_call_file(sinks.call_rows(s, called, names, "chr1").withColumn("chrom", F.lit("chr1")), path, sinks.call_header(names, "chr1"))
+    found = calls.calls(spark, path, readers.Region("chr1", 20_000, 120_000), split=1 << 16).withColumn("alt", F.get("alts", F.lit(0)))
+    cells = readers.cells(found, calls.sample_names(path), missing=False)
     return cells.select("chrom", "pos", "ref", "alt", "sample", (F.col("gt")[0] + F.col("gt")[1]).alias("gt"), F.col("fields")["DS"].cast("double").alias("ds"))
 
 

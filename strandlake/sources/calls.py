@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..operators.lineage import cut_lineage
 from . import bgzf
 from .readers import Region
 
@@ -253,9 +254,9 @@ class CallSource(DataSource):
         return CallWriter(self.options, overwrite)
 
 
-def calls(spark: SparkSession, path: str, region: Region | None = None, cells: bool = True) -> DataFrame:
-    """SRC-03, 04, 08, 13: a call file, or those of a folder, in a region; columns as readers.variants."""
-    x = registered(spark).read.format("calls").option("cells", str(cells).lower()).load(path)
+def calls(spark: SparkSession, path: str, region: Region | None = None, cells: bool = True, split: int = SPLIT) -> DataFrame:
+    """SRC-03, 04, 08, 13: a call file, or those of a folder, in a region, by tasks of about `split` bytes; columns as readers.variants."""
+    x = registered(spark).read.format("calls").option("cells", str(cells).lower()).option("splitBytes", split).load(path)
     return x if region is None else x.filter((F.col("chrom") == region.chrom) & F.col("pos").between(region.start, region.stop))
 
 
@@ -408,5 +409,6 @@ class JoinedSource(DataSource):
 def write_call_file(lines: DataFrame, path: str, header: list[str]) -> None:
     """SNK-03, SNK-12: rows (chrom, pos, value) as one sorted, indexed BGZF file with these header lines. Chromosomes stand in order of their names."""
     registered(lines.sparkSession)
+    lines = cut_lineage(lines.select("chrom", "pos", "value"))  # bounds of ranges are sampled first: lines aren't made twice
     ordered = lines.select("chrom", "pos", "value").repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
     ordered.write.format("calls").mode("overwrite").option("header", "".join(x + "\n" for x in header).encode().hex()).save(path)

@@ -92,21 +92,36 @@ def report(frame: DataFrame, path: str) -> None:
         frame.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def call_lines(sites: DataFrame, called: DataFrame, sample_names: list[str], chrom: str) -> DataFrame:
-    """SNK-03, SNK-12: result lines (pos, value), header first. sites: site, pos, id, ref, alt, raf, af, info; called: site, sample, gt, ds, gp, h0, h1.
+def call_header(sample_names: list[str], chrom: str) -> list[str]:
+    """Header lines of result files."""
+    return [*HEADER, f"##contig=<ID={chrom}>", "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *sample_names])]
 
-    Sorting ranges of positions, not collecting: write with sortWithinPartitions after repartitionByRange.
-    """
+
+def call_rows(sites: DataFrame, called: DataFrame, sample_names: list[str], chrom: str) -> DataFrame:
+    """SNK-03, SNK-12: result lines (pos, value) without the header. sites: site, pos, id, ref, alt, raf, af, info; called: site, sample, gt, ds, gp, h0, h1."""
     gt = F.when(F.col("h0").isNull(), F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.col("gt") + 1)).otherwise(F.concat_ws("|", F.col("h0").cast("string"), F.col("h1").cast("string")))
     cell = F.concat_ws(":", gt, F.format_string("%.3f", "ds"), F.array_join(F.transform("gp", lambda x: F.format_string("%.3f", x)), ","))
-    wide = called.withColumn("cell", cell).groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample").cast("string"), "cell"))).alias("m"))
-    none = F.lit("./.:.:.")
-    cells = F.concat_ws("\t", *(F.coalesce(F.col("m")[n], none) for n in sample_names))
+    place = called.sparkSession.createDataFrame(list(enumerate(sample_names)), "i int, sample string")  # a row a sample
+    cells = called.withColumn("cell", cell).withColumn("sample", F.col("sample").cast("string")).join(F.broadcast(place), "sample")
+    # cells in order of samples; samples without one between two others fill the gap
+    wide = cells.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("i", "cell"))).alias("m"))
+    before = F.transform("m", lambda x, k: x["i"] - F.when(k > 0, F.get("m", k - 1)["i"]).otherwise(-1) - 1)
+    none = "./.:.:."
+    filled = F.zip_with("m", before, lambda x, n: F.concat(F.repeat(F.lit(none + "\t"), n), x["cell"]))
+    after = F.repeat(F.lit("\t" + none), F.lit(len(sample_names) - 1) - F.element_at("m", -1)["i"])
     info = F.format_string("RAF=%.6f;AF=%.6f;INFO=%.3f", "raf", "af", "info")
-    body = sites.join(wide, "site").select("pos", F.concat_ws("\t", F.lit(chrom), F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), F.lit("PASS"), info, F.lit("GT:DS:GP"), cells).alias("value"))
-    head = [*HEADER, f"##contig=<ID={chrom}>", "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *sample_names])]
-    spark = sites.sparkSession
-    return spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "pos long, value string").unionByName(body.withColumn("pos", F.col("pos").cast("long")))
+    fixed = [F.lit(chrom), F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), F.lit("PASS"), info, F.lit("GT:DS:GP")]
+    value = F.concat(F.concat_ws("\t", *fixed, F.array_join(filled, "\t")), after)
+    return sites.join(wide, "site").select(F.col("pos").cast("long").alias("pos"), value.alias("value"))
+
+
+def call_lines(sites: DataFrame, called: DataFrame, sample_names: list[str], chrom: str) -> DataFrame:
+    """SNK-03, SNK-12: result lines (pos, value), header first.
+
+    Sorting ranges of positions, not collecting: write with sortWithinPartitions after repartitionByRange.
+    """
+    head = call_header(sample_names, chrom)
+    return sites.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "pos long, value string").unionByName(call_rows(sites, called, sample_names, chrom))
 
 
 def write_calls(value_lines: DataFrame, path: str, compression: str | None = None) -> None:
