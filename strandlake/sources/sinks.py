@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
+from ..operators.lineage import cut_lineage
 
 log = logging.getLogger("strandlake")
 
@@ -80,6 +81,37 @@ def read_packed_panel(spark: SparkSession, path: str, chunk: int | None = None)
     return x
 
 
+#: Haplotypes of a row of a panel archive, and bytes of a row group.
+HAPLOTYPES, ROW_GROUP = 1_024, 1 << 20
+
+
+def panel_archive(panel: DataFrame, path: str, haplotypes: int = HAPLOTYPES, row_group: int = ROW_GROUP) -> None:
+    """SNK-02: a panel (chrom, pos, ref, alt, hap, allele) laid out for scans of a window and of some haplotypes.
+
+    A row has the alleles of one site and block of haplotypes (`first_hap` on, in order). Files hold ranges of positions; within a
+    file, rows stand by block and position, so that the statistics of a row group name one block, or few, and a run of positions.
+    """
+    with logged(f"panel {path}"):
+        keys = ["chrom", "pos", "ref", "alt"]
+        first = (F.floor(F.col("hap") / haplotypes) * haplotypes).cast("long").alias("first_hap")
+        rows = panel.groupBy(*keys, first).agg(F.transform(F.array_sort(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"].cast("tinyint")).alias("alleles"))
+        ordered = cut_lineage(rows).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "first_hap", "pos")
+        ordered.write.mode("overwrite").option("parquet.block.size", row_group).option("parquet.page.size", min(row_group, 1 << 20)).parquet(path)
+
+
+def read_panel_archive(spark: SparkSession, path: str, chrom: str, start: int, stop: int, first_haps: list[int] | None = None) -> DataFrame:
+    """SRC-10, JOIN-12: the panel's rows of a window, of all or some blocks of haplotypes. Tasks read what they need from storage: row groups of other
+    positions and blocks are skipped, and nothing is exchanged."""
+    x = spark.read.parquet(path).filter((F.col("chrom") == chrom) & F.col("pos").between(start, stop))
+    return x if first_haps is None else x.filter(F.col("first_hap").isin(first_haps))
+
+
+def panel_cells(rows: DataFrame) -> DataFrame:
+    """An archive's rows as (chrom, pos, ref, alt, hap, allele)."""
+    x = rows.select("chrom", "pos", "ref", "alt", "first_hap", F.posexplode("alleles").alias("k", "allele"))
+    return x.select("chrom", "pos", "ref", "alt", (F.col("first_hap") + F.col("k")).alias("hap"), F.col("allele").cast("int").alias("allele"))
+
+
 def lines(frame: DataFrame, path: str, compression: str | None = None) -> None:
     """SNK-13: a column of lines as text, .gz or .bz2 if asked for."""
     with logged(f"lines {path}"):

@@ -202,3 +202,32 @@ def test_ploidy_and_missing(spark):
         concordance.assert_one_ploidy(s).collect()
     c = spark.createDataFrame([("a", i, [0, 1], True) for i in range(200)], "sample string, site int, gt array<int>, phased boolean")
     assert 0 < panels.sprinkle_missing(c, 0.5).filter("gt IS NULL").count() < 200
+
+
+def test_panel_archive_skips_row_groups(spark, tmp_path):
+    """A window and a block of haplotypes: other row groups aren't read, and the plan has no exchange."""
+    n_sites, n_haps = 3_000, 96
+    panel = spark.range(n_sites * n_haps).select(F.lit("1").alias("chrom"), (F.expr(f"id div {n_haps}") * 7 + 1).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), (F.col("id") % n_haps).alias("hap"), (F.xxhash64("id") % 2 == 0).cast("int").alias("allele"))
+    path = str(tmp_path / "panel")
+    sinks.panel_archive(panel, path, haplotypes=32, row_group=4_096)
+    assert sinks.panel_cells(spark.read.parquet(path)).exceptAll(panel.select("chrom", "pos", "ref", "alt", "hap", "allele")).count() == 0
+    part = sinks.read_panel_archive(spark, path, "1", 5_000, 5_700, [32])
+    found = sinks.panel_cells(part)
+    expected = panel.filter("pos BETWEEN 5000 AND 5700 AND hap BETWEEN 32 AND 63")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    plan = part._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString() and "GreaterThanOrEqual(pos" in plan.toString()
+    part.collect()
+    import pyarrow.parquet as pq
+
+    groups = kept = 0
+    for f in (tmp_path / "panel").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            pos, block = (meta.row_group(g).column(names.index(c)).statistics for c in ("pos", "first_hap"))
+            groups += 1
+            kept += pos.max >= 5_000 and pos.min <= 5_700 and block.min <= 32 <= block.max
+    assert groups > 20 and kept <= groups / 4
+    seen = part.groupBy().count()  # rows that come out of the scan of the remaining row groups
+    assert seen.first()[0] == 100
