@@ -85,14 +85,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     all_weight = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()["w"]
     while True:
         rest, share = total - most * capped_size, all_weight - capped_weight
-        full = F.col("weight") * F.lit(rest) >= F.col("source_size") * F.lit(most * share)
+        # weights are 32 bits wide and totals may be: products of billions of words need more
+        full = F.col("weight").cast("decimal(10,0)") * F.lit(rest).cast("decimal(20,0)") >= F.col("source_size").cast("decimal(20,0)") * F.lit(most * share).cast("decimal(17,0)")
         found = weighed.filter(full).agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
         if (found["s"], found["w"]) == (capped_size, capped_weight) or share <= 0:
             break
         capped_size, capped_weight = found["s"], found["w"]
     if share <= 0:
         return weighed.withColumn("target", (F.col("source_size") * most).cast("double"))
-    return weighed.withColumn("target", F.when(full, (F.col("source_size") * most).cast("double")).otherwise((F.col("weight") * F.lit(rest)).cast("double") / F.lit(float(share))))
+    return weighed.withColumn("target", F.when(full, (F.col("source_size") * most).cast("double")).otherwise((F.col("weight").cast("decimal(10,0)") * F.lit(rest).cast("decimal(20,0)")).cast("double") / F.lit(float(share))))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

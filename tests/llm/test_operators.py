@@ -183,6 +183,14 @@ def test_targets_share_the_excess(spark):
     assert {r["source"]: r["target"] for r in rows} == pytest.approx(targets_by_hand(sizes))
 
 
+@pytest.mark.parametrize("scale", [40_000_000, 40_000_000_000_000])
+def test_targets_of_billions_of_words(spark, scale):
+    """Weight times the words of all sources is more than 32 bits hold."""
+    sizes = {"a": 10 * scale, "b": 20 * scale, "c": 15 * scale, "d": scale, None: 2 * scale}
+    rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(targets_by_hand(sizes), rel=1e-12)
+
+
 # n-gram join ----------------------------------------------------------------------------------------------
 
 
