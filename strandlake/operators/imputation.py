@@ -46,8 +46,8 @@ class ModelOptions:
 
 def prefix_orders(panel: np.ndarray) -> np.ndarray:
     """MDL-06, SRT-01: after each site (row), the haplotypes ordered by their reversed prefixes: a stable partition by allele."""
-    order = np.arange(panel.shape[1])
-    out = np.empty(panel.shape, dtype=np.int64)
+    order = np.arange(panel.shape[1], dtype=np.int32)
+    out = np.empty(panel.shape, dtype=np.int32)
     for l, row in enumerate(panel):
         ones = row[order] == 1
         order = np.concatenate([order[~ones], order[ones]])
@@ -55,39 +55,43 @@ def prefix_orders(panel: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(panel: np.ndarray, orders: np.ndarray, hap: np.ndarray) -> np.ndarray:
-    """MDL-09: where a target haplotype would stand in each order."""
-    at, out = 0, np.empty(len(hap), dtype=np.int64)
-    order = np.arange(panel.shape[1])
+def ones_before(panel: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """How many ones a site has before each place of the order that it meets (sites, haplotypes + 1); counted once for all targets of a panel."""
+    out = np.zeros((panel.shape[0], panel.shape[1] + 1), dtype=np.int32)
+    for l, row in enumerate(panel):
+        np.cumsum(row[orders[l - 1]] if l else row, dtype=np.int32, out=out[l, 1:])
+    return out
+
+
+def matches(panel: np.ndarray, orders: np.ndarray, hap: np.ndarray, ones: np.ndarray | None = None) -> np.ndarray:
+    """MDL-09: where a target haplotype would stand in each order; with `ones_before` at hand, one look a site whatever the panel's size."""
+    ones = ones_before(panel, orders) if ones is None else ones
+    at, n, out = 0, panel.shape[1], np.empty(len(hap), dtype=np.int64)
     for l, allele in enumerate(hap):
-        ones = panel[l][order] == 1
-        before = int(ones[:at].sum())
-        at = int((~ones).sum()) + before if allele else at - before
-        order = orders[l]
+        before = int(ones[l, at])
+        at = n - int(ones[l, n]) + before if allele else at - before
         out[l] = at
     return out
 
 
-def select_states(panel: np.ndarray, orders: np.ndarray, hap: np.ndarray, chosen: np.ndarray, depth: int, most: int) -> np.ndarray:
+def select_states(panel: np.ndarray, orders: np.ndarray, hap: np.ndarray, chosen: np.ndarray, depth: int, most: int, ones: np.ndarray | None = None) -> np.ndarray:
     """TOP-01, TOP-02, MDL-09: neighbours in the orders at chosen sites, nearest first, later sites first, distinct, up to most."""
-    at, n = matches(panel, orders, hap), panel.shape[1]
-    found: dict[int, None] = {}
-    for ring in range(1, depth + 1):
-        for l in chosen[::-1]:
-            for k in (at[l] - ring, at[l] + ring - 1):
-                if 0 <= k < n and panel[l][orders[l][k]] == hap[l]:
-                    found.setdefault(int(orders[l][k]))
-                    if len(found) >= most:
-                        return np.array(sorted(found))
-    return np.array(sorted(found), dtype=np.int64)
+    l, ring = chosen[::-1], np.arange(1, depth + 1)[:, None]
+    at, n = matches(panel, orders, hap, ones)[l], panel.shape[1]
+    k = np.stack([at - ring, at + ring - 1], axis=2)  # rings, sites, sides: in order of preference
+    sites = np.broadcast_to(l[None, :, None], k.shape)
+    inside = (k >= 0) & (k < n)
+    who = orders[sites, np.clip(k, 0, n - 1)]
+    found, first = np.unique(who[inside & (panel[sites, who] == hap[sites])], return_index=True)
+    return np.sort(found[np.argsort(first)[:most]]).astype(np.int64)
 
 
-def initial_states(panel: np.ndarray, gp: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+def initial_states(panel: np.ndarray, gp: np.ndarray, most: int, rng: np.random.Generator, count: np.ndarray | None = None) -> np.ndarray:
     """MDL-07, MDL-08: carriers of rare alleles the sample probably has (rarest first, five each, up to 80 %), the rest at random."""
     n = panel.shape[1]
     if n <= most:
         return np.arange(n)
-    count = panel.sum(axis=1)
+    count = panel.sum(axis=1) if count is None else count
     minor = np.where(count * 2 <= n, 1, 0)
     mac = np.minimum(count, n - count)
     f = mac / n
@@ -175,8 +179,11 @@ def junctions(states: np.ndarray, seg: np.ndarray, alleles: np.ndarray, t: np.nd
     k, n = states.shape[1], int(seg[-1]) + 1
     own = [np.flatnonzero(seg == s) for s in range(n)]
 
+    emits = np.stack([np.where(states == a, 1 - error, error) for a in (0, 1)], axis=1)  # by site and allele
+    same = (alleles == alleles[:, :1]).all(axis=1)  # no heterozygote: one row for all eight
+
     def emit(l: int) -> np.ndarray:
-        return np.where(states[l][None, :] == alleles[l][:, None], 1 - error, error)
+        return emits[l, alleles[l, :1] if same[l] else alleles[l]]
 
     def step(v: np.ndarray, l: int) -> np.ndarray:
         """Over the gap before site l; the same from either side."""
@@ -268,8 +275,11 @@ def generator(seed: int, *keys: object) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=[seed, zlib.crc32("|".join(map(str, keys)).encode())]))
 
 
-def gibbs(panel: np.ndarray, cm: np.ndarray, gp: np.ndarray, flat: np.ndarray, lq: np.ndarray, o: ModelOptions, *keys: object, orders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """MDL-10, MDL-13, MDL-14, MDL-15: one initial, burn-in and main iterations of one sample; mean posteriors and phased haplotypes."""
+def gibbs(panel: np.ndarray, cm: np.ndarray, gp: np.ndarray, flat: np.ndarray, lq: np.ndarray, o: ModelOptions, *keys: object, orders: np.ndarray | None = None, ones: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """MDL-10, MDL-13, MDL-14, MDL-15: one initial, burn-in and main iterations of one sample; mean posteriors and phased haplotypes.
+
+    The panel's orders and `ones_before` are made once for all samples: no step of an iteration goes over all haplotypes then.
+    """
     sites, n = panel.shape
     rng = generator(o.seed, *keys)
     site_rng = generator(o.seed, keys[0] if keys else 0, "sites")  # the same sites for all samples of a window
@@ -277,10 +287,12 @@ def gibbs(panel: np.ndarray, cm: np.ndarray, gp: np.ndarray, flat: np.ndarray, l
     group = np.round(cm / o.modulo_cm).astype(np.int64)
     h = np.zeros((2, sites), dtype=np.int64)
     p = np.clip(np.stack([gp[:, 0] + gp[:, 1] / 2, gp[:, 1] / 2 + gp[:, 2]], axis=1), o.min_gl, 1 - o.min_gl)
-    total, states = np.zeros((sites, 3)), initial_states(panel, gp, o.k_init, rng)
     full = n <= o.k_pbwt
     if not full and orders is None:
         orders = prefix_orders(panel)
+    if not full and ones is None:
+        ones = ones_before(panel, orders)
+    total, states = np.zeros((sites, 3)), initial_states(panel, gp, o.k_init, rng, None if full else ones[:, n].astype(np.int64))
     for turn in range(1 + o.burnin + o.main):
         if full:
             states = np.arange(n)
@@ -288,7 +300,7 @@ def gibbs(panel: np.ndarray, cm: np.ndarray, gp: np.ndarray, flat: np.ndarray, l
             _, first = np.unique(group, return_index=True)
             size = np.diff(np.append(first, sites))
             chosen = first + np.floor(site_rng.random(len(first)) * size).astype(np.int64)  # SMP-03
-            states = np.union1d(*(select_states(panel, orders, x, chosen, o.depth, o.k_pbwt // 2) for x in h))  # SET-01
+            states = np.union1d(*(select_states(panel, orders, x, chosen, o.depth, o.k_pbwt // 2, ones) for x in h))  # SET-01
         x = panel[:, states]
         hp = []
         for side in (0, 1):
@@ -341,12 +353,13 @@ def run(packed: DataFrame, targets: DataFrame, options: ModelOptions = ModelOpti
         x = np.unpackbits(np.stack([np.frombuffer(b, dtype=np.uint8) for b in panel["bits"]]), axis=1)[:, :n]
         sites, chunk = panel["site"].to_numpy(), int(panel["chunk"].iloc[0])
         orders = prefix_orders(x) if n > options.k_pbwt else None
+        ones = None if orders is None else ones_before(x, orders)
         out = []
         for sample, own in cells.groupby("sample", sort=True):
             own = own.set_index("site").reindex(sites)
             gp = own[["gp0", "gp1", "gp2"]].fillna(1 / 3).to_numpy()
             flat = own["flat"].fillna(True).astype(bool).to_numpy()
-            g, a, b = gibbs(x, panel["cm"].to_numpy(), gp, flat, panel["lq"].to_numpy().astype(bool), options, chunk, sample, orders=orders)
+            g, a, b = gibbs(x, panel["cm"].to_numpy(), gp, flat, panel["lq"].to_numpy().astype(bool), options, chunk, sample, orders=orders, ones=ones)
             out.append(pd.DataFrame({"chunk": chunk, "sample": str(sample), "site": sites, "gp0": g[:, 0], "gp1": g[:, 1], "gp2": g[:, 2], "ds": g[:, 1] + 2 * g[:, 2], "h0": a, "h1": b}))
         return pd.concat(out)[columns]
 

@@ -94,6 +94,32 @@ def test_prefix_orders():
     assert any((panel[:, s] == hap).all() for s in states)
 
 
+def test_neighbours_without_scans_of_the_panel():
+    """With ones_before at hand a target's places need no haplotype but their own; neighbours are those of a search one by one."""
+    class Shape:
+        def __init__(self, shape):
+            self.shape = shape
+
+    rng = np.random.default_rng(5)
+    panel = (rng.random((30, 200)) < rng.random((30, 1))).astype(np.uint8)
+    orders = imputation.prefix_orders(panel)
+    ones = imputation.ones_before(panel, orders)
+    for _ in range(20):
+        hap = (rng.random(30) < 0.5).astype(np.int64)
+        at = imputation.matches(Shape(panel.shape), None, hap, ones)
+        for l in range(30):  # those whose reversed prefix is less, equal alleles in order of the panel's columns
+            less = sum(tuple(panel[: l + 1, k][::-1]) < tuple(hap[: l + 1][::-1]) for k in range(200))
+            assert at[l] == less
+        chosen, depth, most = np.array([3, 11, 29]), int(rng.integers(1, 9)), int(rng.integers(1, 40))
+        found = {}
+        for ring in range(1, depth + 1):
+            for l in chosen[::-1]:
+                for k in (at[l] - ring, at[l] + ring - 1):
+                    if 0 <= k < 200 and panel[l][orders[l][k]] == hap[l] and len(found) < most:
+                        found.setdefault(int(orders[l][k]))
+        assert imputation.select_states(panel, orders, hap, chosen, depth, most, ones).tolist() == sorted(found)
+
+
 def mosaic(rng, panel, switches):
     sites, k = panel.shape
     out, cuts = np.empty(sites, dtype=int), sorted(rng.choice(sites, switches, replace=False))
