@@ -141,17 +141,21 @@ def dosage(gp: Column) -> Column:
     return F.round(F.when(F.size(gp) == 3, gp[1] + 2 * gp[2]).otherwise(gp[1]), 3)
 
 
-def round_gp(gp: Column) -> Column:
-    """FN-17: probabilities to thousandths that still add up, the largest remainders first, ties by genotype.
+def round_gp(gp: Column, n: int = 3) -> Column:
+    """FN-17: n probabilities to thousandths that still add up, the largest remainders first, ties by genotype.
 
-    Remainders are compared to 1e-9, in whole numbers, so that engines agree.
+    Remainders are compared to 1e-9, in whole numbers, so that engines agree. Written out entry by entry: functions over arrays
+    call their lambdas row by row outside of generated code.
     """
-    nano = F.transform(gp, lambda x: F.round(x * d(1e9)).cast("long"))
-    milli = F.transform(nano, lambda x: F.call_function("div", x, F.lit(1_000_000)))
-    lack = F.lit(1000) - F.aggregate(milli, F.lit(0).cast("long"), lambda a, b: a + b)
-    rest = F.transform(nano, lambda x: x % 1_000_000)
-    above = F.transform(rest, lambda x, i: F.size(F.filter(rest, lambda y, j: (y > x) | ((y == x) & (j < i)))))
-    return F.transform(milli, lambda x, i: (x + F.when(F.get(above, i) < lack, 1).otherwise(0)) / d(1000.0))
+    nano = [F.round(F.get(gp, F.lit(k)) * d(1e9)).cast("long") for k in range(n)]
+    milli = [F.call_function("div", x, F.lit(1_000_000).cast("long")) for x in nano]
+    rest = [x % 1_000_000 for x in nano]
+    lack = F.lit(1000) - sum(milli[1:], milli[0])
+
+    def above(k: int) -> Column:
+        return sum((F.when(rest[j] >= rest[k] if j < k else rest[j] > rest[k], 1).otherwise(0) for j in range(n) if j != k), F.lit(0))
+
+    return F.when(gp.isNotNull(), F.array(*((milli[k] + F.when(above(k) < lack, 1).otherwise(0)) / d(1000.0) for k in range(n))))
 
 
 def info_score(n_haps: Column, sum_ds: Column, sum_var: Column) -> Column:

@@ -57,6 +57,15 @@ def test_posteriors(spark):
     assert one(spark, G.best_genotype(F.lit(0.4), F.lit(0.4), F.lit(0.2)), G.estimate_code_haploid(arr(0.5, 0.5), 0.0)) == (0, -1)
 
 
+def test_rounding_without_lambdas(spark):
+    """Every entry by itself, in generated code; ties, nulls and pairs as before."""
+    x = spark.createDataFrame([(1, [0.3335, 0.3335, 0.333]), (2, [0.0005, 0.4995, 0.5]), (3, [None, 0.2, 0.8]), (4, None), (5, [0.2505, 0.7495, 0.0])], "i int, gp array<double>")
+    r = x.select("i", G.round_gp(F.col("gp")).alias("g"))
+    assert "lambda" not in r._jdf.queryExecution().optimizedPlan().toString()
+    assert {v["i"]: v["g"] for v in r.collect()} == {1: [0.334, 0.333, 0.333], 2: [0.001, 0.499, 0.5], 3: [None, 0.2, 0.8], 4: None, 5: [0.251, 0.749, 0.0]}
+    assert one(spark, G.round_gp(arr(0.0005, 0.9995), n=2)) == ([0.001, 0.999],)
+
+
 def test_base_likelihoods(spark):
     reads = spark.createDataFrame([("s", 1, "A", 20, "A", "C"), ("s", 1, "A", 20, "A", "C"), ("s", 1, "C", 30, "A", "C")], "sample string, site int, base string, qual int, ref string, alt string")
     r = pileup.likelihoods(reads).first()
