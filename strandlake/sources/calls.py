@@ -11,12 +11,14 @@ Spark, so an index only ever saves reading. It needs spark.sql.python.filterPush
 
 Written: rows (chrom, pos, value) in order, as one BGZF file and a TBI. Tasks write parts and the part's own index; the commit moves
 offsets on by the parts before and joins parts in order of tasks, a buffer at a time. Nothing stands under the name until all is
-there, and an abort removes the parts.
+there, and an abort removes the parts. `write_call_folder` writes a folder of such files, each of a block of samples: a file of all samples
+has a cell for every site and sample, called or not, which grows with their product.
 """
 
 from __future__ import annotations
 
 import gzip
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -46,7 +48,7 @@ def registered(spark: SparkSession) -> SparkSession:
     from .bam import AlignmentSource
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (CallSource, JoinedSource, AlignmentSource):
+    for source in (CallSource, JoinedSource, FolderSource, AlignmentSource):
         spark.dataSource.register(source)
     return spark
 
@@ -195,6 +197,7 @@ class CallReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = bgzf.listed(options["path"], SUFFIXES)
         self.cells = str(options.get("cells", "true")).lower() != "false"
+        self.files = str(options.get("files", "false")).lower() == "true"
         self.split = int(options.get("splitbytes", SPLIT))
         self.pushed = Pushed()
 
@@ -228,15 +231,14 @@ class CallReader(DataSourceReader):
         if piece.kind == "none":
             return
         held: list[bytes] = []
-        for lines in _lines(piece):
-            held += lines
-            if len(held) >= BATCH:
-                for i in range(0, len(held), BATCH):
-                    if (batch := parsed(held[i : i + BATCH], self.cells)) is not None:
-                        yield batch
-                held = []
-        if (batch := parsed(held, self.cells)) is not None:
-            yield batch
+        for lines in itertools.chain(_lines(piece), [None]):
+            held += lines or []
+            least = BATCH if lines is not None else 1
+            while len(held) >= least:
+                if (batch := parsed(held[:BATCH], self.cells)) is not None:
+                    file = [pa.array([piece.path] * batch.num_rows, pa.string())] if self.files else []
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *file], names=[*NAMES, "file"][: len(NAMES) + len(file)])
+                del held[:BATCH]
 
 
 class CallSource(DataSource):
@@ -245,7 +247,7 @@ class CallSource(DataSource):
         return "calls"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + ", file string" if str(self.options.get("files", "false")).lower() == "true" else SCHEMA
 
     def reader(self, schema) -> CallReader:
         return CallReader(self.options)
@@ -254,9 +256,9 @@ class CallSource(DataSource):
         return CallWriter(self.options, overwrite)
 
 
-def calls(spark: SparkSession, path: str, region: Region | None = None, cells: bool = True, split: int = SPLIT) -> DataFrame:
-    """SRC-03, 04, 08, 13: a call file, or those of a folder, in a region, by tasks of about `split` bytes; columns as readers.variants."""
-    x = registered(spark).read.format("calls").option("cells", str(cells).lower()).option("splitBytes", split).load(path)
+def calls(spark: SparkSession, path: str, region: Region | None = None, cells: bool = True, split: int = SPLIT, files: bool = False) -> DataFrame:
+    """SRC-03, 04, 08, 13: a call file, or those of a folder, in a region, by tasks of about `split` bytes; columns as readers.variants, and the line's file if asked for."""
+    x = registered(spark).read.format("calls").options(cells=str(cells).lower(), files=str(files).lower()).option("splitBytes", split).load(path)
     return x if region is None else x.filter((F.col("chrom") == region.chrom) & F.col("pos").between(region.start, region.stop))
 
 
@@ -268,6 +270,19 @@ def sample_names(path: str) -> list[str]:
     return []
 
 
+def sample_table(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, sample): samples of the headers of a folder's files, which tasks read."""
+    def names(batches):
+        for batch in batches:
+            for file in batch["file"].to_pylist():
+                found = sample_names(file)
+                columns = [pa.array([file] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "i", "sample"])
+
+    files = [(f,) for f in bgzf.listed(path, SUFFIXES)]
+    return spark.createDataFrame(files, "file string").mapInArrow(names, "file string, i int, sample string")
+
+
 # writing --------------------------------------------------------------------------------------------------
 
 
@@ -347,6 +362,32 @@ class JoinedWriter(DataSourceWriter):
             system.delete_dir(at)
 
 
+class Lines:
+    """Lines of calls as BGZF members of a stream that has so many bytes already, and their index."""
+
+    def __init__(self, out: pa.NativeFile, before: int = 0):
+        self.out, self.bytes, self.rows, self.index = out, before, 0, bgzf.Index()
+        self.held, self.last = bytearray(), None
+
+    def flush(self, least: int) -> None:
+        while len(self.held) >= least and self.held:
+            data = bgzf.member(bytes(self.held[: bgzf.MEMBER]))
+            self.out.write(data)
+            self.bytes += len(data)
+            del self.held[: bgzf.MEMBER]
+
+    def add(self, chrom: str, pos: int, value: str) -> None:
+        if self.last and self.last[0] == chrom and self.last[1] > pos:
+            raise ValueError(f"positions are out of order at {chrom}:{pos}")
+        self.last = (chrom, pos)
+        at = self.bytes << 16 | len(self.held)
+        self.held += value.encode() + b"\n"
+        self.flush(bgzf.MEMBER)
+        ref = value.split("\t", 4)[3]
+        self.index.add(chrom, pos - 1, pos - 1 + max(1, len(ref)), at, self.bytes << 16 | len(self.held))
+        self.rows += 1
+
+
 class CallWriter(JoinedWriter):
     """Rows (chrom, pos, value) as BGZF members, with their index."""
 
@@ -358,30 +399,12 @@ class CallWriter(JoinedWriter):
 
     def write(self, iterator) -> Part:
         part, out = self._part()
-        part.index = bgzf.Index()
-        held = bytearray()
-        last: tuple | None = None
-
-        def flush(least: int) -> None:
-            while len(held) >= least and held:
-                data = bgzf.member(bytes(held[: bgzf.MEMBER]))
-                out.write(data)
-                part.bytes += len(data)
-                del held[: bgzf.MEMBER]
-
         with out:
+            lines = Lines(out)
             for row in iterator:
-                line, chrom, pos = row["value"].encode() + b"\n", row["chrom"], row["pos"]
-                if last and last[0] == chrom and last[1] > pos:
-                    raise ValueError(f"positions are out of order at {chrom}:{pos}")
-                last = (chrom, pos)
-                at = part.bytes << 16 | len(held)
-                held += line
-                flush(bgzf.MEMBER)
-                ref = row["value"].split("\t", 4)[3]
-                part.index.add(chrom, pos - 1, pos - 1 + max(1, len(ref)), at, part.bytes << 16 | len(held))
-                part.rows += 1
-            flush(1)
+                lines.add(row["chrom"], row["pos"], row["value"])
+            lines.flush(1)
+        part.bytes, part.rows, part.index = lines.bytes, lines.rows, lines.index
         return part
 
     def beside(self, parts: list[Part]) -> None:
@@ -406,6 +429,89 @@ class JoinedSource(DataSource):
         return JoinedWriter(self.options, overwrite)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files that a task has completed."""
+
+    paths: list[str] = field(default_factory=list)
+
+
+class FolderWriter(DataSourceWriter):
+    """Rows (block, chrom, pos, value) in order as a folder of call files, each with its index: of a block of samples, the rows of one task.
+
+    Tasks complete files, the commit gives the folder its name; nothing passes through it but names of files.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path = options["path"]
+        system, at = bgzf.store(self.path)
+        if system.get_file_info(at).type != fs.FileType.NotFound:
+            raise ValueError(f"{self.path} exists")
+        self.lines, self.names, self.width = options["header"].split("\n"), options["samples"].split("\t"), int(options["width"])
+        self.folder = f"{self.path}.parts-{uuid.uuid4().hex}"
+        system, at = bgzf.store(self.folder)
+        system.create_dir(at)
+
+    def head(self, block: int) -> bytes:
+        names = self.names[block * self.width : (block + 1) * self.width]
+        data = "".join(x + "\n" for x in [*self.lines[:-1], "\t".join([self.lines[-1], *names])]).encode()
+        return b"".join(bgzf.member(data[i : i + bgzf.MEMBER]) for i in range(0, len(data), bgzf.MEMBER))
+
+    def write(self, iterator) -> Written:
+        done = Written()
+        order = TaskContext.get().partitionId()
+        for block, rows in itertools.groupby(iterator, key=lambda r: r["block"]):
+            path = f"{self.folder}/{block:07d}-{order:07d}-{uuid.uuid4().hex}.vcf.gz"  # every attempt its own
+            system, at = bgzf.store(path)
+            head = self.head(block)
+            with system.open_output_stream(at, compression=None) as out:
+                out.write(head)
+                lines = Lines(out, len(head))
+                for row in rows:
+                    lines.add(row["chrom"], row["pos"], row["value"])
+                lines.flush(1)
+                out.write(bgzf.EOF)
+            with system.open_output_stream(at + ".tbi") as out:
+                out.write(lines.index.tbi())
+            done.paths.append(path)
+        return done
+
+    def commit(self, messages: list) -> None:
+        own = {p.rsplit("/", 1)[1] for m in messages if m is not None for p in m.paths}
+        system, at = bgzf.store(self.folder)
+        for f in system.get_file_info(fs.FileSelector(at)):  # of attempts that don't count
+            if f.base_name.removesuffix(".tbi") not in own:
+                system.delete_file(f.path)
+        system.move(at, bgzf.store(self.path)[1])
+
+    def abort(self, messages: list) -> None:
+        system, at = bgzf.store(self.folder)
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            system.delete_dir(at)
+
+
+class FolderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "callfolder"
+
+    def schema(self) -> str:
+        return "block int, chrom string, pos long, value string"
+
+    def writer(self, schema, overwrite: bool) -> FolderWriter:
+        return FolderWriter(self.options, overwrite)
+
+
+def write_call_folder(lines: DataFrame, path: str, header: list[str], sample_names: list[str], width: int) -> None:
+    """SNK-03, SNK-12: rows (block, chrom, pos, value), in order over the partitions, as a folder of indexed BGZF files, each of a block of width samples.
+
+    header: lines without names of samples, the last one's columns.
+    """
+    registered(lines.sparkSession)
+    options = {"header": "\n".join(header), "samples": "\t".join(sample_names), "width": str(width)}
+    lines.select("block", "chrom", "pos", "value").write.format("callfolder").mode("append").options(**options).save(path)
+
+
 def write_call_file(lines: DataFrame, path: str, header: list[str]) -> None:
     """SNK-03, SNK-12: rows (chrom, pos, value) as one sorted, indexed BGZF file with these header lines. Chromosomes stand in order of their names."""
     registered(lines.sparkSession)

@@ -210,17 +210,23 @@ def site_counts(calls: DataFrame) -> DataFrame:
     return x.withColumns({"ac": F.col("info")["AC"].try_cast("long"), "an": F.col("info")["AN"].try_cast("long")}).filter("ac IS NOT NULL AND an IS NOT NULL").drop("alts")
 
 
-def cells(calls: DataFrame, names: list[str], keys: tuple[str, ...] = ("chrom", "pos", "ref", "alt"), missing: bool = True) -> DataFrame:
+def cells(calls: DataFrame, names: list[str] | DataFrame, keys: tuple[str, ...] = ("chrom", "pos", "ref", "alt"), missing: bool = True) -> DataFrame:
     """SRC-08, SRC-09, SRC-13: a row per site and sample with its fields by name; gt as array, ploidy by its length. Cells that begin with a missing allele can be left out.
 
-    An error for a line with cells for fewer or more samples (a file cut short); lines without any cell have no rows.
+    An error for a line with cells for fewer or more samples (a file cut short); lines without any cell have no rows. names: of all lines,
+    or a table (file, i, sample) where calls have a file.
     """
     cut = F.raise_error(F.concat(F.lit("cells of other samples than the header's at "), F.concat_ws(":", *(F.col(k) for k in keys[:2]))))
-    whole = F.when(F.size("cells").isin(0, len(names)), F.col("cells")).otherwise(cut.cast("array<string>"))
-    table = calls.sparkSession.createDataFrame(list(enumerate(names)), "i int, sample string")  # not an expression a sample
-    x = calls.select(*keys, F.split("format", ":").alias("k"), F.posexplode(whole).alias("i", "v")).join(F.broadcast(table), "i")  # a row a sample
+    if isinstance(names, DataFrame):
+        per = names.groupBy("file").agg(F.count("*").alias("n"))  # a row a file
+        calls, by, table, n = calls.join(F.broadcast(per), "file", "left"), ["file", "i"], names, F.coalesce(F.col("n"), F.lit(0))
+    else:
+        by, table, n = ["i"], F.broadcast(calls.sparkSession.createDataFrame(list(enumerate(names)), "i int, sample string")), F.lit(len(names))  # not an expression a sample
+    whole = F.when((F.size("cells") == 0) | (F.size("cells") == n), F.col("cells")).otherwise(cut.cast("array<string>"))
+    x = calls.select(*keys, *by[:-1], F.split("format", ":").alias("k"), F.posexplode(whole).alias("i", "v"))
     if not missing:
         x = x.filter(~F.col("v").startswith("."))
+    x = x.join(table, by)  # a row a sample
     x = x.withColumn("fields", F.map_from_arrays("k", F.transform("k", lambda _, i: F.get(F.split("v", ":"), i))))
     alleles = F.split(F.col("fields")["GT"], r"[|/]")
     gt = F.transform(alleles, lambda a: a.try_cast("int"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import pileup
-from strandlake.sources import bam, bgzf, calls, readers
+from strandlake.sources import bam, bgzf, calls, readers, sinks
 
 
 def call_lines(n=3_000):
@@ -333,3 +333,25 @@ def test_members():
     m = bgzf.member(data)
     assert bgzf.member_size(m) == len(m) and gzip.decompress(m) == data and zlib.crc32(data) == struct.unpack("<I", m[-8:-4])[0]
     assert bgzf.member_size(gzip.compress(b"x")) == 0
+
+
+def test_folder_of_blocks_of_samples(spark, tmp_path):
+    """Lines grow with the calls, not with sites times samples; what is read back by regions is what was called."""
+    names = [f"s{i}" for i in range(41)]
+    sites = spark.createDataFrame([(k, k * 100, ".", "A", "C", 0.5, 0.5, 0.5) for k in range(1, 201)], "site int, pos int, id string, ref string, alt string, raf double, af double, info double")
+    rows = [(k, names[(k * 7 + j) % 41], (k + j) % 3, (k + j) % 3 / 1.0, [0.25, 0.5, 0.25], None, None) for k in range(1, 201) for j in (0, 1)]
+    called = spark.createDataFrame(rows, "site int, sample string, gt int, ds double, gp array<double>, h0 int, h1 int")
+    lines = sinks.call_groups(sites, called, names, "chr1", width=4)
+    assert lines.count() <= 400 and lines.selectExpr("max(size(split(value, '\t')))").first()[0] == 9 + 4  # whatever the number of samples
+    path = str(tmp_path / "calls")
+    calls.write_call_folder(lines, path, sinks.call_header([], "chr1"), names, 4)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["calls"]
+    table = calls.sample_table(spark, path)
+    assert {r["sample"] for r in table.collect()} == set(names)
+    for start, stop in ((1, 1 << 30), (5_000, 9_950)):
+        found = calls.calls(spark, path, readers.Region("chr1", start, stop), files=True).withColumn("alt", F.get("alts", F.lit(0)))
+        cells = readers.cells(found, table, missing=False)
+        got = sorted((r["pos"] // 100, r["sample"], sum(r["gt"]), float(r["fields"]["DS"])) for r in cells.collect())
+        assert got == sorted((k, s, g, ds) for k, s, g, ds, *_ in rows if start <= k * 100 <= stop)
+    with pytest.raises(Exception, match="exists"):
+        calls.write_call_folder(lines, path, sinks.call_header([], "chr1"), names, 4)
