@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,10 +63,14 @@ class Side:
     upto: np.ndarray
 
     @classmethod
-    def of(cls, frame: pd.DataFrame, back: bool = False) -> Side:
+    def of(cls, idx: np.ndarray, pos: np.ndarray, cm: np.ndarray, upto: np.ndarray, back: bool = False) -> Side:
         """Rows in ascending order of place; looked at from the other end, with signs changed, if the search goes back."""
-        columns = (frame[c].to_numpy() for c in ("idx", "pos", "cm", "upto"))
-        return cls(*(-x[::-1] if back else x for x in columns))
+        return cls(*(-x[::-1] if back else x for x in (idx, pos, cm, upto)))
+
+    @classmethod
+    def asking(cls, idx: np.ndarray, pos: np.ndarray, cm: np.ndarray, before: np.ndarray, back: bool = False) -> Side:
+        """Queries in their own order, with signs changed if the search goes back."""
+        return cls(*(-x if back else x for x in (idx, pos, cm)), before)
 
 
 def first_enough(at: Side, q: Side, need: Need, common: np.ndarray | int = 0) -> np.ndarray:
@@ -93,6 +97,26 @@ def _renewed(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
+def _needed(need: Need, counts: dict[str, int] | None, chrom: str) -> Need:
+    """With the places and common sites that a chromosome's count asks for."""
+    return replace(need, places=counts[chrom] - 1, common=counts[chrom]) if counts else need
+
+
+def _places(chrom: str, **places: list | np.ndarray) -> pa.Table:
+    """Places of a chromosome, as tasks return them. Tasks take and return Arrow, so that no worker loads pandas, and one kind of worker does all."""
+    columns = {n: pa.array(x, pa.int64()) for n, x in places.items()}
+    return pa.table({"chrom": pa.array([chrom] * len(next(iter(columns.values()))), pa.string()), **columns})
+
+
+LONG, TEXT, REAL, FLAG = pa.int64(), pa.string(), pa.float64(), pa.bool_()
+
+
+def _small(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A small table, by way of Arrow: a list of rows would go through Python workers of another kind."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+    return spark.createDataFrame(pa.table({n: pa.array(list(x), t) for (n, t), x in zip(types.items(), columns, strict=True)}))
+
+
 class Places:
     """Sites by place, in ranges of so many places: `rows` (chrom, idx, pos, cm, c, upto, range), kept; `ends` (by chromosome) has a row a range."""
 
@@ -111,54 +135,70 @@ class Places:
         self.ends = {chrom: t.sort_values("range", ignore_index=True) for chrom, t in table.groupby("chrom")}
         self.last = {chrom: t.iloc[-1] for chrom, t in self.ends.items()}
 
-    def reached(self, queries: DataFrame, need: Need, counts: dict[str, int] | None = None, back: bool = False) -> DataFrame:
-        """Of queries (chrom, idx, pos, cm, before), (chrom, idx, at): the nearest place that meets all minima, or the chromosome's end.
+    def pairs(self, need: Need, counts: dict[str, int] | None = None, back: bool = False) -> DataFrame:
+        """(chrom, source, range, end, prev, final, places, common): for the queries of each range, the ranges that may hold what they reach.
 
-        The table of ranges tells the range that holds it; there it is searched for, by all queries of the range together.
+        What places reach doesn't fall along a chromosome: those of a range reach between what its first and its last reach, so that there
+        are fewer than two pairs a range. end is the place of a range that is reached last, prev that of the range before it.
         """
-        sides = {}
+        rows: list[tuple] = []
         for chrom, t in self.ends.items():
-            f = t[["first_idx", "first_pos", "first_cm", "upto"]].set_axis(["idx", "pos", "cm", "upto"], axis=1) if back else t
-            sides[chrom] = Side.of(f, back)
-
-        def common(chrom: str) -> int:
-            return counts[chrom] if counts else need.common
-
-        def side(q: pd.DataFrame) -> Side:
-            sign = -1 if back else 1
-            return Side(sign * q["idx"].to_numpy(), sign * q["pos"].to_numpy(), sign * q["cm"].to_numpy(), q["before"].to_numpy())
-
-        def needed(chrom: str) -> Need:
-            return need if not counts else replace(need, places=counts[chrom] - 1, common=counts[chrom])
-
-        def target(batches):
-            for batch in batches:
-                for chrom, q in batch.groupby("chrom"):
-                    k = first_enough(sides[chrom], side(q), needed(chrom), common(chrom))
-                    n = len(sides[chrom].idx)
-                    yield q.assign(range=np.where(k < n, n - 1 - k if back else k, -1))
-
-        def find(q: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-            if not len(q):
-                return pd.DataFrame({"chrom": [], "idx": [], "at": []}).astype({"chrom": str, "idx": int, "at": int})
-            chrom = q["chrom"].iloc[0]
-            here = Side.of(at.sort_values("idx"), back)
-            return pd.DataFrame({"chrom": chrom, "idx": q["idx"], "at": np.abs(here.idx[first_enough(here, side(q), needed(chrom), common(chrom))])})
-
-        dealt = queries.select("chrom", "idx", "pos", "cm", "before").mapInPandas(target, "chrom string, idx long, pos long, cm double, before long, range long")
-        found = dealt.filter("range >= 0").groupBy("chrom", "range").cogroup(_renewed(self.rows).groupBy("chrom", "range")).applyInPandas(find, "chrom string, idx long, at long")
-        last = {chrom: 0 if back else int(r["idx"]) for chrom, r in self.last.items()}
-        spark = queries.sparkSession
-        bounds = spark.createDataFrame(list(last.items()) or [("", 0)], "chrom string, bound long")  # a row a chromosome
-        rest = dealt.filter("range < 0").join(F.broadcast(bounds), "chrom").select("chrom", "idx", F.col("bound").alias("at"))
-        return found.unionByName(rest)
+            if counts and chrom not in counts:
+                continue
+            firsts, lasts = ([t[c].to_numpy() for c in names] for names in (("first_idx", "first_pos", "first_cm"), ("idx", "pos", "cm")))
+            upto = t["upto"].to_numpy()
+            own, n = _needed(need, counts, chrom), len(t)
+            at = Side.of(*(firsts if back else lasts), upto, back)
+            # common sites before the first of a range; with the last one, of which there may be one less before it
+            ks = [first_enough(at, Side.asking(*x, before, back), own, own.common) for x, before in ((firsts, np.append(0, upto[:-1])), (lasts, upto))]
+            ends = [{c: v.item() for c, v in zip(("idx", "pos", "cm", "upto"), e, strict=True)} for e in zip(*(firsts if back else lasts), upto, strict=True)]
+            for source, (lo, hi) in enumerate(np.minimum(np.sort(np.stack(ks, axis=1), axis=1), n - 1).tolist()):
+                for k in range(lo, hi + 1):
+                    r, before = (n - 1 - k, n - k) if back else (k, k - 1)
+                    rows.append((chrom, source, r, ends[r], ends[before] if k else None, k == n - 1, own.places, own.common))
+        place = pa.struct([("idx", LONG), ("pos", LONG), ("cm", REAL), ("upto", LONG)])
+        return _small(self.rows.sparkSession, rows, chrom=TEXT, source=LONG, range=LONG, end=place, prev=place, final=FLAG, places=LONG, common=LONG)
+
+    def dealt(self, queries: DataFrame, need: Need, counts: dict[str, int] | None = None, back: bool = False) -> DataFrame:
+        """Queries (asks) and places, by the pairs of ranges in which queries find what they reach; upto: for queries, common sites before.
+
+        A query has one pair: its end meets all minima, the place before doesn't. A pair has no more than the places of two ranges, however many queries reach one range.
+        """
+        pairs = F.broadcast(self.pairs(need, counts, back))  # fewer than two rows a range
+
+        def met(end: str) -> Column:
+            idx, pos, cm = (F.col(c) - F.col(f"{end}.{c}") if back else F.col(f"{end}.{c}") - F.col(c) for c in ("idx", "pos", "cm"))
+            gap = F.nanvl(cm, F.lit(None).cast("double"))
+            all_met = (idx >= F.col("places")) & (pos >= F.lit(int(np.ceil(need.bp)))) & ((F.floor(gap) if need.floored else gap) >= F.lit(float(need.cm)))
+            return F.coalesce(all_met & ((F.col("common") == 0) | (F.col(f"{end}.upto") - F.col("before") >= F.col("common"))), F.lit(False))  # without a map: none
+
+        key, place = ("chrom", "source", "range"), ("idx", "pos", "cm")
+        asked = queries.withColumn("source", F.expr(f"idx div {self.per_range}")).join(pairs, ["chrom", "source"])
+        asked = asked.filter((F.col("prev").isNull() | ~met("prev")) & (F.col("final") | met("end"))).select(*key, *place, F.col("before").alias("upto"), F.lit(True).alias("asks"))
+        held = _renewed(self.rows).join(pairs, ["chrom", "range"]).select(*key, *place, "upto", F.lit(False).alias("asks"))
+        return asked.unionByName(held)
+
+    def reached(self, queries: DataFrame, need: Need, counts: dict[str, int] | None = None, back: bool = False) -> DataFrame:
+        """Of queries (chrom, idx, pos, cm, before), (chrom, idx, at): the nearest place that meets all minima, or the chromosome's end."""
+
+        def find(t: pa.Table) -> pa.Table:
+            chrom, asks = t["chrom"][0].as_py(), t["asks"].to_numpy()
+            columns = [t[c].to_numpy() for c in ("idx", "pos", "cm", "upto")]
+            asked = [x[asks] for x in columns]
+            held = [x[~asks] for x in columns]
+            order = np.argsort(held[0])
+            here, own = Side.of(*(x[order] for x in held), back), _needed(need, counts, chrom)
+            k = first_enough(here, Side.asking(*asked, back), own, own.common)  # none meets them: the end
+            return _places(chrom, idx=asked[0], at=np.abs(here.idx[np.minimum(k, len(order) - 1)]))
+
+        return self.dealt(queries, need, counts, back).groupBy("chrom", "source", "range").applyInArrow(find, "chrom string, idx long, at long")
 
     def opened(self, counts: dict[str, int], o: ChunkOptions) -> DataFrame:
         """WIN-07: (chrom, a, b) for the chromosomes of counts: the end of a window that opens at each place; a rest shorter than the buffer joins it."""
         some = self.rows.filter(F.col("chrom").isin(*counts))
         queries = some.select("chrom", "idx", "pos", "cm", (F.col("upto") - F.col("c")).alias("before"))
         found = self.reached(queries, Need(o.window_cm, o.window_mb * 1e6, 0, 1), counts)
-        table = some.sparkSession.createDataFrame([(c, int(r["idx"]), int(r["pos"]), float(r["cm"])) for c, r in self.last.items() if c in counts], "chrom string, last long, last_pos long, last_cm double")
+        table = _small(some.sparkSession, [(c, int(r["idx"]), int(r["pos"]), float(r["cm"])) for c, r in self.last.items() if c in counts], chrom=TEXT, last=LONG, last_pos=LONG, last_cm=REAL)
         ends = some.select("chrom", F.col("idx").alias("at"), "pos", "cm")
         x = found.join(ends, ["chrom", "at"]).join(F.broadcast(table), "chrom")  # a row a chromosome
         rest = F.col("last") - F.col("at")
@@ -174,17 +214,17 @@ class Places:
         per_range = self.per_range
         opened = cut_lineage(opened.withColumn("range", F.expr(f"a div {per_range}")))
 
-        def out(t: pd.DataFrame) -> pd.DataFrame:
-            t = t.sort_values("a")
-            first, to = int(t["a"].iloc[0]), (t["b"] + 1).to_numpy().copy()
+        def out(t: pa.Table) -> pa.Table:
+            a, order = t["a"].to_numpy(), np.argsort(t["a"].to_numpy())
+            first, to = int(a.min()), (t["b"].to_numpy()[order] + 1).tolist()
             for i in range(len(to) - 1, -1, -1):
                 if to[i] - first < len(to):
                     to[i] = to[to[i] - first]
-            return pd.DataFrame({"chrom": t["chrom"], "a": t["a"], "to": to})
+            return _places(t["chrom"][0].as_py(), a=a[order], to=to)
 
         entries = opened.filter("a = 0").select("chrom", F.col("a").alias("entry"))
         if max(len(t) for t in self.ends.values()) > 1:
-            jumps = [cut_lineage(opened.groupBy("chrom", "range").applyInPandas(out, "chrom string, a long, to long"))]
+            jumps = [cut_lineage(opened.groupBy("chrom", "range").applyInArrow(out, "chrom string, a long, to long"))]
             while 1 << len(jumps) < max(len(t) for t in self.ends.values()):
                 x = jumps[-1]
                 x = x.join(x.select("chrom", F.col("a").alias("to"), F.col("to").alias("next")), ["chrom", "to"]).select("chrom", "a", F.col("next").alias("to"))
@@ -194,19 +234,20 @@ class Places:
                 entries = entries.join(j.withColumnRenamed("a", "entry"), ["chrom", "entry"], "left").select("chrom", F.explode(both).alias("entry"))
             entries = entries.join(opened.select("chrom", F.col("a").alias("entry")), ["chrom", "entry"], "left_semi")  # not beyond the end
 
-        def walk(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-            rows: list[tuple] = []
-            if len(e):
-                t = t.sort_values("a")
-                first, b, chrom = int(t["a"].iloc[0]), t["b"].to_numpy(), t["chrom"].iloc[0]
-                at = int(e["entry"].min())
+        def walk(t: pa.Table) -> pa.Table:
+            starts, ends, entry = (t[c].to_numpy() for c in ("a", "b", "entry"))
+            rows: list[tuple[int, int]] = []
+            if entry.any():
+                order = np.argsort(starts[~entry])
+                first, b, at = int(starts.min()), ends[~entry][order].tolist(), int(starts[entry].min())
                 while at - first < len(b):
-                    rows.append((chrom, at, int(b[at - first])))
-                    at = rows[-1][2] + 1
-            return pd.DataFrame(rows, columns=["chrom", "a", "b"]).astype({"chrom": str, "a": int, "b": int})
+                    rows.append((at, b[at - first]))
+                    at = rows[-1][1] + 1
+            return _places(t["chrom"][0].as_py(), a=[a for a, _ in rows], b=[b for _, b in rows])
 
-        dealt = entries.withColumn("range", F.expr(f"entry div {per_range}"))
-        return dealt.groupBy("chrom", "range").cogroup(_renewed(opened).groupBy("chrom", "range")).applyInPandas(walk, "chrom string, a long, b long")
+        marks = entries.select("chrom", F.expr(f"entry div {per_range}").alias("range"), F.col("entry").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(True).alias("entry"))
+        both = marks.unionByName(_renewed(opened).select("chrom", "range", "a", "b", F.lit(False).alias("entry")))
+        return both.groupBy("chrom", "range").applyInArrow(walk, "chrom string, a long, b long")
 
     def at(self, windows: DataFrame, **places) -> DataFrame:
         """windows with pos, cm, upto and c at some of its places, as columns like a_pos."""
@@ -237,8 +278,7 @@ class Places:
 
     def whole(self, chroms: list[str]) -> DataFrame:
         """One window a chromosome."""
-        spark = self.rows.sparkSession
-        return spark.createDataFrame([(c, 0, int(self.last[c]["idx"])) for c in chroms], "chrom string, a long, b long")
+        return _small(self.rows.sparkSession, [(c, 0, int(self.last[c]["idx"])) for c in chroms], chrom=TEXT, a=LONG, b=LONG)
 
 
 def sequential(p: Places, o: ChunkOptions) -> DataFrame:
@@ -301,7 +341,7 @@ def chunk(sites: DataFrame, options: ChunkOptions = ChunkOptions(), lengths: dic
         reached = p.reached(queries, need, back=back).select("chrom", F.col("idx").alias(f"{side}_idx"), F.col("at").alias(f"{name}_at"))
         found = found.join(reached, ["chrom", f"{side}_idx"])
     found = p.at(found, lo=F.col("lo_at"), hi=F.col("hi_at"))
-    bounds = spark.createDataFrame([(c, int(r["idx"]), known.get(c, NO_LENGTH)) for c, r in p.last.items()], "chrom string, last long, length long")
+    bounds = _small(spark, [(c, int(r["idx"]), known.get(c, NO_LENGTH)) for c, r in p.last.items()], chrom=TEXT, last=LONG, length=LONG)
     found = found.join(F.broadcast(bounds), "chrom")  # a row a chromosome
     first, last = F.col("a") == 0, F.col("b") == F.col("last")
     return found.select(

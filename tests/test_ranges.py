@@ -164,3 +164,35 @@ def test_tasks_grow_with_ranges(spark):
     sites = spark.createDataFrame([("c", int(p), float(x), bool(m)) for p, x, m in zip(pos, cm, common, strict=True)], "chrom string, pos int, cm double, is_common boolean")
     p = chunking.Places(sites, 64)
     assert p.rows.groupBy("chrom", "range").count().agg({"count": "max"}).first()[0] == 64 and len(p.ends["c"]) == 32
+
+
+def before_a_gap(spark):
+    """60 ranges of 16 places that all reach the first place behind a gap, whose own 40 reach none."""
+    pos = np.append(np.arange(1, 961), np.arange(1_000_001, 1_000_041))
+    sites = spark.createDataFrame([("c", int(p), float(p) / 1e6, True) for p in pos], "chrom string, pos int, cm double, is_common boolean")
+    p = chunking.Places(sites, 16)
+    queries = p.rows.select("chrom", "idx", "pos", "cm", (F.col("upto") - F.col("c")).alias("before"))
+    return p, queries
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_many_places_that_reach_one_range(spark, back):
+    """No group has more than the places of two ranges, and each place asks once."""
+    p, queries = before_a_gap(spark)
+    need = chunking.Need(0.5, 5e5, 1)
+    sizes = p.dealt(queries, need, back=back).groupBy("chrom", "source", "range").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("asks")).collect()
+    assert max(r["n"] for r in sizes) <= 32 and max(r["asks"] for r in sizes) == 16 and sum(r["asks"] for r in sizes) == 1000
+    found = {r["idx"]: r["at"] for r in p.reached(queries, need, back=back).collect()}
+    assert found == {i: (0 if i < 960 else 959) if back else (960 if i < 960 else 999) for i in range(1000)}
+
+
+def test_one_kind_of_worker(spark):
+    """All that Python does takes Arrow, so that executors have a worker a core; small tables pass through none."""
+    p, queries = before_a_gap(spark)
+    o, counts = chunking.ChunkOptions(window_cm=0.0, window_mb=0.0001, window_count=20, buffer_cm=0.0, buffer_mb=0.0, buffer_count=5), {"c": 20}
+    opened = p.opened(counts, o)
+    for x in (p.reached(queries, chunking.Need(0.5, 5e5, 3)), opened, p.chain(opened)):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "Pandas" not in plan
+    for x in (p.pairs(chunking.Need(0.5, 5e5, 3)), p.whole(["c"])):
+        assert "PythonRDD" not in x._jdf.queryExecution().toRdd().toDebugString()
