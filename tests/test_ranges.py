@@ -1,6 +1,10 @@
 """Work on ranges of positions gives what one range would, and windows of a chromosome what their definitions say."""
 
+import os
+import subprocess
+import sys
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -196,3 +200,24 @@ def test_one_kind_of_worker(spark):
         assert "FlatMapGroupsInArrow" in plan and "Pandas" not in plan
     for x in (p.pairs(chunking.Need(0.5, 5e5, 3)), p.whole(["c"])):
         assert "PythonRDD" not in x._jdf.queryExecution().toRdd().toDebugString()
+
+
+POOLS = """
+import subprocess, sys
+from pyspark.sql import SparkSession
+from strandlake.plans import catalog
+
+conf = {"spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.checkpoint.dir": sys.argv[2]}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+catalog.queries()["win_12_uniform_windows"](spark, sys.argv[1]).collect()
+jvm = spark._jvm.java.lang.ProcessHandle.current().pid()
+lines = [x.split(None, 2) for x in subprocess.run(["ps", "-eo", "pid,ppid,args"], capture_output=True, text=True, check=True).stdout.splitlines()]
+print("pools", sum(int(parent) == jvm and "pyspark.daemon" in args for _, parent, args in lines[1:]))
+"""
+
+
+def test_uniform_windows_take_one_pool(tmp_path, sf_dir):
+    """The whole query in a session of its own: each pool of workers would keep its idle ones, so that an executor has more than one a core."""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parent.parent)}
+    out = subprocess.run([sys.executable, "-c", POOLS, sf_dir, str(tmp_path / "checkpoints")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=True).stdout
+    assert out.split()[-2:] == ["pools", "1"]
